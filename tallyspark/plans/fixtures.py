@@ -159,3 +159,137 @@ def rates(spark: SparkSession) -> DataFrame:
 
 
 _ = (T, RATES_SCHEMA)
+
+
+# ---------------------------------------------------------------------------
+# Ledger, scope, expense template.
+# ---------------------------------------------------------------------------
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """``ledger(company, company_code, func_area, gl_text, amount_text)``;
+    amounts carry thousands commas and, for returned lines, a trailing minus."""
+    l = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    p = table(spark, d, "part").select("p_partkey", "p_type", "p_name")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    price = F.col("l_extendedprice")
+    whole = F.floor(price).cast("int")
+    int_text = F.when(price >= 1000, F.concat(F.floor(price / 1000).cast("int").cast("string"), F.lit(","),
+                                              F.lpad((whole % 1000).cast("string"), 3, "0"))) \
+        .otherwise(whole.cast("string"))
+    cents = F.lpad(((price.cast(MONEY) * 100).cast("bigint") % 100).cast("string"), 2, "0")
+    text = F.concat(int_text, F.lit("."), cents,
+                    F.when(F.col("l_returnflag") == "R", "-").otherwise(""))
+    area = (F.when(F.col("p_type") == "ECONOMY", "销售费用").when(F.col("p_type") == "STANDARD", "管理费用")
+            .when(F.col("p_type") == "SMALL", "研发费用").otherwise("生产成本"))
+    return (l.join(p, l.l_partkey == p.p_partkey)
+            .join(s, l.l_suppkey == s.s_suppkey)
+            .join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+            .select(F.col("n_name").alias("company"),
+                    F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("company_code"),
+                    area.alias("func_area"), F.col("p_name").alias("gl_text"), text.alias("amount_text")))
+
+
+# Fixed extra scope rows: a code with no ledger lines, and a duplicated code
+# whose later row must win.
+EXTRA_SCOPE = [(99, "EXTRA", "R-EXTRA", "C9999", "否", 99),
+               (100, "NATION_3", "R-NATION_3-NEW", "C0003", "否", 100)]
+
+
+def scope(spark: SparkSession, d: str) -> DataFrame:
+    """``scope(serial, company, report_name, sap_code, fx_flag, seq)``."""
+    n = table(spark, d, "nation")
+    base = n.select(F.col("n_nationkey").cast("bigint").alias("serial"), F.col("n_name").alias("company"),
+                    F.concat(F.lit("R-"), "n_name").alias("report_name"),
+                    F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("sap_code"),
+                    F.when(F.col("n_regionkey") == 1, "是").when(F.col("n_regionkey") == 2, F.lit(None))
+                    .otherwise("否").alias("fx_flag"),
+                    F.col("n_nationkey").cast("bigint").alias("seq"))
+    extra = spark.createDataFrame(
+        EXTRA_SCOPE, "serial bigint, company string, report_name string, sap_code string, fx_flag string, seq bigint")
+    return base.unionByName(extra)
+
+
+def expense_template(spark: SparkSession, d: str) -> DataFrame:
+    """Column A of each company's expense sheet as rows: one area label per
+    customer row (so slot counts grow with the data)."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    k = F.col("c_custkey") % 4
+    label = (F.when(k == 0, "销售费用").when(k == 1, "管理费用").when(k == 2, "研发费用"))
+    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+            .select(F.col("n_name").alias("file_name"), F.lit("8_费用").alias("sheet"),
+                    (F.col("c_custkey") + 2).cast("int").alias("row_no"),
+                    F.array(label).alias("cells")))
+
+
+def rules_b(spark: SparkSession, d: str) -> DataFrame:
+    """The rule table with layout-B item labels."""
+    r = rules(spark, d)
+    items = F.col("items")
+    for a, b in [("期末余额_金额", "本位货币期末"), ("期间发生额_贷方金额", "本位货币贷方"),
+                 ("期间发生额_借方金额", "本位货币借方"), ("期初余额_金额", "本位币货币期初")]:
+        items = F.replace(items, F.lit(a), F.lit(b))
+    return r.withColumn("items", items)
+
+
+# ---------------------------------------------------------------------------
+# Sheet rows ``(file_name, sheet, row_no, cells)`` of balance exports.
+# ---------------------------------------------------------------------------
+
+def _code_row(code):
+    cls = F.substring(code, 1, 1)
+    idx = (F.when(cls == "1", 0).when(cls == "2", 1).when(cls == "4", 2).when(cls == "5", 3).otherwise(4))
+    l1 = F.substring(code, 4, 1).cast("int")
+    l2 = F.when(F.length(code) == 6, F.substring(code, 6, 1).cast("int")).otherwise(0)
+    return (idx * 5 + l1 - 1) * 5 + l2
+
+
+def rows_a(spark: SparkSession, d: str) -> DataFrame:
+    """Layout-A exports as sheet rows: 4 banner rows, one row per account
+    (row number from the code, no window), a trailer row; plus one file
+    with two non-empty sheets."""
+    a = bal_a(spark, d)
+    from tallyspark.schemas import LAYOUT_A_COLUMNS
+    body = a.select(F.col("company").alias("file_name"), F.lit("Sheet1").alias("sheet"),
+                    (F.lit(5) + _code_row(F.col("acct_code"))).cast("int").alias("row_no"),
+                    F.array(*[F.col(c).cast("string") for c, _ in LAYOUT_A_COLUMNS]).alias("cells"))
+    comp = a.select(F.col("company").alias("file_name")).distinct()
+    banner = comp.select("file_name", F.lit("Sheet1").alias("sheet"),
+                         F.inline(F.array(
+                             F.struct(F.lit(1).alias("row_no"), F.array(F.lit("科目余额表")).alias("cells")),
+                             F.struct(F.lit(2).alias("row_no"), F.array(F.col("file_name")).alias("cells")),
+                             F.struct(F.lit(3).alias("row_no"),
+                                      F.array(F.lit("科目"), F.lit(None), F.lit("期初余额")).alias("cells")),
+                             F.struct(F.lit(4).alias("row_no"),
+                                      F.array(*[F.lit(h) for _, h in LAYOUT_A_COLUMNS]).alias("cells")),
+                             F.struct(F.lit(300).alias("row_no"),
+                                      F.array(F.lit("合计"), F.lit(None)).alias("cells")))))
+    multi = spark.createDataFrame(
+        [("MULTI", "Sheet1", 1, ["x"]), ("MULTI", "Sheet1", 5, ["1001", "y"]), ("MULTI", "Sheet2", 1, ["z"])],
+        "file_name string, sheet string, row_no int, cells array<string>")
+    return body.unionByName(banner.select("file_name", "sheet", F.col("row_no").cast("int"), "cells")) \
+        .unionByName(multi)
+
+
+def rows_b(spark: SparkSession, d: str) -> DataFrame:
+    """Layout-B exports as sheet rows: header in row 1 (columns in a
+    different order than the canonical one), detail rows, a total row
+    without code."""
+    from tallyspark.schemas import LAYOUT_B_COLUMNS
+    order = [c for c, _ in LAYOUT_B_COLUMNS]
+    order = order[2:] + order[:2]  # codes and names last: located by header
+    hdr = dict(LAYOUT_B_COLUMNS)
+    b = bal_b(spark, d)
+    body = b.select(F.col("company").alias("file_name"), F.lit("Sheet1").alias("sheet"),
+                    (F.lit(2) + _code_row(F.col("acct_code")) * 2
+                     + F.when(F.col("currency") == "USD", 1).otherwise(0)).cast("int").alias("row_no"),
+                    F.array(*[F.col(c).cast("string") for c in order]).alias("cells"))
+    comp = b.select(F.col("company").alias("file_name")).distinct()
+    extra = comp.select("file_name", F.lit("Sheet1").alias("sheet"),
+                        F.inline(F.array(
+                            F.struct(F.lit(1).alias("row_no"),
+                                     F.array(*[F.lit(hdr[c]) for c in order]).alias("cells")),
+                            F.struct(F.lit(999).alias("row_no"),
+                                     F.array(*([F.lit(None).cast("string")] * 10 + [F.lit(None), F.lit("合计")])).alias("cells")))))
+    return body.unionByName(extra.select("file_name", "sheet", F.col("row_no").cast("int"), "cells"))

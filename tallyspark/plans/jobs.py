@@ -5,12 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyspark.operators import balances as B
 from tallyspark.operators import cells as C
+from tallyspark.operators import ledger as L
+from tallyspark.operators.joins import broadcast_if_small
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
-from tallyspark.schemas import SHEET_STATEMENT
+from tallyspark.schemas import FX_YES, RATE, SHEET_STATEMENT
 
 
 @dataclass
@@ -36,3 +39,44 @@ def tb_to_cells(bal: DataFrame, rules: DataFrame, rates: DataFrame | None = None
     cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys), keys)
     recon = R.reconcile(long, parts, keys, SHEET_STATEMENT) if layout == "A" else None
     return TbResult(cells=cells, recon=recon, rejects=RU.rule_rejects(rules))
+
+
+def ledger_to_cells(ledger: DataFrame, scope: DataFrame | None, average_rate,
+                    starts=None) -> DataFrame:
+    """Ledger -> summary -> FX by entity flag -> cells at fixed starts (H6)."""
+    summary = L.expense_summary(L.parse_ledger(ledger))
+    return L.place_fixed(L.expense_fx(summary, scope, average_rate), starts=starts)
+
+
+def ledger_to_cells_dynamic(ledger: DataFrame, template_rows: DataFrame,
+                            legacy_offsets: bool = False) -> DataFrame:
+    """Ledger -> summary -> cells with slot-driven starts (H6, second form)."""
+    summary = L.expense_summary(L.parse_ledger(ledger))
+    return L.place_dynamic(summary, L.slot_counts(template_rows), legacy_offsets)
+
+
+def split_ledger(ledger: DataFrame, scope: DataFrame) -> DataFrame:
+    """Scope LEFT JOIN ledger on company code, tagged with the report name
+    that names each output part (B3). Codes without lines keep one row with
+    null ledger columns, so the empty outputs are visible. The ledger is
+    the big side; the deduplicated scope is broadcast after a size check."""
+    names = broadcast_if_small(L.lookup_report_name(scope).withColumnRenamed("sap_code", "company_code"))
+    lines = ledger.join(names, "company_code", "inner")
+    empty = names.join(ledger.select("company_code").distinct(), "company_code", "left_anti")
+    cols = [c for c in ledger.columns if c != "company_code"]
+    return lines.select("report_name", "company_code", *cols).unionByName(
+        empty.select("report_name", "company_code", *[F.lit(None).cast("string").alias(c) for c in cols]))
+
+
+def batch_entities(ledger: DataFrame, scope: DataFrame, average_rate) -> DataFrame:
+    """Run the ledger job for every scope row: the per-entity loop becomes a
+    join. Lines are summarised by company code *before* the join with the
+    (small) scope, and each scope row names one paper (H8)."""
+    summary = L.expense_summary(L.parse_ledger(ledger), keys=["company_code"])
+    papers = broadcast_if_small(scope.select(F.col("sap_code").alias("company_code"),
+                                             L.paper_name("serial", "company").alias("paper"), "fx_flag"))
+    j = summary.join(papers, "company_code")
+    rate = F.lit(str(average_rate)).cast(RATE)
+    j = j.withColumn("amount", F.when(F.col("fx_flag").eqNullSafe(FX_YES), F.col("amount") * rate)
+                     .otherwise(F.col("amount") * F.lit(1).cast(RATE)))
+    return L.place_fixed(j, keys=["paper"])

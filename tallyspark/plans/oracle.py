@@ -251,3 +251,247 @@ SELECT company, acct_code, acct_name, close_dir, closing, diff, {_CLASS} AS acco
  FROM long_a a LEFT JOIN mapped b ON a.company = b.company AND a.acct_code = b.acct_code
  WHERE a.item = '期末余额_金额' AND length(a.acct_code) = 4
    AND (b.acct_code IS NULL OR abs(a.amount) - abs(b.amount) <> 0)) t"""
+
+# ---------------------------------------------------------------------------
+# Layout B
+# ---------------------------------------------------------------------------
+
+BAL_B = """
+bal_b AS (
+ SELECT company, acct_code, acct_name, currency,
+  CAST(CASE WHEN currency='USD' THEN opening END AS DECIMAL(18,2)) AS fc_opening,
+  CAST(CASE WHEN currency='USD' THEN debit END AS DECIMAL(18,2)) AS fc_debit,
+  CAST(CASE WHEN currency='USD' THEN credit END AS DECIMAL(18,2)) AS fc_credit,
+  CAST(CASE WHEN currency='USD' THEN closing END AS DECIMAL(18,2)) AS fc_closing,
+  'CNY' AS local_currency,
+  CAST(round(CASE WHEN currency='USD' THEN opening * CAST(7.1884 AS DECIMAL(10,4)) ELSE opening END, 2) AS DECIMAL(18,2)) AS lc_opening,
+  CAST(round(CASE WHEN currency='USD' THEN debit * CAST(7.1884 AS DECIMAL(10,4)) ELSE debit END, 2) AS DECIMAL(18,2)) AS lc_debit,
+  CAST(round(CASE WHEN currency='USD' THEN credit * CAST(7.1884 AS DECIMAL(10,4)) ELSE credit END, 2) AS DECIMAL(18,2)) AS lc_credit,
+  CAST(round(CASE WHEN currency='USD' THEN closing * CAST(7.1884 AS DECIMAL(10,4)) ELSE closing END, 2) AS DECIMAL(18,2)) AS lc_closing
+ FROM tb)"""
+
+
+def _rollup(n: int, skip: bool = False) -> str:
+    where = f"WHERE length(acct_code) > {n}" if skip else ""
+    return f"""
+ SELECT company, acct_code, acct_name, currency, fc_opening, fc_debit, fc_credit, fc_closing,
+  local_currency, lc_opening, lc_debit, lc_credit, lc_closing FROM bal_b
+ UNION ALL
+ SELECT company, left(acct_code, {n}) AS acct_code, split_part(acct_name, '-', 1) AS acct_name, currency,
+  CAST(sum(fc_opening) AS DECIMAL(18,2)), CAST(sum(fc_debit) AS DECIMAL(18,2)), CAST(sum(fc_credit) AS DECIMAL(18,2)),
+  CAST(sum(fc_closing) AS DECIMAL(18,2)), local_currency,
+  CAST(sum(lc_opening) AS DECIMAL(18,2)), CAST(sum(lc_debit) AS DECIMAL(18,2)), CAST(sum(lc_credit) AS DECIMAL(18,2)),
+  CAST(sum(lc_closing) AS DECIMAL(18,2))
+ FROM bal_b {where}
+ GROUP BY company, left(acct_code, {n}), split_part(acct_name, '-', 1), currency, local_currency"""
+
+
+_B_OUT = """SELECT company, acct_code, acct_name, currency,
+ CAST(fc_opening AS DOUBLE) AS fc_opening, CAST(fc_debit AS DOUBLE) AS fc_debit, CAST(fc_credit AS DOUBLE) AS fc_credit,
+ CAST(fc_closing AS DOUBLE) AS fc_closing, local_currency,
+ CAST(lc_opening AS DOUBLE) AS lc_opening, CAST(lc_debit AS DOUBLE) AS lc_debit, CAST(lc_credit AS DOUBLE) AS lc_credit,
+ CAST(lc_closing AS DOUBLE) AS lc_closing"""
+
+ORACLE["prefix_rollup"] = with_(TB, BAL_B) + _B_OUT + f" FROM ({_rollup(4)}) t"
+ORACLE["prefix_rollup_collide"] = with_(TB, BAL_B) + _B_OUT + f" FROM ({_rollup(6)}) t"
+ORACLE["prefix_rollup_skip_existing"] = with_(TB, BAL_B) + _B_OUT + f" FROM ({_rollup(6, True)}) t"
+
+LONG_B = f"""
+rolled_b AS ({_rollup(4)}),
+long_b AS (
+ UNPIVOT (SELECT company, acct_code, acct_name, currency, local_currency,
+   lc_opening AS "本位币货币期初", lc_debit AS "本位货币借方", lc_credit AS "本位货币贷方", lc_closing AS "本位货币期末",
+   fc_opening AS "外币期初", fc_debit AS "外币借方", fc_credit AS "外币贷方", fc_closing AS "外币期末" FROM rolled_b)
+ ON "本位币货币期初", "本位货币借方", "本位货币贷方", "本位货币期末", "外币期初", "外币借方", "外币贷方", "外币期末"
+ INTO NAME item VALUE amount)"""
+
+ORACLE["unpivot_b"] = with_(TB, BAL_B, LONG_B) + """
+SELECT company, acct_code, acct_name, currency, local_currency, item, CAST(amount AS DOUBLE) AS amount FROM long_b"""
+
+RULES_B = """
+rules AS (
+ SELECT sheet, cell, accts, ops,
+  replace(replace(replace(replace(items, '期末余额_金额', '本位货币期末'), '期间发生额_贷方金额', '本位货币贷方'),
+          '期间发生额_借方金额', '本位货币借方'), '期初余额_金额', '本位币货币期初') AS items
+ FROM rules_a)"""
+
+ORACLE["tb_to_cells_b"] = (with_(TB, BAL_B, LONG_B, RULES.replace("rules AS (", "rules_a AS (", 1), RULES_B,
+                                 PARTS_RAW, PARTS_SIGNED, PARTS, RATES)[:-1] + """
+, comp AS (SELECT DISTINCT company FROM long_b)
+, per_company AS (SELECT c.company, p.* FROM comp c CROSS JOIN parts p)
+, cells0 AS (
+ SELECT a.company, a.sheet, a.cell, round(sum(b.amount * a.sign), 2) AS amt
+ FROM per_company a LEFT JOIN long_b b ON a.company = b.company AND a.acct_code = b.acct_code AND a.item = b.item
+ GROUP BY a.company, a.sheet, a.cell)
+, cells_rate AS (
+ SELECT c.company, c.sheet, c.cell,
+  CAST(round(CAST(coalesce(c.amt, 0) AS DECIMAL(18,2)) * coalesce(r.rate, CAST(1 AS DECIMAL(10,4))), 2) AS DECIMAL(18,2)) AS amount
+ FROM cells0 c LEFT JOIN rates r ON c.sheet = r.sheet)
+""" + _zeroed("cells_rate") + """
+SELECT company, sheet, cell, CAST(amount AS DOUBLE) AS amount FROM zeroed""")
+
+# Sheet-row readers: reading the exported rows back must give the tables.
+ORACLE["assert_single_sheet"] = with_(TB) + """
+SELECT company AS file_name, CAST(1 AS BIGINT) AS n_sheets, true AS ok FROM (SELECT DISTINCT company FROM tb) t
+UNION ALL SELECT 'MULTI', CAST(2 AS BIGINT), false"""
+
+ORACLE["read_balance_a"] = with_(TB, BAL_A) + """
+SELECT company, acct_code, acct_name, open_dir, CAST(opening AS DOUBLE) AS opening,
+ CAST(open_debit AS DOUBLE) AS open_debit, CAST(open_credit AS DOUBLE) AS open_credit,
+ CAST(period_debit AS DOUBLE) AS period_debit, CAST(period_credit AS DOUBLE) AS period_credit,
+ CAST(ytd_debit AS DOUBLE) AS ytd_debit, CAST(ytd_credit AS DOUBLE) AS ytd_credit, close_dir,
+ CAST(closing AS DOUBLE) AS closing, CAST(close_debit AS DOUBLE) AS close_debit, CAST(close_credit AS DOUBLE) AS close_credit
+FROM bal_a"""
+
+ORACLE["read_balance_b"] = with_(TB, BAL_B) + _B_OUT + " FROM bal_b"
+
+ORACLE["load_base"] = ORACLE["conditional_zero"]
+
+# ---------------------------------------------------------------------------
+# Ledger and scope
+# ---------------------------------------------------------------------------
+
+LEDGER = """
+ledger AS (
+ SELECT n.n_name AS company, concat('C', lpad(CAST(n.n_nationkey AS VARCHAR), 4, '0')) AS company_code,
+  CASE p.p_type WHEN 'ECONOMY' THEN '销售费用' WHEN 'STANDARD' THEN '管理费用' WHEN 'SMALL' THEN '研发费用' ELSE '生产成本' END AS func_area,
+  p.p_name AS gl_text,
+  concat(CASE WHEN l_extendedprice >= 1000 THEN concat(CAST(CAST(FLOOR(l_extendedprice/1000) AS INT) AS VARCHAR), ',',
+           lpad(CAST(CAST(FLOOR(l_extendedprice) AS INT) % 1000 AS VARCHAR),3,'0'))
+         ELSE CAST(CAST(FLOOR(l_extendedprice) AS INT) AS VARCHAR) END,
+   '.', lpad(CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2))*100 AS BIGINT) % 100 AS VARCHAR),2,'0'),
+   CASE WHEN l_returnflag='R' THEN '-' ELSE '' END) AS amount_text
+ FROM lineitem l JOIN part p ON l.l_partkey=p.p_partkey JOIN supplier s ON l.l_suppkey=s.s_suppkey
+ JOIN nation n ON s.s_nationkey=n.n_nationkey),
+ledger_parsed AS (
+ SELECT *, CAST(CASE WHEN amount_text LIKE '%-%' THEN -1 ELSE 1 END
+   * CAST(replace(replace(amount_text, ',', ''), '-', '') AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS amount
+ FROM ledger),
+summary AS (
+ SELECT company, func_area, gl_text, CAST(round(sum(amount), 2) AS DECIMAL(18,2)) AS amount
+ FROM ledger_parsed WHERE func_area IN ('销售费用','管理费用','研发费用')
+ GROUP BY company, func_area, gl_text)"""
+
+SCOPE = """
+scope AS (
+ SELECT CAST(n_nationkey AS BIGINT) AS serial, n_name AS company, concat('R-', n_name) AS report_name,
+  concat('C', lpad(CAST(n_nationkey AS VARCHAR), 4, '0')) AS sap_code,
+  CASE WHEN n_regionkey = 1 THEN '是' WHEN n_regionkey = 2 THEN NULL ELSE '否' END AS fx_flag,
+  CAST(n_nationkey AS BIGINT) AS seq
+ FROM nation
+ UNION ALL SELECT * FROM (VALUES (CAST(99 AS BIGINT), 'EXTRA', 'R-EXTRA', 'C9999', '否', CAST(99 AS BIGINT)),
+  (100, 'NATION_3', 'R-NATION_3-NEW', 'C0003', '否', 100)) v(serial, company, report_name, sap_code, fx_flag, seq))"""
+
+TEMPLATE = """
+template AS (
+ SELECT n.n_name AS file_name, CAST(c.c_custkey + 2 AS BIGINT) AS row_no,
+  CASE c.c_custkey % 4 WHEN 0 THEN '销售费用' WHEN 1 THEN '管理费用' WHEN 2 THEN '研发费用' END AS a
+ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+slots AS (
+ SELECT file_name AS company,
+  count(CASE WHEN a = '销售费用' THEN 1 END) - 2 AS slots_0,
+  count(CASE WHEN a = '管理费用' THEN 1 END) - 2 AS slots_1,
+  count(CASE WHEN a = '研发费用' THEN 1 END) - 2 AS slots_2
+ FROM template GROUP BY file_name)"""
+
+LED = with_(TB, LEDGER)
+
+ORACLE["parse_thousands"] = LED + """
+SELECT company, amount_text, CAST(TRY_CAST(replace(amount_text, ',', '') AS DECIMAL(18,2)) AS DOUBLE) AS amount FROM ledger"""
+
+ORACLE["parse_trailing_minus"] = LED + """
+SELECT company, amount_text, CAST(amount AS DOUBLE) AS amount FROM ledger_parsed"""
+
+ORACLE["semi_categories"] = LED + """
+SELECT company, func_area, gl_text, CAST(amount AS DOUBLE) AS amount FROM ledger_parsed
+WHERE func_area IN ('销售费用','管理费用','研发费用')"""
+
+ORACLE["expense_summary"] = LED + """
+SELECT company, func_area, gl_text, CAST(amount AS DOUBLE) AS amount FROM summary"""
+
+ORACLE["expense_fx"] = with_(TB, LEDGER, SCOPE) + """
+SELECT s.company, s.func_area, s.gl_text,
+ CAST(s.amount * CASE WHEN f.fx THEN CAST(7.1140 AS DECIMAL(10,4)) ELSE CAST(1 AS DECIMAL(10,4)) END AS DOUBLE) AS amount
+FROM summary s LEFT JOIN (SELECT company, bool_or(coalesce(fx_flag = '是', false)) AS fx FROM scope GROUP BY company) f
+ ON s.company = f.company"""
+
+
+def _placed(src: str, key: str, start_expr: str) -> str:
+    return f"""
+, lines AS (SELECT *, row_number() OVER (PARTITION BY {key}, func_area ORDER BY gl_text) AS line_no FROM {src})
+, placed AS (SELECT *, {start_expr} + line_no - 1 AS row_no FROM lines)
+SELECT {key}, '8_费用' AS sheet, concat('C', CAST(row_no AS VARCHAR)) AS cell, gl_text AS text, CAST(NULL AS DOUBLE) AS amount
+FROM placed
+UNION ALL
+SELECT {key}, '8_费用', concat('E', CAST(row_no AS VARCHAR)), NULL, CAST(amount AS DOUBLE) FROM placed"""
+
+
+_FIXED_START = "CASE func_area WHEN '销售费用' THEN 2 WHEN '管理费用' THEN 168 WHEN '研发费用' THEN 348 END"
+
+ORACLE["place_fixed"] = LED[:-1] + _placed("summary", "company", _FIXED_START)
+
+ORACLE["ledger_to_cells"] = with_(TB, LEDGER, SCOPE)[:-1] + """
+, fxsum AS (
+ SELECT s.company, s.func_area, s.gl_text,
+  s.amount * CASE WHEN f.fx THEN CAST(7.1140 AS DECIMAL(10,4)) ELSE CAST(1 AS DECIMAL(10,4)) END AS amount
+ FROM summary s LEFT JOIN (SELECT company, bool_or(coalesce(fx_flag = '是', false)) AS fx FROM scope GROUP BY company) f
+  ON s.company = f.company)""" + _placed("fxsum", "company", _FIXED_START)
+
+ORACLE["slot_counts"] = with_(TEMPLATE) + """
+SELECT company, CAST(slots_0 AS BIGINT) AS slots_0, CAST(slots_1 AS BIGINT) AS slots_1, CAST(slots_2 AS BIGINT) AS slots_2
+FROM slots"""
+
+_DYN = """
+, counts AS (
+ SELECT company, count(CASE WHEN func_area='销售费用' THEN 1 END) AS n0,
+  count(CASE WHEN func_area='管理费用' THEN 1 END) AS n1, count(CASE WHEN func_area='研发费用' THEN 1 END) AS n2
+ FROM summary GROUP BY company)
+, p AS (
+ SELECT c.company, s.slots_0 AS s0, s.slots_1 AS s1, s.slots_2 AS s2, c.n0, c.n1, c.n2,
+  greatest(c.n0 - s.slots_0, 0) AS a0, greatest(c.n1 - s.slots_1, 0) AS a1, greatest(c.n2 - s.slots_2, 0) AS a2
+ FROM counts c JOIN slots s ON c.company = s.company)
+, plan AS (
+ SELECT company, '销售费用' AS func_area, s0 AS slots, n0 AS lines, a0 AS rows_added, 2 AS start_row, s0 AS copy_row FROM p
+ UNION ALL
+ SELECT company, '管理费用', s1, n1, a1, 2 + s0 + 6 + a0, s0 + s1 + 6 + a0 FROM p
+ UNION ALL
+ SELECT company, '研发费用', s2, n2, a2, 2 + s0 + 6 + s1 + 6 + a0 + a1, s0 + s1 + 6 + s2 + 6 + a0 + a1 FROM p)
+"""
+
+ORACLE["place_dynamic_plan"] = with_(TB, LEDGER, TEMPLATE)[:-1] + _DYN + """
+SELECT company, func_area, CAST(slots AS BIGINT) AS slots, CAST(lines AS BIGINT) AS lines,
+ CAST(rows_added AS BIGINT) AS rows_added, CAST(start_row AS BIGINT) AS start_row, CAST(copy_row AS BIGINT) AS copy_row
+FROM plan"""
+
+ORACLE["place_dynamic"] = with_(TB, LEDGER, TEMPLATE)[:-1] + _DYN + """
+, summ_start AS (SELECT s.*, p.start_row FROM summary s JOIN plan p ON s.company = p.company AND s.func_area = p.func_area)
+""" + _placed("summ_start", "company", "start_row")
+
+ORACLE["read_scope"] = with_(SCOPE) + "SELECT * FROM scope"
+
+ORACLE["lookup_report_name"] = with_(SCOPE) + """
+SELECT sap_code, report_name FROM (
+ SELECT *, row_number() OVER (PARTITION BY sap_code ORDER BY seq DESC) AS rn FROM scope) t WHERE rn = 1"""
+
+ORACLE["fx_entity_filter"] = with_(SCOPE) + """
+SELECT *, true AS is_fx FROM scope WHERE fx_flag IS NOT DISTINCT FROM '是'
+UNION ALL
+SELECT *, false FROM scope WHERE fx_flag IS DISTINCT FROM '是'"""
+
+ORACLE["paper_name"] = with_(SCOPE) + """
+SELECT sap_code, concat(CAST(serial AS VARCHAR), '-', company, '2024.xlsx') AS paper FROM scope"""
+
+ORACLE["split_ledger"] = with_(TB, LEDGER, SCOPE)[:-1] + """
+, names AS (SELECT sap_code, report_name FROM (
+   SELECT *, row_number() OVER (PARTITION BY sap_code ORDER BY seq DESC) AS rn FROM scope) t WHERE rn = 1)
+SELECT n.report_name, n.sap_code AS company_code, l.company, l.func_area, l.gl_text, l.amount_text
+FROM names n LEFT JOIN ledger l ON n.sap_code = l.company_code"""
+
+ORACLE["batch_entities"] = with_(TB, LEDGER, SCOPE)[:-1] + """
+, by_code AS (
+ SELECT company_code, func_area, gl_text, CAST(round(sum(amount), 2) AS DECIMAL(18,2)) AS amount
+ FROM ledger_parsed WHERE func_area IN ('销售费用','管理费用','研发费用') GROUP BY 1, 2, 3)
+, per_paper AS (
+ SELECT concat(CAST(s.serial AS VARCHAR), '-', s.company, '2024.xlsx') AS paper, b.func_area, b.gl_text,
+  b.amount * CASE WHEN s.fx_flag IS NOT DISTINCT FROM '是' THEN CAST(7.1140 AS DECIMAL(10,4)) ELSE CAST(1 AS DECIMAL(10,4)) END AS amount
+ FROM by_code b JOIN scope s ON b.company_code = s.sap_code)""" + _placed("per_paper", "paper", _FIXED_START)

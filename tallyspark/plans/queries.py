@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.exprs import account_class
 from tallyspark.operators import balances as B
 from tallyspark.operators import cells as C
+from tallyspark.operators import ledger as L
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
 from tallyspark.plans import fixtures as X
@@ -107,3 +108,144 @@ def q_reconcile(spark, d):
 
 
 _ = F
+
+
+# --- layout B and sheet readers -------------------------------------------
+
+@register("prefix_rollup")
+def q_prefix_rollup(spark, d):
+    return B.prefix_rollup(X.bal_b(spark, d), n=4)
+
+
+@register("prefix_rollup_collide")
+def q_prefix_rollup_collide(spark, d):
+    """Source default length 6 on 6-character codes: each code counts twice."""
+    return B.prefix_rollup(X.bal_b(spark, d), n=6)
+
+
+@register("prefix_rollup_skip_existing")
+def q_prefix_rollup_skip(spark, d):
+    return B.prefix_rollup(X.bal_b(spark, d), n=6, skip_existing=True)
+
+
+@register("unpivot_b")
+def q_unpivot_b(spark, d):
+    return B.unpivot_b(B.prefix_rollup(X.bal_b(spark, d), n=4))
+
+
+@register("tb_to_cells_b")
+def q_tb_to_cells_b(spark, d):
+    bal = B.prefix_rollup(X.bal_b(spark, d), n=4)
+    return J.tb_to_cells(bal, X.rules_b(spark, d), X.rates(spark), layout="B").cells
+
+
+@register("assert_single_sheet")
+def q_single_sheet(spark, d):
+    return B.single_sheet_files(X.rows_a(spark, d))
+
+
+@register("read_balance_a")
+def q_read_balance_a(spark, d):
+    return B.read_balance_a(X.rows_a(spark, d))
+
+
+@register("read_balance_b")
+def q_read_balance_b(spark, d):
+    return B.read_balance_b(X.rows_b(spark, d))
+
+
+@register("load_base")
+def q_load_base(spark, d):
+    """Rules and layout-A balances loaded together, joined into cells."""
+    return J.tb_to_cells(B.read_balance_a(X.rows_a(spark, d)), X.rules(spark, d), None, layout="A").cells
+
+
+# --- ledger ---------------------------------------------------------------
+
+def _summary(spark, d):
+    return L.expense_summary(L.parse_ledger(X.ledger(spark, d)))
+
+
+@register("parse_thousands")
+def q_parse_thousands(spark, d):
+    lg = X.ledger(spark, d)
+    return lg.select("company", "amount_text",
+                     F.regexp_replace("amount_text", ",", "").try_cast("decimal(18,2)").alias("amount"))
+
+
+@register("parse_trailing_minus")
+def q_parse_trailing_minus(spark, d):
+    return L.parse_ledger(X.ledger(spark, d)).select("company", "amount_text", "amount")
+
+
+@register("semi_categories")
+def q_semi_categories(spark, d):
+    return L.semi_categories(L.parse_ledger(X.ledger(spark, d))).select(
+        "company", "func_area", "gl_text", "amount")
+
+
+@register("expense_summary")
+def q_expense_summary(spark, d):
+    return _summary(spark, d)
+
+
+@register("expense_fx")
+def q_expense_fx(spark, d):
+    return L.expense_fx(_summary(spark, d), X.scope(spark, d), "7.1140")
+
+
+@register("place_fixed")
+def q_place_fixed(spark, d):
+    return L.place_fixed(_summary(spark, d))
+
+
+@register("slot_counts")
+def q_slot_counts(spark, d):
+    return L.slot_counts(X.expense_template(spark, d))
+
+
+@register("place_dynamic_plan")
+def q_dynamic_plan(spark, d):
+    return L.dynamic_plan(_summary(spark, d), L.slot_counts(X.expense_template(spark, d)))
+
+
+@register("place_dynamic")
+def q_place_dynamic(spark, d):
+    return L.place_dynamic(_summary(spark, d), L.slot_counts(X.expense_template(spark, d)))
+
+
+@register("ledger_to_cells")
+def q_ledger_to_cells(spark, d):
+    return J.ledger_to_cells(X.ledger(spark, d), X.scope(spark, d), "7.1140")
+
+
+@register("read_scope")
+def q_read_scope(spark, d):
+    return X.scope(spark, d)
+
+
+@register("lookup_report_name")
+def q_lookup_report_name(spark, d):
+    return L.lookup_report_name(X.scope(spark, d))
+
+
+@register("fx_entity_filter")
+def q_fx_entity_filter(spark, d):
+    s = X.scope(spark, d)
+    return (L.fx_entities(s, True).withColumn("is_fx", F.lit(True))
+            .unionByName(L.fx_entities(s, False).withColumn("is_fx", F.lit(False))))
+
+
+@register("paper_name")
+def q_paper_name(spark, d):
+    return X.scope(spark, d).select("sap_code", L.paper_name("serial", "company").alias("paper"))
+
+
+@register("split_ledger")
+def q_split_ledger(spark, d):
+    return J.split_ledger(X.ledger(spark, d), X.scope(spark, d))
+
+
+@register("batch_entities")
+def q_batch_entities(spark, d):
+    return J.batch_entities(X.ledger(spark, d), X.scope(spark, d), "7.1140")
