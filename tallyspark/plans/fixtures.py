@@ -293,3 +293,78 @@ def rows_b(spark: SparkSession, d: str) -> DataFrame:
                             F.struct(F.lit(999).alias("row_no"),
                                      F.array(*([F.lit(None).cast("string")] * 10 + [F.lit(None), F.lit("合计")])).alias("cells")))))
     return body.unionByName(extra.select("file_name", "sheet", F.col("row_no").cast("int"), "cells"))
+
+
+# ---------------------------------------------------------------------------
+# Counterparty sheets of working papers, as sheet rows.
+# ---------------------------------------------------------------------------
+
+def _cp_base(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus",
+                                         "o_orderpriority")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    k = F.col("o_orderkey")
+    code = (F.when(k % 97 == 0, "合计").when(k % 89 == 0, F.lit(None)).when(k % 61 == 0, "下方填写其他")
+            .otherwise(F.concat(F.lit("K"), F.col("c_custkey").cast("string"))))
+    return (o.join(c, o.o_custkey == c.c_custkey)
+            .select(F.col("c_nationkey").cast("string").alias("file_name"),
+                    (k + 10).cast("int").alias("row_no"),
+                    F.when(k % 59 == 0, "供应商编码").otherwise(code).alias("code_ap"),
+                    F.when(k % 59 == 0, "客户编码").otherwise(code).alias("code_ar"),
+                    F.col("c_name").alias("name"),
+                    F.when(k % 101 == 0, "款项性质").when(k % 103 == 0, "勾稽核对")
+                    .when(k % 89 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("nature"),
+                    F.when(k % 83 == 0, "币种").when(k % 5 == 0, "USD").when(k % 7 == 0, F.lit(None))
+                    .otherwise("CNY").alias("cur"),
+                    F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, "0")
+                    .otherwise(F.col("o_totalprice").cast(MONEY).cast("string")).alias("amt"),
+                    F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("c_acctbal").cast(MONEY).cast("string")).alias("a1"),
+                    F.when(k % 19 == 0, F.lit(None)).otherwise(F.col("c_custkey").cast("string")).alias("a2"),
+                    F.when(k % 23 == 0, F.lit(None)).when(k % 29 == 0, "n/a")
+                    .otherwise(F.col("o_orderstatus")).alias("a3"),
+                    F.when(k % 3 == 0, "是").alias("flag")))
+
+
+def _placed_array(width: int, placement: dict):
+    none = F.lit(None).cast("string")
+    return F.array(*[placement.get(i, none) for i in range(width)])
+
+
+CP_LAYOUTS = {
+    "CF2": (46, {11: "name", 12: "nature", 13: "a1", 14: "a2", 15: "a3", 16: "amt", 27: "cur",
+                 30: "name", 31: "nature", 32: "a1", 33: "a2", 34: "a3", 35: "amt", 43: "cur"}),
+    "应付账款": (16, {0: "code_ap", 1: "name", 2: "flag", 4: "nature", 5: "a1", 6: "cur", 7: "amt", 8: "amt"}),
+    "预付账款": (16, {0: "code_ap", 1: "name", 2: "flag", 4: "nature", 5: "a1", 6: "cur", 7: "amt", 8: "amt"}),
+    "其他非流动资产": (16, {0: "code_ap", 1: "name", 2: "flag", 4: "nature", 5: "a1", 6: "cur", 7: "amt",
+                         8: "amt"}),
+    "应收账款": (18, {0: "code_ar", 1: "name", 2: "flag", 4: "a1", 5: "cur", 6: "amt", 7: "amt", 16: "a3"}),
+    "预收账款": (18, {0: "code_ar", 1: "name", 2: "flag", 4: "a1", 5: "cur", 6: "amt", 7: "amt", 16: "a3"}),
+}
+
+
+CP_SKIP = {"CF2": 3, "应付账款": 4, "预付账款": 4, "其他非流动资产": 4, "应收账款": 3, "预收账款": 3}
+
+
+def counterparty_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Six counterparty sheets per paper (one paper per nation), with banner
+    rows on top that would pass every filter if they were not skipped."""
+    base = _cp_base(spark, d)
+    parts = []
+    for sheet, (width, place) in CP_LAYOUTS.items():
+        arr = _placed_array(width, {i: F.col(c) for i, c in place.items()} | {width - 1: F.lit("x")}
+                            if width != 46 else {i: F.col(c) for i, c in place.items()})
+        parts.append(base.select("file_name", F.lit(sheet).alias("sheet"), "row_no", arr.alias("cells")))
+        banner_cells = _placed_array(width, {i: F.lit(v) for i, v in
+                                             {0: "K0", 1: "banner", 5: "CNY", 6: "100.00", 7: "100.00",
+                                              11: "banner", 12: "其他", 13: "1", 16: "5",
+                                              30: "banner", 31: "其他", 32: "1", 35: "5"}.items()
+                                             if i < width})
+        files = base.select("file_name").distinct()
+        parts.append(files.select("file_name", F.lit(sheet).alias("sheet"),
+                                  F.explode(F.array(*[F.lit(i) for i in range(1, CP_SKIP[sheet] + 1)]))
+                                  .alias("row_no"),
+                                  banner_cells.alias("cells")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

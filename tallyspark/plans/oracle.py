@@ -495,3 +495,104 @@ ORACLE["batch_entities"] = with_(TB, LEDGER, SCOPE)[:-1] + """
  SELECT concat(CAST(s.serial AS VARCHAR), '-', s.company, '2024.xlsx') AS paper, b.func_area, b.gl_text,
   b.amount * CASE WHEN s.fx_flag IS NOT DISTINCT FROM '是' THEN CAST(7.1140 AS DECIMAL(10,4)) ELSE CAST(1 AS DECIMAL(10,4)) END AS amount
  FROM by_code b JOIN scope s ON b.company_code = s.sap_code)""" + _placed("per_paper", "paper", _FIXED_START)
+
+# ---------------------------------------------------------------------------
+# Counterparty extraction (sheet columns by position, see fixtures).
+# ---------------------------------------------------------------------------
+
+CP_BASE = """
+cp AS (
+ SELECT CAST(c.c_nationkey AS VARCHAR) AS file_name, CAST(o.o_orderkey + 10 AS BIGINT) AS row_no,
+  CASE WHEN o.o_orderkey % 59 = 0 THEN '供应商编码' WHEN o.o_orderkey % 97 = 0 THEN '合计'
+       WHEN o.o_orderkey % 89 = 0 THEN NULL WHEN o.o_orderkey % 61 = 0 THEN '下方填写其他'
+       ELSE concat('K', CAST(c.c_custkey AS VARCHAR)) END AS code_ap,
+  CASE WHEN o.o_orderkey % 59 = 0 THEN '客户编码' WHEN o.o_orderkey % 97 = 0 THEN '合计'
+       WHEN o.o_orderkey % 89 = 0 THEN NULL WHEN o.o_orderkey % 61 = 0 THEN '下方填写其他'
+       ELSE concat('K', CAST(c.c_custkey AS VARCHAR)) END AS code_ar,
+  c.c_name AS name,
+  CASE WHEN o.o_orderkey % 101 = 0 THEN '款项性质' WHEN o.o_orderkey % 103 = 0 THEN '勾稽核对'
+       WHEN o.o_orderkey % 89 = 0 THEN NULL ELSE o.o_orderpriority END AS nature,
+  CASE WHEN o.o_orderkey % 83 = 0 THEN '币种' WHEN o.o_orderkey % 5 = 0 THEN 'USD'
+       WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE 'CNY' END AS cur,
+  CASE WHEN o.o_orderkey % 11 = 0 THEN NULL WHEN o.o_orderkey % 13 = 0 THEN '0'
+       ELSE CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amt,
+  CASE WHEN o.o_orderkey % 17 = 0 THEN NULL ELSE CAST(CAST(c.c_acctbal AS DECIMAL(18,2)) AS VARCHAR) END AS a1,
+  CASE WHEN o.o_orderkey % 19 = 0 THEN NULL ELSE CAST(c.c_custkey AS VARCHAR) END AS a2,
+  CASE WHEN o.o_orderkey % 23 = 0 THEN NULL WHEN o.o_orderkey % 29 = 0 THEN 'n/a' ELSE o.o_orderstatus END AS a3,
+  CASE WHEN o.o_orderkey % 3 = 0 THEN '是' END AS flag
+ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+_N = "CAST(NULL AS VARCHAR)"
+
+
+def _cols(names, values):
+    return ", ".join(f'{v} AS "{n}"' for n, v in zip(names, values))
+
+
+_OAR_NAMES = ["名称", "款项性质", "期初余额", "借方发生额", "贷方发生额", "期末余额", "单项坏账", "收到往来款", "支付往来款",
+              "1年以内", "1-2年", "2-3年", "3-4年", "4-5年", "5年以上", "外币金额", "币种", "账龄核对", "外币核对"]
+_OAR_VALS = ["name", "nature", "a1", "a2", "a3", "amt"] + [_N] * 10 + ["cur", _N, _N]
+_OAP_NAMES = ["名称", "款项性质", "期初余额", "借方发生额", "贷方发生额", "期末余额", "收到往来款", "支付往来款",
+              "1年以内", "1-2年", "2-3年", "3年以上", "外币金额", "币种", "账龄核对", "外币核对"]
+_OAP_VALS = ["name", "nature", "a1", "a2", "a3", "amt"] + [_N] * 7 + ["cur", _N, _N]
+_AP_NAMES = ["供应商编码", "供应商名称", "合并关联方（是/不填）", "非合并关联方（是/不填）", "款项性质", "期末余额_原币", "币种",
+             "人民币金额", "1年以内", "1-2年", "2-3年", "3年以上", "余额合计核对", "外币金额核对",
+             "余额由外币和人民币组成对，其中人民币金额"]
+_AP_VALS = ["code_ap", "name", "flag", _N, "nature", "a1", "cur", "amt", "amt"] + [_N] * 6
+_AR_NAMES = ["客户编码", "客户名称", "合并关联方（是/不填）", "非合并关联方（是/不填）", "期初余额_原币", "币种", "人民币金额",
+             "1年以内", "1-2年", "2-3年", "3-4年", "4-5年", "5年以上", "是否单项认定计提坏账准备", "余额合计核对",
+             "外币金额核对", "余额由外币和人民币组成对，其中人民币金额"]
+_ADV_NAMES = ["客户编码", "客户名称", "合并关联方（是/不填）", "非合并关联方（是/不填）", "期初余额_原币", "币种", "人民币金额",
+              "1年以内", "1-2年", "2-3年", "3年以上", "余额合计核对", "外币金额核对",
+              "余额由外币和人民币组成对，其中人民币金额", "税率", "合同负债", "其他流动负债"]
+_AR_VALS = ["code_ar", "name", "flag", _N, "a1", "cur", "amt", "amt"] + [_N] * 8 + ["a3"]
+
+_CF2_KEEP = """NOT coalesce(nature IN ('款项性质','合计','勾稽核对'), false) AND nature IS NOT NULL
+ AND (a1 IS NOT NULL OR a2 IS NOT NULL OR a3 IS NOT NULL) AND TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0"""
+_AP_KEEP = """NOT coalesce(code_ap IN ('供应商编码','合计','下方填写合并关联方','下方填写非合并关联方','下方填写其他'), false)
+ AND NOT coalesce(cur IN ('币种'), false) AND amt IS NOT NULL AND TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0"""
+_AR_KEEP = """NOT coalesce(code_ar IN ('客户编码','合计','下方填写合并关联方','下方填写非合并关联方','下方填写其他'), false)
+ AND NOT coalesce(cur IN ('币种'), false) AND amt IS NOT NULL AND TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0"""
+
+CP_TABLES = {
+    "其他应收款": (_OAR_NAMES, _OAR_VALS, _CF2_KEEP),
+    "其他应付款": (_OAP_NAMES, _OAP_VALS, _CF2_KEEP),
+    "应付账款": (_AP_NAMES, _AP_VALS, _AP_KEEP),
+    "预付账款": (_AP_NAMES, _AP_VALS, _AP_KEEP),
+    "其他非流动资产": (_AP_NAMES, _AP_VALS, _AP_KEEP),
+    "应收账款": (_AR_NAMES, _AR_VALS, _AR_KEEP),
+    "预收账款": (_ADV_NAMES, _AR_VALS, _AR_KEEP),
+}
+
+
+def _cp_select(name):
+    names, vals, keep = CP_TABLES[name]
+    return f'SELECT file_name AS "文件名", row_no, {_cols(names, vals)} FROM cp WHERE {keep}'
+
+
+for _k, _nm in [("counterparty_other_receivables", "其他应收款"), ("counterparty_other_payables", "其他应付款"),
+                ("counterparty_payables", "应付账款"), ("counterparty_prepayments", "预付账款"),
+                ("counterparty_other_noncurrent", "其他非流动资产"), ("counterparty_receivables", "应收账款"),
+                ("counterparty_advances", "预收账款")]:
+    ORACLE[_k] = with_(CP_BASE) + _cp_select(_nm)
+
+ORACLE["counterparty_extract"] = with_(CP_BASE) + "\nUNION ALL\n".join(
+    f"SELECT '{nm}' AS \"table\", file_name, row_no, concat_ws('|', {', '.join(v for v in CP_TABLES[nm][1])}) AS \"values\" "
+    f"FROM cp WHERE {CP_TABLES[nm][2]}" for nm in CP_TABLES)
+
+ORACLE["project_positional"] = with_(CP_BASE) + "SELECT file_name, row_no, " + ", ".join(
+    f"{v} AS c{i}" for i, v in zip(range(11, 30), _OAR_VALS)) + " FROM cp"
+
+ORACLE["rename_positional"] = with_(CP_BASE) + f'SELECT file_name AS "文件名", row_no, {_cols(_AP_NAMES, _AP_VALS)} FROM cp'
+
+ORACLE["drop_marker_rows"] = with_(CP_BASE) + f"""SELECT file_name AS "文件名", row_no, {_cols(_AP_NAMES, _AP_VALS)} FROM cp
+WHERE NOT coalesce(code_ap IN ('供应商编码','合计','下方填写合并关联方','下方填写非合并关联方','下方填写其他'), false)
+ AND NOT coalesce(cur IN ('币种'), false)"""
+
+ORACLE["require_any"] = with_(CP_BASE) + """SELECT file_name, row_no, name AS c11, nature AS c12, a1 AS c13, a2 AS c14,
+ a3 AS c15, amt AS c16 FROM cp WHERE nature IS NOT NULL AND (a1 IS NOT NULL OR a2 IS NOT NULL OR a3 IS NOT NULL)"""
+
+ORACLE["nonzero"] = with_(CP_BASE) + """
+SELECT 'keep_null' AS mode, file_name, row_no, amt AS amount_text FROM cp WHERE TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0
+UNION ALL
+SELECT 'not_null', file_name, row_no, amt FROM cp WHERE amt IS NOT NULL AND TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0"""

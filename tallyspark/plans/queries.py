@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.exprs import account_class
 from tallyspark.operators import balances as B
 from tallyspark.operators import cells as C
+from tallyspark.operators import counterparty as CP
 from tallyspark.operators import ledger as L
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
@@ -249,3 +250,82 @@ def q_split_ledger(spark, d):
 @register("batch_entities")
 def q_batch_entities(spark, d):
     return J.batch_entities(X.ledger(spark, d), X.scope(spark, d), "7.1140")
+
+
+# --- counterparty ---------------------------------------------------------
+
+def _cp(spark, d):
+    return X.counterparty_rows(spark, d)
+
+
+def _register_extract(key, name):
+    @register(key)
+    def q(spark, d):
+        return CP.extract(_cp(spark, d), name)
+    q.__name__ = f"q_{key}"
+    return q
+
+
+for _key, _name in [("counterparty_other_receivables", "其他应收款"),
+                    ("counterparty_other_payables", "其他应付款"),
+                    ("counterparty_payables", "应付账款"),
+                    ("counterparty_prepayments", "预付账款"),
+                    ("counterparty_other_noncurrent", "其他非流动资产"),
+                    ("counterparty_receivables", "应收账款"),
+                    ("counterparty_advances", "预收账款")]:
+    _register_extract(_key, _name)
+
+
+@register("counterparty_extract")
+def q_counterparty_extract(spark, d):
+    """All seven tables in one pass over the sheet rows, tagged by table."""
+    rows = _cp(spark, d)
+    out = None
+    for name, df in CP.extract_all(rows).items():
+        vals = [c for c in df.columns if c not in ("文件名", "row_no")]
+        t = df.select(F.lit(name).alias("table"), F.col("文件名").alias("file_name"), "row_no",
+                      F.concat_ws("|", *[F.col(f"`{c}`") for c in vals]).alias("values"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("project_positional")
+def q_project_positional(spark, d):
+    rows = CP.skip_rows(_cp(spark, d).filter(F.col("sheet") == "CF2"), 3)
+    return CP.project_positional(rows, 11, 29)
+
+
+@register("rename_positional")
+def q_rename_positional(spark, d):
+    from tallyspark.schemas import PAYABLES_HEADERS
+    rows = CP.skip_rows(_cp(spark, d).filter(F.col("sheet") == "应付账款"), 4)
+    return CP.rename_positional(rows, 0, PAYABLES_HEADERS)
+
+
+@register("drop_marker_rows")
+def q_drop_marker_rows(spark, d):
+    from tallyspark.functions.exprs import not_in
+    from tallyspark.schemas import PAYABLES_HEADERS
+    rows = CP.skip_rows(_cp(spark, d).filter(F.col("sheet") == "应付账款"), 4)
+    kept = rows.filter(not_in(CP.cell(0), ["供应商编码", "合计", "下方填写合并关联方", "下方填写非合并关联方", "下方填写其他"])
+                       & not_in(CP.cell(6), ["币种"]))
+    return CP.rename_positional(kept, 0, PAYABLES_HEADERS)
+
+
+@register("require_any")
+def q_require_any(spark, d):
+    rows = CP.skip_rows(_cp(spark, d).filter(F.col("sheet") == "CF2"), 3)
+    keep = CP.cell(12).isNotNull() & (CP.cell(13).isNotNull() | CP.cell(14).isNotNull() | CP.cell(15).isNotNull())
+    return CP.project_positional(rows.filter(keep), 11, 16)
+
+
+@register("nonzero")
+def q_nonzero(spark, d):
+    from tallyspark.functions.exprs import ne_zero_keep_null
+    rows = CP.skip_rows(_cp(spark, d), 3)
+    cf2 = rows.filter((F.col("sheet") == "CF2") & ne_zero_keep_null(CP.num(16))).select(
+        F.lit("keep_null").alias("mode"), "file_name", "row_no", CP.cell(16).alias("amount_text"))
+    ar = rows.filter((F.col("sheet") == "应收账款") & CP.cell(6).isNotNull()
+                     & ne_zero_keep_null(CP.num(6))).select(
+        F.lit("not_null").alias("mode"), "file_name", "row_no", CP.cell(6).alias("amount_text"))
+    return cf2.unionByName(ar)

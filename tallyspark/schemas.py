@@ -145,3 +145,31 @@ RATES_SCHEMA = T.StructType([
     T.StructField("sheet", T.StringType()),
     T.StructField("rate", RATE),
 ])
+
+# ---------------------------------------------------------------------------
+# Counterparty output headers, in source order (each output
+# starts with the file-name column).
+# ---------------------------------------------------------------------------
+
+OTHER_RECEIVABLES_HEADERS = [
+    "文件名", "名称", "款项性质", "期初余额", "借方发生额", "贷方发生额", "期末余额", "单项坏账",
+    "收到往来款", "支付往来款", "1年以内", "1-2年", "2-3年", "3-4年", "4-5年", "5年以上",
+    "外币金额", "币种", "账龄核对", "外币核对"]
+OTHER_PAYABLES_HEADERS = [
+    "文件名", "名称", "款项性质", "期初余额", "借方发生额", "贷方发生额", "期末余额",
+    "收到往来款", "支付往来款", "1年以内", "1-2年", "2-3年", "3年以上", "外币金额", "币种",
+    "账龄核对", "外币核对"]
+PAYABLES_HEADERS = [
+    "文件名", "供应商编码", "供应商名称", "合并关联方（是/不填）", "非合并关联方（是/不填）", "款项性质",
+    "期末余额_原币", "币种", "人民币金额", "1年以内", "1-2年", "2-3年", "3年以上", "余额合计核对",
+    "外币金额核对", "余额由外币和人民币组成对，其中人民币金额"]
+RECEIVABLES_HEADERS = [
+    "文件名", "客户编码", "客户名称", "合并关联方（是/不填）", "非合并关联方（是/不填）", "期初余额_原币",
+    "币种", "人民币金额", "1年以内", "1-2年", "2-3年", "3-4年", "4-5年", "5年以上",
+    "是否单项认定计提坏账准备", "余额合计核对", "外币金额核对", "余额由外币和人民币组成对，其中人民币金额"]
+ADVANCES_HEADERS = [
+    "文件名", "客户编码", "客户名称", "合并关联方（是/不填）", "非合并关联方（是/不填）", "期初余额_原币",
+    "币种", "人民币金额", "1年以内", "1-2年", "2-3年", "3年以上", "余额合计核对", "外币金额核对",
+    "余额由外币和人民币组成对，其中人民币金额", "税率", "合同负债", "其他流动负债"]
+SUPPLIER_CODE_LABEL = "供应商编码"
+CUSTOMER_CODE_LABEL = "客户编码"
