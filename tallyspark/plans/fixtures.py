@@ -368,3 +368,139 @@ def counterparty_rows(spark: SparkSession, d: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------
+# Financial statements per supplier (one statement file per supplier), amounts
+# from the supplier's lineitem totals; line wording is a fixed template.
+# ---------------------------------------------------------------------------
+
+# Fixed test values: balance-sheet lines (range row, asset, asset coefficients
+# on (sales, returns, quantity), liability/equity line, its coefficients).
+BALANCE_TEMPLATE = [
+    (1, "流动资产:", None, "流动负债:", None),
+    (2, "货币资金", (1, 0, 0), "短期借款", (0, 1, 0)),
+    (3, "应收账款", (0, 1, 0), "应付账款", (0, 0, 1)),
+    (4, "存货", (0, 0, 1), "应付职工薪酬", None),
+    (5, "流动资产合计", (1, 1, 1), "流动负债合计", (0, 1, 1)),
+    (6, "非流动资产:", None, "非流动负债:", None),
+    (7, " 固定资产 ", (0.5, 0, 0), "长期借款", (0.25, 0, 0)),
+    (8, "无形资产", None, "递延收益", (0, 0.5, 0)),
+    (9, "非流动资产合计", (0.5, 0, 0), "非流动负债合计", (0.25, 0.5, 0)),
+    (10, None, None, "负债合计", (0.25, 1.5, 1)),
+    (11, "资产总计", (1.5, 1, 1), "所有者权益（或股东权益）:", None),
+    (12, "其他", (0, 0, 0), "实收资本", (0, 0, 2)),
+    (13, "长期待摊费用合计", (0, 0.1, 0), "资本公积", (0.1, 0, 0)),
+    (14, "", None, "未分配利润", (0, 0.3, 0)),
+    (15, "x", None, "所有者权益（或股东权益）合计", (0.1, 0.3, 2)),
+    (16, "制表人: 张三", None, None, None),
+]
+# Income lines: (range row, item, coefficients on (sales, returns, quantity)).
+INCOME_TEMPLATE = [
+    (1, "一、营业收入", (1, 0, 0)),
+    (2, "减：营业成本", (0, 1, 0)),
+    (3, "税金及附加", None),
+    (4, "销售费用", (0, 0, 1)),
+    (5, None, (1, 1, 1)),
+    (6, "销售费用", (0.5, 0, 0)),
+    (7, " 二、营业利润 ", (1, -1, -1)),
+    (8, "制表人：", None),
+]
+# Statement-sheet rules over line keys and amount types.
+STATEMENT_RULES = [
+    ("原报表", "N8", "货币资金_流动资产", "+", "期末余额"),
+    ("原报表", "N9", "应收账款_流动资产|存货_流动资产", "+|+", "期末余额|期末余额"),
+    ("原报表", "N10", "固定资产_非流动资产", "+", "期初余额"),
+    ("原报表", "N11", "短期借款_流动负债|流动负债合计_合计", "-|+", "期末余额|期末余额"),
+    ("原报表", "N12", "长期借款_非流动负债", "+", "期末余额"),
+    ("原报表", "N13", "实收资本_所有者权益", "+", "期末余额"),
+    ("原报表", "N14", "0_一、营业收入", "+", "本期金额"),
+    ("原报表", "N15", "5_销售费用|3_销售费用", "+|+", "本年金额|本年金额"),
+    ("原报表", "N16", "不存在_流动资产", "+", "期末余额"),
+]
+
+
+def supplier_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per supplier: sales, returns and quantity as exact decimals."""
+    l = table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_returnflag", "l_quantity")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    amt = F.col("l_extendedprice").cast(MONEY)
+    t = l.groupBy("l_suppkey").agg(
+        F.sum(amt).cast(MONEY).alias("sales"),
+        F.sum(F.when(F.col("l_returnflag") == "R", amt).otherwise(F.lit(0).cast(MONEY))).cast(MONEY).alias("ret"),
+        F.sum(F.col("l_quantity").cast(MONEY)).cast(MONEY).alias("qty"))
+    return t.join(s, t.l_suppkey == s.s_suppkey).select(F.col("s_name").alias("file_name"), "sales", "ret", "qty")
+
+
+def _amount(coef, scale="1"):
+    if coef is None:
+        return F.lit(None).cast("string")
+    e = (F.col("sales") * F.lit(str(coef[0])).cast("decimal(10,4)")
+         + F.col("ret") * F.lit(str(coef[1])).cast("decimal(10,4)")
+         + F.col("qty") * F.lit(str(coef[2])).cast("decimal(10,4)"))
+    e = F.round(F.round(e, 2) * F.lit(scale).cast("decimal(10,4)"), 2).cast(MONEY)
+    return e.cast("string")
+
+
+def statement_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sheet rows of each supplier's statement file: balance sheet A4:F68 and
+    income statement A4:E79 (header rows included)."""
+    t = supplier_totals(spark, d)
+    lit = lambda v: F.lit(v).cast("string")
+    bal = [F.struct(F.lit(4).alias("row_no"),
+                    F.array(*[lit(h) for h in ["资产", "期末余额", "上年年末余额", "负债和所有者权益", "期末余额",
+                                                "上年年末余额"]]).alias("cells"))]
+    for r, asset, ac, liab, lc in BALANCE_TEMPLATE:
+        bal.append(F.struct(F.lit(4 + r).alias("row_no"),
+                            F.array(lit(asset), _amount(ac), _amount(ac, "0.9"),
+                                    lit(liab), _amount(lc), _amount(lc, "0.9")).alias("cells")))
+    inc = [F.struct(F.lit(4).alias("row_no"),
+                    F.array(*[lit(h) for h in ["项目名称", "本期金额", "本年金额", "上年金额", "上年同期金额"]]).alias("cells"))]
+    for r, item, c in INCOME_TEMPLATE:
+        inc.append(F.struct(F.lit(4 + r).alias("row_no"),
+                            F.array(lit(item), _amount(c), _amount(c, "1.1"), _amount(c, "0.8"),
+                                    _amount(c, "0.7")).alias("cells")))
+    b = t.select("file_name", F.lit("资产负债表").alias("sheet"), F.inline(F.array(*bal)))
+    i = t.select("file_name", F.lit("利润表").alias("sheet"), F.inline(F.array(*inc)))
+    return b.unionByName(i)
+
+
+def statement_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(STATEMENT_RULES, RULES_SCHEMA)
+
+
+def group_statements(spark: SparkSession, d: str):
+    """Group statement workbook: balance sheet with two panels (names with a
+    '.1' suffix on the right) and income statement, one block per company."""
+    t = supplier_totals(spark, d)
+    rows = []
+    for r, asset, ac, liab, lc in BALANCE_TEMPLATE:
+        rows.append(F.struct(F.lit(asset).cast("string").alias("项目"), F.lit(r).alias("行次"),
+                             _amount(ac).alias("期末余额"), _amount(ac, "0.9").alias("年初余额"),
+                             F.lit(liab).cast("string").alias("项目.1"), F.lit(r).alias("行次.1"),
+                             _amount(lc).alias("期末余额.1"), _amount(lc, "0.9").alias("年初余额.1")))
+    bal = t.select(F.col("file_name").alias("公司名称"), F.inline(F.array(*rows)))
+    irows = []
+    for r, item, c in INCOME_TEMPLATE:
+        irows.append(F.struct(F.lit(item).cast("string").alias("项目"), F.lit(r).alias("行次"),
+                              _amount(c).alias("本期发生额"), _amount(c, "1.1").alias("本年累计发生额"),
+                              _amount(c, "0.8").alias("上年同期累计发生额")))
+    inc = t.select(F.col("file_name").alias("公司名称"), F.inline(F.array(*irows)))
+    return bal, inc
+
+
+def group_balances_text(spark: SparkSession, d: str) -> DataFrame:
+    """Group balance export: company + layout B, amounts as text with
+    thousands commas and a trailing minus for negatives."""
+    from tallyspark.schemas import LAYOUT_B_COLUMNS
+    b = bal_b(spark, d)
+
+    def text(c):
+        v = F.col(c)
+        return F.when(v.isNull(), F.lit(None)).otherwise(
+            F.concat(F.format_number(F.abs(v), 2), F.when(v < 0, "-").otherwise("")))
+
+    out = [F.col("company").alias("公司名称")]
+    for c, h in LAYOUT_B_COLUMNS:
+        out.append((text(c) if c.startswith(("fc_", "lc_")) else F.col(c)).alias(h))
+    return b.select(*out)

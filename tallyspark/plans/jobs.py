@@ -80,3 +80,23 @@ def batch_entities(ledger: DataFrame, scope: DataFrame, average_rate) -> DataFra
     j = j.withColumn("amount", F.when(F.col("fx_flag").eqNullSafe(FX_YES), F.col("amount") * rate)
                      .otherwise(F.col("amount") * F.lit(1).cast(RATE)))
     return L.place_fixed(j, keys=["paper"])
+
+
+@dataclass
+class StatementResult:
+    cells: DataFrame      # (file_name, sheet, cell, amount)
+    long: DataFrame       # concatenated long statements
+    problems: DataFrame   # files with a missing section marker
+
+
+def statements_to_cells(rows: DataFrame, rules: DataFrame, drop_opening: bool = False) -> StatementResult:
+    """Statement sheet rows + statement-sheet rules -> cells (H2). Opening
+    rules are kept unless ``drop_opening`` (the "no opening" mode)."""
+    from tallyspark.operators import statements as ST
+    parts = RU.clean_rules(rules)
+    if drop_opening:
+        parts = RU.drop_opening_rules(parts)
+    long = ST.long_statements(rows)
+    stacked = ST.stack_panels(ST.read_balance_panels(rows))
+    return StatementResult(cells=ST.statement_cells(long, parts), long=long,
+                           problems=ST.missing_markers(stacked))

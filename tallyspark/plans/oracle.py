@@ -596,3 +596,138 @@ ORACLE["nonzero"] = with_(CP_BASE) + """
 SELECT 'keep_null' AS mode, file_name, row_no, amt AS amount_text FROM cp WHERE TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0
 UNION ALL
 SELECT 'not_null', file_name, row_no, amt FROM cp WHERE amt IS NOT NULL AND TRY_CAST(amt AS DOUBLE) IS DISTINCT FROM 0"""
+
+# ---------------------------------------------------------------------------
+# Statements (template lines x supplier totals).
+# ---------------------------------------------------------------------------
+
+
+def _coef_sql(c):
+    return "NULL, NULL, NULL" if c is None else ", ".join(str(x) for x in c)
+
+
+def _q(v):
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _stmt_ctes():
+    from tallyspark.plans.fixtures import BALANCE_TEMPLATE, INCOME_TEMPLATE
+    bt = ",\n  ".join(f"({r}, {_q(a)}, {_coef_sql(ac)}, {_q(lb)}, {_coef_sql(lc)})"
+                      for r, a, ac, lb, lc in BALANCE_TEMPLATE)
+    it = ",\n  ".join(f"({r}, {_q(i)}, {_coef_sql(c)})" for r, i, c in INCOME_TEMPLATE)
+    amt = ("CASE WHEN {p}1 IS NULL THEN NULL ELSE CAST(round(round(sales * CAST({p}1 AS DECIMAL(10,4)) + ret * CAST({p}2 AS DECIMAL(10,4))"
+           " + qty * CAST({p}3 AS DECIMAL(10,4)), 2) * CAST({s} AS DECIMAL(10,4)), 2) AS DECIMAL(18,2)) END")
+    return f"""
+st AS (
+ SELECT s.s_name AS file_name,
+  CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS sales,
+  CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(18,2)) AS ret,
+  CAST(sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS qty
+ FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_suppkey, s.s_name),
+bt AS (SELECT * FROM (VALUES
+  {bt}) v(r, asset, a1, a2, a3, liab, b1, b2, b3)),
+it AS (SELECT * FROM (VALUES
+  {it}) v(r, item, c1, c2, c3)),
+bal_lines AS (
+ SELECT st.file_name, CAST(4 + bt.r AS BIGINT) AS row_no, bt.asset, {amt.format(p='a', s='1')} AS asset_close,
+  {amt.format(p='a', s='0.9')} AS asset_open, bt.liab, {amt.format(p='b', s='1')} AS liab_close,
+  {amt.format(p='b', s='0.9')} AS liab_open
+ FROM st CROSS JOIN bt),
+inc_lines AS (
+ SELECT st.file_name, CAST(4 + it.r AS BIGINT) AS row_no, CAST(it.r - 1 AS BIGINT) AS line_idx, it.item,
+  {amt.format(p='c', s='1')} AS cur, {amt.format(p='c', s='1.1')} AS ytd,
+  {amt.format(p='c', s='0.8')} AS prior, {amt.format(p='c', s='0.7')} AS prior_ytd
+ FROM st CROSS JOIN it),
+panels AS (SELECT * FROM bal_lines WHERE asset IS NOT NULL AND NOT coalesce(contains(asset, '制表人'), false)),
+income AS (SELECT * FROM inc_lines WHERE item IS NOT NULL AND NOT coalesce(contains(item, '制表人'), false)),
+stacked AS (
+ SELECT file_name, row_no, 'assets' AS panel, trim(coalesce(asset, '')) AS item, asset_close AS close, asset_open AS open FROM panels
+ UNION ALL
+ SELECT file_name, row_no, 'liab', trim(coalesce(liab, '')), liab_close, liab_open FROM panels),
+markers AS (
+ SELECT file_name,
+  min(CASE WHEN panel = 'assets' AND contains(item, '流动资产合计') THEN row_no END) AS m_ca,
+  min(CASE WHEN panel = 'assets' AND contains(item, '非流动资产合计') THEN row_no END) AS m_nca,
+  min(CASE WHEN panel = 'liab' AND contains(item, '流动负债合计') THEN row_no END) AS m_cl,
+  min(CASE WHEN panel = 'liab' AND contains(item, '非流动负债:') THEN row_no END) AS m_ncl0,
+  min(CASE WHEN panel = 'liab' AND contains(item, '非流动负债合计') THEN row_no END) AS m_ncl,
+  min(CASE WHEN panel = 'liab' AND contains(item, '所有者权益（或股东权益）') THEN row_no END) AS m_eq0,
+  min(CASE WHEN panel = 'liab' AND contains(item, '所有者权益（或股东权益）合计') THEN row_no END) AS m_eq
+ FROM stacked GROUP BY file_name),
+sectioned AS (
+ SELECT s.file_name, s.row_no, s.panel, s.item, s.close, s.open,
+  CASE WHEN s.panel = 'assets' AND s.row_no < m.m_ca THEN '流动资产'
+       WHEN s.panel = 'assets' AND s.row_no > m.m_ca AND s.row_no < m.m_nca THEN '非流动资产'
+       WHEN s.panel = 'liab' AND s.row_no < m.m_cl THEN '流动负债'
+       WHEN s.panel = 'liab' AND s.row_no >= m.m_ncl0 AND s.row_no < m.m_ncl THEN '非流动负债'
+       WHEN s.panel = 'liab' AND s.row_no >= m.m_eq0 AND s.row_no < m.m_eq THEN '所有者权益' END AS category
+ FROM stacked s JOIN markers m ON s.file_name = m.file_name),
+lines AS (
+ SELECT file_name, row_no, panel, item, close, open, category, concat(item, '_', category) AS line_key
+ FROM sectioned WHERE category IS NOT NULL
+ UNION ALL
+ SELECT file_name, row_no, panel, item, close, open, '合计', concat(item, '_合计') FROM stacked WHERE contains(item, '合计')),
+bal_long AS (
+ SELECT file_name, row_no, item, category, line_key, '期末余额' AS amount_type, close AS amount FROM lines
+ UNION ALL
+ SELECT file_name, row_no, item, category, line_key, '期初余额', open FROM lines),
+inc_long AS (
+ SELECT file_name, row_no, trim(item) AS item, '损益' AS category, concat(CAST(line_idx AS VARCHAR), '_', trim(item)) AS line_key,
+  t.amount_type, t.amount
+ FROM income CROSS JOIN LATERAL (VALUES ('本期金额', cur), ('本年金额', ytd), ('上年金额', prior), ('上年同期金额', prior_ytd)) t(amount_type, amount)),
+stmt_long AS (
+ SELECT item, category, amount_type, amount, line_key, file_name, row_no, '资产负债表' AS statement FROM bal_long
+ UNION ALL
+ SELECT item, category, amount_type, amount, line_key, file_name, row_no, '利润表' FROM inc_long)"""
+
+
+def _stmt_rules_cte():
+    from tallyspark.plans.fixtures import STATEMENT_RULES
+    vals = ",\n  ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in STATEMENT_RULES)
+    return f"""
+rules AS (SELECT * FROM (VALUES
+  {vals}) v(sheet, cell, accts, ops, items))"""
+
+
+STMT = with_(_stmt_ctes())
+
+ORACLE["read_statement_ranges"] = STMT + """
+SELECT file_name, row_no, asset, CAST(asset_close AS VARCHAR) AS asset_close, CAST(asset_open AS VARCHAR) AS asset_open,
+ liab, CAST(liab_close AS VARCHAR) AS liab_close, CAST(liab_open AS VARCHAR) AS liab_open FROM panels"""
+
+ORACLE["drop_contains"] = STMT + """
+SELECT file_name, row_no, line_idx, item, CAST(cur AS VARCHAR) AS cur, CAST(ytd AS VARCHAR) AS ytd,
+ CAST(prior AS VARCHAR) AS prior, CAST(prior_ytd AS VARCHAR) AS prior_ytd FROM income"""
+
+ORACLE["stack_panels"] = STMT + """
+SELECT file_name, row_no, panel, item, CAST(close AS DOUBLE) AS close, CAST(open AS DOUBLE) AS open FROM stacked"""
+
+ORACLE["strip_text"] = STMT + "SELECT file_name, row_no, panel, item FROM stacked"
+
+ORACLE["section_lines"] = STMT + """
+SELECT file_name, row_no, panel, item, CAST(close AS DOUBLE) AS close, CAST(open AS DOUBLE) AS open, category, line_key
+FROM lines"""
+
+ORACLE["melt_balance_sheet"] = STMT + """
+SELECT file_name, row_no, item, category, line_key, CAST(amount AS DOUBLE) AS amount, amount_type FROM bal_long"""
+
+ORACLE["melt_income"] = STMT + """
+SELECT file_name, row_no, item, category, line_key, CAST(amount AS DOUBLE) AS amount, amount_type FROM inc_long"""
+
+ORACLE["concat_statements"] = STMT + """
+SELECT item, category, amount_type, CAST(amount AS DOUBLE) AS amount, line_key, file_name, row_no, statement FROM stmt_long"""
+
+ORACLE["line_keys"] = STMT + "SELECT DISTINCT file_name, statement, line_key FROM stmt_long"
+
+ORACLE["tag_literals"] = STMT + "SELECT DISTINCT file_name, row_no, line_key, category, statement FROM stmt_long"
+
+_STMT_CELLS = with_(_stmt_ctes(), _stmt_rules_cte(), PARTS_RAW, PARTS_SIGNED)[:-1] + """
+, files AS (SELECT DISTINCT file_name FROM stmt_long)
+, per_file AS (SELECT f.file_name, p.* FROM files f CROSS JOIN (SELECT * FROM parts_signed WHERE sheet = '原报表') p)
+SELECT a.file_name, a.sheet, a.cell, CAST(coalesce(round(sum(b.amount * a.sign), 2), 0) AS DOUBLE) AS amount
+FROM per_file a LEFT JOIN stmt_long b
+ ON a.file_name = b.file_name AND a.acct_code = b.line_key AND a.item = b.amount_type
+GROUP BY a.file_name, a.sheet, a.cell"""
+
+ORACLE["statement_cells"] = _STMT_CELLS
+ORACLE["statements_to_cells"] = _STMT_CELLS

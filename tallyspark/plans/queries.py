@@ -11,6 +11,7 @@ from tallyspark.operators import counterparty as CP
 from tallyspark.operators import ledger as L
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
+from tallyspark.operators import statements as ST
 from tallyspark.plans import fixtures as X
 from tallyspark.plans import jobs as J
 from tallyspark.plans.catalog import register
@@ -329,3 +330,71 @@ def q_nonzero(spark, d):
                      & ne_zero_keep_null(CP.num(6))).select(
         F.lit("not_null").alias("mode"), "file_name", "row_no", CP.cell(6).alias("amount_text"))
     return cf2.unionByName(ar)
+
+
+# --- statements -----------------------------------------------------------
+
+def _stmt_rows(spark, d):
+    return X.statement_rows(spark, d)
+
+
+@register("read_statement_ranges")
+def q_read_statement_ranges(spark, d):
+    return ST.read_balance_panels(_stmt_rows(spark, d))
+
+
+@register("drop_contains")
+def q_drop_contains(spark, d):
+    return ST.read_income(_stmt_rows(spark, d))
+
+
+@register("stack_panels")
+def q_stack_panels(spark, d):
+    return ST.stack_panels(ST.read_balance_panels(_stmt_rows(spark, d)))
+
+
+@register("strip_text")
+def q_strip_text(spark, d):
+    return ST.stack_panels(ST.read_balance_panels(_stmt_rows(spark, d))).select("file_name", "row_no", "panel", "item")
+
+
+@register("section_lines")
+def q_section_lines(spark, d):
+    return ST.section_lines(ST.stack_panels(ST.read_balance_panels(_stmt_rows(spark, d))))
+
+
+@register("melt_balance_sheet")
+def q_melt_balance(spark, d):
+    return ST.melt_balance_sheet(ST.section_lines(ST.stack_panels(ST.read_balance_panels(_stmt_rows(spark, d)))))
+
+
+@register("melt_income")
+def q_melt_income(spark, d):
+    return ST.melt_income(ST.read_income(_stmt_rows(spark, d)))
+
+
+@register("concat_statements")
+def q_concat_statements(spark, d):
+    return ST.long_statements(_stmt_rows(spark, d))
+
+
+@register("line_keys")
+def q_line_keys(spark, d):
+    return ST.long_statements(_stmt_rows(spark, d)).select("file_name", "statement", "line_key").distinct()
+
+
+@register("tag_literals")
+def q_tag_literals(spark, d):
+    return ST.long_statements(_stmt_rows(spark, d)).select("file_name", "row_no", "line_key", "category",
+                                                             "statement").distinct()
+
+
+@register("statement_cells")
+def q_statement_cells(spark, d):
+    parts = RU.clean_rules(X.statement_rules(spark))
+    return ST.statement_cells(ST.long_statements(_stmt_rows(spark, d)), parts)
+
+
+@register("statements_to_cells")
+def q_statements_to_cells(spark, d):
+    return J.statements_to_cells(_stmt_rows(spark, d), X.statement_rules(spark)).cells
