@@ -504,3 +504,89 @@ def group_balances_text(spark: SparkSession, d: str) -> DataFrame:
     for c, h in LAYOUT_B_COLUMNS:
         out.append((text(c) if c.startswith(("fc_", "lc_")) else F.col(c)).alias(h))
     return b.select(*out)
+
+
+# ---------------------------------------------------------------------------
+# Working papers per company (expense sheets), templates and cell updates.
+# ---------------------------------------------------------------------------
+
+EXPENSE_HEADER_ROWS = {"销售费用": 1, "管理费用": 67, "研发费用": 137}
+YOY_HEADER_ROWS = {"销售费用": 93, "管理费用": 126, "研发费用": 159}
+YOY_SLOTS = 30  # lines per year-on-year block in the paper template
+
+
+def paper_file(name_col, region_col):
+    """Paper file name per company; some names carry the fragments that the
+    file-name rules exclude."""
+    return (F.when(F.col(region_col) == 4, F.concat(F.col(name_col), F.lit("公司小合并2024")))
+            .when(F.col(region_col) == 3, F.concat(F.col(name_col), F.lit("公司日志")))
+            .otherwise(F.concat(F.col(name_col), F.lit("公司2024"))))
+
+
+def paper_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Expense sheets ('8_费用' audited lines, '8' year-on-year lines) of each
+    company's working paper, filled from the ledger summary."""
+    from tallyspark.operators import ledger as L
+    from pyspark.sql.window import Window
+    summ = L.expense_summary(L.parse_ledger(ledger(spark, d)))
+    n = table(spark, d, "nation").select("n_name", "n_regionkey")
+    w = Window.partitionBy("company", "func_area").orderBy("gl_text")  # bounded: one row per GL text
+    lines = (summ.withColumn("rn", F.row_number().over(w))
+             .join(F.broadcast(n), F.col("company") == F.col("n_name"))
+             .withColumn("file_name", paper_file("n_name", "n_regionkey")))
+    hdr_exp = F.create_map(*[x for a, r in EXPENSE_HEADER_ROWS.items() for x in (F.lit(a), F.lit(r))])
+    hdr_yoy = F.create_map(*[x for a, r in YOY_HEADER_ROWS.items() for x in (F.lit(a), F.lit(r))])
+    amt = F.col("amount").cast("string")
+    exp = lines.select(
+        "file_name", F.lit("8_费用").alias("sheet"), (hdr_exp[F.col("func_area")] + F.col("rn")).cast("int").alias("row_no"),
+        F.array(F.col("func_area"), F.concat(F.lit("66"), F.lpad(F.col("rn").cast("string"), 2, "0")),
+                F.col("gl_text"), F.col("func_area"),
+                F.when(F.col("rn") % 7 == 0, F.lit(None)).otherwise(amt), F.lit(None).cast("string"),
+                F.lit("0.00")).alias("cells"))
+    prior = F.round(F.col("amount") * F.lit("0.9").cast("decimal(10,4)"), 2).cast(MONEY).cast("string")
+    yoy = lines.filter(F.col("rn") <= YOY_SLOTS).select(
+        "file_name", F.lit("8").alias("sheet"), (hdr_yoy[F.col("func_area")] + F.col("rn")).cast("int").alias("row_no"),
+        F.array(F.col("gl_text"), amt, prior).alias("cells"))
+    files = lines.select("file_name").distinct()
+    exp_hdr = F.array(*[F.lit(x) for x in ["类别", "科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]])
+    yoy_hdr = F.array(*[F.lit(x) for x in ["项目", "本期发生额", "上期发生额"]])
+    heads = files.select("file_name", F.inline(F.array(
+        *[F.struct(F.lit("8_费用").alias("sheet"), F.lit(r).alias("row_no"), exp_hdr.alias("cells"))
+          for r in EXPENSE_HEADER_ROWS.values()],
+        *[F.struct(F.lit("8").alias("sheet"), F.lit(r).alias("row_no"), yoy_hdr.alias("cells"))
+          for r in YOY_HEADER_ROWS.values()])))
+    return exp.unionByName(yoy).unionByName(heads.select("file_name", "sheet", F.col("row_no").cast("int"), "cells"))
+
+
+# Fixed test template: the audited-table sheet of the expense template workbook.
+AUDIT_TEMPLATE = [
+    (1, 0, "审定表"), (2, 0, "被审计单位"), (8, 0, "公司"), (8, 1, "科目编码"), (8, 2, "底稿科目"),
+    (8, 3, "附注分类"), (8, 4, "本期未审"), (8, 5, "重分类调整"), (8, 6, "审计调整"),
+    (10, 0, "样式行"), (11, 0, "合计"), (12, 0, "编制人"),
+]
+
+
+def audit_template(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(AUDIT_TEMPLATE, "row_no int, col_no int, value string")
+
+
+def paper_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Cell updates for the papers: the ledger lines placed at the fixed
+    starts (seq 1), plus a later duplicate and a null overwrite (seq 2)."""
+    from tallyspark.operators import ledger as L
+    placed = L.place_fixed(L.expense_summary(L.parse_ledger(ledger(spark, d))))
+    n = table(spark, d, "nation").select("n_name", "n_regionkey")
+    p = placed.join(F.broadcast(n), F.col("company") == F.col("n_name"))
+    from tallyspark.functions.exprs import cell_ref_col, cell_ref_row
+    base = p.select(paper_file("n_name", "n_regionkey").alias("file_name"), "sheet",
+                    cell_ref_row("cell").alias("row_no"), cell_ref_col("cell").alias("col_no"),
+                    F.coalesce(F.col("text"), F.col("amount").cast("string")).alias("value"),
+                    F.lit(1).alias("seq"))
+    files = base.select("file_name").distinct()
+    extra = files.select("file_name", F.inline(F.array(
+        F.struct(F.lit("8_费用").alias("sheet"), F.lit(2).alias("row_no"), F.lit(2).alias("col_no"),
+                 F.lit("改写").alias("value"), F.lit(2).alias("seq")),
+        F.struct(F.lit("8_费用").alias("sheet"), F.lit(3).alias("row_no"), F.lit(6).alias("col_no"),
+                 F.lit(None).cast("string").alias("value"), F.lit(2).alias("seq")))))
+    return base.unionByName(extra.select("file_name", "sheet", F.col("row_no").cast("int"),
+                                         F.col("col_no").cast("int"), "value", F.col("seq").cast("int")))

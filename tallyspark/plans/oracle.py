@@ -731,3 +731,195 @@ GROUP BY a.file_name, a.sheet, a.cell"""
 
 ORACLE["statement_cells"] = _STMT_CELLS
 ORACLE["statements_to_cells"] = _STMT_CELLS
+
+# ---------------------------------------------------------------------------
+# Working papers (expense sheets filled from the ledger summary).
+# ---------------------------------------------------------------------------
+
+PAPERS = """
+plines AS (
+ SELECT s.*, row_number() OVER (PARTITION BY s.company, s.func_area ORDER BY s.gl_text) AS rn,
+  CASE WHEN n.n_regionkey = 4 THEN concat(n.n_name, '公司小合并2024') WHEN n.n_regionkey = 3 THEN concat(n.n_name, '公司日志')
+       ELSE concat(n.n_name, '公司2024') END AS file_name
+ FROM summary s JOIN nation n ON s.company = n.n_name),
+exp_rows AS (
+ SELECT file_name, CAST(CASE func_area WHEN '销售费用' THEN 1 WHEN '管理费用' THEN 67 ELSE 137 END + rn AS BIGINT) AS row_no,
+  func_area AS a, concat('66', lpad(CAST(rn AS VARCHAR), 2, '0')) AS b, gl_text AS c, func_area AS d,
+  CASE WHEN rn % 7 = 0 THEN NULL ELSE CAST(amount AS VARCHAR) END AS e, CAST(NULL AS VARCHAR) AS f, '0.00' AS g
+ FROM plines),
+yoy_rows AS (
+ SELECT file_name, CAST(CASE func_area WHEN '销售费用' THEN 93 WHEN '管理费用' THEN 126 ELSE 159 END + rn AS BIGINT) AS row_no,
+  gl_text AS a, CAST(amount AS VARCHAR) AS b,
+  CAST(CAST(round(amount * CAST(0.9 AS DECIMAL(10,4)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS c
+ FROM plines WHERE rn <= 30),
+pfiles AS (SELECT DISTINCT file_name FROM plines),
+paper_cells AS (
+ SELECT file_name, '8_费用' AS sheet, row_no, CAST(t.col_no AS BIGINT) AS col_no, t.value
+ FROM exp_rows CROSS JOIN LATERAL (VALUES (0, a), (1, b), (2, c), (3, d), (4, e), (5, f), (6, g)) t(col_no, value)
+ WHERE t.value IS NOT NULL
+ UNION ALL
+ SELECT file_name, '8', row_no, CAST(t.col_no AS BIGINT), t.value
+ FROM yoy_rows CROSS JOIN LATERAL (VALUES (0, a), (1, b), (2, c)) t(col_no, value)
+ WHERE t.value IS NOT NULL
+ UNION ALL
+ SELECT f.file_name, '8_费用', CAST(h.r AS BIGINT), CAST(t.col_no AS BIGINT), t.value
+ FROM pfiles f CROSS JOIN (VALUES (1), (67), (137)) h(r)
+ CROSS JOIN (VALUES (0, '类别'), (1, '科目编码'), (2, '底稿科目'), (3, '附注分类'), (4, '本期未审'), (5, '重分类调整'),
+  (6, '审计调整')) t(col_no, value)
+ UNION ALL
+ SELECT f.file_name, '8', CAST(h.r AS BIGINT), CAST(t.col_no AS BIGINT), t.value
+ FROM pfiles f CROSS JOIN (VALUES (93), (126), (159)) h(r)
+ CROSS JOIN (VALUES (0, '项目'), (1, '本期发生额'), (2, '上期发生额')) t(col_no, value)),
+good_files AS (
+ SELECT file_name FROM pfiles
+ WHERE contains(file_name, '公司') AND NOT contains(file_name, '日志') AND NOT contains(file_name, '~$')
+   AND NOT contains(file_name, '小合并'))"""
+
+PAP = with_(TB, LEDGER, PAPERS)
+
+ORACLE["filter_files"] = PAP + "SELECT file_name FROM good_files"
+
+_EXP_COLS = """b AS "科目编码", c AS "底稿科目", d AS "附注分类", e AS "本期未审", f AS "重分类调整", g AS "审计调整\""""
+
+ORACLE["read_range"] = PAP + f"""
+SELECT file_name AS "文件名", row_no, {_EXP_COLS}
+FROM exp_rows WHERE file_name IN (SELECT file_name FROM good_files) AND row_no BETWEEN 2 AND 61"""
+
+_AUDITED = f"""
+, audited AS (
+ SELECT file_name AS "公司", row_no, {_EXP_COLS},
+  CASE WHEN row_no BETWEEN 2 AND 61 THEN '审定表_销售费用' WHEN row_no BETWEEN 68 AND 131 THEN '审定表_管理费用'
+       WHEN row_no BETWEEN 138 AND 201 THEN '审定表_研发费用' END AS "table"
+ FROM exp_rows
+ WHERE file_name IN (SELECT file_name FROM good_files) AND e IS NOT NULL
+   AND (row_no BETWEEN 2 AND 61 OR row_no BETWEEN 68 AND 131 OR row_no BETWEEN 138 AND 201))
+"""
+
+ORACLE["expense_papers_audited"] = PAP[:-1] + _AUDITED + "SELECT * FROM audited"
+
+ORACLE["expense_papers_yoy"] = PAP + """
+SELECT file_name AS "公司", row_no, a AS "项目", b AS "本期发生额", c AS "上期发生额",
+ CASE WHEN row_no BETWEEN 94 AND 123 THEN '同期比较_销售费用' WHEN row_no BETWEEN 127 AND 156 THEN '同期比较_管理费用'
+      ELSE '同期比较_研发费用' END AS "table"
+FROM yoy_rows WHERE file_name IN (SELECT file_name FROM good_files)
+ AND (row_no BETWEEN 94 AND 123 OR row_no BETWEEN 127 AND 156 OR row_no BETWEEN 160 AND 189)"""
+
+ORACLE["range_export"] = PAP + """
+SELECT file_name AS "文件名", row_no, a AS "项目", b AS "本期发生额", c AS "上期发生额"
+FROM yoy_rows WHERE NOT contains(file_name, '合并') AND NOT contains(file_name, '日志') AND NOT contains(file_name, '~$')
+ AND row_no BETWEEN 94 AND 123"""
+
+ORACLE["stack_by_name"] = PAP + f"""
+SELECT file_name AS "文件名", row_no, {_EXP_COLS}, CAST(NULL AS VARCHAR) AS "项目", CAST(NULL AS VARCHAR) AS "本期发生额",
+ CAST(NULL AS VARCHAR) AS "上期发生额"
+FROM exp_rows WHERE file_name IN (SELECT file_name FROM good_files) AND row_no BETWEEN 2 AND 61
+UNION ALL
+SELECT file_name, row_no, NULL, NULL, NULL, NULL, NULL, NULL, a, b, c
+FROM yoy_rows WHERE file_name IN (SELECT file_name FROM good_files) AND row_no BETWEEN 94 AND 123"""
+
+_TEMPLATE_VALUES = """(VALUES (1, 0, '审定表'), (2, 0, '被审计单位'), (8, 0, '公司'), (8, 1, '科目编码'), (8, 2, '底稿科目'),
+  (8, 3, '附注分类'), (8, 4, '本期未审'), (8, 5, '重分类调整'), (8, 6, '审计调整'), (10, 0, '样式行'), (11, 0, '合计'),
+  (12, 0, '编制人')) v(row_no, col_no, value)"""
+
+
+def _appended(table: str) -> str:
+    return f"""
+SELECT '{table}' AS sheet, row_no, col_no, value FROM (
+ SELECT CAST(CASE WHEN v.row_no >= 10 THEN v.row_no + (SELECT count(*) FROM audited WHERE "table" = '{table}') ELSE v.row_no END AS BIGINT) AS row_no,
+  CAST(v.col_no AS BIGINT) AS col_no, v.value
+ FROM {_TEMPLATE_VALUES}
+ WHERE NOT EXISTS (SELECT 1 FROM audited WHERE "table" = '{table}') OR v.row_no <> 9
+ UNION ALL
+ SELECT CAST(9 + p.pos AS BIGINT), CAST(t.col_off AS BIGINT), t.value
+ FROM (SELECT *, row_number() OVER (ORDER BY "公司", row_no) - 1 AS pos FROM audited WHERE "table" = '{table}') p
+ CROSS JOIN LATERAL (VALUES (0, "公司"), (1, "科目编码"), (2, "底稿科目"), (3, "附注分类"), (4, "本期未审"),
+  (5, "重分类调整"), (6, "审计调整")) t(col_off, value)) x"""
+
+
+ORACLE["append_block"] = PAP[:-1] + _AUDITED + _appended("审定表_销售费用")
+ORACLE["expense_papers"] = PAP[:-1] + _AUDITED + "\nUNION ALL\n".join(
+    _appended(t) for t in ["审定表_销售费用", "审定表_管理费用", "审定表_研发费用"])
+
+ORACLE["apply_cell_updates"] = PAP[:-1] + """
+, placed AS (
+ SELECT file_name, '8_费用' AS sheet, CASE func_area WHEN '销售费用' THEN 2 WHEN '管理费用' THEN 168 ELSE 348 END + rn - 1 AS row_no,
+  gl_text AS text, CAST(amount AS VARCHAR) AS amount_text FROM plines)
+, updates AS (
+ SELECT file_name, sheet, CAST(row_no AS BIGINT) AS row_no, CAST(2 AS BIGINT) AS col_no, text AS value, 1 AS seq FROM placed
+ UNION ALL
+ SELECT file_name, sheet, CAST(row_no AS BIGINT), CAST(4 AS BIGINT), amount_text, 1 FROM placed
+ UNION ALL
+ SELECT file_name, '8_费用', CAST(2 AS BIGINT), CAST(2 AS BIGINT), '改写', 2 FROM pfiles
+ UNION ALL
+ SELECT file_name, '8_费用', CAST(3 AS BIGINT), CAST(6 AS BIGINT), NULL, 2 FROM pfiles)
+, latest AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_name, sheet, row_no, col_no ORDER BY seq DESC) AS k
+  FROM updates) t WHERE k = 1)
+SELECT coalesce(e.file_name, u.file_name) AS file_name, coalesce(e.sheet, u.sheet) AS sheet,
+ coalesce(e.row_no, u.row_no) AS row_no, coalesce(e.col_no, u.col_no) AS col_no,
+ CASE WHEN u.file_name IS NOT NULL THEN u.value ELSE e.value END AS value
+FROM paper_cells e FULL OUTER JOIN latest u
+ ON e.file_name = u.file_name AND e.sheet = u.sheet AND e.row_no = u.row_no AND e.col_no = u.col_no"""
+
+_BLOCK = """
+, rect AS (
+ SELECT CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no
+ FROM (SELECT unnest(generate_series(2, 58)) AS r UNION ALL SELECT unnest(generate_series(68, 113))) rr
+ CROSS JOIN (SELECT unnest(generate_series(1, 3)) AS c) cc)
+, block AS (
+ SELECT r.row_no, r.col_no, CASE WHEN p.value IS NOT NULL THEN concat('''', p.value) END AS value
+ FROM rect r LEFT JOIN (SELECT * FROM paper_cells WHERE file_name = 'NATION_0公司2024' AND sheet = '8_费用') p
+  ON r.row_no = p.row_no AND r.col_no = p.col_no)
+"""
+
+ORACLE["as_text_label"] = PAP[:-1] + _BLOCK + "SELECT '8_费用' AS sheet, row_no, col_no, value FROM block"
+
+ORACLE["overlay_block"] = PAP[:-1] + _BLOCK + """
+, upd AS (SELECT g.file_name, '8_费用' AS sheet, b.row_no, b.col_no, b.value FROM good_files g CROSS JOIN block b)
+SELECT coalesce(e.file_name, u.file_name) AS file_name, coalesce(e.sheet, u.sheet) AS sheet,
+ coalesce(e.row_no, u.row_no) AS row_no, coalesce(e.col_no, u.col_no) AS col_no,
+ CASE WHEN u.file_name IS NOT NULL THEN u.value ELSE e.value END AS value
+FROM paper_cells e FULL OUTER JOIN upd u
+ ON e.file_name = u.file_name AND e.sheet = u.sheet AND e.row_no = u.row_no AND e.col_no = u.col_no"""
+
+# Layout-A export rows read back generically.
+ROWS_A_CELLS = """
+a_cells AS (
+ UNPIVOT (SELECT company AS file_name, acct_code AS "账户代码", acct_name AS "账户名称", open_dir AS "期初余额_方向",
+   CAST(opening AS VARCHAR) AS "期初余额_金额", CAST(open_debit AS VARCHAR) AS "期初余额_借方金额",
+   CAST(open_credit AS VARCHAR) AS "期初余额_贷方金额", CAST(period_debit AS VARCHAR) AS "期间发生额_借方金额",
+   CAST(period_credit AS VARCHAR) AS "期间发生额_贷方金额", CAST(ytd_debit AS VARCHAR) AS "累计发生额_借方金额",
+   CAST(ytd_credit AS VARCHAR) AS "累计发生额_贷方金额", close_dir AS "期末余额_方向", CAST(closing AS VARCHAR) AS "期末余额_金额",
+   CAST(close_debit AS VARCHAR) AS "期末余额_借方金额", CAST(close_credit AS VARCHAR) AS "期末余额_贷方金额",
+   CAST(5 + ((CASE left(acct_code,1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '4' THEN 2 WHEN '5' THEN 3 ELSE 4 END) * 5
+          + CAST(substr(acct_code, 4, 1) AS INT) - 1) * 5
+          + CASE WHEN length(acct_code) = 6 THEN CAST(substr(acct_code, 6, 1) AS INT) ELSE 0 END AS BIGINT) AS row_no
+  FROM bal_a)
+ ON "账户代码", "账户名称", "期初余额_方向", "期初余额_金额", "期初余额_借方金额", "期初余额_贷方金额", "期间发生额_借方金额",
+    "期间发生额_贷方金额", "累计发生额_借方金额", "累计发生额_贷方金额", "期末余额_方向", "期末余额_金额", "期末余额_借方金额",
+    "期末余额_贷方金额"
+ INTO NAME col_name VALUE value)"""
+
+ORACLE["auto_header"] = with_(TB, BAL_A, ROWS_A_CELLS) + """
+SELECT file_name, 'Sheet1' AS sheet, row_no, col_name, value FROM a_cells
+UNION ALL
+SELECT DISTINCT company, 'Sheet1', CAST(300 AS BIGINT), '账户代码', '合计' FROM tb
+UNION ALL
+SELECT 'MULTI', 'Sheet1', CAST(5 AS BIGINT), 'x', '1001'
+UNION ALL
+SELECT 'MULTI', 'Sheet1', CAST(5 AS BIGINT), NULL, 'y'"""
+
+ORACLE["read_used_range"] = with_(TB) + """
+SELECT DISTINCT company AS file_name, 'Sheet1' AS sheet, CAST(1 AS BIGINT) AS first_row, CAST(300 AS BIGINT) AS last_row,
+ CAST(14 AS BIGINT) AS n_cols FROM tb
+UNION ALL SELECT 'MULTI', 'Sheet1', 1, 5, 2
+UNION ALL SELECT 'MULTI', 'Sheet2', 1, 1, 1"""
+
+ORACLE["scan_many"] = with_(TB, BAL_A) + """
+SELECT company, acct_code, acct_name, open_dir, CAST(opening AS DOUBLE) AS opening,
+ CAST(open_debit AS DOUBLE) AS open_debit, CAST(open_credit AS DOUBLE) AS open_credit,
+ CAST(period_debit AS DOUBLE) AS period_debit, CAST(period_credit AS DOUBLE) AS period_credit,
+ CAST(ytd_debit AS DOUBLE) AS ytd_debit, CAST(ytd_credit AS DOUBLE) AS ytd_credit, close_dir,
+ CAST(closing AS DOUBLE) AS closing, CAST(close_debit AS DOUBLE) AS close_debit, CAST(close_credit AS DOUBLE) AS close_credit,
+ company AS file_path
+FROM bal_a"""

@@ -9,6 +9,7 @@ from tallyspark.operators import balances as B
 from tallyspark.operators import cells as C
 from tallyspark.operators import counterparty as CP
 from tallyspark.operators import ledger as L
+from tallyspark.operators import papers as P
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
 from tallyspark.operators import statements as ST
@@ -398,3 +399,129 @@ def q_statement_cells(spark, d):
 @register("statements_to_cells")
 def q_statements_to_cells(spark, d):
     return J.statements_to_cells(_stmt_rows(spark, d), X.statement_rules(spark)).cells
+
+
+# --- working papers -------------------------------------------------------
+
+EXP_NAMES = ["科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]
+YOY_NAMES = ["项目", "本期发生额", "上期发生额"]
+AUDIT_RANGES = [("审定表_销售费用", "B1", "G61"), ("审定表_管理费用", "B67", "G131"), ("审定表_研发费用", "B137", "G201")]
+YOY_RANGES = [("同期比较_销售费用", "A93", "C123"), ("同期比较_管理费用", "A126", "C156"),
+              ("同期比较_研发费用", "A159", "C189")]
+PAPER_RULE = dict(must=["公司"], must_not=["日志", "~$", "小合并"])
+EXTRACT_RULE = dict(must_not=["合并", "日志", "~$"])
+
+
+def _papers(spark, d, rule=None):
+    rows = X.paper_rows(spark, d)
+    files = P.filter_files(rows.select("file_name").distinct(), **(rule or PAPER_RULE))
+    return rows.join(files, "file_name", "left_semi")
+
+
+@register("filter_files")
+def q_filter_files(spark, d):
+    return P.filter_files(X.paper_rows(spark, d).select("file_name").distinct(), **PAPER_RULE)
+
+
+@register("read_range")
+def q_read_range(spark, d):
+    return P.read_range(_papers(spark, d), "8_费用", "B1", "G61", names=EXP_NAMES)
+
+
+def _audited(spark, d):
+    rows = _papers(spark, d)
+    out = None
+    for name, a, b in AUDIT_RANGES:
+        t = (P.read_range(rows, "8_费用", a, b, names=EXP_NAMES, file_col="公司")
+             .filter(F.col("本期未审").isNotNull()).withColumn("table", F.lit(name)))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("expense_papers_audited")
+def q_expense_audited(spark, d):
+    return _audited(spark, d)
+
+
+@register("expense_papers_yoy")
+def q_expense_yoy(spark, d):
+    rows = _papers(spark, d)
+    out = None
+    for name, a, b in YOY_RANGES:
+        t = P.read_range(rows, "8", a, b, names=YOY_NAMES, file_col="公司").withColumn("table", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("range_export")
+def q_range_export(spark, d):
+    return P.read_range(_papers(spark, d, EXTRACT_RULE), "8", "A93", "C123", names=YOY_NAMES)
+
+
+@register("stack_by_name")
+def q_stack_by_name(spark, d):
+    rows = _papers(spark, d)
+    a = P.read_range(rows, "8_费用", "B1", "G61", names=EXP_NAMES)
+    b = P.read_range(rows, "8", "A93", "C123", names=YOY_NAMES)
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+def _block_cells(audited):
+    cols = ["公司"] + EXP_NAMES
+    pos = P.block_positions(audited, ("公司", "row_no"))
+    return pos.select("pos", F.inline(F.array(*[F.struct(F.lit(i).alias("col_off"), F.col(c).alias("value"))
+                                                for i, c in enumerate(cols)])))
+
+
+@register("append_block")
+def q_append_block(spark, d):
+    audited = _audited(spark, d).filter(F.col("table") == "审定表_销售费用").drop("table")
+    tmpl = X.audit_template(spark)
+    return P.append_block(tmpl, _block_cells(audited), "A9", "审定表_销售费用")
+
+
+@register("expense_papers")
+def q_expense_papers(spark, d):
+    """The three audited tables pasted into copies of the template sheet."""
+    audited = _audited(spark, d)
+    tmpl = X.audit_template(spark)
+    out = None
+    for name, _, _ in AUDIT_RANGES:
+        t = P.append_block(tmpl, _block_cells(audited.filter(F.col("table") == name).drop("table")), "A9", name)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("auto_header")
+def q_auto_header(spark, d):
+    return P.auto_header(X.rows_a(spark, d))
+
+
+@register("read_used_range")
+def q_used_range(spark, d):
+    return P.used_range(X.rows_a(spark, d))
+
+
+@register("scan_many")
+def q_scan_many(spark, d):
+    return B.read_balance_a(X.rows_a(spark, d), record_path=True)
+
+
+@register("apply_cell_updates")
+def q_apply_cell_updates(spark, d):
+    return P.apply_cell_updates(P.to_cells(X.paper_rows(spark, d)), X.paper_updates(spark, d))
+
+
+OVERLAY_RANGES = [("B2", "D58"), ("B68", "D113")]
+
+
+@register("overlay_block")
+def q_overlay_block(spark, d):
+    rows = X.paper_rows(spark, d)
+    papers = _papers(spark, d).select("file_name").distinct()
+    return P.overlay_block(P.to_cells(rows), rows, "NATION_0公司2024", "8_费用", OVERLAY_RANGES, papers)
+
+
+@register("as_text_label")
+def q_as_text_label(spark, d):
+    return P.template_block(X.paper_rows(spark, d), "NATION_0公司2024", "8_费用", OVERLAY_RANGES)
