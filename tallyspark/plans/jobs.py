@@ -100,3 +100,18 @@ def statements_to_cells(rows: DataFrame, rules: DataFrame, drop_opening: bool =
     stacked = ST.stack_panels(ST.read_balance_panels(rows))
     return StatementResult(cells=ST.statement_cells(long, parts), long=long,
                            problems=ST.missing_markers(stacked))
+
+
+def report_to_cells(group_balance: DataFrame, group_income: DataFrame, **kw) -> DataFrame:
+    """Group statements -> per-company split -> placed statement cells (H7)."""
+    from tallyspark.operators import group as G
+    b, i = G.split_statements(group_balance, group_income)
+    return G.place_statement(b, i, **kw)
+
+
+def pair_files(cells: DataFrame, relation: DataFrame) -> DataFrame:
+    """Attach each company's cells to its paper through the relation table
+    (balance file <-> paper): the index-paired loop becomes a join (D6).
+    The relation is config-sized and broadcast after a size check."""
+    rel = broadcast_if_small(relation.select("company", L.paper_name("serial", "company").alias("paper")))
+    return cells.join(rel, "company").select("paper", "company", "sheet", "cell", "amount")

@@ -923,3 +923,64 @@ SELECT company, acct_code, acct_name, open_dir, CAST(opening AS DOUBLE) AS openi
  CAST(closing AS DOUBLE) AS closing, CAST(close_debit AS DOUBLE) AS close_debit, CAST(close_credit AS DOUBLE) AS close_credit,
  company AS file_path
 FROM bal_a"""
+
+# ---------------------------------------------------------------------------
+# Group workbook splits and statement placement.
+# ---------------------------------------------------------------------------
+
+_GROUP = """
+, gbal AS (
+ SELECT file_name AS company, asset AS "项目", CAST(row_no - 4 AS BIGINT) AS "行次", asset_close AS "期末余额",
+  asset_open AS "年初余额", liab AS "项目_2", CAST(row_no - 4 AS BIGINT) AS "行次_2", liab_close AS "期末余额_2",
+  liab_open AS "年初余额_2" FROM bal_lines)
+, ginc AS (
+ SELECT file_name AS company, item AS "项目", CAST(row_no - 4 AS BIGINT) AS "行次", cur AS "本期发生额",
+  ytd AS "本年累计发生额" FROM inc_lines)
+"""
+
+ORACLE["split_statements"] = STMT[:-1] + _GROUP + """
+SELECT company, "项目", "行次", CAST("期末余额" AS DOUBLE) AS "期末余额", CAST("年初余额" AS DOUBLE) AS "年初余额",
+ "项目_2", "行次_2", CAST("期末余额_2" AS DOUBLE) AS "期末余额_2", CAST("年初余额_2" AS DOUBLE) AS "年初余额_2" FROM gbal"""
+
+ORACLE["split_statements_income"] = STMT[:-1] + _GROUP + """
+SELECT company, "项目", "行次", CAST("本期发生额" AS DOUBLE) AS "本期发生额", CAST("本年累计发生额" AS DOUBLE) AS "本年累计发生额"
+FROM ginc"""
+
+_PLACE = """
+, placed_stmt AS (
+ SELECT company, '原报表' AS sheet, concat('N', CAST(7 + row_number() OVER (PARTITION BY company ORDER BY "行次") AS VARCHAR)) AS cell,
+  "期末余额" AS amount FROM gbal
+ UNION ALL
+ SELECT company, '原报表', concat('P', CAST(7 + row_number() OVER (PARTITION BY company ORDER BY "行次") AS VARCHAR)),
+  "期末余额_2" FROM gbal
+ UNION ALL
+ SELECT company, '原报表', concat('N', CAST(83 + k AS VARCHAR)), amount FROM (
+  SELECT company, row_number() OVER (PARTITION BY company ORDER BY "行次") AS k, "本年累计发生额" AS amount FROM ginc) t
+ WHERE k <= 27)
+"""
+
+ORACLE["place_statement"] = STMT[:-1] + _GROUP + _PLACE + """
+SELECT company, sheet, cell, CAST(amount AS DOUBLE) AS amount FROM placed_stmt"""
+ORACLE["report_to_cells"] = ORACLE["place_statement"]
+
+ORACLE["split_balances"] = with_(TB, BAL_B) + _B_OUT + " FROM bal_b"
+
+ORACLE["split_group"] = with_(_stmt_ctes(), TB, BAL_B, LEDGER, SCOPE)[:-1] + _GROUP + """
+, names AS (SELECT sap_code, report_name FROM (
+   SELECT *, row_number() OVER (PARTITION BY sap_code ORDER BY seq DESC) AS rn FROM scope) t WHERE rn = 1)
+SELECT company, count(*) AS count, 'statements' AS output FROM gbal GROUP BY company
+UNION ALL SELECT company, count(*), 'income' FROM ginc GROUP BY company
+UNION ALL SELECT n.report_name, count(l.gl_text), 'ledger' FROM names n LEFT JOIN ledger l ON n.sap_code = l.company_code
+ GROUP BY n.report_name
+UNION ALL SELECT company, count(*), 'balances' FROM bal_b GROUP BY company"""
+
+ORACLE["join_rules_statements"] = with_(_stmt_ctes(), _stmt_rules_cte(), PARTS_RAW, PARTS_SIGNED)[:-1] + """
+, files AS (SELECT DISTINCT file_name FROM stmt_long)
+, per_file AS (SELECT f.file_name, p.* FROM files f CROSS JOIN parts_signed p)
+SELECT a.file_name, a.acct_code, a.item, a.sheet, a.cell, CAST(a.part_no AS BIGINT) AS part_no, CAST(a.sign AS BIGINT) AS sign,
+ CAST(b.amount AS DOUBLE) AS amount
+FROM per_file a LEFT JOIN stmt_long b ON a.file_name = b.file_name AND a.acct_code = b.line_key AND a.item = b.amount_type"""
+
+ORACLE["pair_files"] = with_(SCOPE) + """
+SELECT concat(CAST(s.serial AS VARCHAR), '-', s.company, '2024.xlsx') AS paper, c.company, c.sheet, c.cell, c.amount
+FROM scope s JOIN (""" + ORACLE["tb_to_cells"] + """) c ON s.company = c.company"""

@@ -525,3 +525,68 @@ def q_overlay_block(spark, d):
 @register("as_text_label")
 def q_as_text_label(spark, d):
     return P.template_block(X.paper_rows(spark, d), "NATION_0公司2024", "8_费用", OVERLAY_RANGES)
+
+
+# --- group workbook -------------------------------------------------------
+
+def _split(spark, d):
+    from tallyspark.operators import group as G
+    bal, inc = X.group_statements(spark, d)
+    return G.split_statements(bal, inc)
+
+
+@register("split_statements")
+def q_split_statements(spark, d):
+    return _split(spark, d)[0]
+
+
+@register("split_statements_income")
+def q_split_statements_income(spark, d):
+    return _split(spark, d)[1]
+
+
+@register("split_balances")
+def q_split_balances(spark, d):
+    from tallyspark.operators import group as G
+    return G.split_balances(X.group_balances_text(spark, d))
+
+
+@register("place_statement")
+def q_place_statement(spark, d):
+    from tallyspark.operators import group as G
+    b, i = _split(spark, d)
+    return G.place_statement(b, i)
+
+
+@register("report_to_cells")
+def q_report_to_cells(spark, d):
+    bal, inc = X.group_statements(spark, d)
+    return J.report_to_cells(bal, inc)
+
+
+@register("split_group")
+def q_split_group(spark, d):
+    """Rows per company in each of the three per-company outputs."""
+    from tallyspark.operators import group as G
+    b, i = _split(spark, d)
+    led = J.split_ledger(X.ledger(spark, d), X.scope(spark, d))
+    bal = G.split_balances(X.group_balances_text(spark, d))
+    return (b.groupBy("company").count().withColumn("output", F.lit("statements"))
+            .unionByName(i.groupBy("company").count().withColumn("output", F.lit("income")))
+            .unionByName(led.groupBy(F.col("report_name").alias("company"))
+                         .agg(F.count("gl_text").alias("count")).withColumn("output", F.lit("ledger")))
+            .unionByName(bal.groupBy("company").count().withColumn("output", F.lit("balances"))))
+
+
+@register("join_rules_statements")
+def q_join_rules_statements(spark, d):
+    long = ST.long_statements(_stmt_rows(spark, d)).select(
+        "file_name", F.col("line_key").alias("acct_code"), F.col("amount_type").alias("item"), "amount")
+    parts = RU.clean_rules(X.statement_rules(spark))
+    return C.join_rules_balances(long, parts, keys=["file_name"])
+
+
+@register("pair_files")
+def q_pair_files(spark, d):
+    cells = J.tb_to_cells(X.bal_a(spark, d), X.rules(spark, d), X.rates(spark), layout="A").cells
+    return J.pair_files(cells, X.scope(spark, d))
