@@ -87,3 +87,20 @@ def drop_opening_rules(parts: DataFrame) -> DataFrame:
 
 def select_sheets(parts: DataFrame, sheets) -> DataFrame:
     return parts.filter(F.col("sheet").isin(list(sheets)))
+
+
+RULE_COLUMNS = [("cell", "单元格"), ("accts", "账户代码"), ("ops", "运算符"), ("items", "金额列")]
+
+
+def read_rules(rows: DataFrame, header_row: int = 2) -> DataFrame:
+    """All sheets of the mapping workbook -> one rule table with a ``sheet``
+    column (A12). The header is in ``header_row``; the four required
+    columns are found by header text on each sheet."""
+    hdr = (rows.filter(F.col("row_no") == header_row)
+           .select("file_name", "sheet", F.transform("cells", lambda x: F.trim(x)).alias("_hdr")))
+    body = rows.filter(F.col("row_no") > header_row).join(hdr, ["file_name", "sheet"])
+    out = [F.col("sheet")]
+    for c, h in RULE_COLUMNS:
+        pos = F.array_position("_hdr", F.lit(h))
+        out.append(F.when(pos > 0, F.element_at("cells", pos.cast("int"))).alias(c))
+    return body.select(*out, "row_no")

@@ -590,3 +590,20 @@ def paper_updates(spark: SparkSession, d: str) -> DataFrame:
                  F.lit(None).cast("string").alias("value"), F.lit(2).alias("seq")))))
     return base.unionByName(extra.select("file_name", "sheet", F.col("row_no").cast("int"),
                                          F.col("col_no").cast("int"), "value", F.col("seq").cast("int")))
+
+
+def rule_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rule table as the sheets of a mapping workbook: a title row, the
+    header in row 2 (extra columns first), one rule per row below."""
+    from pyspark.sql.window import Window
+    r = rules(spark, d)
+    w = Window.partitionBy("sheet").orderBy("cell", "accts")  # a config table: small groups
+    body = r.select(F.lit("mapping").alias("file_name"), "sheet",
+                    (F.row_number().over(w) + 2).cast("int").alias("row_no"),
+                    F.array(F.lit(None).cast("string"), F.lit("项目"), "cell", "accts", "ops", "items").alias("cells"))
+    sheets = r.select("sheet").distinct()
+    head = sheets.select(F.lit("mapping").alias("file_name"), "sheet", F.inline(F.array(
+        F.struct(F.lit(1).alias("row_no"), F.array(F.lit("单元格映射表")).alias("cells")),
+        F.struct(F.lit(2).alias("row_no"),
+                 F.array(*[F.lit(x) for x in ["行次", "项目名称", "单元格", "账户代码", "运算符", "金额列"]]).alias("cells")))))
+    return body.unionByName(head.select("file_name", "sheet", F.col("row_no").cast("int"), "cells"))

@@ -984,3 +984,5 @@ FROM per_file a LEFT JOIN stmt_long b ON a.file_name = b.file_name AND a.acct_co
 ORACLE["pair_files"] = with_(SCOPE) + """
 SELECT concat(CAST(s.serial AS VARCHAR), '-', s.company, '2024.xlsx') AS paper, c.company, c.sheet, c.cell, c.amount
 FROM scope s JOIN (""" + ORACLE["tb_to_cells"] + """) c ON s.company = c.company"""
+
+ORACLE["read_rules"] = with_(TB, RULES) + "SELECT sheet, cell, accts, ops, items FROM rules"

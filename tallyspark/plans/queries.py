@@ -590,3 +590,8 @@ def q_join_rules_statements(spark, d):
 def q_pair_files(spark, d):
     cells = J.tb_to_cells(X.bal_a(spark, d), X.rules(spark, d), X.rates(spark), layout="A").cells
     return J.pair_files(cells, X.scope(spark, d))
+
+
+@register("read_rules")
+def q_read_rules(spark, d):
+    return RU.read_rules(X.rule_rows(spark, d)).drop("row_no")
