@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.joins import broadcast_if_small, collect_small_list
+from tallyspark.operators.joins import broadcast_if_small, collect_small_list, small_config
 from tallyspark.schemas import (AVERAGE_RATE_SHEETS, CLOSING_RATE_SHEETS, MONEY, RATE,
                                 SHEET_EXPENSE)
 
@@ -34,6 +34,7 @@ def join_rules_balances(long: DataFrame, parts: DataFrame, keys=("company",),
     (code, item) pairs by a broadcast semi join, so only matching rows reach
     the shuffle of the outer join."""
     keys = list(keys)
+    parts = small_config(parts)
     small = broadcast_if_small(parts)
     grid = job_grid(long, parts, keys, companies, sheets).join(small, "sheet")
     pairs = broadcast_if_small(parts.select("acct_code", "item").distinct())
@@ -59,6 +60,7 @@ def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = No
     partial-aggregate to one row per company-cell, then fill the cells that
     matched nothing from the (company x sheet) grid."""
     keys = list(keys)
+    parts = small_config(parts)
     small = broadcast_if_small(parts)
     matched = (long.select(*keys, "acct_code", "item", "amount")
                .join(small, ["acct_code", "item"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,17 @@ def bounded_count(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
+def small_config(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Materialise a config-sized table (rules, rates, scope) once, so its
+    size check, its sheet list and its broadcast all read the same small
+    result instead of re-deriving it. Persisted with lineage kept: a lost
+    executor recomputes the partition. Returns the persisted DataFrame; the
+    size check happens in :func:`broadcast_if_small`."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after checking the row count; otherwise leave
     the choice to Catalyst/AQE (sort-merge or shuffled hash join)."""

@@ -178,38 +178,42 @@ def overlay_block(existing: DataFrame, template_rows: DataFrame, template_file:
     return apply_cell_updates(existing, upd)
 
 
-def block_positions(block: DataFrame, order_cols=("file_name", "row_no")) -> DataFrame:
+def block_positions(block: DataFrame, order_cols=("file_name", "row_no"), by=()) -> DataFrame:
     """Global 0-based position of each block row in ``order_cols`` order
-    without a window over the whole block: per-file counts -> offsets (a
-    running sum over one row per file; a block pasted into one sheet is
-    bounded by the sheet's row limit, so the file count is too) -> join
-    back -> rank inside the file (bounded by the range height)."""
+    (within each ``by`` group) without a window over the whole block:
+    per-file counts -> offsets (a running sum over one row per file; a block
+    pasted into one sheet is bounded by the sheet's row limit, so the file
+    count is too) -> join back -> rank inside the file (bounded by the range
+    height)."""
+    by = list(by)
     first, second = order_cols
-    counts = block.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    counts = block.groupBy(*by, first).agg(F.count(F.lit(1)).alias("_n"))
+    wo = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    wi = Window.partitionBy(first).orderBy(second)
-    b = join_small(block, offsets, first)
+    wi = Window.partitionBy(*by, first).orderBy(second)
+    b = join_small(block, offsets, by + [first])
     return b.withColumn("pos", (F.col("_off") + F.row_number().over(wi) - 1).cast("long")).drop("_off")
 
 
-def append_block(target: DataFrame, block_cells: DataFrame, anchor: str, sheet: str) -> DataFrame:
+def append_block(target: DataFrame, block_cells: DataFrame, anchor: str) -> DataFrame:
     """Insert ``n`` rows below the anchor row (cells at or below
     ``anchor_row + 1`` move down ``n``), then write the block from the
-    anchor cell (G6). ``block_cells(pos, col_off, value)``: block row
-    position and column offset; ``target(row_no, col_no, value)`` are the
-    cells of sheet ``sheet``. ``n`` is one aggregate value fetched to the
-    driver (a scalar, not data)."""
+    anchor cell (G6), for every sheet at once.
+
+    ``target(sheet, row_no, col_no, value)``: the sheets' cells;
+    ``block_cells(sheet, pos, col_off, value)``: block row position and
+    column offset. ``n`` per sheet is an aggregate joined on the sheet name."""
     ar, ac = parse_ref(anchor)
     start_row = ar + 1
-    n = block_cells.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("n")).first()["n"]
-    moved = target.select(F.when(F.col("row_no") >= start_row, F.col("row_no") + F.lit(n))
-                          .otherwise(F.col("row_no")).cast("long").alias("row_no"),
-                          F.col("col_no").cast("int").alias("col_no"), "value")
-    new = block_cells.select((F.lit(ar) + F.col("pos")).cast("long").alias("row_no"),
+    n = block_cells.groupBy("sheet").agg((F.max("pos") + 1).alias("_n"))
+    t = target.join(n, "sheet", "left")
+    moved = t.select("sheet", F.when(F.col("row_no") >= start_row, F.col("row_no") + F.coalesce("_n", F.lit(0)))
+                     .otherwise(F.col("row_no")).cast("long").alias("row_no"),
+                     F.col("col_no").cast("int").alias("col_no"), "value")
+    new = block_cells.select("sheet", (F.lit(ar) + F.col("pos")).cast("long").alias("row_no"),
                              (F.lit(ac) + F.col("col_off")).cast("int").alias("col_no"), "value")
-    keys = ["row_no", "col_no"]
+    keys = ["sheet", "row_no", "col_no"]
     j = moved.select(*keys, F.col("value").alias("_old")).join(
         new.select(*keys, F.col("value").alias("_new"), F.lit(True).alias("_w")), keys, "full_outer")
-    return j.select(F.lit(sheet).alias("sheet"), *keys,
-                    F.when(F.coalesce("_w", F.lit(False)), F.col("_new")).otherwise(F.col("_old")).alias("value"))
+    return j.select(*keys, F.when(F.coalesce("_w", F.lit(False)), F.col("_new")).otherwise(F.col("_old"))
+                    .alias("value"))

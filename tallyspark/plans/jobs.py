@@ -98,7 +98,8 @@ def statements_to_cells(rows: DataFrame, rules: DataFrame, drop_opening: bool =
         parts = RU.drop_opening_rules(parts)
     long = ST.long_statements(rows)
     stacked = ST.stack_panels(ST.read_balance_panels(rows))
-    return StatementResult(cells=ST.statement_cells(long, parts), long=long,
+    files = rows.filter(F.col("sheet").isin(ST.BALANCE_RANGE[0], ST.INCOME_RANGE[0])).select("file_name").distinct()
+    return StatementResult(cells=ST.statement_cells(long, parts, files=files), long=long,
                            problems=ST.missing_markers(stacked))
 
 

@@ -393,7 +393,9 @@ def q_tag_literals(spark, d):
 @register("statement_cells")
 def q_statement_cells(spark, d):
     parts = RU.clean_rules(X.statement_rules(spark))
-    return ST.statement_cells(ST.long_statements(_stmt_rows(spark, d)), parts)
+    rows = _stmt_rows(spark, d)
+    files = rows.select("file_name").distinct()
+    return ST.statement_cells(ST.long_statements(rows), parts, files=files)
 
 
 @register("statements_to_cells")
@@ -467,29 +469,31 @@ def q_stack_by_name(spark, d):
 
 
 def _block_cells(audited):
+    """Audited rows -> (sheet, pos, col_off, value), one sheet per table."""
     cols = ["公司"] + EXP_NAMES
-    pos = P.block_positions(audited, ("公司", "row_no"))
-    return pos.select("pos", F.inline(F.array(*[F.struct(F.lit(i).alias("col_off"), F.col(c).alias("value"))
-                                                for i, c in enumerate(cols)])))
+    pos = P.block_positions(audited, ("公司", "row_no"), by=["table"])
+    return pos.select(F.col("table").alias("sheet"), "pos",
+                      F.inline(F.array(*[F.struct(F.lit(i).alias("col_off"), F.col(c).alias("value"))
+                                         for i, c in enumerate(cols)])))
+
+
+def _template_copies(spark, sheets):
+    """The template sheet copied under each output sheet name (a fixed list)."""
+    return X.audit_template(spark).select(F.explode(F.array(*[F.lit(s) for s in sheets])).alias("sheet"),
+                                          "row_no", "col_no", "value")
 
 
 @register("append_block")
 def q_append_block(spark, d):
-    audited = _audited(spark, d).filter(F.col("table") == "审定表_销售费用").drop("table")
-    tmpl = X.audit_template(spark)
-    return P.append_block(tmpl, _block_cells(audited), "A9", "审定表_销售费用")
+    audited = _audited(spark, d).filter(F.col("table") == "审定表_销售费用")
+    return P.append_block(_template_copies(spark, ["审定表_销售费用"]), _block_cells(audited), "A9")
 
 
 @register("expense_papers")
 def q_expense_papers(spark, d):
     """The three audited tables pasted into copies of the template sheet."""
-    audited = _audited(spark, d)
-    tmpl = X.audit_template(spark)
-    out = None
-    for name, _, _ in AUDIT_RANGES:
-        t = P.append_block(tmpl, _block_cells(audited.filter(F.col("table") == name).drop("table")), "A9", name)
-        out = t if out is None else out.unionByName(t)
-    return out
+    sheets = [name for name, _, _ in AUDIT_RANGES]
+    return P.append_block(_template_copies(spark, sheets), _block_cells(_audited(spark, d)), "A9")
 
 
 @register("auto_header")

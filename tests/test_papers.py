@@ -16,11 +16,12 @@ def test_apply_updates_last_wins_null_clears_new_cell(spark):
 
 
 def test_append_block_shifts_rows_below_anchor(spark):
-    target = spark.createDataFrame([(8, 0, "hdr"), (9, 0, "blank"), (10, 0, "style"), (11, 0, "total")],
-                                   "row_no int, col_no int, value string")
-    block = spark.createDataFrame([(0, 0, "r0"), (1, 0, "r1"), (2, 0, "r2"), (2, 1, "v")],
-                                  "pos long, col_off int, value string")
-    out = rows_of(P.append_block(target, block, "A9", "s"), "row_no", "col_no", "value")
+    target = spark.createDataFrame([("s", 8, 0, "hdr"), ("s", 9, 0, "blank"), ("s", 10, 0, "style"),
+                                    ("s", 11, 0, "total"), ("t", 10, 0, "untouched")],
+                                   "sheet string, row_no int, col_no int, value string")
+    block = spark.createDataFrame([("s", 0, 0, "r0"), ("s", 1, 0, "r1"), ("s", 2, 0, "r2"), ("s", 2, 1, "v")],
+                                  "sheet string, pos long, col_off int, value string")
+    out = rows_of(P.append_block(target, block, "A9").filter("sheet = 's'"), "row_no", "col_no", "value")
     assert out == [(8, 0, "hdr"), (9, 0, "r0"), (10, 0, "r1"), (11, 0, "r2"), (11, 1, "v"),
                    (13, 0, "style"), (14, 0, "total")]
 
