@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.operators.joins import broadcast_if_small, collect_small_list, small_config
 from tallyspark.schemas import (AVERAGE_RATE_SHEETS, CLOSING_RATE_SHEETS, MONEY, RATE,
@@ -84,17 +85,18 @@ def conditional_zero(cells: DataFrame, keys=("company",), sheet: str = SHEET_EXP
     """On the expense sheet: if the sum of E31..E49 is not 0 then E30 := 0,
     else if the sum of E142..E147 is not 0 then E141 := 0 (E6).
 
-    The two sums are a per-company aggregate joined back (no window over a
-    whole company)."""
+    The two sums are windowed over (company, sheet): a group is one sheet of
+    one company's cells, bounded by the rule table's cell count, so the
+    window never holds more than one paper sheet (and no self-join re-runs
+    the cell pipeline)."""
     keys = list(keys)
     r1 = [f"E{i}" for i in range(31, 50)]
     r2 = [f"E{i}" for i in range(142, 148)]
-    flags = (cells.filter(F.col("sheet") == sheet)
-             .groupBy(*keys, "sheet")
-             .agg(F.coalesce(F.sum(F.when(F.col("cell").isin(r1), F.col("amount"))), F.lit(0)).alias("_s1"),
-                  F.coalesce(F.sum(F.when(F.col("cell").isin(r2), F.col("amount"))), F.lit(0)).alias("_s2")))
-    j = cells.join(flags, keys + ["sheet"], "left")
-    zero = (((F.col("_s1") != 0) & (F.col("cell") == "E30"))
-            | ((F.col("_s1") == 0) & (F.col("_s2") != 0) & (F.col("cell") == "E141")))
-    amount = F.when(F.coalesce(zero, F.lit(False)), F.lit(0).cast(MONEY)).otherwise(F.col("amount"))
-    return j.select(*keys, "sheet", "cell", amount.alias("amount"))
+    w = Window.partitionBy(*keys, "sheet")
+    s1 = F.coalesce(F.sum(F.when(F.col("cell").isin(r1), F.col("amount"))).over(w), F.lit(0))
+    s2 = F.coalesce(F.sum(F.when(F.col("cell").isin(r2), F.col("amount"))).over(w), F.lit(0))
+    on_sheet = F.col("sheet") == sheet
+    zero = on_sheet & (((s1 != 0) & (F.col("cell") == "E30"))
+                       | ((s1 == 0) & (s2 != 0) & (F.col("cell") == "E141")))
+    amount = F.when(zero, F.lit(0).cast(MONEY)).otherwise(F.col("amount"))
+    return cells.select(*keys, "sheet", "cell", amount.alias("amount"))

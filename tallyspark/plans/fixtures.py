@@ -76,12 +76,15 @@ def _dir(c):
 def bal_a(spark: SparkSession, d: str) -> DataFrame:
     """Layout-A balances per company: detail codes plus level-1 (4-char)
     totals, as a tree-expanded export has them."""
-    t = tb(spark, d)
+    t = tb(spark, d).withColumn("l1", F.substring("acct_code", 1, 4)) \
+        .withColumn("l1_name", F.split_part("acct_name", F.lit("-"), F.lit(1)))
     sums = [F.sum(c).alias(c) for c in ("opening", "debit", "credit", "closing")]
-    detail = t.groupBy("company", "acct_code", "acct_name").agg(*sums)
-    level1 = t.groupBy("company", F.substring("acct_code", 1, 4).alias("acct_code"),
-                       F.split_part("acct_name", F.lit("-"), F.lit(1)).alias("acct_name")).agg(*sums)
-    u = detail.unionByName(level1)
+    # detail rows and level-1 totals from one aggregation (grouping sets)
+    g = t.groupingSets([["company", "acct_code", "acct_name"], ["company", "l1", "l1_name"]],
+                       "company", "acct_code", "acct_name", "l1", "l1_name").agg(*sums)
+    u = g.select("company", F.coalesce("acct_code", "l1").alias("acct_code"),
+                 F.coalesce("acct_name", "l1_name").alias("acct_name"),
+                 "opening", "debit", "credit", "closing")
     m = lambda e: e.cast(MONEY)
     return u.select(
         "company", "acct_code", "acct_name",

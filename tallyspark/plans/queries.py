@@ -415,9 +415,7 @@ EXTRACT_RULE = dict(must_not=["合并", "日志", "~$"])
 
 
 def _papers(spark, d, rule=None):
-    rows = X.paper_rows(spark, d)
-    files = P.filter_files(rows.select("file_name").distinct(), **(rule or PAPER_RULE))
-    return rows.join(files, "file_name", "left_semi")
+    return P.filter_files(X.paper_rows(spark, d), **(rule or PAPER_RULE))
 
 
 @register("filter_files")
