@@ -116,3 +116,37 @@ def pair_files(cells: DataFrame, relation: DataFrame) -> DataFrame:
     The relation is config-sized and broadcast after a size check."""
     rel = broadcast_if_small(relation.select("company", L.paper_name("serial", "company").alias("paper")))
     return cells.join(rel, "company").select("paper", "company", "sheet", "cell", "amount")
+
+
+def ingest_balances(rows: DataFrame, target: str | None = None) -> DataFrame:
+    """Folder of layout-A balance exports (sheet rows) -> one table with the
+    source file recorded; written as a replaced table when ``target`` is
+    given (H9)."""
+    from tallyspark.sinks.writers import replace_table
+    out = B.read_balance_a(rows, record_path=True)
+    if target:
+        replace_table(out, target)
+    return out
+
+
+def ingest_statements(rows: DataFrame, target_balance: str | None = None,
+                      target_income: str | None = None):
+    """Folder of statement files -> balance-sheet panels and income lines as
+    two tables (H10)."""
+    from tallyspark.operators import statements as ST
+    from tallyspark.sinks.writers import replace_table
+    bal, inc = ST.read_balance_panels(rows), ST.read_income(rows)
+    if target_balance:
+        replace_table(bal, target_balance)
+    if target_income:
+        replace_table(inc, target_income)
+    return bal, inc
+
+
+def ingest_group(group_balances: DataFrame, n_cols: int = 8, target: str | None = None) -> DataFrame:
+    """Group balance export -> its first ``n_cols`` columns as a table."""
+    from tallyspark.sinks.writers import replace_table
+    out = group_balances.select(*group_balances.columns[:n_cols])
+    if target:
+        replace_table(out, target)
+    return out

@@ -986,3 +986,12 @@ SELECT concat(CAST(s.serial AS VARCHAR), '-', s.company, '2024.xlsx') AS paper,
 FROM scope s JOIN (""" + ORACLE["tb_to_cells"] + """) c ON s.company = c.company"""
 
 ORACLE["read_rules"] = with_(TB, RULES) + "SELECT sheet, cell, accts, ops, items FROM rules"
+
+ORACLE["project_named"] = with_(TB, RULES) + "SELECT cell, accts, ops, items FROM rules"
+ORACLE["coalesce_zero"] = ORACLE["cell_amounts"]
+ORACLE["ledger_to_cells_dynamic"] = ORACLE["place_dynamic"]
+ORACLE["ingest_balances"] = ORACLE["scan_many"]
+ORACLE["ingest_statements"] = ORACLE["read_statement_ranges"]
+ORACLE["ingest_group"] = with_(TB, BAL_B) + """
+SELECT company, acct_code, acct_name, currency, CAST(fc_opening AS DOUBLE) AS fc_opening, CAST(fc_debit AS DOUBLE) AS fc_debit,
+ CAST(fc_credit AS DOUBLE) AS fc_credit, CAST(fc_closing AS DOUBLE) AS fc_closing FROM bal_b"""

@@ -597,3 +597,49 @@ def q_pair_files(spark, d):
 @register("read_rules")
 def q_read_rules(spark, d):
     return RU.read_rules(X.rule_rows(spark, d)).drop("row_no")
+
+
+# --- remaining inventory keys ---------------------------------------------
+
+@register("project_named")
+def q_project_named(spark, d):
+    """Required rule columns, in order."""
+    return X.rules(spark, d).select("cell", "accts", "ops", "items")
+
+
+@register("coalesce_zero")
+def q_coalesce_zero(spark, d):
+    """Cell amounts the way the source writes them: rules LEFT JOIN balances,
+    ``round(sum(amount * sign), 2)``, null -> 0 (a second plan for E2)."""
+    j = C.join_rules_balances(_long_a(spark, d), _parts(spark, d))
+    return (j.groupBy("company", "sheet", "cell")
+            .agg(F.coalesce(F.round(F.sum(F.col("amount") * F.col("sign")), 2), F.lit(0))
+                 .cast("decimal(18,2)").alias("amount")))
+
+
+@register("ledger_to_cells_dynamic")
+def q_ledger_to_cells_dynamic(spark, d):
+    return J.ledger_to_cells_dynamic(X.ledger(spark, d), X.expense_template(spark, d))
+
+
+@register("ingest_balances")
+def q_ingest_balances(spark, d):
+    return J.ingest_balances(X.rows_a(spark, d))
+
+
+@register("ingest_statements")
+def q_ingest_statements(spark, d):
+    return J.ingest_statements(_stmt_rows(spark, d))[0]
+
+
+@register("ingest_group")
+def q_ingest_group(spark, d):
+    from tallyspark.operators import group as G
+    return J.ingest_group(G.split_balances(X.group_balances_text(spark, d)))
+
+
+@register("list_files")
+def q_list_files(spark, d):
+    """The folder of the given tables, listed without reading contents."""
+    from tallyspark.sources.files import list_files
+    return list_files(spark, d, recursive=True, suffixes=("parquet",)).select("name", "length")

@@ -47,10 +47,10 @@ def test_entry_smoke(spark):
 
 
 def test_every_key_has_an_oracle_or_is_listed():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E.oracle_sql()) | E.ROWS_ONLY == set(E.queries())
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
 def test_key_matches_oracle(spark, con, key):
     s = E.queries()[key](spark, SF).toPandas()
     o = con.execute(E.oracle_sql()[key]).df()
