@@ -99,7 +99,7 @@ def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
                        & (F.col("row_no") < F.col("_last")))
     out = [F.col("file_name").alias("company")]
     for i, (c, h) in enumerate(LAYOUT_A_COLUMNS):
-        v = F.col("cells")[i]
+        v = F.get(F.col("cells"), i)
         out.append((v.cast(MONEY) if "金额" in h else v).alias(c))
     if record_path:
         out.append(F.col("file_name").alias("file_path"))
@@ -118,7 +118,7 @@ def read_balance_b(rows: DataFrame, record_path: bool = False) -> DataFrame:
     out = [F.col("file_name").alias("company")]
     for c, h in LAYOUT_B_COLUMNS:
         pos = F.array_position(F.transform("_hdr", lambda x: F.trim(x)), F.lit(h))
-        v = F.when(pos > 0, F.element_at("cells", pos.cast("int")))
+        v = F.when(pos > 0, F.try_element_at("cells", pos.cast("int")))
         out.append((v.cast(MONEY) if c.startswith(("fc_", "lc_")) else v).alias(c))
     if record_path:
         out.append(F.col("file_name").alias("file_path"))

@@ -85,7 +85,7 @@ def slot_counts(template_rows: DataFrame, areas=EXPENSE_AREAS, max_row: int | No
     r = template_rows.filter(F.col("sheet") == sheet)
     if max_row is not None:
         r = r.filter(F.col("row_no") <= max_row)
-    a = F.col("cells")[0]
+    a = F.get(F.col("cells"), 0)
     return (r.groupBy(F.col("file_name").alias("company"))
             .agg(*[(F.count(F.when(a == area, 1)) - 2).alias(f"slots_{i}")
                    for i, area in enumerate(areas)]))

@@ -72,7 +72,7 @@ def read_range(rows: DataFrame, sheet: str, start: str, end: str, header: int =
     cols = []
     for n in names:
         pos = F.array_position("_hdr", F.lit(n))
-        cols.append(F.when(pos > 0, F.element_at("cells", pos.cast("int"))).alias(n))
+        cols.append(F.when(pos > 0, F.try_element_at("cells", pos.cast("int"))).alias(n))
     return body.select(F.col("file_name").alias(file_col), "row_no", *cols)
 
 

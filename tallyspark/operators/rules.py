@@ -102,5 +102,5 @@ def read_rules(rows: DataFrame, header_row: int = 2) -> DataFrame:
     out = [F.col("sheet")]
     for c, h in RULE_COLUMNS:
         pos = F.array_position("_hdr", F.lit(h))
-        out.append(F.when(pos > 0, F.element_at("cells", pos.cast("int"))).alias(c))
+        out.append(F.when(pos > 0, F.try_element_at("cells", pos.cast("int"))).alias(c))
     return body.select(*out, "row_no")

@@ -59,5 +59,5 @@ def read_ledger_rows(rows: DataFrame) -> DataFrame:
     out = []
     for c, h in LEDGER_HEADERS:
         pos = F.array_position("_hdr", F.lit(h))
-        out.append(F.when(pos > 0, F.element_at("cells", pos.cast("int"))).alias(c))
+        out.append(F.when(pos > 0, F.try_element_at("cells", pos.cast("int"))).alias(c))
     return body.select("file_name", "row_no", *out)

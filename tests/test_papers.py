@@ -70,3 +70,15 @@ def test_text_label_prefix(spark):
 
 
 _ = F
+
+
+def test_short_rows_do_not_fail_under_ansi(spark):
+    from tallyspark.operators import balances as B
+    rows = spark.createDataFrame(
+        [("f", "s", 1, ["a", "b", "c"]), ("f", "s", 2, ["1"])],
+        "file_name string, sheet string, row_no int, cells array<string>")
+    assert rows_of(P.read_range(rows, "s", "A1", "C2", names=["a", "c"]), "a", "c") == [("1", None)]
+    hdr = spark.createDataFrame([("f", "s", 1, ["科目代码", "科目名称", "外币期初"]), ("f", "s", 2, ["1001"])],
+                                "file_name string, sheet string, row_no int, cells array<string>")
+    r = B.read_balance_b(hdr).first()
+    assert (r.acct_code, r.acct_name, r.fc_opening) == ("1001", None, None)

@@ -77,3 +77,25 @@ def test_streaming_ingest(spark, scratch):
     q.awaitTermination(120)
     got = spark.read.parquet(os.path.join(scratch, "out"))
     assert got.filter(F.col("error").isNull()).count() == 2
+
+
+def test_recon_log_path_and_append(spark, scratch):
+    df = spark.createDataFrame([("A", "/x/papers/1.00 A公司2024.xlsx", "1001")], "company string, paper_path string, acct_code string")
+    got = df.select(W.log_path("paper_path").alias("p")).first().p
+    assert got == "/x/papers/原文件合并日志_auto"
+    out = os.path.join(scratch, "log")
+    W.write_recon_log(df, out)
+    W.write_recon_log(df, out)
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_ingest_jobs_write_tables(spark, scratch):
+    from tallyspark.plans import jobs as J
+    rows = spark.createDataFrame(
+        [("co", "Sheet1", 1, ["t"]), ("co", "Sheet1", 2, ["c"]), ("co", "Sheet1", 3, ["h"]), ("co", "Sheet1", 4, ["h"]),
+         ("co", "Sheet1", 5, ["1001", "cash", "借", "1.00"]), ("co", "Sheet1", 9, ["合计"])],
+        "file_name string, sheet string, row_no int, cells array<string>")
+    t = os.path.join(scratch, "tb")
+    J.ingest_balances(rows, t)
+    back = spark.read.parquet(t).collect()
+    assert [(r.company, r.acct_code, str(r.opening)) for r in back] == [("co", "1001", "1.00")]
