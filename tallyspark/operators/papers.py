@@ -165,16 +165,29 @@ def template_block(template_rows: DataFrame, template_file: str, sheet: str, ran
     return blocks.select(F.lit(sheet).alias("sheet"), "row_no", "col_no", as_text_label("value").alias("value"))
 
 
+MAX_BLOCK_CELLS = 100_000
+
+
 def overlay_block(existing: DataFrame, template_rows: DataFrame, template_file: str, sheet: str,
                   ranges, papers: DataFrame) -> DataFrame:
     """Copy label blocks of one template paper into every listed paper; text
     gets a leading "'"; nulls stay null and still overwrite (B8).
 
-    The block is bounded by the fixed ranges, so it is broadcast and joined
-    to the paper list on the sheet name."""
-    blocks = template_block(template_rows, template_file, sheet, ranges)
-    targets = papers.select("file_name").distinct().withColumn("sheet", F.lit(sheet))
-    upd = targets.join(broadcast_if_small(blocks), "sheet").withColumn("seq", F.lit(1))
+    The block's size is fixed by its ranges (checked against
+    ``MAX_BLOCK_CELLS``), so it is fetched once and exploded per paper as a
+    literal: a narrow step, no join without a key."""
+    area = 0
+    for start, end in ranges:
+        (r1, c1), (r2, c2) = parse_ref(start), parse_ref(end)
+        area += (r2 - r1 + 1) * (c2 - c1 + 1)
+    if area > MAX_BLOCK_CELLS:
+        raise ValueError(f"template block of {area} cells exceeds {MAX_BLOCK_CELLS}")
+    block = template_block(template_rows, template_file, sheet, ranges).collect()
+    lits = F.array(*[F.struct(F.lit(r.row_no).cast("int").alias("row_no"), F.lit(r.col_no).cast("int").alias("col_no"),
+                              F.lit(r.value).cast("string").alias("value")) for r in block])
+    upd = (papers.select("file_name").distinct()
+           .select("file_name", F.lit(sheet).alias("sheet"), F.inline(lits))
+           .withColumn("seq", F.lit(1)))
     return apply_cell_updates(existing, upd)
 
 

@@ -81,3 +81,16 @@ def test_sections_disjoint(spark):
     lines = E.queries()["section_lines"](spark, SF)
     non_total = lines.filter(F.col("category") != "合计")
     assert non_total.groupBy("file_name", "panel", "row_no").count().filter("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_plan_has_no_product_or_python_rows(spark, key):
+    """No key joins without a key, and none runs row-at-a-time Python."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        E.queries()[key](spark, SF).explain()
+    plan = buf.getvalue()
+    for pat in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert pat not in plan, f"{key}: {pat}"
