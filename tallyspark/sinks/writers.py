@@ -17,11 +17,14 @@ def replace_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
 
 
 def write_per_company(df: DataFrame, path: str, by: str = "company", fmt: str = "parquet",
-                      mode: str = "overwrite") -> None:
-    """One output per company (B2, B3, B4): a partitioned write. Each task
-    writes only the companies it holds, so no company is gathered in one
-    place; ``repartition`` on the key keeps the file count per company low."""
-    (df.repartition(by).write.mode(mode).format(fmt).option("header", "true")
+                      mode: str = "overwrite", salt_buckets: int = 16) -> None:
+    """One output per company (B2, B3, B4): a partitioned write. Rows are
+    spread over (company, salt) with a salt taken from a hash of the row
+    itself, so a company holding a third of all rows is written by up to
+    ``salt_buckets`` tasks, not one; the hash is deterministic, so a retried
+    task writes the same rows."""
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt_buckets))
+    (df.repartition(F.col(by), salt).write.mode(mode).format(fmt).option("header", "true")
      .partitionBy(by).save(path))
 
 
