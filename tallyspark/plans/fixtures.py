@@ -569,10 +569,21 @@ AUDIT_TEMPLATE = [
 ]
 
 
+# Fixed test template: the year-on-year sheet of the expense template workbook.
+YOY_TEMPLATE = [
+    (1, 0, "同期比较"), (8, 0, "公司"), (8, 1, "项目"), (8, 2, "本期发生额"), (8, 4, "上期发生额"),
+    (10, 0, "样式行"), (11, 0, "合计"),
+]
+
+
 def audit_template(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AUDIT_TEMPLATE, "row_no int, col_no int, value string")
 
 
+def yoy_template(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(YOY_TEMPLATE, "row_no int, col_no int, value string")
+
+
 def paper_updates(spark: SparkSession, d: str) -> DataFrame:
     """Cell updates for the papers: the ledger lines placed at the fixed
     starts (seq 1), plus a later duplicate and a null overwrite (seq 2)."""

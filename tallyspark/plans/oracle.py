@@ -822,23 +822,42 @@ _TEMPLATE_VALUES = """(VALUES (1, 0, '审定表'), (2, 0, '被审计单位'), (8
   (12, 0, '编制人')) v(row_no, col_no, value)"""
 
 
-def _appended(table: str) -> str:
+_YOY_TEMPLATE_VALUES = """(VALUES (1, 0, '同期比较'), (8, 0, '公司'), (8, 1, '项目'), (8, 2, '本期发生额'), (8, 4, '上期发生额'),
+  (10, 0, '样式行'), (11, 0, '合计')) v(row_no, col_no, value)"""
+
+_YOY = """
+, yoy AS (
+ SELECT file_name AS "公司", row_no, a AS "项目", b AS "本期发生额", c AS "上期发生额",
+  CASE WHEN row_no BETWEEN 94 AND 123 THEN '同期比较_销售费用' WHEN row_no BETWEEN 127 AND 156 THEN '同期比较_管理费用'
+       ELSE '同期比较_研发费用' END AS "table"
+ FROM yoy_rows WHERE file_name IN (SELECT file_name FROM good_files)
+  AND (row_no BETWEEN 94 AND 123 OR row_no BETWEEN 127 AND 156 OR row_no BETWEEN 160 AND 189))
+"""
+
+
+def _appended(table: str, src: str = "audited", template: str = None, cols: str = None) -> str:
+    template = template or _TEMPLATE_VALUES
+    cols = cols or """(0, "公司"), (1, "科目编码"), (2, "底稿科目"), (3, "附注分类"), (4, "本期未审"),
+  (5, "重分类调整"), (6, "审计调整")"""
     return f"""
 SELECT '{table}' AS sheet, row_no, col_no, value FROM (
- SELECT CAST(CASE WHEN v.row_no >= 10 THEN v.row_no + (SELECT count(*) FROM audited WHERE "table" = '{table}') ELSE v.row_no END AS BIGINT) AS row_no,
+ SELECT CAST(CASE WHEN v.row_no >= 10 THEN v.row_no + (SELECT count(*) FROM {src} WHERE "table" = '{table}') ELSE v.row_no END AS BIGINT) AS row_no,
   CAST(v.col_no AS BIGINT) AS col_no, v.value
- FROM {_TEMPLATE_VALUES}
- WHERE NOT EXISTS (SELECT 1 FROM audited WHERE "table" = '{table}') OR v.row_no <> 9
+ FROM {template}
+ WHERE NOT EXISTS (SELECT 1 FROM {src} WHERE "table" = '{table}' AND v.row_no = 9)
  UNION ALL
  SELECT CAST(9 + p.pos AS BIGINT), CAST(t.col_off AS BIGINT), t.value
- FROM (SELECT *, row_number() OVER (ORDER BY "公司", row_no) - 1 AS pos FROM audited WHERE "table" = '{table}') p
- CROSS JOIN LATERAL (VALUES (0, "公司"), (1, "科目编码"), (2, "底稿科目"), (3, "附注分类"), (4, "本期未审"),
-  (5, "重分类调整"), (6, "审计调整")) t(col_off, value)) x"""
+ FROM (SELECT *, row_number() OVER (ORDER BY "公司", row_no) - 1 AS pos FROM {src} WHERE "table" = '{table}') p
+ CROSS JOIN LATERAL (VALUES {cols}) t(col_off, value)) x"""
+
 
+_YOY_COLS = """(0, "公司"), (1, "项目"), (2, "本期发生额"), (4, "上期发生额")"""
 
 ORACLE["append_block"] = PAP[:-1] + _AUDITED + _appended("审定表_销售费用")
-ORACLE["expense_papers"] = PAP[:-1] + _AUDITED + "\nUNION ALL\n".join(
-    _appended(t) for t in ["审定表_销售费用", "审定表_管理费用", "审定表_研发费用"])
+ORACLE["expense_papers"] = PAP[:-1] + _AUDITED + _YOY + "\nUNION ALL\n".join(
+    [_appended(t) for t in ["审定表_销售费用", "审定表_管理费用", "审定表_研发费用"]]
+    + [_appended(t, "yoy", _YOY_TEMPLATE_VALUES, _YOY_COLS)
+       for t in ["同期比较_销售费用", "同期比较_管理费用", "同期比较_研发费用"]])
 
 ORACLE["apply_cell_updates"] = PAP[:-1] + """
 , placed AS (

@@ -445,12 +445,7 @@ def q_expense_audited(spark, d):
 
 @register("expense_papers_yoy")
 def q_expense_yoy(spark, d):
-    rows = _papers(spark, d)
-    out = None
-    for name, a, b in YOY_RANGES:
-        t = P.read_range(rows, "8", a, b, names=YOY_NAMES, file_col="公司").withColumn("table", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
+    return _yoy(spark, d)
 
 
 @register("range_export")
@@ -487,11 +482,36 @@ def q_append_block(spark, d):
     return P.append_block(_template_copies(spark, ["审定表_销售费用"]), _block_cells(audited), "A9")
 
 
+def _yoy(spark, d):
+    rows = _papers(spark, d)
+    out = None
+    for name, a, b in YOY_RANGES:
+        t = P.read_range(rows, "8", a, b, names=YOY_NAMES, file_col="公司").withColumn("table", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _yoy_block_cells(yoy):
+    """(公司, 项目, 本期发生额) pasted from A9 with rows inserted; 上期发生额 pasted
+    from E9 onto the same rows."""
+    pos = P.block_positions(yoy, ("公司", "row_no"), by=["table"])
+    cols = [(0, "公司"), (1, "项目"), (2, "本期发生额"), (4, "上期发生额")]
+    return pos.select(F.col("table").alias("sheet"), "pos",
+                      F.inline(F.array(*[F.struct(F.lit(i).alias("col_off"), F.col(c).alias("value"))
+                                         for i, c in cols])))
+
+
 @register("expense_papers")
 def q_expense_papers(spark, d):
-    """The three audited tables pasted into copies of the template sheet."""
-    sheets = [name for name, _, _ in AUDIT_RANGES]
-    return P.append_block(_template_copies(spark, sheets), _block_cells(_audited(spark, d)), "A9")
+    """The three audited tables and the three year-on-year tables pasted into
+    copies of their template sheets (H4)."""
+    audit_sheets = [name for name, _, _ in AUDIT_RANGES]
+    yoy_sheets = [name for name, _, _ in YOY_RANGES]
+    targets = _template_copies(spark, audit_sheets).unionByName(
+        X.yoy_template(spark).select(F.explode(F.array(*[F.lit(s) for s in yoy_sheets])).alias("sheet"),
+                                     "row_no", "col_no", "value"))
+    blocks = _block_cells(_audited(spark, d)).unionByName(_yoy_block_cells(_yoy(spark, d)))
+    return P.append_block(targets, blocks, "A9")
 
 
 @register("auto_header")
