@@ -25,19 +25,26 @@ class TbResult:
 
 def tb_to_cells(bal: DataFrame, rules: DataFrame, rates: DataFrame | None = None,
                 layout: str = "A", sheets=None, drop_opening: bool = True,
-                keys=("company",)) -> TbResult:
+                keys=("company",), log_path: str | None = None) -> TbResult:
     """Balances + rules + rates -> cell amounts and reconciliation (H1).
 
     ``layout`` "A" takes the 14-column export, "B" the 12-column one (already
-    rolled up with :func:`prefix_rollup` if wanted)."""
+    rolled up with :func:`prefix_rollup` if wanted). Every company of the
+    balance table gets every rule cell. With ``log_path`` the reconciliation
+    rows are appended there per company (B6)."""
+    keys = list(keys)
     long = B.unpivot_a(bal, keys) if layout == "A" else B.unpivot_b(bal, keys)
     parts = RU.clean_rules(rules)
     if drop_opening:
         parts = RU.drop_opening_rules(parts)
     if sheets is not None:
         parts = RU.select_sheets(parts, sheets)
-    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys), keys)
+    companies = bal.select(*keys).distinct()
+    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys, companies=companies), keys)
     recon = R.reconcile(long, parts, keys, SHEET_STATEMENT) if layout == "A" else None
+    if log_path and recon is not None:
+        from tallyspark.sinks.writers import write_recon_log
+        write_recon_log(recon, log_path, by=keys[0])
     return TbResult(cells=cells, recon=recon, rejects=RU.rule_rejects(rules))
 
 
