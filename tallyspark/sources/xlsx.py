@@ -122,22 +122,28 @@ def _file_name(path: str, suffixes=(".xlsx", ".xlsm", ".xls")) -> str:
     return base
 
 
-def _scan_batches(sheets):
+OUT_CHUNK_ROWS = 20_000
+_COLS = ["path", "file_name", "sheet", "row_no", "cells", "error"]
+
+
+def _scan_batches(sheets, chunk_rows: int = OUT_CHUNK_ROWS):
+    """Arrow batches of (path, content) -> sheet rows. A workbook's rows are
+    kept only if the whole workbook parses (an unreadable file gives no rows,
+    only an error row); output frames are cut into chunks of at most
+    ``chunk_rows`` rows. The sheet XML itself is streamed with iterparse."""
     def fn(batches):
         for pdf in batches:
-            out = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 fname = _file_name(path)
                 try:
-                    found = False
-                    for sheet, rn, cells in parse_workbook(bytes(content), sheets):
-                        found = True
-                        out.append((path, fname, sheet, rn, cells, None))
-                    if not found:
-                        out.append((path, fname, None, None, None, "no wanted sheet"))
+                    rows = [(path, fname, sheet, rn, cells, None)
+                            for sheet, rn, cells in parse_workbook(bytes(content), sheets)]
+                    if not rows:
+                        rows = [(path, fname, None, None, None, "no wanted sheet")]
                 except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
-                    out.append((path, fname, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(out, columns=["path", "file_name", "sheet", "row_no", "cells", "error"])
+                    rows = [(path, fname, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                for i in range(0, len(rows), chunk_rows):
+                    yield pd.DataFrame(rows[i:i + chunk_rows], columns=_COLS)
     return fn
 
 
