@@ -79,21 +79,19 @@ def single_sheet_files(rows: DataFrame) -> DataFrame:
             .withColumn("ok", F.col("n_sheets") == 1))
 
 
-def _only_single_sheet(rows: DataFrame) -> DataFrame:
-    ok = single_sheet_files(rows).filter("ok").select("file_name")
-    return rows.join(ok, "file_name", "left_semi")
-
-
 def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
     """Layout A: drop the 4 banner rows and the last row of each file, name the
-    14 positional columns, amounts to DECIMAL(18,2) (A8).
+    14 positional columns, amounts to DECIMAL(18,2) (A8). Files with more
+    than one non-empty sheet are left out (see :func:`single_sheet_files`).
 
     Banner rows are the four sheet rows starting at the first used row; the
-    trailer is the greatest row number. Both come from a per-file aggregate
-    (partial aggregation, no window over a whole file) joined back."""
-    rows = _only_single_sheet(rows)
-    bounds = rows.groupBy("file_name").agg(F.max("row_no").alias("_last"),
-                                          F.min("row_no").alias("_first"))
+    trailer is the greatest row number. One per-file aggregate (sheet count,
+    first and last row; partial aggregation, no window over a whole file) is
+    joined back: two passes over the rows."""
+    bounds = (rows.groupBy("file_name")
+              .agg(F.countDistinct("sheet").alias("_n_sheets"), F.max("row_no").alias("_last"),
+                   F.min("row_no").alias("_first"))
+              .filter(F.col("_n_sheets") == 1))
     body = join_small(rows, bounds, "file_name")
     body = body.filter((F.col("row_no") >= F.col("_first") + LAYOUT_A_BANNER_ROWS)
                        & (F.col("row_no") < F.col("_last")))
@@ -108,13 +106,14 @@ def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
 
 def read_balance_b(rows: DataFrame, record_path: bool = False) -> DataFrame:
     """Layout B: header in the first row, keep rows with a code, numeric cast
-    (A9). Columns are located by header text, so their order may vary."""
-    rows = _only_single_sheet(rows)
-    first = rows.groupBy("file_name").agg(F.min("row_no").alias("_hdr_row"))
-    r = join_small(rows, first, "file_name")
-    header = (r.filter(F.col("row_no") == F.col("_hdr_row"))
-              .select("file_name", F.col("cells").alias("_hdr")))
-    body = join_small(r.filter(F.col("row_no") > F.col("_hdr_row")), header, "file_name")
+    (A9). Columns are located by header text, so their order may vary. The
+    header array comes out of the same per-file aggregate as the sheet count
+    (``min_by``), so the rows are read twice, not four times."""
+    hdr = (rows.groupBy("file_name")
+           .agg(F.countDistinct("sheet").alias("_n_sheets"), F.min("row_no").alias("_hdr_row"),
+                F.min_by("cells", "row_no").alias("_hdr"))
+           .filter(F.col("_n_sheets") == 1))
+    body = join_small(rows, hdr, "file_name").filter(F.col("row_no") > F.col("_hdr_row"))
     out = [F.col("file_name").alias("company")]
     for c, h in LAYOUT_B_COLUMNS:
         pos = F.array_position(F.transform("_hdr", lambda x: F.trim(x)), F.lit(h))

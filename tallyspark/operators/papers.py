@@ -61,11 +61,14 @@ def read_range(rows: DataFrame, sheet: str, start: str, end: str, header: int =
     """Rectangle of one sheet from many files; row ``header`` of the range is
     the header (A4). Columns are located by header text per file, so files
     whose columns moved still line up; ``names`` defaults to the distinct
-    header texts (a bounded list). A file without the sheet gives no rows."""
+    header texts (a bounded list). A file without the sheet gives no rows.
+    The header array per file (one header row per file) comes from a small
+    aggregate joined back."""
     r1, _ = parse_ref(start)
     rr = range_rows(rows, sheet, start, end)
     hdr_row = r1 + header
-    hdr = rr.filter(F.col("row_no") == hdr_row).select("file_name", F.col("cells").alias("_hdr"))
+    hdr = (rr.filter(F.col("row_no") == hdr_row).groupBy("file_name")
+           .agg(F.first("cells", ignorenulls=True).alias("_hdr")))
     if names is None:
         names = collect_small_list(hdr.select(F.explode("_hdr").alias("h")), "h", 1000)
     body = join_small(rr.filter(F.col("row_no") > hdr_row), hdr, "file_name")
@@ -90,20 +93,19 @@ def auto_header(rows: DataFrame) -> DataFrame:
     not eligible; body = rows after it, as long ``(file_name, sheet, row_no,
     col_name, value)`` with trimmed header texts (A6).
 
-    One per-sheet aggregate (``min`` of ``struct(nulls, row_no)``) picks the
-    header; it is joined back, so no window spans a whole sheet."""
+    Per-sheet aggregates pick the header (``min`` of ``struct(nulls, row_no,
+    cells)`` carries the header array along) and are joined back, so no
+    window spans a whole sheet."""
     width = rows.groupBy("file_name", "sheet").agg(F.max(F.size("cells")).alias("_w"),
                                                    F.max("row_no").alias("_last"))
     r = join_small(rows, width, ["file_name", "sheet"])
     nn = F.size(F.filter("cells", lambda v: v.isNotNull()))
-    r = r.withColumn("_nulls", F.col("_w") - nn)
     pick = (r.filter(F.col("row_no") < F.col("_last"))
             .groupBy("file_name", "sheet")
-            .agg(F.min(F.struct("_nulls", "row_no")).alias("_m")))
-    hdr = join_small(rows, pick.select("file_name", "sheet", F.col("_m.row_no").alias("row_no")),
-                     ["file_name", "sheet", "row_no"], "left_semi") \
-        .select("file_name", "sheet", F.col("row_no").alias("_hdr_row"), F.col("cells").alias("_hdr"))
-    body = join_small(rows, hdr, ["file_name", "sheet"]).filter(F.col("row_no") > F.col("_hdr_row"))
+            .agg(F.min(F.struct((F.col("_w") - nn).alias("n"), F.col("row_no").alias("r"),
+                                F.col("cells").alias("c"))).alias("_m"))
+            .select("file_name", "sheet", F.col("_m.r").alias("_hdr_row"), F.col("_m.c").alias("_hdr")))
+    body = join_small(rows, pick, ["file_name", "sheet"]).filter(F.col("row_no") > F.col("_hdr_row"))
     c = body.select("file_name", "sheet", "row_no", "_hdr", F.posexplode("cells").alias("col_no", "value"))
     return c.filter(F.col("value").isNotNull()).select(
         "file_name", "sheet", "row_no", F.trim(F.get(F.col("_hdr"), F.col("col_no"))).alias("col_name"), "value")

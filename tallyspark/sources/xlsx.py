@@ -166,3 +166,28 @@ def scan_rejects(spark: SparkSession, path: str, sheets=None, recursive: bool =
                  glob: str = "*.{xlsx,xlsm}") -> DataFrame:
     return (read_workbooks(spark, path, recursive, glob, sheets)
             .filter(F.col("error").isNotNull()).select("path", "file_name", "error"))
+
+
+def ingest_workbooks(spark: SparkSession, folder: str, target: str, sheets=None,
+                     recursive: bool = True, glob: str = "*.{xlsx,xlsm}") -> None:
+    """Parse every workbook of a folder once into a Parquet sheet-rows table
+    partitioned by sheet; failed files are kept as rows with ``error`` set.
+
+    Flows read this table (:func:`sheet_rows`) instead of the live scan: a
+    flow touches its input several times (per-file aggregates joined back),
+    and re-reading Parquet is cheap and prunable, while re-running the
+    Python parse is not."""
+    (read_workbooks(spark, folder, recursive, glob, sheets)
+     .write.mode("overwrite").partitionBy("sheet").parquet(target))
+
+
+def sheet_rows(spark: SparkSession, table_path: str, sheets=None) -> DataFrame:
+    """Sheet rows of an ingested table; a sheet filter prunes partitions."""
+    df = spark.read.parquet(table_path).filter(F.col("error").isNull())
+    if sheets is not None:
+        df = df.filter(F.col("sheet").isin(list(sheets)))
+    return df.select("file_name", "sheet", "row_no", "cells")
+
+
+def sheet_rejects(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.parquet(table_path).filter(F.col("error").isNotNull()).select("path", "file_name", "error")

@@ -99,3 +99,22 @@ def test_ingest_jobs_write_tables(spark, scratch):
     J.ingest_balances(rows, t)
     back = spark.read.parquet(t).collect()
     assert [(r.company, r.acct_code, str(r.opening)) for r in back] == [("co", "1001", "1.00")]
+
+
+def test_ingest_then_flow_reads_the_table(spark, scratch):
+    from tallyspark.operators import counterparty as CP
+    d = os.path.join(scratch, "papers")
+    os.makedirs(d)
+    cf2 = {1: ["banner"], 2: ["b"], 3: ["b"]}
+    row = [None] * 46
+    row[11], row[12], row[13], row[16] = "客户甲", "往来", 5, 7
+    cf2[4] = row
+    write_xlsx(os.path.join(d, "丙公司.xlsx"), {"CF2": cf2})
+    with open(os.path.join(d, "坏.xlsx"), "wb") as fh:
+        fh.write(b"junk")
+    t = os.path.join(scratch, "sheet_rows")
+    XS.ingest_workbooks(spark, d, t, sheets=["CF2"])
+    rows = XS.sheet_rows(spark, t, ["CF2"])
+    out = CP.extract(rows, "其他应收款").collect()
+    assert [(r["文件名"], r["名称"], r["期末余额"]) for r in out] == [("丙公司", "客户甲", "7")]
+    assert [r.file_name for r in XS.sheet_rejects(spark, t).collect()] == ["坏"]
