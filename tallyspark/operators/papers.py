@@ -56,27 +56,46 @@ def range_rows(rows: DataFrame, sheet: str, start: str, end: str) -> DataFrame:
                       F.transform(F.sequence(F.lit(c1), F.lit(c2)), lambda i: F.get(F.col("cells"), i)).alias("cells"))
 
 
-def read_range(rows: DataFrame, sheet: str, start: str, end: str, header: int = 0,
-               names=None, file_col: str = "文件名") -> DataFrame:
-    """Rectangle of one sheet from many files; row ``header`` of the range is
-    the header (A4). Columns are located by header text per file, so files
-    whose columns moved still line up; ``names`` defaults to the distinct
-    header texts (a bounded list). A file without the sheet gives no rows.
-    The header array per file (one header row per file) comes from a small
-    aggregate joined back."""
-    r1, _ = parse_ref(start)
-    rr = range_rows(rows, sheet, start, end)
-    hdr_row = r1 + header
-    hdr = (rr.filter(F.col("row_no") == hdr_row).groupBy("file_name")
+def read_ranges(rows: DataFrame, specs, names, header: int = 0, file_col: str = "文件名",
+                tag_col: str = "table") -> DataFrame:
+    """Several rectangles read in one pass (A4 for many ranges at once).
+
+    ``specs`` is a list of ``(tag, sheet, start, end)``; every range's row
+    ``header`` is its header and columns are located by header text per file,
+    so files whose columns moved still line up. Each sheet row is matched to
+    the ranges that contain it by exploding the (fixed, short) range list;
+    the header arrays come from one aggregate per (file, range) joined back.
+    A file without the sheet gives no rows."""
+    ranges = []
+    for tag, sheet, start, end in specs:
+        (r1, c1), (r2, c2) = parse_ref(start), parse_ref(end)
+        ranges.append(F.struct(F.lit(tag).alias("tag"), F.lit(sheet).alias("sheet"), F.lit(r1).alias("r1"),
+                               F.lit(r2).alias("r2"), F.lit(c1).alias("c1"), F.lit(c2).alias("c2")))
+    sheets = sorted({sp[1] for sp in specs})
+    cand = (rows.filter(F.col("sheet").isin(sheets))
+            .select("file_name", "sheet", "row_no", "cells", F.explode(F.array(*ranges)).alias("_s"))
+            .filter((F.col("sheet") == F.col("_s.sheet")) & F.col("row_no").between(F.col("_s.r1"), F.col("_s.r2")))
+            .select("file_name", "row_no", F.col("_s.tag").alias("_tag"),
+                    (F.col("_s.r1") + header).alias("_hdr_row"),
+                    F.transform(F.sequence(F.col("_s.c1"), F.col("_s.c2")),
+                                lambda i: F.get(F.col("cells"), i)).alias("cells")))
+    hdr = (cand.filter(F.col("row_no") == F.col("_hdr_row")).groupBy("file_name", "_tag")
            .agg(F.first("cells", ignorenulls=True).alias("_hdr")))
     if names is None:
         names = collect_small_list(hdr.select(F.explode("_hdr").alias("h")), "h", 1000)
-    body = join_small(rr.filter(F.col("row_no") > hdr_row), hdr, "file_name")
+    body = join_small(cand.filter(F.col("row_no") > F.col("_hdr_row")), hdr, ["file_name", "_tag"])
     cols = []
     for n in names:
         pos = F.array_position("_hdr", F.lit(n))
         cols.append(F.when(pos > 0, F.try_element_at("cells", pos.cast("int"))).alias(n))
-    return body.select(F.col("file_name").alias(file_col), "row_no", *cols)
+    return body.select(F.col("file_name").alias(file_col), "row_no", *cols, F.col("_tag").alias(tag_col))
+
+
+def read_range(rows: DataFrame, sheet: str, start: str, end: str, header: int = 0,
+               names=None, file_col: str = "文件名") -> DataFrame:
+    """Rectangle ``start:end`` of one sheet from many files, header row
+    ``header`` of the range (A4); see :func:`read_ranges`."""
+    return read_ranges(rows, [("_", sheet, start, end)], names, header, file_col).drop("table")
 
 
 def used_range(rows: DataFrame) -> DataFrame:

@@ -429,13 +429,9 @@ def q_read_range(spark, d):
 
 
 def _audited(spark, d):
-    rows = _papers(spark, d)
-    out = None
-    for name, a, b in AUDIT_RANGES:
-        t = (P.read_range(rows, "8_费用", a, b, names=EXP_NAMES, file_col="公司")
-             .filter(F.col("本期未审").isNotNull()).withColumn("table", F.lit(name)))
-        out = t if out is None else out.unionByName(t)
-    return out
+    specs = [(name, "8_费用", a, b) for name, a, b in AUDIT_RANGES]
+    return (P.read_ranges(_papers(spark, d), specs, EXP_NAMES, file_col="公司")
+            .filter(F.col("本期未审").isNotNull()))
 
 
 @register("expense_papers_audited")
@@ -483,12 +479,8 @@ def q_append_block(spark, d):
 
 
 def _yoy(spark, d):
-    rows = _papers(spark, d)
-    out = None
-    for name, a, b in YOY_RANGES:
-        t = P.read_range(rows, "8", a, b, names=YOY_NAMES, file_col="公司").withColumn("table", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
+    specs = [(name, "8", a, b) for name, a, b in YOY_RANGES]
+    return P.read_ranges(_papers(spark, d), specs, YOY_NAMES, file_col="公司")
 
 
 def _yoy_block_cells(yoy):
