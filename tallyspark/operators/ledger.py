@@ -77,11 +77,12 @@ def place_fixed(summary: DataFrame, keys=("company",), starts=None,
     return _cells_from_lines(lines, keys, sheet)
 
 
-def slot_counts(template_rows: DataFrame, areas=EXPENSE_AREAS, max_row: int | None = None,
+def slot_counts(template_rows: DataFrame, areas=EXPENSE_AREAS, max_row: int | None = 600,
                 sheet: str = SHEET_EXPENSE) -> DataFrame:
     """Template slots per area: occurrences of the area label in column A of
-    the expense sheet, minus 2 (E7). ``max_row`` bounds the scanned range
-    (the source reads A1:A500 or A1:A600)."""
+    the expense sheet, minus 2 (E7). ``max_row`` bounds the scanned range:
+    the source reads A1:A600 (A1:A500 in its other engine); ``None`` counts
+    the whole column."""
     r = template_rows.filter(F.col("sheet") == sheet)
     if max_row is not None:
         r = r.filter(F.col("row_no") <= max_row)

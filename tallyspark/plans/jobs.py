@@ -56,10 +56,10 @@ def ledger_to_cells(ledger: DataFrame, scope: DataFrame | None, average_rate,
 
 
 def ledger_to_cells_dynamic(ledger: DataFrame, template_rows: DataFrame,
-                            legacy_offsets: bool = False) -> DataFrame:
+                            legacy_offsets: bool = False, max_row: int | None = 600) -> DataFrame:
     """Ledger -> summary -> cells with slot-driven starts (H6, second form)."""
     summary = L.expense_summary(L.parse_ledger(ledger))
-    return L.place_dynamic(summary, L.slot_counts(template_rows), legacy_offsets)
+    return L.place_dynamic(summary, L.slot_counts(template_rows, max_row=max_row), legacy_offsets)
 
 
 def split_ledger(ledger: DataFrame, scope: DataFrame) -> DataFrame:

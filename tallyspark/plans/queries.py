@@ -204,17 +204,17 @@ def q_place_fixed(spark, d):
 
 @register("slot_counts")
 def q_slot_counts(spark, d):
-    return L.slot_counts(X.expense_template(spark, d))
+    return L.slot_counts(X.expense_template(spark, d), max_row=None)
 
 
 @register("place_dynamic_plan")
 def q_dynamic_plan(spark, d):
-    return L.dynamic_plan(_summary(spark, d), L.slot_counts(X.expense_template(spark, d)))
+    return L.dynamic_plan(_summary(spark, d), L.slot_counts(X.expense_template(spark, d), max_row=None))
 
 
 @register("place_dynamic")
 def q_place_dynamic(spark, d):
-    return L.place_dynamic(_summary(spark, d), L.slot_counts(X.expense_template(spark, d)))
+    return L.place_dynamic(_summary(spark, d), L.slot_counts(X.expense_template(spark, d), max_row=None))
 
 
 @register("ledger_to_cells")
@@ -631,7 +631,8 @@ def q_coalesce_zero(spark, d):
 
 @register("ledger_to_cells_dynamic")
 def q_ledger_to_cells_dynamic(spark, d):
-    return J.ledger_to_cells_dynamic(X.ledger(spark, d), X.expense_template(spark, d))
+    # the fixture's template column covers every customer row: count all of it
+    return J.ledger_to_cells_dynamic(X.ledger(spark, d), X.expense_template(spark, d), max_row=None)
 
 
 @register("ingest_balances")
