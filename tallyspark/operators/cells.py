@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.operators.joins import broadcast_if_small, collect_small_list, small_config
+from tallyspark.operators.joins import broadcast_if_small, collect_small_list, is_small, small_config
 from tallyspark.schemas import (AVERAGE_RATE_SHEETS, CLOSING_RATE_SHEETS, MONEY, RATE,
                                 SHEET_EXPENSE)
 
@@ -36,9 +36,10 @@ def join_rules_balances(long: DataFrame, parts: DataFrame, keys=("company",),
     the shuffle of the outer join."""
     keys = list(keys)
     parts = small_config(parts)
-    small = broadcast_if_small(parts)
+    ok = is_small(parts)
+    small = broadcast_if_small(parts, small=ok)
     grid = job_grid(long, parts, keys, companies, sheets).join(small, "sheet")
-    pairs = broadcast_if_small(parts.select("acct_code", "item").distinct())
+    pairs = broadcast_if_small(parts.select("acct_code", "item").distinct(), small=ok)
     narrowed = (long.select(*keys, "acct_code", "item", "amount")
                 .join(pairs, ["acct_code", "item"], "left_semi"))
     return grid.join(narrowed, keys + ["acct_code", "item"], "left")
@@ -62,12 +63,13 @@ def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = No
     matched nothing from the (company x sheet) grid."""
     keys = list(keys)
     parts = small_config(parts)
-    small = broadcast_if_small(parts)
+    ok = is_small(parts)
+    small = broadcast_if_small(parts, small=ok)
     matched = (long.select(*keys, "acct_code", "item", "amount")
                .join(small, ["acct_code", "item"])
                .groupBy(*keys, "sheet", "cell")
                .agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
-    cells = broadcast_if_small(parts.select("sheet", "cell").distinct())
+    cells = broadcast_if_small(parts.select("sheet", "cell").distinct(), small=ok)
     grid = job_grid(long, parts, keys, companies, sheets).join(cells, "sheet")
     out = grid.join(matched, keys + ["sheet", "cell"], "left")
     base = F.coalesce(F.round("_raw", 2), F.lit(0).cast(MONEY))

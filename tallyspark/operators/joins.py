@@ -28,10 +28,17 @@ def small_config(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the row count; otherwise leave
-    the choice to Catalyst/AQE (sort-merge or shuffled hash join)."""
-    return F.broadcast(df) if bounded_count(df, max_rows) <= max_rows else df
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    return bounded_count(df, max_rows) <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+    """Hint a broadcast only after checking the row count (or when ``small``
+    is already known, e.g. for a projection of a checked table); otherwise
+    leave the choice to Catalyst/AQE (sort-merge or shuffled hash join)."""
+    if small is None:
+        small = is_small(df, max_rows)
+    return F.broadcast(df) if small else df
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import not_contains
-from tallyspark.operators.joins import broadcast_if_small, join_small, small_config
+from tallyspark.operators.joins import broadcast_if_small, is_small, join_small, small_config
 from tallyspark.schemas import (BALANCE_AMOUNT_TYPES, INCOME_AMOUNT_TYPES, MARK_CUR_ASSETS_TOTAL,
                                 MARK_CUR_LIAB_TOTAL, MARK_EQUITY_START, MARK_EQUITY_TOTAL,
                                 MARK_NONCUR_ASSETS_TOTAL, MARK_NONCUR_LIAB_START, MARK_NONCUR_LIAB_TOTAL,
@@ -156,13 +156,14 @@ def statement_cells(long: DataFrame, parts: DataFrame, sheet: str = "原报表",
     rules, partial aggregate, fill unmatched cells per file."""
     from tallyspark.operators.cells import job_grid
     p = small_config(parts.filter(F.col("sheet") == sheet))
-    small = broadcast_if_small(p)
+    ok = is_small(p)
+    small = broadcast_if_small(p, small=ok)
     matched = (long.select("file_name", F.col("line_key").alias("acct_code"),
                            F.col("amount_type").alias("item"), "amount")
                .join(small, ["acct_code", "item"])
                .groupBy("file_name", "sheet", "cell")
                .agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
-    cells = broadcast_if_small(p.select("sheet", "cell").distinct())
+    cells = broadcast_if_small(p.select("sheet", "cell").distinct(), small=ok)
     files = files if files is not None else long.select("file_name").distinct()
     grid = job_grid(files, p, ["file_name"], files, [sheet]).join(cells, "sheet")
     out = grid.join(matched, ["file_name", "sheet", "cell"], "left")
