@@ -21,13 +21,12 @@ def _split_or_single(c: str, is_split):
 
 def _prepared(rules: DataFrame) -> DataFrame:
     is_split = F.coalesce(F.col("accts").contains("|"), F.lit(False))
-    return (rules
-            .withColumn("_split", is_split)
-            .withColumn("_a", _split_or_single("accts", is_split))
-            .withColumn("_o", _split_or_single("ops", is_split))
-            .withColumn("_i", _split_or_single("items", is_split))
-            .withColumn("_cell", F.when(is_split, F.regexp_replace("cell", "\n", ""))
-                        .otherwise(F.col("cell"))))
+    return rules.select(
+        "*", is_split.alias("_split"),
+        _split_or_single("accts", is_split).alias("_a"),
+        _split_or_single("ops", is_split).alias("_o"),
+        _split_or_single("items", is_split).alias("_i"),
+        F.when(is_split, F.regexp_replace("cell", "\n", "")).otherwise(F.col("cell")).alias("_cell"))
 
 
 def _valid(df: DataFrame):
