@@ -107,6 +107,22 @@ def used_range(rows: DataFrame) -> DataFrame:
                                                (F.max("_last") + 1).alias("n_cols"))
 
 
+def read_used_range(rows: DataFrame, sheet: str | None = None, auto: bool = True) -> DataFrame:
+    """Used range of a named sheet, or of each file's first sheet (needs the
+    scan's ``sheet_idx``), optionally with the header detected (A7). Empty
+    rows and cells are absent from sheet rows, so the used range is the rows
+    themselves; :func:`used_range` reports its bounds."""
+    if sheet is not None:
+        picked = rows.filter(F.col("sheet") == sheet)
+    else:
+        if "sheet_idx" not in rows.columns:
+            raise ValueError("first-sheet selection needs sheet_idx from the workbook scan")
+        first = rows.groupBy("file_name").agg(F.min("sheet_idx").alias("sheet_idx"))
+        picked = rows.join(first, ["file_name", "sheet_idx"], "left_semi")
+    picked = picked.select("file_name", "sheet", "row_no", "cells")
+    return auto_header(picked) if auto else picked
+
+
 def auto_header(rows: DataFrame) -> DataFrame:
     """Header row = the first row with the fewest empty cells, the last row
     not eligible; body = rows after it, as long ``(file_name, sheet, row_no,

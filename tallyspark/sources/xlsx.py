@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCAN_SCHEMA = "path string, file_name string, sheet string, row_no int, cells array<string>, error string"
+SCAN_SCHEMA = ("path string, file_name string, sheet string, sheet_idx int, row_no int, cells array<string>, "
+               "error string")
 
 _NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -86,13 +87,14 @@ def _cell_value(c, shared: list[str]):
 
 
 def parse_workbook(content: bytes, sheets=None):
-    """Yield ``(sheet, row_no, cells)`` for the wanted sheets (all if None).
+    """Yield ``(sheet, sheet_idx, row_no, cells)`` for the wanted sheets (all
+    if None); ``sheet_idx`` is the sheet's position in the workbook.
     Row and column numbers come from the cell references, not from
     counting, so empty cells and rows are simply absent."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = _shared_strings(z)
         targets = _sheet_targets(z)
-        for name, part in targets.items():
+        for idx, (name, part) in enumerate(targets.items()):
             if sheets is not None and name not in sheets:
                 continue
             with z.open(part) as fh:
@@ -110,7 +112,7 @@ def parse_workbook(content: bytes, sheets=None):
                     if vals:
                         rn = int(el.get("r")) if el.get("r") else _row_of(next(iter(el.iterfind("{*}c"))).get("r"))
                         width = max(vals) + 1
-                        yield name, rn, [vals.get(i) for i in range(width)]
+                        yield name, idx, rn, [vals.get(i) for i in range(width)]
                     el.clear()
 
 
@@ -123,7 +125,7 @@ def _file_name(path: str, suffixes=(".xlsx", ".xlsm", ".xls")) -> str:
 
 
 OUT_CHUNK_ROWS = 20_000
-_COLS = ["path", "file_name", "sheet", "row_no", "cells", "error"]
+_COLS = ["path", "file_name", "sheet", "sheet_idx", "row_no", "cells", "error"]
 
 
 def _scan_batches(sheets, chunk_rows: int = OUT_CHUNK_ROWS):
@@ -136,12 +138,12 @@ def _scan_batches(sheets, chunk_rows: int = OUT_CHUNK_ROWS):
             for path, content in zip(pdf["path"], pdf["content"]):
                 fname = _file_name(path)
                 try:
-                    rows = [(path, fname, sheet, rn, cells, None)
-                            for sheet, rn, cells in parse_workbook(bytes(content), sheets)]
+                    rows = [(path, fname, sheet, idx, rn, cells, None)
+                            for sheet, idx, rn, cells in parse_workbook(bytes(content), sheets)]
                     if not rows:
-                        rows = [(path, fname, None, None, None, "no wanted sheet")]
+                        rows = [(path, fname, None, None, None, None, "no wanted sheet")]
                 except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
-                    rows = [(path, fname, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                    rows = [(path, fname, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
                 for i in range(0, len(rows), chunk_rows):
                     yield pd.DataFrame(rows[i:i + chunk_rows], columns=_COLS)
     return fn
@@ -181,12 +183,14 @@ def ingest_workbooks(spark: SparkSession, folder: str, target: str, sheets=None,
      .write.mode("overwrite").partitionBy("sheet").parquet(target))
 
 
-def sheet_rows(spark: SparkSession, table_path: str, sheets=None) -> DataFrame:
-    """Sheet rows of an ingested table; a sheet filter prunes partitions."""
+def sheet_rows(spark: SparkSession, table_path: str, sheets=None, with_index: bool = False) -> DataFrame:
+    """Sheet rows of an ingested table; a sheet filter prunes partitions.
+    ``with_index`` keeps each sheet's workbook position (``sheet_idx``)."""
     df = spark.read.parquet(table_path).filter(F.col("error").isNull())
     if sheets is not None:
         df = df.filter(F.col("sheet").isin(list(sheets)))
-    return df.select("file_name", "sheet", "row_no", "cells")
+    cols = ["file_name", "sheet", "row_no", "cells"] + (["sheet_idx"] if with_index else [])
+    return df.select(*cols)
 
 
 def sheet_rejects(spark: SparkSession, table_path: str) -> DataFrame:

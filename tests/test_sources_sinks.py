@@ -118,3 +118,18 @@ def test_ingest_then_flow_reads_the_table(spark, scratch):
     out = CP.extract(rows, "其他应收款").collect()
     assert [(r["文件名"], r["名称"], r["期末余额"]) for r in out] == [("丙公司", "客户甲", "7")]
     assert [r.file_name for r in XS.sheet_rejects(spark, t).collect()] == ["坏"]
+
+
+def test_used_range_of_first_sheet(spark, scratch):
+    from tallyspark.operators import papers as P
+    d = os.path.join(scratch, "wb")
+    os.makedirs(d)
+    write_xlsx(os.path.join(d, "a.xlsx"), {"Z首": {1: ["t"], 2: ["h1", "h2"], 3: ["1", "2"], 4: ["x"]},
+                                           "A次": {1: ["other"], 2: ["o"]}})
+    t = os.path.join(scratch, "rows")
+    XS.ingest_workbooks(spark, d, t)
+    rows = XS.sheet_rows(spark, t, with_index=True)
+    got = rows_of(P.read_used_range(rows), "sheet", "row_no", "col_name", "value")
+    assert got == [("Z首", 3, "h1", "1"), ("Z首", 3, "h2", "2"), ("Z首", 4, "h1", "x")]
+    named = rows_of(P.read_used_range(rows, sheet="A次", auto=False), "sheet", "row_no")
+    assert named == [("A次", 1), ("A次", 2)]
