@@ -11,10 +11,6 @@ from tallyspark.schemas import (HEADER_OF, LAYOUT_A_AMOUNTS, LAYOUT_A_BANNER_ROW
 from tallyspark.operators.joins import join_small
 
 
-def _sql_ident(c: str) -> str:
-    return f"`{c}`"
-
-
 def unpivot_amounts(wide: DataFrame, amount_cols, keep_cols, labels: dict | None = None,
                     drop_nulls: bool = True) -> DataFrame:
     """Wide amounts -> ``(keep..., item, amount)``.

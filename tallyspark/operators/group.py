@@ -36,12 +36,10 @@ def split_statements(balance: DataFrame, income: DataFrame, company_col: str = "
 def split_balances(group_balances: DataFrame, company_col: str = "公司名称") -> DataFrame:
     """Group balance export with trailing-minus text -> numbers in the eight
     amount columns, keyed by company for a partitioned write (B4)."""
-    names = dict(LAYOUT_B_COLUMNS)
     out = [F.col(company_col).alias("company")]
     for c, h in LAYOUT_B_COLUMNS:
         v = F.col(h)
         out.append((parse_trailing_minus(v) if c.startswith(("fc_", "lc_")) else v).alias(c))
-    _ = names
     return group_balances.select(*out)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions.exprs import as_text_label, cell_ref, not_contains
-from tallyspark.operators.joins import broadcast_if_small, collect_small_list, join_small
+from tallyspark.operators.joins import collect_small_list, join_small
 
 
 def parse_ref(ref: str) -> tuple[int, int]:

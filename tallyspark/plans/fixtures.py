@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyspark.schemas import MONEY, RATE, RATES_SCHEMA, RULES_SCHEMA
+from tallyspark.schemas import MONEY, RATE, RULES_SCHEMA
 from tallyspark.sources.tables import table
 
 CUTOFF = "1998-01-01 00:00:00"
@@ -161,8 +160,6 @@ def rates(spark: SparkSession) -> DataFrame:
         "sheet", F.col("rate").cast(RATE).alias("rate"))
 
 
-_ = (T, RATES_SCHEMA)
-
 
 # ---------------------------------------------------------------------------
 # Ledger, scope, expense template.

@@ -110,8 +110,6 @@ def q_reconcile(spark, d):
     return R.reconcile(_long_a(spark, d), _parts(spark, d))
 
 
-_ = F
-
 
 # --- layout B and sheet readers -------------------------------------------
 

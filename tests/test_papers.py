@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from tallyspark.operators import ledger as L
 from tallyspark.operators import papers as P
@@ -69,8 +68,6 @@ def test_text_label_prefix(spark):
     assert rows_of(df.select(as_text_label("v").alias("v")), "v") == [("'a",), (None,)]
 
 
-_ = F
-
 
 def test_short_rows_do_not_fail_under_ansi(spark):
     from tallyspark.operators import balances as B

@@ -1,6 +1,4 @@
-from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from tallyspark.operators import rules as RU
 from tallyspark.schemas import RULES_SCHEMA
@@ -56,5 +54,3 @@ def test_read_rules_by_header_text(spark):
     out = RU.read_rules(rows).collect()[0]
     assert (out.cell, out.accts, out.ops, out.items) == ("E5", "1001", "+", "x")
 
-
-_ = (F, Decimal)
