@@ -122,4 +122,26 @@ def extract(rows: DataFrame, spec: Extract | str) -> DataFrame:
 
 
 def extract_all(rows: DataFrame) -> dict:
+    """The seven tables as separate DataFrames (one output each)."""
     return {e.name: extract(rows, e) for e in EXTRACTS}
+
+
+def extract_all_long(rows: DataFrame, specs=None) -> DataFrame:
+    """All tables in one pass: ``(table, file_name, row_no, values)`` where
+    ``values`` is the table's column slice in header order. Each row is
+    exploded into the (fixed, short) list of tables of its sheet and kept by
+    that table's own rule."""
+    specs = list(specs or EXTRACTS)
+    arr = F.array(*[F.struct(F.lit(e.name).alias("name"), F.lit(e.sheet).alias("sheet"),
+                             F.lit(e.skip).alias("skip"), F.lit(e.first).alias("first"),
+                             F.lit(e.last).alias("last")) for e in specs])
+    x = (rows.filter(F.col("sheet").isin(sorted({e.sheet for e in specs})))
+         .select("file_name", "sheet", "row_no", "cells", F.explode(arr).alias("_s"))
+         .filter((F.col("sheet") == F.col("_s.sheet")) & (F.col("row_no") > F.col("_s.skip"))))
+    keep = None
+    for e in specs:
+        keep = (F.when(F.col("_s.name") == e.name, e.keep()) if keep is None
+                else keep.when(F.col("_s.name") == e.name, e.keep()))
+    x = x.filter(F.coalesce(keep, F.lit(False)))
+    values = F.transform(F.sequence(F.col("_s.first"), F.col("_s.last")), lambda i: F.get(F.col("cells"), i))
+    return x.select(F.col("_s.name").alias("table"), "file_name", "row_no", values.alias("values"))

@@ -55,19 +55,23 @@ def place_statement(balance: DataFrame, income: DataFrame, bal_cols=(2, 6), inc_
         cols = [c for c in df.columns if c != "company"]
         return cols[i]
 
-    def down(df, value_col, start, limit=None):
-        from tallyspark.operators.papers import parse_ref
-        r, c = parse_ref(start)
+    from tallyspark.operators.papers import parse_ref
+
+    def positioned(df, limit=None):
         w = Window.partitionBy("company").orderBy(order_col)
         d = df.withColumn("_k", F.row_number().over(w) - 1)
-        if limit is not None:
-            d = d.filter(F.col("_k") < limit)
+        return d.filter(F.col("_k") < limit) if limit is not None else d
+
+    def cell(start, value_col):
+        r, _ = parse_ref(start)
         letter = start.rstrip("0123456789")
-        return d.select("company", F.lit(sheet).alias("sheet"),
-                        F.concat(F.lit(letter), (F.col("_k") + r).cast("string")).alias("cell"),
+        return F.struct(F.concat(F.lit(letter), (F.col("_k") + r).cast("string")).alias("cell"),
                         F.col(f"`{value_col}`").cast(MONEY).alias("amount"))
 
-    a = down(balance, col_at(balance, bal_cols[0]), starts[0])
-    b = down(balance, col_at(balance, bal_cols[1]), starts[1])
-    c = down(income, col_at(income, inc_col), starts[2], n_income)
-    return a.unionByName(b).unionByName(c)
+    # both balance columns from one numbered pass; the income column from another
+    bal = positioned(balance).select(
+        "company", F.lit(sheet).alias("sheet"),
+        F.inline(F.array(cell(starts[0], col_at(balance, bal_cols[0])), cell(starts[1], col_at(balance, bal_cols[1])))))
+    inc = positioned(income, n_income).select(
+        "company", F.lit(sheet).alias("sheet"), F.inline(F.array(cell(starts[2], col_at(income, inc_col)))))
+    return bal.unionByName(inc)

@@ -55,15 +55,14 @@ def _numbered(summary: DataFrame, keys) -> DataFrame:
 
 
 def _cells_from_lines(lines: DataFrame, keys, sheet: str) -> DataFrame:
-    """Line rows with ``row_no`` -> cell rows: text in C, amount in E."""
-    text = lines.select(*keys, F.lit(sheet).alias("sheet"),
-                        F.concat(F.lit("C"), F.col("row_no").cast("string")).alias("cell"),
-                        F.col("gl_text").alias("text"),
-                        F.lit(None).cast(lines.schema["amount"].dataType).alias("amount"))
-    amt = lines.select(*keys, F.lit(sheet).alias("sheet"),
-                       F.concat(F.lit("E"), F.col("row_no").cast("string")).alias("cell"),
-                       F.lit(None).cast("string").alias("text"), F.col("amount"))
-    return text.unionByName(amt)
+    """Line rows with ``row_no`` -> cell rows: text in C, amount in E (one
+    pass: each line yields its two cells)."""
+    amount_type = lines.schema["amount"].dataType
+    text = F.struct(F.concat(F.lit("C"), F.col("row_no").cast("string")).alias("cell"),
+                    F.col("gl_text").alias("text"), F.lit(None).cast(amount_type).alias("amount"))
+    amt = F.struct(F.concat(F.lit("E"), F.col("row_no").cast("string")).alias("cell"),
+                   F.lit(None).cast("string").alias("text"), F.col("amount").alias("amount"))
+    return lines.select(*keys, F.lit(sheet).alias("sheet"), F.inline(F.array(text, amt)))
 
 
 def place_fixed(summary: DataFrame, keys=("company",), starts=None,

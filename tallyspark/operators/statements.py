@@ -57,14 +57,16 @@ def read_income(rows: DataFrame, rng=INCOME_RANGE) -> DataFrame:
 
 def stack_panels(panels: DataFrame) -> DataFrame:
     """Side-by-side assets / liabilities -> one column set with ``panel``;
-    null names become '' and names are trimmed (F5, C8)."""
+    null names become '' and names are trimmed (F5, C8). One pass: each row
+    is exploded into its two panels."""
     def side(name, close, open_, tag):
-        return panels.select("file_name", "row_no", F.lit(tag).alias("panel"),
-                             F.trim(F.coalesce(F.col(name), F.lit(""))).alias("item"),
-                             F.col(close).try_cast(MONEY).alias("close"),
-                             F.col(open_).try_cast(MONEY).alias("open"))
-    return side("asset", "asset_close", "asset_open", "assets").unionByName(
-        side("liab", "liab_close", "liab_open", "liab"))
+        return F.struct(F.lit(tag).alias("panel"),
+                        F.trim(F.coalesce(F.col(name), F.lit(""))).alias("item"),
+                        F.col(close).try_cast(MONEY).alias("close"),
+                        F.col(open_).try_cast(MONEY).alias("open"))
+    return panels.select("file_name", "row_no", F.inline(F.array(
+        side("asset", "asset_close", "asset_open", "assets"),
+        side("liab", "liab_close", "liab_open", "liab"))))
 
 
 def _first(panel: str, marker: str):
@@ -104,11 +106,12 @@ def section_lines(stacked: DataFrame) -> DataFrame:
            .when(l_ & (rn < F.col("m_cl")), SECTION_CUR_LIAB)
            .when(l_ & (rn >= F.col("m_ncl0")) & (rn < F.col("m_ncl")), SECTION_NONCUR_LIAB)
            .when(l_ & (rn >= F.col("m_eq0")) & (rn < F.col("m_eq")), SECTION_EQUITY))
-    base = j.select("file_name", "row_no", "panel", "item", "close", "open")
-    sections = j.select("file_name", "row_no", "panel", "item", "close", "open", cat.alias("category")) \
-        .filter(F.col("category").isNotNull())
-    totals = base.filter(F.col("item").contains(MARK_TOTAL)).withColumn("category", F.lit(SECTION_TOTAL))
-    out = sections.unionByName(totals)
+    # one pass: every line yields its section and, if it is a total line, a
+    # second copy in the totals section
+    total = F.when(F.col("item").contains(MARK_TOTAL), F.lit(SECTION_TOTAL))
+    out = (j.select("file_name", "row_no", "panel", "item", "close", "open",
+                    F.explode(F.array(cat, total)).alias("category"))
+           .filter(F.col("category").isNotNull()))
     return out.withColumn("line_key", F.concat_ws("_", "item", "category"))
 
 

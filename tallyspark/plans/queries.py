@@ -279,14 +279,8 @@ for _key, _name in [("counterparty_other_receivables", "其他应收款"),
 @register("counterparty_extract")
 def q_counterparty_extract(spark, d):
     """All seven tables in one pass over the sheet rows, tagged by table."""
-    rows = _cp(spark, d)
-    out = None
-    for name, df in CP.extract_all(rows).items():
-        vals = [c for c in df.columns if c not in ("文件名", "row_no")]
-        t = df.select(F.lit(name).alias("table"), F.col("文件名").alias("file_name"), "row_no",
-                      F.concat_ws("|", *[F.col(f"`{c}`") for c in vals]).alias("values"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    x = CP.extract_all_long(_cp(spark, d))
+    return x.select("table", "file_name", "row_no", F.concat_ws("|", "values").alias("values"))
 
 
 @register("project_positional")

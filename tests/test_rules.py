@@ -1,5 +1,3 @@
-
-
 from tallyspark.operators import rules as RU
 from tallyspark.schemas import RULES_SCHEMA
 from conftest import rows_of
