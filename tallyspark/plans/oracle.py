@@ -1014,3 +1014,11 @@ ORACLE["ingest_statements"] = ORACLE["read_statement_ranges"]
 ORACLE["ingest_group"] = with_(TB, BAL_B) + """
 SELECT company, acct_code, acct_name, currency, CAST(fc_opening AS DOUBLE) AS fc_opening, CAST(fc_debit AS DOUBLE) AS fc_debit,
  CAST(fc_credit AS DOUBLE) AS fc_credit, CAST(fc_closing AS DOUBLE) AS fc_closing FROM bal_b"""
+
+ORACLE["rule_rejects"] = with_(TB, RULES) + """
+SELECT sheet, cell, accts, ops, items, 'pipe lists of unequal length or missing field' AS reason
+FROM rules
+WHERE accts LIKE '%|%'
+  AND (cell IS NULL OR ops IS NULL OR items IS NULL
+       OR len(string_split(replace(accts, chr(10), ''), '|')) <> len(string_split(replace(ops, chr(10), ''), '|'))
+       OR len(string_split(replace(accts, chr(10), ''), '|')) <> len(string_split(replace(items, chr(10), ''), '|')))"""

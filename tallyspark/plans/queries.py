@@ -648,3 +648,9 @@ def q_list_files(spark, d):
     """The folder of the given tables, listed without reading contents."""
     from tallyspark.sources.files import list_files
     return list_files(spark, d, recursive=True, suffixes=("parquet",)).select("name", "length")
+
+
+@register("rule_rejects")
+def q_rule_rejects(spark, d):
+    """Rule rows the source would fail on (C12 guard)."""
+    return RU.rule_rejects(X.rules(spark, d))
