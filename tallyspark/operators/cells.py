@@ -56,7 +56,8 @@ def sheet_rates(closing_rate, average_rate) -> list:
 def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = None,
                  keys=("company",), companies: DataFrame | None = None, sheets=None) -> DataFrame:
     """``round(sum(amount * sign), 2)`` per (company, sheet, cell); no match
-    gives 0; times the sheet rate; rounded again (E2 + G1).
+    gives 0; times the sheet rate; rounded again (E2 + G1). ``rates`` is
+    ``(sheet, rate)`` or, per entity, ``(company, sheet, rate)``.
 
     Plan: broadcast rules onto the long balances (no shuffle of the big side),
     partial-aggregate to one row per company-cell, then fill the cells that
@@ -74,8 +75,10 @@ def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = No
     out = grid.join(matched, keys + ["sheet", "cell"], "left")
     base = F.coalesce(F.round("_raw", 2), F.lit(0).cast(MONEY))
     if rates is not None:
-        out = out.join(broadcast_if_small(rates.select("sheet", F.col("rate").cast(RATE).alias("_rate"))),
-                       "sheet", "left")
+        # rates by sheet, or by (company, sheet) when the table carries the keys
+        on = [k for k in keys if k in rates.columns] + ["sheet"]
+        out = out.join(broadcast_if_small(rates.select(*on, F.col("rate").cast(RATE).alias("_rate"))),
+                       on, "left")
         rate = F.coalesce(F.col("_rate"), F.lit(1).cast(RATE))
     else:
         rate = F.lit(1).cast(RATE)

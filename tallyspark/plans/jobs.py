@@ -157,3 +157,23 @@ def ingest_group(group_balances: DataFrame, n_cols: int = 8, target: str | None
     if target:
         replace_table(out, target)
     return out
+
+
+def entity_rates(scope: DataFrame, closing_rate, average_rate, key: str = "company") -> DataFrame:
+    """``(company, sheet, rate)`` for foreign-currency entities of the scope;
+    the others are absent and so translate at 1. The sheet-to-rate rule is a
+    fixed short list, exploded per entity."""
+    pairs = C.sheet_rates(closing_rate, average_rate)
+    arr = F.array(*[F.struct(F.lit(sh).alias("sheet"), F.lit(str(r)).cast(RATE).alias("rate")) for sh, r in pairs])
+    fx = L.fx_entities(scope, True).select(key).distinct()
+    return fx.select(key, F.inline(arr))
+
+
+def batch_tb_to_cells(bal: DataFrame, rules: DataFrame, scope: DataFrame, closing_rate, average_rate,
+                      layout: str = "A") -> DataFrame:
+    """The balances job for every scope entity at once (H8): foreign-currency
+    entities get the closing/average rates, the others 1; entities outside
+    the scope are left out (the loop only visits scope rows)."""
+    in_scope = bal.join(broadcast_if_small(scope.select("company").distinct()), "company", "left_semi")
+    rates = entity_rates(scope, closing_rate, average_rate)
+    return tb_to_cells(in_scope, rules, rates, layout=layout).cells

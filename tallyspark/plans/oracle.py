@@ -1022,3 +1022,20 @@ WHERE accts LIKE '%|%'
   AND (cell IS NULL OR ops IS NULL OR items IS NULL
        OR len(string_split(replace(accts, chr(10), ''), '|')) <> len(string_split(replace(ops, chr(10), ''), '|'))
        OR len(string_split(replace(accts, chr(10), ''), '|')) <> len(string_split(replace(items, chr(10), ''), '|')))"""
+
+ORACLE["batch_tb_to_cells"] = BASE_A[:-1] + ",\n" + SCOPE.strip() + """
+, fx AS (SELECT DISTINCT company FROM scope WHERE fx_flag IS NOT DISTINCT FROM '是')
+, ent_rates AS (SELECT f.company, r.sheet, r.rate FROM fx f CROSS JOIN rates r)
+, comp AS (SELECT DISTINCT company FROM long_a WHERE company IN (SELECT company FROM scope))
+, per_company AS (SELECT c.company, p.* FROM comp c CROSS JOIN parts p)
+, cells0 AS (
+ SELECT a.company, a.sheet, a.cell, round(sum(b.amount * a.sign), 2) AS amt
+ FROM per_company a LEFT JOIN long_a b
+  ON a.company = b.company AND a.acct_code = b.acct_code AND a.item = b.item
+ GROUP BY a.company, a.sheet, a.cell)
+, cells_rate AS (
+ SELECT c.company, c.sheet, c.cell,
+  CAST(round(CAST(coalesce(c.amt, 0) AS DECIMAL(18,2)) * coalesce(r.rate, CAST(1 AS DECIMAL(10,4))), 2) AS DECIMAL(18,2)) AS amount
+ FROM cells0 c LEFT JOIN ent_rates r ON c.company = r.company AND c.sheet = r.sheet)
+""" + _zeroed("cells_rate") + """
+SELECT company, sheet, cell, CAST(amount AS DOUBLE) AS amount FROM zeroed"""

@@ -654,3 +654,8 @@ def q_list_files(spark, d):
 def q_rule_rejects(spark, d):
     """Rule rows the source would fail on (C12 guard)."""
     return RU.rule_rejects(X.rules(spark, d))
+
+
+@register("batch_tb_to_cells")
+def q_batch_tb_to_cells(spark, d):
+    return J.batch_tb_to_cells(X.bal_a(spark, d), X.rules(spark, d), X.scope(spark, d), "7.1884", "7.1140")
