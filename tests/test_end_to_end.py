@@ -49,3 +49,46 @@ def test_tb_flow_from_workbooks(spark, scratch):
     log = spark.read.parquet(os.path.join(scratch, "log"))
     # level-1 account 1001: 100.50 in the ledger vs 60.25 mapped -> reported
     assert log.filter((F.col("company") == "甲公司") & (F.col("acct_code") == "1001")).first().diff == 40.25
+
+
+def test_other_flows_from_workbooks(spark, scratch):
+    papers = os.path.join(scratch, "papers")
+    os.makedirs(papers)
+    cf2_row = [None] * 46
+    cf2_row[11], cf2_row[12], cf2_row[13], cf2_row[16] = "客户甲", "往来", 5, 7
+    fee = {1: ["类别", "科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"],
+           2: ["销售费用", "6601", "广告费", "销售费用", 12.5, None, 0]}
+    yoy = {93: ["项目", "本期发生额", "上期发生额"], 94: ["广告费", 12.5, 10]}
+    write_xlsx(os.path.join(papers, "甲公司2024.xlsx"),
+               {"CF2": {1: ["b"], 2: ["b"], 3: ["b"], 4: cf2_row}, "8_费用": fee, "8": yoy})
+    reports = os.path.join(scratch, "reports")
+    os.makedirs(reports)
+    bs = {4: ["资产", "期末", "期初", "负债", "期末", "期初"],
+          5: ["货币资金", 10, 9, "短期借款", 3, 2], 6: ["流动资产合计", 10, 9, "流动负债合计", 3, 2],
+          7: ["固定资产", 4, 4, "非流动负债:", None, None], 8: ["非流动资产合计", 4, 4, "长期借款", 1, 1],
+          9: ["x", None, None, "非流动负债合计", 1, 1], 10: ["y", None, None, "所有者权益（或股东权益）:", None, None],
+          11: ["z", None, None, "所有者权益（或股东权益）合计", 0, 0]}
+    inc = {4: ["项目名称", "本期金额", "本年金额", "上年金额", "上年同期金额"], 5: ["营业收入", 8, 9, 7, 6]}
+    write_xlsx(os.path.join(reports, "甲公司报表.xlsx"), {"资产负债表": bs, "利润表": inc})
+    maps = os.path.join(scratch, "maps")
+    os.makedirs(maps)
+    write_xlsx(os.path.join(maps, "m.xlsx"), {"原报表": {
+        1: ["t"], 2: ["单元格", "账户代码", "运算符", "金额列"],
+        3: ["N8", "货币资金_流动资产|0_营业收入", "+|+", "期末余额|本年金额"]}})
+    pr, rr, mr = (os.path.join(scratch, x) for x in ("pr", "rr", "mr"))
+    cli.run(["ingest", papers, pr])
+    cli.run(["ingest", reports, rr])
+    cli.run(["ingest", maps, mr])
+    out = os.path.join(scratch, "out")
+    cli.run(["statements", "--reports", rr, "--rules", mr, "--out", out + "/st"])
+    cells = spark.read.parquet(out + "/st/cells").collect()
+    assert [(r.file_name, r.cell, float(r.amount)) for r in cells] == [("甲公司报表", "N8", 19.0)]
+    cli.run(["counterparty", "--papers", pr, "--out", out + "/cp"])
+    oar = spark.read.parquet(out + "/cp/table_0").collect()
+    assert [(r["文件名"], r["名称"]) for r in oar] == [("甲公司2024", "客户甲")]
+    cli.run(["expense", "--papers", pr, "--out", out + "/ex"])
+    aud = spark.read.parquet(out + "/ex/audited").collect()
+    assert [(r["公司"], r["底稿科目"], r["本期未审"]) for r in aud] == [("甲公司2024", "广告费", "12.5")]
+    cli.run(["range", "--papers", pr, "--sheet", "8", "--start", "A93", "--end", "C123", "--out", out + "/rg"])
+    rg = spark.read.parquet(out + "/rg").collect()
+    assert [(r["文件名"], r["项目"], r["上期发生额"]) for r in rg] == [("甲公司2024", "广告费", "10")]
