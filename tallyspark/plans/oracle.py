@@ -835,8 +835,12 @@ _YOY = """
 """
 
 
-def _appended(table: str, src: str = "audited", template: str = None, cols: str = None) -> str:
+def _appended(table: str, src: str = "audited", template: str = None, cols: str = None,
+              title: str | None = None) -> str:
     template = template or _TEMPLATE_VALUES
+    if title is not None:
+        template = f"""(SELECT row_no, col_no, CASE WHEN row_no = 1 AND col_no = 0 THEN '{title}' ELSE value END AS value
+  FROM {template}) v"""
     cols = cols or """(0, "公司"), (1, "科目编码"), (2, "底稿科目"), (3, "附注分类"), (4, "本期未审"),
   (5, "重分类调整"), (6, "审计调整")"""
     return f"""
@@ -854,9 +858,13 @@ SELECT '{table}' AS sheet, row_no, col_no, value FROM (
 _YOY_COLS = """(0, "公司"), (1, "项目"), (2, "本期发生额"), (4, "上期发生额")"""
 
 ORACLE["append_block"] = PAP[:-1] + _AUDITED + _appended("审定表_销售费用")
+_TITLES = {"审定表_销售费用": "销售费用审定表", "审定表_管理费用": "管理费用审定表", "审定表_研发费用": "研发费用审定表",
+           "同期比较_销售费用": "销售费用本期与上年同期比较表", "同期比较_管理费用": "管理费用本期与上年同期比较表",
+           "同期比较_研发费用": "研发费用本期与上年同期比较表"}
+
 ORACLE["expense_papers"] = PAP[:-1] + _AUDITED + _YOY + "\nUNION ALL\n".join(
-    [_appended(t) for t in ["审定表_销售费用", "审定表_管理费用", "审定表_研发费用"]]
-    + [_appended(t, "yoy", _YOY_TEMPLATE_VALUES, _YOY_COLS)
+    [_appended(t, title=_TITLES[t]) for t in ["审定表_销售费用", "审定表_管理费用", "审定表_研发费用"]]
+    + [_appended(t, "yoy", _YOY_TEMPLATE_VALUES, _YOY_COLS, title=_TITLES[t])
        for t in ["同期比较_销售费用", "同期比较_管理费用", "同期比较_研发费用"]])
 
 ORACLE["apply_cell_updates"] = PAP[:-1] + """

@@ -488,12 +488,16 @@ def _yoy_block_cells(yoy):
 @register("expense_papers")
 def q_expense_papers(spark, d):
     """The three audited tables and the three year-on-year tables pasted into
-    copies of their template sheets (H4)."""
+    titled copies of their template sheets (H4)."""
+    from tallyspark.schemas import EXPENSE_SHEET_TITLES
     audit_sheets = [name for name, _, _ in AUDIT_RANGES]
     yoy_sheets = [name for name, _, _ in YOY_RANGES]
     targets = _template_copies(spark, audit_sheets).unionByName(
         X.yoy_template(spark).select(F.explode(F.array(*[F.lit(s) for s in yoy_sheets])).alias("sheet"),
                                      "row_no", "col_no", "value"))
+    titles = F.create_map(*[x for k, v in EXPENSE_SHEET_TITLES.items() for x in (F.lit(k), F.lit(v))])
+    targets = targets.withColumn("value", F.when((F.col("row_no") == 1) & (F.col("col_no") == 0),
+                                                 titles[F.col("sheet")]).otherwise(F.col("value")))
     blocks = _block_cells(_audited(spark, d)).unionByName(_yoy_block_cells(_yoy(spark, d)))
     return P.append_block(targets, blocks, "A9")
 

@@ -173,3 +173,14 @@ ADVANCES_HEADERS = [
     "余额由外币和人民币组成对，其中人民币金额", "税率", "合同负债", "其他流动负债"]
 SUPPLIER_CODE_LABEL = "供应商编码"
 CUSTOMER_CODE_LABEL = "客户编码"
+
+# Titles written to A1 of each output sheet of the expense
+# working paper (audited tables, then year-on-year tables).
+EXPENSE_SHEET_TITLES = {
+    "审定表_销售费用": "销售费用审定表",
+    "审定表_管理费用": "管理费用审定表",
+    "审定表_研发费用": "研发费用审定表",
+    "同期比较_销售费用": "销售费用本期与上年同期比较表",
+    "同期比较_管理费用": "管理费用本期与上年同期比较表",
+    "同期比较_研发费用": "研发费用本期与上年同期比较表",
+}
