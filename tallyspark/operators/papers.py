@@ -100,8 +100,9 @@ def read_range(rows: DataFrame, sheet: str, start: str, end: str, header: int =
 
 def used_range(rows: DataFrame) -> DataFrame:
     """Bounding box of the non-empty cells of every sheet."""
-    last_col = F.array_max(F.transform(F.filter(F.transform("cells", lambda v, i: F.when(v.isNotNull(), i)),
-                                                lambda i: i.isNotNull()), lambda i: i))
+    # position of the last non-empty cell of each row
+    last_col = F.array_max(F.filter(F.transform("cells", lambda v, i: F.when(v.isNotNull(), i)),
+                                    lambda i: i.isNotNull()))
     r = rows.withColumn("_last", last_col).filter(F.col("_last").isNotNull())
     return r.groupBy("file_name", "sheet").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"),
                                                (F.max("_last") + 1).alias("n_cols"))
