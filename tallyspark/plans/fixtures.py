@@ -197,14 +197,21 @@ EXTRA_SCOPE = [(99, "EXTRA", "R-EXTRA", "C9999", "否", 99),
 
 
 def scope(spark: SparkSession, d: str) -> DataFrame:
-    """``scope(serial, company, report_name, sap_code, fx_flag, seq)``."""
-    n = table(spark, d, "nation")
-    base = n.select(F.col("n_nationkey").cast("bigint").alias("serial"), F.col("n_name").alias("company"),
-                    F.concat(F.lit("R-"), "n_name").alias("report_name"),
-                    F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("sap_code"),
-                    F.when(F.col("n_regionkey") == 1, "是").when(F.col("n_regionkey") == 2, F.lit(None))
-                    .otherwise("否").alias("fx_flag"),
-                    F.col("n_nationkey").cast("bigint").alias("seq"))
+    """``scope(serial, company, report_name, sap_code, fx_flag, seq)``: one
+    row per entity that occurs in the group's data (a distinct over the
+    lineitem/supplier join, so it is read from the data, not a fixed list),
+    plus the literal extra rows."""
+    l = table(spark, d, "lineitem").select("l_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    ent = (l.join(s, l.l_suppkey == s.s_suppkey).select("s_nationkey").distinct()
+           .join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")))
+    base = ent.select(F.col("n_nationkey").cast("bigint").alias("serial"), F.col("n_name").alias("company"),
+                      F.concat(F.lit("R-"), "n_name").alias("report_name"),
+                      F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("sap_code"),
+                      F.when(F.col("n_regionkey") == 1, "是").when(F.col("n_regionkey") == 2, F.lit(None))
+                      .otherwise("否").alias("fx_flag"),
+                      F.col("n_nationkey").cast("bigint").alias("seq"))
     extra = spark.createDataFrame(
         EXTRA_SCOPE, "serial bigint, company string, report_name string, sap_code string, fx_flag string, seq bigint")
     return base.unionByName(extra)

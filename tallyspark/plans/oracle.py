@@ -378,7 +378,8 @@ scope AS (
   concat('C', lpad(CAST(n_nationkey AS VARCHAR), 4, '0')) AS sap_code,
   CASE WHEN n_regionkey = 1 THEN '是' WHEN n_regionkey = 2 THEN NULL ELSE '否' END AS fx_flag,
   CAST(n_nationkey AS BIGINT) AS seq
- FROM nation
+ FROM (SELECT DISTINCT n.n_nationkey, n.n_name, n.n_regionkey
+       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey) e
  UNION ALL SELECT * FROM (VALUES (CAST(99 AS BIGINT), 'EXTRA', 'R-EXTRA', 'C9999', '否', CAST(99 AS BIGINT)),
   (100, 'NATION_3', 'R-NATION_3-NEW', 'C0003', '否', 100)) v(serial, company, report_name, sap_code, fx_flag, seq))"""
 
