@@ -519,7 +519,22 @@ def group_balances_text(spark: SparkSession, d: str) -> DataFrame:
 
 EXPENSE_HEADER_ROWS = {"销售费用": 1, "管理费用": 67, "研发费用": 137}
 YOY_HEADER_ROWS = {"销售费用": 93, "管理费用": 126, "研发费用": 159}
-YOY_SLOTS = 30  # lines per year-on-year block in the paper template
+# Lines that fit a block before the next block's header; later lines go to
+# overflow rows below every read range (kept in the sheet, never dropped).
+EXPENSE_BLOCK_ROWS = {"销售费用": 65, "管理费用": 69, "研发费用": None}
+YOY_BLOCK_ROWS = {"销售费用": 32, "管理费用": 32, "研发费用": None}
+AREA_INDEX = {"销售费用": 0, "管理费用": 1, "研发费用": 2}
+
+
+def _block_row(headers: dict, capacity: dict):
+    """Sheet row of line ``rn`` of an area: below the area's header while it
+    fits, else an overflow row (1000 + 10000 x area index + rn)."""
+    hdr = F.create_map(*[x for a, r in headers.items() for x in (F.lit(a), F.lit(r))])
+    cap = F.create_map(*[x for a, c in capacity.items() for x in (F.lit(a), F.lit(c if c else 10 ** 9))])
+    idx = F.create_map(*[x for a, i in AREA_INDEX.items() for x in (F.lit(a), F.lit(i))])
+    a = F.col("func_area")
+    return (F.when(F.col("rn") <= cap[a], hdr[a] + F.col("rn"))
+            .otherwise(F.lit(1000) + idx[a] * 10000 + F.col("rn"))).cast("int")
 
 
 def paper_file(name_col, region_col):
@@ -541,18 +556,16 @@ def paper_rows(spark: SparkSession, d: str) -> DataFrame:
     lines = (summ.withColumn("rn", F.row_number().over(w))
              .join(F.broadcast(n), F.col("company") == F.col("n_name"))
              .withColumn("file_name", paper_file("n_name", "n_regionkey")))
-    hdr_exp = F.create_map(*[x for a, r in EXPENSE_HEADER_ROWS.items() for x in (F.lit(a), F.lit(r))])
-    hdr_yoy = F.create_map(*[x for a, r in YOY_HEADER_ROWS.items() for x in (F.lit(a), F.lit(r))])
     amt = F.col("amount").cast("string")
     exp = lines.select(
-        "file_name", F.lit("8_费用").alias("sheet"), (hdr_exp[F.col("func_area")] + F.col("rn")).cast("int").alias("row_no"),
+        "file_name", F.lit("8_费用").alias("sheet"), _block_row(EXPENSE_HEADER_ROWS, EXPENSE_BLOCK_ROWS).alias("row_no"),
         F.array(F.col("func_area"), F.concat(F.lit("66"), F.lpad(F.col("rn").cast("string"), 2, "0")),
                 F.col("gl_text"), F.col("func_area"),
                 F.when(F.col("rn") % 7 == 0, F.lit(None)).otherwise(amt), F.lit(None).cast("string"),
                 F.lit("0.00")).alias("cells"))
     prior = F.round(F.col("amount") * F.lit("0.9").cast("decimal(10,4)"), 2).cast(MONEY).cast("string")
-    yoy = lines.filter(F.col("rn") <= YOY_SLOTS).select(
-        "file_name", F.lit("8").alias("sheet"), (hdr_yoy[F.col("func_area")] + F.col("rn")).cast("int").alias("row_no"),
+    yoy = lines.select(
+        "file_name", F.lit("8").alias("sheet"), _block_row(YOY_HEADER_ROWS, YOY_BLOCK_ROWS).alias("row_no"),
         F.array(F.col("gl_text"), amt, prior).alias("cells"))
     files = lines.select("file_name").distinct()
     exp_hdr = F.array(*[F.lit(x) for x in ["类别", "科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]])

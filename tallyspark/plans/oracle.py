@@ -744,15 +744,21 @@ plines AS (
        ELSE concat(n.n_name, '公司2024') END AS file_name
  FROM summary s JOIN nation n ON s.company = n.n_name),
 exp_rows AS (
- SELECT file_name, CAST(CASE func_area WHEN '销售费用' THEN 1 WHEN '管理费用' THEN 67 ELSE 137 END + rn AS BIGINT) AS row_no,
+ SELECT file_name, CAST(CASE WHEN func_area = '销售费用' AND rn <= 65 THEN 1 + rn
+                             WHEN func_area = '管理费用' AND rn <= 69 THEN 67 + rn
+                             WHEN func_area = '研发费用' THEN 137 + rn
+                             ELSE 1000 + 10000 * (CASE func_area WHEN '销售费用' THEN 0 ELSE 1 END) + rn END AS BIGINT) AS row_no,
   func_area AS a, concat('66', lpad(CAST(rn AS VARCHAR), 2, '0')) AS b, gl_text AS c, func_area AS d,
   CASE WHEN rn % 7 = 0 THEN NULL ELSE CAST(amount AS VARCHAR) END AS e, CAST(NULL AS VARCHAR) AS f, '0.00' AS g
  FROM plines),
 yoy_rows AS (
- SELECT file_name, CAST(CASE func_area WHEN '销售费用' THEN 93 WHEN '管理费用' THEN 126 ELSE 159 END + rn AS BIGINT) AS row_no,
+ SELECT file_name, CAST(CASE WHEN func_area = '销售费用' AND rn <= 32 THEN 93 + rn
+                             WHEN func_area = '管理费用' AND rn <= 32 THEN 126 + rn
+                             WHEN func_area = '研发费用' THEN 159 + rn
+                             ELSE 1000 + 10000 * (CASE func_area WHEN '销售费用' THEN 0 ELSE 1 END) + rn END AS BIGINT) AS row_no,
   gl_text AS a, CAST(amount AS VARCHAR) AS b,
   CAST(CAST(round(amount * CAST(0.9 AS DECIMAL(10,4)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS c
- FROM plines WHERE rn <= 30),
+ FROM plines),
 pfiles AS (SELECT DISTINCT file_name FROM plines),
 paper_cells AS (
  SELECT file_name, '8_费用' AS sheet, row_no, CAST(t.col_no AS BIGINT) AS col_no, t.value
