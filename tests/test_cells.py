@@ -89,3 +89,18 @@ def test_prefix_rollup_collision_counts_twice(spark):
     four = B.prefix_rollup(df, 4)
     assert sorted(r.acct_code for r in four.collect()) == ["1001", "100101"]
     assert [r.acct_name for r in four.collect() if r.acct_code == "1001"] == ["A"]
+
+
+def test_reconcile_empty_when_rules_cover_all_accounts(spark):
+    from tallyspark.plans import fixtures as X
+    sf = "/root/testdata/sf0.001"
+    bal = X.bal_a(spark, sf)
+    long = B.unpivot_a(bal)
+    detail = [r.acct_code for r in bal.select("acct_code").distinct().collect() if len(r.acct_code) == 6]
+    rules = spark.createDataFrame([("原报表", f"R{i}", c, "+", "期末余额_金额") for i, c in enumerate(sorted(detail))],
+                                  RULES_SCHEMA)
+    assert R.reconcile(long, RU.clean_rules(rules)).count() == 0
+    # dropping one account's rule makes exactly its level-1 account differ in every company holding it
+    partial = rules.filter(F.col("accts") != sorted(detail)[0])
+    off = R.reconcile(long, RU.clean_rules(partial)).select("acct_code").distinct().collect()
+    assert [r.acct_code for r in off] == [sorted(detail)[0][:4]]
