@@ -9,6 +9,8 @@ workbooks at cluster scale.
     python -m tallyspark counterparty --papers <rows_table> --out <dir>
     python -m tallyspark expense      --papers <rows_table> --out <dir>
     python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir>
+    python -m tallyspark split-group  --group <rows_table> --scope <rows_table> --out <dir>
+    python -m tallyspark ledger       --ledger <rows_table> --scope <rows_table> --out <dir> [--average-rate R]
 
 Workbooks are parsed once by ``ingest`` into a Parquet sheet-rows table; every
 other command reads such tables and writes Parquet outputs (cell tables rather
@@ -39,6 +41,29 @@ def _rules(spark, path):
     return read_rules(sheet_rows(spark, path)).drop("row_no")
 
 
+SCOPE_HEADERS = [("serial", "24年试算序号"), ("company", "公司名称"), ("report_name", "报表名称"),
+                 ("sap_code", "SAP代码"), ("fx_flag", "是否外币")]
+LEDGER_SHEET_HEADERS = [("company_code", "公司代码"), ("func_area", "功能范围：文本"),
+                        ("gl_text", "总账科目：短文本"), ("amount_text", "凭证货币价值")]
+
+
+def _scope(spark, path):
+    """Scope workbook: first sheet, header in its first row; row order is the
+    order of rows (a later duplicate code wins)."""
+    from tallyspark.operators import papers as P
+    from tallyspark.sources.xlsx import sheet_rows
+    first = P.read_used_range(sheet_rows(spark, path, with_index=True), auto=False)
+    t = P.read_sheet_table(first, None, names=[h for _, h in SCOPE_HEADERS])
+    return t.select(*[F.col(h).alias(c) for c, h in SCOPE_HEADERS], F.col("row_no").cast("bigint").alias("seq"))
+
+
+def _ledger(spark, path, sheet):
+    from tallyspark.operators import papers as P
+    from tallyspark.sources.xlsx import sheet_rows
+    t = P.read_sheet_table(sheet_rows(spark, path, [sheet]), sheet, names=[h for _, h in LEDGER_SHEET_HEADERS])
+    return t.select(*[F.col(h).alias(c) for c, h in LEDGER_SHEET_HEADERS])
+
+
 def run(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tallyspark")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -73,6 +98,16 @@ def run(argv=None) -> None:
     r.add_argument("--start", required=True)
     r.add_argument("--end", required=True)
     r.add_argument("--out", required=True)
+    g = sub.add_parser("split-group")
+    g.add_argument("--group", required=True)
+    g.add_argument("--scope", required=True)
+    g.add_argument("--out", required=True)
+    lg = sub.add_parser("ledger")
+    lg.add_argument("--ledger", required=True)
+    lg.add_argument("--sheet", default="FBL3H费用")
+    lg.add_argument("--scope", required=True)
+    lg.add_argument("--out", required=True)
+    lg.add_argument("--average-rate", type=float, default=1.0)
     args = p.parse_args(argv)
     spark = get_spark()
 
@@ -113,6 +148,24 @@ def run(argv=None) -> None:
         yoy = P.read_ranges(rows, [(n, "8", a, b) for n, a, b in YOY_RANGES], YOY_NAMES, file_col="公司")
         replace_table(audited, f"{args.out}/audited")
         replace_table(yoy, f"{args.out}/year_on_year")
+    elif args.cmd == "split-group":
+        from tallyspark.operators import group as G
+        from tallyspark.operators import papers as P
+        from tallyspark.plans.jobs import split_ledger
+        rows = sheet_rows(spark, args.group)
+        bal = P.read_sheet_table(rows, "资产负债表").drop("file_name", "row_no")
+        inc = P.read_sheet_table(rows, "利润表").drop("file_name", "row_no")
+        b, i = G.split_statements(bal, inc)
+        write_per_company(b, f"{args.out}/statements/balance_sheet")
+        write_per_company(i, f"{args.out}/statements/income")
+        led = _ledger(spark, args.group, "FBL3H费用")
+        write_per_company(split_ledger(led, _scope(spark, args.scope)), f"{args.out}/ledger", by="report_name")
+        grp = P.read_sheet_table(rows, "科目余额表").drop("file_name", "row_no")
+        write_per_company(G.split_balances(grp), f"{args.out}/balances")
+    elif args.cmd == "ledger":
+        from tallyspark.plans.jobs import batch_entities
+        cells = batch_entities(_ledger(spark, args.ledger, args.sheet), _scope(spark, args.scope), args.average_rate)
+        write_per_company(cells, f"{args.out}/cells", by="paper")
     elif args.cmd == "range":
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, [args.sheet]), must_not=["合并", "日志", "~$"])

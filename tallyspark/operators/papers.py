@@ -268,3 +268,31 @@ def append_block(target: DataFrame, block_cells: DataFrame, anchor: str) -> Data
         new.select(*keys, F.col("value").alias("_new"), F.lit(True).alias("_w")), keys, "full_outer")
     return j.select(*keys, F.when(F.coalesce("_w", F.lit(False)), F.col("_new")).otherwise(F.col("_old"))
                     .alias("value"))
+
+
+def mangle_duplicates(hdr):
+    """Header array with repeats renamed ``name.1``, ``name.2``, … in order,
+    as a header-row reader does (Column expression)."""
+    def one(x, i):
+        seen = F.size(F.filter(F.slice(hdr, 1, i), lambda y: y == x))
+        return F.when(seen > 0, F.concat(x, F.lit("."), seen.cast("string"))).otherwise(x)
+    return F.transform(hdr, one)
+
+
+def read_sheet_table(rows: DataFrame, sheet: str | None, names=None) -> DataFrame:
+    """A whole sheet as a table whose header is its first used row, repeated
+    header texts mangled (``期末余额``, ``期末余额.1``); ``names`` defaults to the
+    distinct header texts (bounded list). Per-file header from a small
+    aggregate joined back; file name kept as ``file_name``. ``sheet=None``
+    takes the rows as given (e.g. each file's first sheet)."""
+    s = rows if sheet is None else rows.filter(F.col("sheet") == sheet)
+    hdr = (s.groupBy("file_name").agg(F.min("row_no").alias("_h"), F.min_by("cells", "row_no").alias("_raw"))
+           .select("file_name", "_h", mangle_duplicates(F.col("_raw")).alias("_hdr")))
+    if names is None:
+        names = collect_small_list(hdr.select(F.explode("_hdr").alias("h")), "h", 1000)
+    body = join_small(s, hdr, "file_name").filter(F.col("row_no") > F.col("_h"))
+    cols = []
+    for n in names:
+        pos = F.array_position("_hdr", F.lit(n))
+        cols.append(F.when(pos > 0, F.try_element_at("cells", pos.cast("int"))).alias(n))
+    return body.select("file_name", "row_no", *cols)

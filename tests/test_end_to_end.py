@@ -92,3 +92,39 @@ def test_other_flows_from_workbooks(spark, scratch):
     cli.run(["range", "--papers", pr, "--sheet", "8", "--start", "A93", "--end", "C123", "--out", out + "/rg"])
     rg = spark.read.parquet(out + "/rg").collect()
     assert [(r["文件名"], r["项目"], r["上期发生额"]) for r in rg] == [("甲公司2024", "广告费", "10")]
+
+
+def test_group_split_and_ledger_flows(spark, scratch):
+    grp = os.path.join(scratch, "group")
+    os.makedirs(grp)
+    bs = {1: ["公司名称", "项目", "行次", "期末余额", "年初余额", "项目", "行次", "期末余额", "年初余额"],
+          2: ["甲", "货币资金", 1, 10.005, 9, "短期借款", 1, 3, 2], 3: ["乙", "货币资金", 1, 5, 4, "短期借款", 1, 1, 1]}
+    inc = {1: ["公司名称", "项目", "行次", "本期发生额", "本年累计发生额", "上年同期累计发生额"],
+           2: ["甲", "营业收入", 1, 8, 9, 7]}
+    fbl = {1: ["公司代码", "功能范围：文本", "总账科目：短文本", "凭证货币价值"],
+           2: ["C1", "销售费用", "广告费", "1,000.50"], 3: ["C1", "销售费用", "广告费", "0.50-"],
+           4: ["C2", "管理费用", "办公费", "20.00"]}
+    tb = {1: ["公司名称", "科目代码", "科目名称", "货币代码", "外币期初", "外币借方", "外币贷方", "外币期末",
+              "本位货币代码", "本位币货币期初", "本位货币借方", "本位货币贷方", "本位货币期末"],
+          2: ["甲", "100101", "现金-库存", "CNY", "0", "0", "0", "0", "CNY", "1,234.50-", "10", "5", "1,229.50-"]}
+    write_xlsx(os.path.join(grp, "多公司报表.xlsx"), {"资产负债表": bs, "利润表": inc, "FBL3H费用": fbl, "科目余额表": tb})
+    sc = os.path.join(scratch, "scope")
+    os.makedirs(sc)
+    write_xlsx(os.path.join(sc, "试算范围.xlsx"), {"范围": {
+        1: ["24年试算序号", "公司名称", "报表名称", "SAP代码", "是否外币"],
+        2: [1, "甲", "甲报表", "C1", "是"], 3: [2, "乙", "乙报表", "C2", None], 4: [3, "丙", "丙报表", "C3", "否"]}})
+    gr, sr, out = (os.path.join(scratch, x) for x in ("gr", "sr", "out"))
+    cli.run(["ingest", grp, gr])
+    cli.run(["ingest", sc, sr])
+    cli.run(["split-group", "--group", gr, "--scope", sr, "--out", out])
+    b = spark.read.parquet(out + "/statements/balance_sheet").filter("company = '甲'").first()
+    assert (float(b["期末余额"]), float(b["期末余额_2"])) == (10.01, 3.0)   # 2 dp, right panel kept as _2
+    led = spark.read.parquet(out + "/ledger")
+    assert led.filter("report_name = '丙报表'").count() == 1 and led.filter("report_name = '丙报表'").first().gl_text is None
+    assert led.filter("report_name = '甲报表'").count() == 2
+    bal = spark.read.parquet(out + "/balances").first()
+    assert float(bal.lc_opening) == -1234.5
+    cli.run(["ledger", "--ledger", gr, "--scope", sr, "--out", out + "/led", "--average-rate", "7"])
+    cells = {(r.paper, r.cell): r for r in spark.read.parquet(out + "/led/cells").collect()}
+    assert float(cells[("1-甲2024.xlsx", "E2")].amount) == 7000.0     # (1000.50 - 0.50) x 7, FX entity
+    assert float(cells[("2-乙2024.xlsx", "E168")].amount) == 20.0     # not FX; admin block starts at 168

@@ -88,3 +88,13 @@ def test_slot_counts_read_a1_to_a600_by_default(spark):
     r = L.slot_counts(rows).first()
     assert (r.slots_0, r.slots_1, r.slots_2) == (3, -1, -2)
     assert L.slot_counts(rows, max_row=None).first().slots_0 == 4
+
+
+def test_sheet_table_mangles_repeated_headers(spark):
+    rows = spark.createDataFrame(
+        [("g", "资产负债表", 1, ["公司名称", "期末余额", "年初余额", "期末余额", "年初余额", "期末余额"]),
+         ("g", "资产负债表", 2, ["A", "1", "2", "3", "4", "5"])],
+        "file_name string, sheet string, row_no int, cells array<string>")
+    t = P.read_sheet_table(rows, "资产负债表")
+    r = t.first()
+    assert (r["期末余额"], r["期末余额.1"], r["期末余额.2"], r["年初余额.1"]) == ("1", "3", "5", "4")
