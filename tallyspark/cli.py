@@ -5,6 +5,7 @@ workbooks at cluster scale.
     python -m tallyspark tb      --balances <rows_table> --rules <rows_table> --out <dir>
                                  [--layout A|B] [--closing-rate R --average-rate R]
                                  [--keep-opening] [--sheets 1 8 ...] [--log <dir>]
+                                 [--relation <rows_table>] [--scope <rows_table>]
     python -m tallyspark statements   --reports <rows_table> --rules <rows_table> --out <dir>
     python -m tallyspark counterparty --papers <rows_table> --out <dir>
     python -m tallyspark expense      --papers <rows_table> --out <dir>
@@ -64,6 +65,21 @@ def _ledger(spark, path, sheet):
     return t.select(*[F.col(h).alias(c) for c, h in LEDGER_SHEET_HEADERS])
 
 
+RELATION_HEADERS = [("balance_path", "科目余额表路径"), ("paper_path", "试算底稿路径")]
+
+
+def _relation(spark, path, sheet="匹配结果"):
+    """Relation sheet: balance file path <-> working-paper path; the balance
+    file's base name (suffix dropped) is the company key of the cells."""
+    from tallyspark.functions.exprs import base_name
+    from tallyspark.operators import papers as P
+    from tallyspark.sources.xlsx import sheet_rows
+    t = P.read_sheet_table(sheet_rows(spark, path, [sheet]), sheet, names=[h for _, h in RELATION_HEADERS])
+    name = base_name(F.col("科目余额表路径"))
+    return t.select(F.regexp_replace(name, r"\.(xlsx|xlsm|xls)$", "").alias("company"),
+                    F.col("试算底稿路径").alias("paper"))
+
+
 def run(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tallyspark")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -82,6 +98,8 @@ def run(argv=None) -> None:
     t.add_argument("--keep-opening", action="store_true")
     t.add_argument("--sheets", nargs="*")
     t.add_argument("--log")
+    t.add_argument("--relation", help="pairs balance files with papers; cells keyed by paper")
+    t.add_argument("--scope", help="FX rates only for entities flagged foreign-currency")
     s = sub.add_parser("statements")
     s.add_argument("--reports", required=True)
     s.add_argument("--rules", required=True)
@@ -121,10 +139,19 @@ def run(argv=None) -> None:
         from tallyspark.plans.jobs import tb_to_cells
         rows = sheet_rows(spark, args.balances)
         bal = B.read_balance_a(rows) if args.layout == "A" else B.prefix_rollup(B.read_balance_b(rows), args.prefix)
-        res = tb_to_cells(bal, _rules(spark, args.rules), _rates(spark, args.closing_rate, args.average_rate),
+        rates = _rates(spark, args.closing_rate, args.average_rate)
+        if args.scope:
+            from tallyspark.plans.jobs import entity_rates
+            rates = entity_rates(_scope(spark, args.scope), args.closing_rate or 1, args.average_rate or 1)
+        res = tb_to_cells(bal, _rules(spark, args.rules), rates,
                           layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening,
                           log_path=args.log)
-        write_per_company(res.cells, f"{args.out}/cells")
+        if args.relation:
+            from tallyspark.operators.joins import broadcast_if_small
+            cells = res.cells.join(broadcast_if_small(_relation(spark, args.relation)), "company")
+            write_per_company(cells, f"{args.out}/cells", by="paper")
+        else:
+            write_per_company(res.cells, f"{args.out}/cells")
         replace_table(res.rejects, f"{args.out}/rule_rejects")
     elif args.cmd == "statements":
         from tallyspark.plans.jobs import statements_to_cells

@@ -128,3 +128,28 @@ def test_group_split_and_ledger_flows(spark, scratch):
     cells = {(r.paper, r.cell): r for r in spark.read.parquet(out + "/led/cells").collect()}
     assert float(cells[("1-甲2024.xlsx", "E2")].amount) == 7000.0     # (1000.50 - 0.50) x 7, FX entity
     assert float(cells[("2-乙2024.xlsx", "E168")].amount) == 20.0     # not FX; admin block starts at 168
+
+
+def test_tb_batch_with_relation_and_scope(spark, scratch):
+    bal_dir = os.path.join(scratch, "balances")
+    os.makedirs(bal_dir)
+    write_xlsx(os.path.join(bal_dir, "甲.xlsx"), _balance([("100101", 10)]))
+    write_xlsx(os.path.join(bal_dir, "乙.xlsx"), _balance([("100101", 10)]))
+    cfg = os.path.join(scratch, "cfg")
+    os.makedirs(cfg)
+    write_xlsx(os.path.join(cfg, "映射表.xlsx"), {"1": {1: ["t"], 2: ["单元格", "账户代码", "运算符", "金额列"],
+                                                    3: ["E5", "100101", "+", "期末余额_金额"]}})
+    write_xlsx(os.path.join(cfg, "关系.xlsx"), {"匹配结果": {1: ["科目余额表路径", "试算底稿路径"],
+                                                         2: ["D:\\\\tb\\\\甲.xlsx", "1-甲2024.xlsx"],
+                                                         3: ["D:\\\\tb\\\\乙.xlsx", "2-乙2024.xlsx"]}})
+    write_xlsx(os.path.join(cfg, "范围.xlsx"), {"s": {1: ["24年试算序号", "公司名称", "报表名称", "SAP代码", "是否外币"],
+                                                   2: [1, "甲", "r", "C1", "是"], 3: [2, "乙", "r2", "C2", "否"]}})
+    br, mr, rr, sr, out = (os.path.join(scratch, x) for x in ("br", "mr", "rr", "sr", "out"))
+    cli.run(["ingest", bal_dir, br])
+    cli.run(["ingest", os.path.join(cfg, "映射表.xlsx"), mr])
+    cli.run(["ingest", os.path.join(cfg, "关系.xlsx"), rr])
+    cli.run(["ingest", os.path.join(cfg, "范围.xlsx"), sr])
+    cli.run(["tb", "--balances", br, "--rules", mr, "--out", out, "--closing-rate", "7", "--average-rate", "6",
+             "--relation", rr, "--scope", sr])
+    got = {(r.paper, r.cell): float(r.amount) for r in spark.read.parquet(out + "/cells").collect()}
+    assert got == {("1-甲2024.xlsx", "E5"): 70.0, ("2-乙2024.xlsx", "E5"): 10.0}
