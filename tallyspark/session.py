@@ -43,6 +43,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                 executors_cores: int | None = None) -> dict:
+    """Shuffle sizing for a large run: enough initial shuffle partitions that
+    each holds about ``target_partition_bytes`` of input (so tasks fit in
+    executor memory without spilling much), AQE left to coalesce small ones
+    and split skewed ones. At 100 TB this gives ~400k initial partitions,
+    coalesced at run time to what the shuffled (pre-aggregated) data needs."""
+    n = max(200, -(-int(input_bytes) // target_partition_bytes))
+    if executors_cores:
+        n = max(n, 2 * executors_cores)
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 * 1024 * 1024)),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``. Only a local-mode session
     without it (tests) gets a fresh scratch folder; on a cluster a missing

@@ -30,3 +30,10 @@ def test_cell_refs_round_trip(spark):
 def test_account_class(spark):
     df = spark.createDataFrame([("1001",), ("3001",), ("6601",)], "c string")
     assert [r[0] for r in df.select(X.account_class("c")).collect()] == ["资产", None, "损益"]
+
+
+def test_cluster_conf_scales_with_input():
+    from tallyspark.session import cluster_conf
+    big = cluster_conf(100 * 1024 ** 4)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_conf(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
