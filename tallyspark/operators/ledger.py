@@ -157,3 +157,44 @@ def fx_entities(scope: DataFrame, foreign: bool = True) -> DataFrame:
 def paper_name(serial, company, year: str = "2024", suffix: str = ".xlsx"):
     """``serial-company2024.xlsx``."""
     return F.concat(F.col(serial).cast("string"), F.lit("-"), F.col(company), F.lit(year + suffix))
+
+
+def dynamic_layout(template_cells: DataFrame, plan: DataFrame, areas=EXPENSE_AREAS) -> DataFrame:
+    """The expense sheet after the row insertions of the dynamic placement
+    (G4): for each area in order, ``rows_added`` rows are inserted at its copy
+    row (rows from there move down) and filled with copies of that row.
+
+    ``template_cells(company, row_no, col_no, value)``; ``plan`` from
+    :func:`dynamic_plan`, whose copy rows already count the rows added by the
+    earlier areas, so the three steps compose in order. Each step is narrow
+    over the template cells plus one small per-company row of the plan."""
+    p = plan.groupBy("company").agg(
+        *[F.max(F.when(F.col("func_area") == a, F.col("copy_row"))).alias(f"_c{i}") for i, a in enumerate(areas)],
+        *[F.max(F.when(F.col("func_area") == a, F.col("rows_added"))).alias(f"_a{i}") for i, a in enumerate(areas)])
+    cols = ["company", "row_no", "col_no", "value"]
+    cells = template_cells.select(*cols).join(p, "company")
+    for i in range(len(areas)):
+        c, a = F.col(f"_c{i}"), F.coalesce(F.col(f"_a{i}"), F.lit(0))
+        shifted = cells.withColumn("row_no", F.when(F.col("row_no") >= c, F.col("row_no") + a)
+                                   .otherwise(F.col("row_no")))
+        source = shifted.filter((a > 0) & (F.col("row_no") == c + a))  # the copied row, moved down
+        copies = source.drop("row_no").select("*", F.explode(F.sequence(c, c + a - 1)).alias("row_no"))
+        cells = shifted.unionByName(copies)
+    return cells.select(*cols)
+
+
+def dynamic_paper(template_cells: DataFrame, summary: DataFrame, slots: DataFrame,
+                  legacy_offsets: bool = False) -> DataFrame:
+    """Expense sheet cells after inserting rows and pasting the lines (G4 + G3):
+    ``(company, row_no, col_no, value)``; pasted text/amounts win."""
+    from tallyspark.functions.exprs import cell_ref_col, cell_ref_row
+    plan = dynamic_plan(summary, slots, legacy_offsets=legacy_offsets)
+    laid = dynamic_layout(template_cells, plan)
+    placed = place_dynamic(summary, slots, legacy_offsets).select(
+        "company", cell_ref_row("cell").cast("long").alias("row_no"), cell_ref_col("cell").alias("col_no"),
+        F.coalesce(F.col("text"), F.col("amount").cast(MONEY).cast("string")).alias("_new"))
+    keys = ["company", "row_no", "col_no"]
+    j = laid.withColumn("row_no", F.col("row_no").cast("long")).join(
+        placed.withColumn("_w", F.lit(True)), keys, "full_outer")
+    return j.select(*keys, F.when(F.coalesce("_w", F.lit(False)), F.col("_new")).otherwise(F.col("value"))
+                    .alias("value"))

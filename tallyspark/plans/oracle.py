@@ -1056,3 +1056,37 @@ ORACLE["batch_tb_to_cells"] = BASE_A[:-1] + ",\n" + SCOPE.strip() + """
  FROM cells0 c LEFT JOIN ent_rates r ON c.company = r.company AND c.sheet = r.sheet)
 """ + _zeroed("cells_rate") + """
 SELECT company, sheet, cell, CAST(amount AS DOUBLE) AS amount FROM zeroed"""
+
+
+def _dyn_step(i: int, src: str) -> str:
+    return f"""
+, s{i} AS (
+ SELECT t.company, CASE WHEN t.row_no >= pp.c{i} THEN t.row_no + coalesce(pp.a{i}, 0) ELSE t.row_no END AS row_no,
+  t.col_no, t.value
+ FROM {src} t JOIN pp ON t.company = pp.company)
+, l{i} AS (
+ SELECT * FROM s{i}
+ UNION ALL
+ SELECT s.company, unnest(generate_series(pp.c{i}, pp.c{i} + pp.a{i} - 1)) AS row_no, s.col_no, s.value
+ FROM s{i} s JOIN pp ON s.company = pp.company
+ WHERE pp.a{i} > 0 AND s.row_no = pp.c{i} + pp.a{i})"""
+
+
+ORACLE["dynamic_paper"] = with_(TB, LEDGER, TEMPLATE)[:-1] + _DYN + """
+, pp AS (
+ SELECT company,
+  max(CASE WHEN func_area = '销售费用' THEN copy_row END) AS c0, max(CASE WHEN func_area = '销售费用' THEN rows_added END) AS a0,
+  max(CASE WHEN func_area = '管理费用' THEN copy_row END) AS c1, max(CASE WHEN func_area = '管理费用' THEN rows_added END) AS a1,
+  max(CASE WHEN func_area = '研发费用' THEN copy_row END) AS c2, max(CASE WHEN func_area = '研发费用' THEN rows_added END) AS a2
+ FROM plan GROUP BY company)
+, t0 AS (SELECT file_name AS company, CAST(row_no AS BIGINT) AS row_no, CAST(0 AS BIGINT) AS col_no, a AS value
+         FROM template WHERE a IS NOT NULL)""" + _dyn_step(0, "t0") + _dyn_step(1, "l0") + _dyn_step(2, "l1") + """
+, summ_start AS (SELECT s.*, pl.start_row FROM summary s JOIN plan pl ON s.company = pl.company AND s.func_area = pl.func_area)
+, numbered AS (SELECT *, row_number() OVER (PARTITION BY company, func_area ORDER BY gl_text) AS line_no FROM summ_start)
+, pc AS (
+ SELECT company, CAST(start_row + line_no - 1 AS BIGINT) AS row_no, CAST(2 AS BIGINT) AS col_no, gl_text AS value FROM numbered
+ UNION ALL
+ SELECT company, CAST(start_row + line_no - 1 AS BIGINT), CAST(4 AS BIGINT), CAST(amount AS VARCHAR) FROM numbered)
+SELECT coalesce(l.company, c.company) AS company, coalesce(l.row_no, c.row_no) AS row_no,
+ coalesce(l.col_no, c.col_no) AS col_no, CASE WHEN c.company IS NOT NULL THEN c.value ELSE l.value END AS value
+FROM l2 l FULL OUTER JOIN pc c ON l.company = c.company AND l.row_no = c.row_no AND l.col_no = c.col_no"""

@@ -663,3 +663,11 @@ def q_rule_rejects(spark, d):
 @register("batch_tb_to_cells")
 def q_batch_tb_to_cells(spark, d):
     return J.batch_tb_to_cells(X.bal_a(spark, d), X.rules(spark, d), X.scope(spark, d), "7.1884", "7.1140")
+
+
+@register("dynamic_paper")
+def q_dynamic_paper(spark, d):
+    """Expense sheets after row insertion and paste (the dynamic ledger flow)."""
+    tmpl = P.to_cells(X.expense_template(spark, d)).select(
+        F.col("file_name").alias("company"), "row_no", "col_no", "value")
+    return L.dynamic_paper(tmpl, _summary(spark, d), L.slot_counts(X.expense_template(spark, d), max_row=None))

@@ -98,3 +98,14 @@ def test_sheet_table_mangles_repeated_headers(spark):
     t = P.read_sheet_table(rows, "资产负债表")
     r = t.first()
     assert (r["期末余额"], r["期末余额.1"], r["期末余额.2"], r["年初余额.1"]) == ("1", "3", "5", "4")
+
+
+def test_dynamic_layout_inserts_and_copies_rows(spark):
+    cells = spark.createDataFrame([("c", 1, 0, "hdr"), ("c", 3, 0, "销售费用"), ("c", 5, 0, "管理费用"), ("c", 9, 0, "end")],
+                                  "company string, row_no int, col_no int, value string")
+    plan = spark.createDataFrame([("c", "销售费用", 3, 2), ("c", "管理费用", 7, 1), ("c", "研发费用", 100, 0)],
+                                 "company string, func_area string, copy_row int, rows_added int")
+    out = rows_of(L.dynamic_layout(cells, plan), "row_no", "value")
+    # 2 rows inserted at row 3 (copies of it), then 1 row at row 7 (copy of the old row 5, now 7)
+    assert out == [(1, "hdr"), (3, "销售费用"), (4, "销售费用"), (5, "销售费用"), (7, "管理费用"), (8, "管理费用"),
+                   (12, "end")]
