@@ -144,14 +144,18 @@ def run(argv=None) -> None:
             from tallyspark.plans.jobs import entity_rates
             rates = entity_rates(_scope(spark, args.scope), args.closing_rate or 1, args.average_rate or 1)
         res = tb_to_cells(bal, _rules(spark, args.rules), rates,
-                          layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening,
-                          log_path=args.log)
+                          layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening)
+        rel = None
         if args.relation:
             from tallyspark.operators.joins import broadcast_if_small
-            cells = res.cells.join(broadcast_if_small(_relation(spark, args.relation)), "company")
-            write_per_company(cells, f"{args.out}/cells", by="paper")
+            rel = broadcast_if_small(_relation(spark, args.relation))
+            write_per_company(res.cells.join(rel, "company"), f"{args.out}/cells", by="paper")
         else:
             write_per_company(res.cells, f"{args.out}/cells")
+        if args.log and res.recon is not None:
+            from tallyspark.sinks.writers import write_recon_log
+            # the log carries the paper it belongs to when the relation is known
+            write_recon_log(res.recon.join(rel, "company", "left") if rel is not None else res.recon, args.log)
         replace_table(res.rejects, f"{args.out}/rule_rejects")
     elif args.cmd == "statements":
         from tallyspark.plans.jobs import statements_to_cells

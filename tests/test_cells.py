@@ -104,3 +104,13 @@ def test_reconcile_empty_when_rules_cover_all_accounts(spark):
     partial = rules.filter(F.col("accts") != sorted(detail)[0])
     off = R.reconcile(long, RU.clean_rules(partial)).select("acct_code").distinct().collect()
     assert [r.acct_code for r in off] == [sorted(detail)[0][:4]]
+
+
+def test_no_reconciliation_without_statement_rules(spark):
+    from tallyspark.plans import jobs as J
+    from tallyspark.plans import fixtures as X
+    sf = "/root/testdata/sf0.001"
+    rules = X.rules(spark, sf).filter(F.col("sheet") != "原报表")
+    assert J.tb_to_cells(X.bal_a(spark, sf), rules).recon is None
+    assert J.tb_to_cells(X.bal_a(spark, sf), X.rules(spark, sf), sheets=["1"]).recon is None
+    assert J.tb_to_cells(X.bal_a(spark, sf), X.rules(spark, sf)).recon is not None
