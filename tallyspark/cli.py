@@ -142,7 +142,9 @@ def run(argv=None) -> None:
         rates = _rates(spark, args.closing_rate, args.average_rate)
         if args.scope:
             from tallyspark.plans.jobs import entity_rates
-            rates = entity_rates(_scope(spark, args.scope), args.closing_rate or 1, args.average_rate or 1)
+            # an entity's balance file is named by its report name
+            sc = _scope(spark, args.scope).select(F.col("report_name").alias("company"), "fx_flag")
+            rates = entity_rates(sc, args.closing_rate or 1, args.average_rate or 1)
         res = tb_to_cells(bal, _rules(spark, args.rules), rates,
                           layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening)
         rel = None

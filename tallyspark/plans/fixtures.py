@@ -192,8 +192,8 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 
 # Fixed extra scope rows: a code with no ledger lines, and a duplicated code
 # whose later row must win.
-EXTRA_SCOPE = [(99, "EXTRA", "R-EXTRA", "C9999", "否", 99),
-               (100, "NATION_3", "R-NATION_3-NEW", "C0003", "否", 100)]
+EXTRA_SCOPE = [(99, "EXTRA", "EXTRA", "C9999", "否", 99),
+               (100, "NATION_3", "NATION_3-NEW", "C0003", "否", 100)]
 
 
 def scope(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def scope(spark: SparkSession, d: str) -> DataFrame:
     ent = (l.join(s, l.l_suppkey == s.s_suppkey).select("s_nationkey").distinct()
            .join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")))
     base = ent.select(F.col("n_nationkey").cast("bigint").alias("serial"), F.col("n_name").alias("company"),
-                      F.concat(F.lit("R-"), "n_name").alias("report_name"),
+                      F.col("n_name").alias("report_name"),  # per-company files are named by it
                       F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("sap_code"),
                       F.when(F.col("n_regionkey") == 1, "是").when(F.col("n_regionkey") == 2, F.lit(None))
                       .otherwise("否").alias("fx_flag"),

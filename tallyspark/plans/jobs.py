@@ -176,9 +176,14 @@ def entity_rates(scope: DataFrame, closing_rate, average_rate, key: str = "compa
 
 def batch_tb_to_cells(bal: DataFrame, rules: DataFrame, scope: DataFrame, closing_rate, average_rate,
                       layout: str = "A") -> DataFrame:
-    """The balances job for every scope entity at once (H8): foreign-currency
-    entities get the closing/average rates, the others 1; entities outside
-    the scope are left out (the loop only visits scope rows)."""
-    in_scope = bal.join(broadcast_if_small(scope.select("company").distinct()), "company", "left_semi")
-    rates = entity_rates(scope, closing_rate, average_rate)
-    return tb_to_cells(in_scope, rules, rates, layout=layout).cells
+    """The balances job for every scope row at once (H8). A row's balance
+    file is found by its report name and its paper is
+    ``serial-company2024.xlsx``; foreign-currency rows get the closing /
+    average rates, the others 1. Balances outside the scope are left out.
+    Output ``(paper, company, sheet, cell, amount)``."""
+    sc = broadcast_if_small(scope.select(F.col("report_name").alias("company"),
+                                         L.paper_name("serial", "company").alias("paper"), "fx_flag"))
+    in_scope = bal.join(sc.select("company").distinct(), "company", "left_semi")
+    rates = entity_rates(sc, closing_rate, average_rate)
+    cells = tb_to_cells(in_scope, rules, rates, layout=layout).cells
+    return cells.join(sc.select("company", "paper"), "company").select("paper", "company", "sheet", "cell", "amount")

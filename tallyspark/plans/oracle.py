@@ -376,14 +376,14 @@ summary AS (
 
 SCOPE = """
 scope AS (
- SELECT CAST(n_nationkey AS BIGINT) AS serial, n_name AS company, concat('R-', n_name) AS report_name,
+ SELECT CAST(n_nationkey AS BIGINT) AS serial, n_name AS company, n_name AS report_name,
   concat('C', lpad(CAST(n_nationkey AS VARCHAR), 4, '0')) AS sap_code,
   CASE WHEN n_regionkey = 1 THEN '是' WHEN n_regionkey = 2 THEN NULL ELSE '否' END AS fx_flag,
   CAST(n_nationkey AS BIGINT) AS seq
  FROM (SELECT DISTINCT n.n_nationkey, n.n_name, n.n_regionkey
        FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey) e
- UNION ALL SELECT * FROM (VALUES (CAST(99 AS BIGINT), 'EXTRA', 'R-EXTRA', 'C9999', '否', CAST(99 AS BIGINT)),
-  (100, 'NATION_3', 'R-NATION_3-NEW', 'C0003', '否', 100)) v(serial, company, report_name, sap_code, fx_flag, seq))"""
+ UNION ALL SELECT * FROM (VALUES (CAST(99 AS BIGINT), 'EXTRA', 'EXTRA', 'C9999', '否', CAST(99 AS BIGINT)),
+  (100, 'NATION_3', 'NATION_3-NEW', 'C0003', '否', 100)) v(serial, company, report_name, sap_code, fx_flag, seq))"""
 
 TEMPLATE = """
 template AS (
@@ -1041,9 +1041,11 @@ WHERE accts LIKE '%|%'
        OR len(string_split(replace(accts, chr(10), ''), '|')) <> len(string_split(replace(items, chr(10), ''), '|')))"""
 
 ORACLE["batch_tb_to_cells"] = BASE_A[:-1] + ",\n" + SCOPE.strip() + """
-, fx AS (SELECT DISTINCT company FROM scope WHERE fx_flag IS NOT DISTINCT FROM '是')
+, sc AS (SELECT report_name AS company, concat(CAST(serial AS VARCHAR), '-', company, '2024.xlsx') AS paper, fx_flag
+         FROM scope)
+, fx AS (SELECT DISTINCT company FROM sc WHERE fx_flag IS NOT DISTINCT FROM '是')
 , ent_rates AS (SELECT f.company, r.sheet, r.rate FROM fx f CROSS JOIN rates r)
-, comp AS (SELECT DISTINCT company FROM long_a WHERE company IN (SELECT company FROM scope))
+, comp AS (SELECT DISTINCT company FROM long_a WHERE company IN (SELECT company FROM sc))
 , per_company AS (SELECT c.company, p.* FROM comp c CROSS JOIN parts p)
 , cells0 AS (
  SELECT a.company, a.sheet, a.cell, round(sum(b.amount * a.sign), 2) AS amt
@@ -1055,7 +1057,8 @@ ORACLE["batch_tb_to_cells"] = BASE_A[:-1] + ",\n" + SCOPE.strip() + """
   CAST(round(CAST(coalesce(c.amt, 0) AS DECIMAL(18,2)) * coalesce(r.rate, CAST(1 AS DECIMAL(10,4))), 2) AS DECIMAL(18,2)) AS amount
  FROM cells0 c LEFT JOIN ent_rates r ON c.company = r.company AND c.sheet = r.sheet)
 """ + _zeroed("cells_rate") + """
-SELECT company, sheet, cell, CAST(amount AS DOUBLE) AS amount FROM zeroed"""
+SELECT s.paper, z.company, z.sheet, z.cell, CAST(z.amount AS DOUBLE) AS amount
+FROM zeroed z JOIN sc s ON z.company = s.company"""
 
 
 def _dyn_step(i: int, src: str) -> str:

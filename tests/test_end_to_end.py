@@ -143,7 +143,7 @@ def test_tb_batch_with_relation_and_scope(spark, scratch):
                                                          2: ["D:\\\\tb\\\\甲.xlsx", "1-甲2024.xlsx"],
                                                          3: ["D:\\\\tb\\\\乙.xlsx", "2-乙2024.xlsx"]}})
     write_xlsx(os.path.join(cfg, "范围.xlsx"), {"s": {1: ["24年试算序号", "公司名称", "报表名称", "SAP代码", "是否外币"],
-                                                   2: [1, "甲", "r", "C1", "是"], 3: [2, "乙", "r2", "C2", "否"]}})
+                                                   2: [1, "甲公司", "甲", "C1", "是"], 3: [2, "乙公司", "乙", "C2", "否"]}})
     br, mr, rr, sr, out = (os.path.join(scratch, x) for x in ("br", "mr", "rr", "sr", "out"))
     cli.run(["ingest", bal_dir, br])
     cli.run(["ingest", os.path.join(cfg, "映射表.xlsx"), mr])
