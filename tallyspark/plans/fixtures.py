@@ -638,3 +638,18 @@ def rule_rows(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit(2).alias("row_no"),
                  F.array(*[F.lit(x) for x in ["行次", "项目名称", "单元格", "账户代码", "运算符", "金额列"]]).alias("cells")))))
     return body.unionByName(head.select("file_name", "sheet", F.col("row_no").cast("int"), "cells"))
+
+
+def supplier_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Scope rows for the per-supplier statement files: report name = the
+    supplier's file name; foreign-currency flag from the supplier's nation
+    region (as in :func:`scope`)."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+            .select(F.col("s_suppkey").cast("bigint").alias("serial"), F.col("s_name").alias("company"),
+                    F.col("s_name").alias("report_name"),
+                    F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sap_code"),
+                    F.when(F.col("n_regionkey") == 1, "是").when(F.col("n_regionkey") == 2, F.lit(None))
+                    .otherwise("否").alias("fx_flag"),
+                    F.col("s_suppkey").cast("bigint").alias("seq")))

@@ -187,3 +187,18 @@ def batch_tb_to_cells(bal: DataFrame, rules: DataFrame, scope: DataFrame, closin
     rates = entity_rates(sc, closing_rate, average_rate)
     cells = tb_to_cells(in_scope, rules, rates, layout=layout).cells
     return cells.join(sc.select("company", "paper"), "company").select("paper", "company", "sheet", "cell", "amount")
+
+
+def batch_report_to_cells(group_balance: DataFrame, group_income: DataFrame, scope: DataFrame,
+                          fx_sheet: str = "原报表USD") -> DataFrame:
+    """Statement placement for every scope row (H8 with H7): a row's
+    statements are found by its report name, its paper is
+    ``serial-company2024.xlsx``, and foreign-currency rows are placed on
+    ``fx_sheet`` instead of the statement sheet."""
+    cells = report_to_cells(group_balance, group_income)
+    sc = broadcast_if_small(scope.select(F.col("report_name").alias("company"),
+                                         L.paper_name("serial", "company").alias("paper"),
+                                         F.col("fx_flag").eqNullSafe(FX_YES).alias("_fx")))
+    j = cells.join(sc, "company")
+    return j.select("paper", "company", F.when(F.col("_fx"), F.lit(fx_sheet)).otherwise(F.col("sheet")).alias("sheet"),
+                    "cell", "amount")

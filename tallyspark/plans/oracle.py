@@ -1093,3 +1093,11 @@ ORACLE["dynamic_paper"] = with_(TB, LEDGER, TEMPLATE)[:-1] + _DYN + """
 SELECT coalesce(l.company, c.company) AS company, coalesce(l.row_no, c.row_no) AS row_no,
  coalesce(l.col_no, c.col_no) AS col_no, CASE WHEN c.company IS NOT NULL THEN c.value ELSE l.value END AS value
 FROM l2 l FULL OUTER JOIN pc c ON l.company = c.company AND l.row_no = c.row_no AND l.col_no = c.col_no"""
+
+ORACLE["batch_report_to_cells"] = STMT[:-1] + _GROUP + _PLACE + """
+, sc AS (
+ SELECT concat(CAST(s.s_suppkey AS VARCHAR), '-', s.s_name, '2024.xlsx') AS paper, s.s_name AS company,
+  n.n_regionkey = 1 AS fx
+ FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey)
+SELECT sc.paper, p.company, CASE WHEN sc.fx THEN '原报表USD' ELSE p.sheet END AS sheet, p.cell, CAST(p.amount AS DOUBLE) AS amount
+FROM placed_stmt p JOIN sc ON p.company = sc.company"""

@@ -671,3 +671,11 @@ def q_dynamic_paper(spark, d):
     tmpl = P.to_cells(X.expense_template(spark, d)).select(
         F.col("file_name").alias("company"), "row_no", "col_no", "value")
     return L.dynamic_paper(tmpl, _summary(spark, d), L.slot_counts(X.expense_template(spark, d), max_row=None))
+
+
+@register("batch_report_to_cells")
+def q_batch_report_to_cells(spark, d):
+    bal, inc = X.group_statements(spark, d)
+    # the group statements are per supplier; entities are named after them in this scope
+    sc = X.supplier_scope(spark, d)
+    return J.batch_report_to_cells(bal, inc, sc)
