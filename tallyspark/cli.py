@@ -1,7 +1,7 @@
 """Command line for the flows a user of the desktop toolkit runs, on folders of
 workbooks at cluster scale.
 
-    python -m tallyspark ingest  <folder> <rows_table> [--sheets CF2 ...]
+    python -m tallyspark ingest  <folder> <rows_table> [--sheets CF2 ...] [--flat]
     python -m tallyspark tb      --balances <rows_table> --rules <rows_table> --out <dir>
                                  [--layout A|B] [--closing-rate R --average-rate R]
                                  [--keep-opening] [--sheets 1 8 ...] [--log <dir>]
@@ -9,7 +9,7 @@ workbooks at cluster scale.
     python -m tallyspark statements   --reports <rows_table> --rules <rows_table> --out <dir>
     python -m tallyspark counterparty --papers <rows_table> --out <dir>
     python -m tallyspark expense      --papers <rows_table> --out <dir>
-    python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir>
+    python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir> [--header N]
     python -m tallyspark split-group  --group <rows_table> --scope <rows_table> --out <dir>
     python -m tallyspark ledger       --ledger <rows_table> --scope <rows_table> --out <dir> [--average-rate R]
 
@@ -87,6 +87,7 @@ def run(argv=None) -> None:
     a.add_argument("folder")
     a.add_argument("target")
     a.add_argument("--sheets", nargs="*")
+    a.add_argument("--flat", action="store_true", help="only the folder itself, not its subfolders")
     t = sub.add_parser("tb")
     t.add_argument("--balances", required=True)
     t.add_argument("--rules", required=True)
@@ -115,6 +116,7 @@ def run(argv=None) -> None:
     r.add_argument("--sheet", required=True)
     r.add_argument("--start", required=True)
     r.add_argument("--end", required=True)
+    r.add_argument("--header", type=int, default=0, help="row of the range holding the header")
     r.add_argument("--out", required=True)
     g = sub.add_parser("split-group")
     g.add_argument("--group", required=True)
@@ -133,7 +135,7 @@ def run(argv=None) -> None:
     from tallyspark.sources.xlsx import ingest_workbooks, sheet_rows
 
     if args.cmd == "ingest":
-        ingest_workbooks(spark, args.folder, args.target, sheets=args.sheets)
+        ingest_workbooks(spark, args.folder, args.target, sheets=args.sheets, recursive=not args.flat)
     elif args.cmd == "tb":
         from tallyspark.operators import balances as B
         from tallyspark.plans.jobs import tb_to_cells
@@ -202,7 +204,7 @@ def run(argv=None) -> None:
     elif args.cmd == "range":
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, [args.sheet]), must_not=["合并", "日志", "~$"])
-        export_merged(P.read_range(rows, args.sheet, args.start, args.end), args.out)
+        export_merged(P.read_range(rows, args.sheet, args.start, args.end, header=args.header), args.out)
 
 
 if __name__ == "__main__":

@@ -151,9 +151,13 @@ def _scan_batches(sheets, chunk_rows: int = OUT_CHUNK_ROWS):
 
 def read_workbooks(spark: SparkSession, path: str, recursive: bool = True,
                    glob: str = "*.{xlsx,xlsm}", sheets=None) -> DataFrame:
-    """Raw scan with an ``error`` column (one row per failed file)."""
-    src = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", str(recursive).lower()).load(path))
+    """Raw scan with an ``error`` column (one row per failed file). Flat mode
+    reads only the folder itself, through a glob."""
+    r = spark.read.format("binaryFile")
+    if recursive or path.lower().endswith((".xlsx", ".xlsm")):
+        src = r.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    else:
+        src = r.load(path.rstrip("/") + "/" + glob)
     return src.select("path", "content").mapInPandas(_scan_batches(sheets), SCAN_SCHEMA)
 
 

@@ -133,3 +133,10 @@ def test_used_range_of_first_sheet(spark, scratch):
     assert got == [("Z首", 3, "h1", "1"), ("Z首", 3, "h2", "2"), ("Z首", 4, "h1", "x")]
     named = rows_of(P.read_used_range(rows, sheet="A次", auto=False), "sheet", "row_no")
     assert named == [("A次", 1), ("A次", 2)]
+
+
+def test_flat_scan_skips_subfolders(spark, scratch):
+    d = _folder(scratch)
+    flat = {r.file_name for r in XS.scan_workbook_cells(spark, d, recursive=False).collect()}
+    deep = {r.file_name for r in XS.scan_workbook_cells(spark, d, recursive=True).collect()}
+    assert "乙公司" in deep and "乙公司" not in flat and "甲公司" in flat
