@@ -108,6 +108,8 @@ def run(argv=None) -> None:
     c = sub.add_parser("counterparty")
     c.add_argument("--papers", required=True)
     c.add_argument("--out", required=True)
+    c.add_argument("--skip-trial", action="store_true",
+                   help="also skip file names containing 试算 (the recursive-folder rule)")
     e = sub.add_parser("expense")
     e.add_argument("--papers", required=True)
     e.add_argument("--out", required=True)
@@ -170,7 +172,10 @@ def run(argv=None) -> None:
     elif args.cmd == "counterparty":
         from tallyspark.operators.counterparty import EXTRACTS, extract
         from tallyspark.schemas import COUNTERPARTY_SHEETS
-        rows = sheet_rows(spark, args.papers, COUNTERPARTY_SHEETS)
+        from tallyspark.operators import papers as P
+        from tallyspark.schemas import SKIP_NAME_FRAGMENT_RECURSIVE, SKIP_NAME_FRAGMENTS_EXTRACT
+        skip = list(SKIP_NAME_FRAGMENTS_EXTRACT) + ([SKIP_NAME_FRAGMENT_RECURSIVE] if args.skip_trial else [])
+        rows = P.filter_files(sheet_rows(spark, args.papers, COUNTERPARTY_SHEETS), must_not=skip)
         for i, spec in enumerate(EXTRACTS):
             export_merged(extract(rows, spec).drop("row_no"), f"{args.out}/table_{i}")
     elif args.cmd == "expense":
