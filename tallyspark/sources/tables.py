@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path, so the file listing and footer/schema read happen once instead of
     once per use (no data is cached)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    try:
+        session_key = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        session_key = id(spark)
+    key = (session_key, path)
     df = _HANDLES.get(key)
     if df is None:
         df = _HANDLES[key] = spark.read.parquet(path)
