@@ -39,13 +39,15 @@ def tb_to_cells(bal: DataFrame, rules: DataFrame, rates: DataFrame | None = None
         parts = RU.drop_opening_rules(parts)
     if sheets is not None:
         parts = RU.select_sheets(parts, sheets)
+    from tallyspark.operators.joins import collect_small_list, small_config
+    parts = small_config(parts)
+    rule_sheets = collect_small_list(parts, "sheet")  # bounded config list, fetched once
     companies = bal.select(*keys).distinct()
-    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys, companies=companies), keys)
+    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys, companies=companies,
+                                              sheets=rule_sheets), keys)
     # verification runs only for layout A and only when the statement sheet
     # is among the (selected) rule sheets, as in the source
-    from tallyspark.operators.joins import collect_small_list, small_config
-    parts = small_config(parts)
-    has_statement = SHEET_STATEMENT in collect_small_list(parts, "sheet")
+    has_statement = SHEET_STATEMENT in rule_sheets
     recon = R.reconcile(long, parts, keys, SHEET_STATEMENT) if layout == "A" and has_statement else None
     if log_path and recon is not None:
         from tallyspark.sinks.writers import write_recon_log
