@@ -176,8 +176,8 @@ def run(argv=None) -> None:
         from tallyspark.schemas import SKIP_NAME_FRAGMENT_RECURSIVE, SKIP_NAME_FRAGMENTS_EXTRACT
         skip = list(SKIP_NAME_FRAGMENTS_EXTRACT) + ([SKIP_NAME_FRAGMENT_RECURSIVE] if args.skip_trial else [])
         rows = P.filter_files(sheet_rows(spark, args.papers, COUNTERPARTY_SHEETS), must_not=skip)
-        for i, spec in enumerate(EXTRACTS):
-            export_merged(extract(rows, spec).drop("row_no"), f"{args.out}/table_{i}")
+        for spec in EXTRACTS:  # one output per table, named like the table
+            export_merged(extract(rows, spec).drop("row_no"), f"{args.out}/{spec.name}")
     elif args.cmd == "expense":
         from tallyspark.plans.queries import AUDIT_RANGES, EXP_NAMES, YOY_NAMES, YOY_RANGES
         from tallyspark.operators import papers as P

@@ -84,7 +84,7 @@ def test_other_flows_from_workbooks(spark, scratch):
     cells = spark.read.parquet(out + "/st/cells").collect()
     assert [(r.file_name, r.cell, float(r.amount)) for r in cells] == [("甲公司报表", "N8", 19.0)]
     cli.run(["counterparty", "--papers", pr, "--out", out + "/cp"])
-    oar = spark.read.parquet(out + "/cp/table_0").collect()
+    oar = spark.read.parquet(out + "/cp/其他应收款").collect()
     assert [(r["文件名"], r["名称"]) for r in oar] == [("甲公司2024", "客户甲")]
     cli.run(["expense", "--papers", pr, "--out", out + "/ex"])
     aud = spark.read.parquet(out + "/ex/audited").collect()
