@@ -22,7 +22,9 @@ def small_config(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame
     size check, its sheet list and its broadcast all read the same small
     result instead of re-deriving it. Persisted with lineage kept: a lost
     executor recomputes the partition. Returns the persisted DataFrame; the
-    size check happens in :func:`broadcast_if_small`."""
+    size check happens in :func:`broadcast_if_small`. The cached copies are
+    config-sized; a long-lived session can release them with
+    ``spark.catalog.clearCache()`` between runs."""
     if df.storageLevel.useMemory or df.storageLevel.useDisk:
         return df
     return df.persist(StorageLevel.MEMORY_AND_DISK)
