@@ -12,6 +12,8 @@ workbooks at cluster scale.
     python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir> [--header N]
     python -m tallyspark split-group  --group <rows_table> --scope <rows_table> --out <dir>
     python -m tallyspark ledger       --ledger <rows_table> --scope <rows_table> --out <dir> [--average-rate R]
+    python -m tallyspark tables       --kind balances|statements|group --rows <rows_table> --out <dir>
+                                      [--exclude FRAGMENT ...]
 
 Workbooks are parsed once by ``ingest`` into a Parquet sheet-rows table; every
 other command reads such tables and writes Parquet outputs (cell tables rather
@@ -130,6 +132,11 @@ def run(argv=None) -> None:
     lg.add_argument("--scope", required=True)
     lg.add_argument("--out", required=True)
     lg.add_argument("--average-rate", type=float, default=1.0)
+    tb_ = sub.add_parser("tables")
+    tb_.add_argument("--kind", choices=["balances", "statements", "group"], required=True)
+    tb_.add_argument("--rows", required=True)
+    tb_.add_argument("--out", required=True)
+    tb_.add_argument("--exclude", nargs="*", default=[], help="skip files whose name contains these")
     args = p.parse_args(argv)
     spark = get_spark()
 
@@ -206,6 +213,17 @@ def run(argv=None) -> None:
         from tallyspark.plans.jobs import batch_entities
         cells = batch_entities(_ledger(spark, args.ledger, args.sheet), _scope(spark, args.scope), args.average_rate)
         write_per_company(cells, f"{args.out}/cells", by="paper")
+    elif args.cmd == "tables":
+        from tallyspark.operators import papers as P
+        from tallyspark.plans import jobs as J
+        rows = P.filter_files(sheet_rows(spark, args.rows), must_not=args.exclude)
+        if args.kind == "balances":
+            J.ingest_balances(rows, f"{args.out}/balances")
+        elif args.kind == "statements":
+            J.ingest_statements(rows, f"{args.out}/balance_sheet", f"{args.out}/income")
+        else:
+            grp = P.read_sheet_table(rows, "科目余额表").drop("file_name", "row_no")
+            J.ingest_group(grp, target=f"{args.out}/group_balances")
     elif args.cmd == "range":
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, [args.sheet]), must_not=["合并", "日志", "~$"])

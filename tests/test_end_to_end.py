@@ -153,3 +153,15 @@ def test_tb_batch_with_relation_and_scope(spark, scratch):
              "--relation", rr, "--scope", sr])
     got = {(r.paper, r.cell): float(r.amount) for r in spark.read.parquet(out + "/cells").collect()}
     assert got == {("1-甲2024.xlsx", "E5"): 70.0, ("2-乙2024.xlsx", "E5"): 10.0}
+
+
+def test_tables_command(spark, scratch):
+    bal_dir = os.path.join(scratch, "b")
+    os.makedirs(bal_dir)
+    write_xlsx(os.path.join(bal_dir, "甲.xlsx"), _balance([("1001", 3)]))
+    write_xlsx(os.path.join(bal_dir, "财务分析报表.xlsx"), _balance([("1001", 4)]))
+    rows, out = os.path.join(scratch, "rows"), os.path.join(scratch, "out")
+    cli.run(["ingest", bal_dir, rows])
+    cli.run(["tables", "--kind", "balances", "--rows", rows, "--out", out, "--exclude", "财务分析报表"])
+    got = [(r.company, float(r.closing)) for r in spark.read.parquet(out + "/balances").collect()]
+    assert got == [("甲", 3.0)]
