@@ -175,11 +175,12 @@ def dynamic_layout(template_cells: DataFrame, plan: DataFrame, areas=EXPENSE_ARE
     cells = template_cells.select(*cols).join(p, "company")
     for i in range(len(areas)):
         c, a = F.col(f"_c{i}"), F.coalesce(F.col(f"_a{i}"), F.lit(0))
-        shifted = cells.withColumn("row_no", F.when(F.col("row_no") >= c, F.col("row_no") + a)
-                                   .otherwise(F.col("row_no")))
-        source = shifted.filter((a > 0) & (F.col("row_no") == c + a))  # the copied row, moved down
-        copies = source.drop("row_no").select("*", F.explode(F.sequence(c, c + a - 1)).alias("row_no"))
-        cells = shifted.unionByName(copies)
+        moved = F.when(F.col("row_no") >= c, F.col("row_no") + a).otherwise(F.col("row_no"))
+        # one pass per step: every cell keeps its (moved) row; the copied row,
+        # now at c + a, also fills the inserted rows c .. c + a - 1
+        rows = F.when((a > 0) & (moved == c + a), F.concat(F.array(moved), F.sequence(c, c + a - 1))) \
+            .otherwise(F.array(moved))
+        cells = cells.withColumn("row_no", F.explode(rows))
     return cells.select(*cols)
 
 
