@@ -498,7 +498,12 @@ def q_expense_papers(spark, d):
     titles = F.create_map(*[x for k, v in EXPENSE_SHEET_TITLES.items() for x in (F.lit(k), F.lit(v))])
     targets = targets.withColumn("value", F.when((F.col("row_no") == 1) & (F.col("col_no") == 0),
                                                  titles[F.col("sheet")]).otherwise(F.col("value")))
-    blocks = _block_cells(_audited(spark, d)).unionByName(_yoy_block_cells(_yoy(spark, d)))
+    # all six ranges in one pass over the paper rows, split by range afterwards
+    specs = [(n, "8_费用", a, b) for n, a, b in AUDIT_RANGES] + [(n, "8", a, b) for n, a, b in YOY_RANGES]
+    both = P.read_ranges(_papers(spark, d), specs, EXP_NAMES + YOY_NAMES, file_col="公司")
+    audited = both.filter(F.col("table").isin(audit_sheets) & F.col("本期未审").isNotNull())
+    yoy = both.filter(F.col("table").isin(yoy_sheets))
+    blocks = _block_cells(audited).unionByName(_yoy_block_cells(yoy))
     return P.append_block(targets, blocks, "A9")
 
 
