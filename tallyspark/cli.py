@@ -190,9 +190,12 @@ def run(argv=None) -> None:
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, ["8_费用", "8"]),
                               must=["公司"], must_not=["日志", "~$", "小合并"])
-        audited = (P.read_ranges(rows, [(n, "8_费用", a, b) for n, a, b in AUDIT_RANGES], EXP_NAMES, file_col="公司")
-                   .filter(F.col("本期未审").isNotNull()))
-        yoy = P.read_ranges(rows, [(n, "8", a, b) for n, a, b in YOY_RANGES], YOY_NAMES, file_col="公司")
+        specs = [(n, "8_费用", a, b) for n, a, b in AUDIT_RANGES] + [(n, "8", a, b) for n, a, b in YOY_RANGES]
+        both = P.read_ranges(rows, specs, EXP_NAMES + YOY_NAMES, file_col="公司")  # one pass, six ranges
+        audit_tags = [n for n, _, _ in AUDIT_RANGES]
+        audited = (both.filter(F.col("table").isin(audit_tags) & F.col("本期未审").isNotNull())
+                   .select("公司", "row_no", *EXP_NAMES, "table"))
+        yoy = both.filter(~F.col("table").isin(audit_tags)).select("公司", "row_no", *YOY_NAMES, "table")
         replace_table(audited, f"{args.out}/audited")
         replace_table(yoy, f"{args.out}/year_on_year")
     elif args.cmd == "split-group":
