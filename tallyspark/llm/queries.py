@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import ann, language, packing, quality, token_files
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_token_files": token_files.op2_token_files,
+    "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
+    "op9_nearest_vectors": ann.op9_nearest_vectors,
 }
 ORACLE: dict[str, str] = {}
