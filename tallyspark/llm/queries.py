@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, language, packing, quality, token_files
+from . import ann, decontaminate, html_text, language, ngram_join, packing, quality, token_files
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_token_files": token_files.op2_token_files,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+    "op5_html_text": html_text.op5_html_text,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_nearest_vectors": ann.op9_nearest_vectors,
