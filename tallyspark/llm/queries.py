@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, language, ngram_join, packing, quality, token_files
+from . import ann, decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, token_files
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_nearest_vectors": ann.op9_nearest_vectors,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE: dict[str, str] = {}
