@@ -153,16 +153,18 @@ def op3_decontamination(spark, sf_dir) -> DataFrame:
     return contained_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _clean(shared):
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        for d, _, _ in _batched(texts.tolist(), shared.value.find):
+            out[d] = False
+        return pd.Series(out)
+
+    return F.pandas_udf(clean, "boolean")
+
+
 def keep_uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark item; all their columns."""
     for block in item_blocks(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
-        shared = spark.sparkContext.broadcast(block)
-
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            out = np.ones(len(texts), bool)
-            for d, _, _ in _batched(texts.tolist(), shared.value.find):
-                out[d] = False
-            return pd.Series(out)
-
-        docs = docs.where(F.pandas_udf(clean, "boolean")(F.col("text").cast("string")))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block))(F.col("text").cast("string")))
     return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, token_files
+from . import ann, chat, decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, token_files
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_html_text": html_text.op5_html_text,
+    "op6_chat": chat.op6_chat,
     "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_nearest_vectors": ann.op9_nearest_vectors,
