@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import ann, chat, decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, token_files
+from .oracle import ORACLE  # noqa: F401
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -16,4 +17,3 @@ QUERIES = {
     "op9_nearest_vectors": ann.op9_nearest_vectors,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLE: dict[str, str] = {}
