@@ -44,27 +44,19 @@ def _rules(spark, path):
     return read_rules(sheet_rows(spark, path)).drop("row_no")
 
 
-SCOPE_HEADERS = [("serial", "24年试算序号"), ("company", "公司名称"), ("report_name", "报表名称"),
-                 ("sap_code", "SAP代码"), ("fx_flag", "是否外币")]
-LEDGER_SHEET_HEADERS = [("company_code", "公司代码"), ("func_area", "功能范围：文本"),
-                        ("gl_text", "总账科目：短文本"), ("amount_text", "凭证货币价值")]
-
-
 def _scope(spark, path):
-    """Scope workbook: first sheet, header in its first row; row order is the
-    order of rows (a later duplicate code wins)."""
-    from tallyspark.operators import papers as P
+    from tallyspark.operators.ledger import read_scope
     from tallyspark.sources.xlsx import sheet_rows
-    first = P.read_used_range(sheet_rows(spark, path, with_index=True), auto=False)
-    t = P.read_sheet_table(first, None, names=[h for _, h in SCOPE_HEADERS])
-    return t.select(*[F.col(h).alias(c) for c, h in SCOPE_HEADERS], F.col("row_no").cast("bigint").alias("seq"))
+    return read_scope(sheet_rows(spark, path, with_index=True))
 
 
 def _ledger(spark, path, sheet):
-    from tallyspark.operators import papers as P
+    """Ledger lines of an ingested table, or of CSV files."""
+    from tallyspark.sources.files import read_ledger_csv, read_ledger_rows
     from tallyspark.sources.xlsx import sheet_rows
-    t = P.read_sheet_table(sheet_rows(spark, path, [sheet]), sheet, names=[h for _, h in LEDGER_SHEET_HEADERS])
-    return t.select(*[F.col(h).alias(c) for c, h in LEDGER_SHEET_HEADERS])
+    if path.lower().rstrip("/").endswith(".csv"):
+        return read_ledger_csv(spark, path).drop("file_path")
+    return read_ledger_rows(sheet_rows(spark, path, [sheet])).drop("file_name", "row_no")
 
 
 RELATION_HEADERS = [("balance_path", "科目余额表路径"), ("paper_path", "试算底稿路径")]
@@ -84,6 +76,7 @@ def _relation(spark, path, sheet="匹配结果"):
 
 def run(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tallyspark")
+    p.add_argument("--input-gb", type=float, help="size of the input, for shuffle sizing where the submit configuration sets none")
     sub = p.add_subparsers(dest="cmd", required=True)
     a = sub.add_parser("ingest")
     a.add_argument("folder")
@@ -138,7 +131,7 @@ def run(argv=None) -> None:
     tb_.add_argument("--out", required=True)
     tb_.add_argument("--exclude", nargs="*", default=[], help="skip files whose name contains these")
     args = p.parse_args(argv)
-    spark = get_spark()
+    spark = get_spark(input_bytes=None if args.input_gb is None else int(args.input_gb * 1e9))
 
     from tallyspark.sinks.writers import export_merged, replace_table, write_per_company
     from tallyspark.sources.xlsx import ingest_workbooks, sheet_rows
@@ -160,8 +153,7 @@ def run(argv=None) -> None:
                           layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening)
         rel = None
         if args.relation:
-            from tallyspark.operators.joins import broadcast_if_small
-            rel = broadcast_if_small(_relation(spark, args.relation))
+            rel = _relation(spark, args.relation)
             write_per_company(res.cells.join(rel, "company"), f"{args.out}/cells", by="paper")
         else:
             write_per_company(res.cells, f"{args.out}/cells")
@@ -230,7 +222,7 @@ def run(argv=None) -> None:
     elif args.cmd == "range":
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, [args.sheet]), must_not=["合并", "日志", "~$"])
-        export_merged(P.read_range(rows, args.sheet, args.start, args.end, header=args.header), args.out)
+        export_merged(P.read_range(rows, args.sheet, args.start, args.end, header=args.header).drop("row_no"), args.out)
 
 
 if __name__ == "__main__":

@@ -27,21 +27,6 @@ def ne_zero_keep_null(c) -> Column:
     return ~col(c).eqNullSafe(F.lit(0))
 
 
-def nonnull_nonzero(c) -> Column:
-    return col(c).isNotNull() & (col(c) != 0)
-
-
-def to_money(c) -> Column:
-    """Strict cast to DECIMAL(18,2) (a bad value raises, as in the source)."""
-    return col(c).cast(MONEY)
-
-
-def try_money(c) -> Column:
-    """Lenient numeric text -> DECIMAL(18,2); non-numbers become null."""
-    return F.expr(f"try_cast(`{c}` AS DECIMAL(18,2))") if isinstance(c, str) else \
-        c.try_cast(MONEY)
-
-
 def num(c) -> Column:
     """Cell text -> DOUBLE for numeric comparisons; text stays null."""
     return col(c).try_cast("double")
@@ -58,14 +43,15 @@ def op_to_sign(op) -> Column:
 
 
 def parse_thousands(c) -> Column:
-    """'1,234.50' -> 1234.50 as DECIMAL(18,2)."""
-    return F.regexp_replace(col(c), ",", "").cast(MONEY)
+    """'1,234.50' -> 1234.50 as DECIMAL(18,2); null if it is no number."""
+    return F.regexp_replace(col(c), ",", "").try_cast(MONEY)
 
 
 def parse_trailing_minus(c) -> Column:
-    """'1,234.50-' -> -1234.50; any '-' anywhere makes it negative."""
+    """'1,234.50-' -> -1234.50; any '-' anywhere makes it negative; null if it
+    is no number (see :func:`tallyspark.operators.ledger.ledger_rejects`)."""
     s = col(c).cast("string")
-    mag = F.regexp_replace(F.regexp_replace(s, ",", ""), "-", "").cast(MONEY)
+    mag = F.regexp_replace(F.regexp_replace(s, ",", ""), "-", "").try_cast(MONEY)
     return F.when(s.contains("-"), -mag).otherwise(mag)
 
 
@@ -84,7 +70,9 @@ def as_text_label(c) -> Column:
 
 
 def strip_text(c) -> Column:
-    return F.trim(col(c))
+    """Text without white space at its ends: every Unicode space, the
+    full-width one and line ends included, and the separators U+001C to U+001F."""
+    return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def base_name(path) -> Column:
@@ -92,10 +80,6 @@ def base_name(path) -> Column:
     return F.element_at(F.split(col(path), r"[/\\]"), -1)
 
 
-def strip_suffix(name, suffix: str = ".xlsx") -> Column:
-    return F.replace(col(name), F.lit(suffix), F.lit(""))
-
-
 def col_letters_to_no(letters) -> Column:
     """'A' -> 0, 'Z' -> 25, 'AA' -> 26 (zero-based column number)."""
     s = F.upper(col(letters))

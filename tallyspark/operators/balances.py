@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.exprs import strip_text
+
 from tallyspark.schemas import (HEADER_OF, LAYOUT_A_AMOUNTS, LAYOUT_A_BANNER_ROWS,
                                 LAYOUT_A_COLUMNS, LAYOUT_B_AMOUNTS, LAYOUT_B_COLUMNS, MONEY)
-from tallyspark.operators.joins import join_small
 
 
 def unpivot_amounts(wide: DataFrame, amount_cols, keep_cols, labels: dict | None = None,
@@ -80,23 +81,23 @@ def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
     14 positional columns, amounts to DECIMAL(18,2) (A8). Files with more
     than one non-empty sheet are left out (see :func:`single_sheet_files`).
 
-    Banner rows are the four sheet rows starting at the first used row; the
-    trailer is the greatest row number. One per-file aggregate (sheet count,
-    first and last row; partial aggregation, no window over a whole file) is
-    joined back: two passes over the rows."""
+    Banner rows are the first four rows of the sheet, used or not; the trailer
+    is the greatest row number. One per-file aggregate (sheet count, last row;
+    partial aggregation, no window over a whole file) is joined back: two passes
+    over the rows. With ``record_path``, ``file_path`` is the file's path where the
+    rows carry one."""
     bounds = (rows.groupBy("file_name")
-              .agg(F.countDistinct("sheet").alias("_n_sheets"), F.max("row_no").alias("_last"),
-                   F.min("row_no").alias("_first"))
+              .agg(F.countDistinct("sheet").alias("_n_sheets"), F.max("row_no").alias("_last"))
               .filter(F.col("_n_sheets") == 1))
-    body = join_small(rows, bounds, "file_name")
-    body = body.filter((F.col("row_no") >= F.col("_first") + LAYOUT_A_BANNER_ROWS)
+    body = rows.join(bounds, "file_name")
+    body = body.filter((F.col("row_no") > LAYOUT_A_BANNER_ROWS)
                        & (F.col("row_no") < F.col("_last")))
     out = [F.col("file_name").alias("company")]
     for i, (c, h) in enumerate(LAYOUT_A_COLUMNS):
         v = F.get(F.col("cells"), i)
         out.append((v.cast(MONEY) if "金额" in h else v).alias(c))
     if record_path:
-        out.append(F.col("file_name").alias("file_path"))
+        out.append(F.col("path" if "path" in rows.columns else "file_name").alias("file_path"))
     return body.select(*out)
 
 
@@ -109,12 +110,12 @@ def read_balance_b(rows: DataFrame, record_path: bool = False) -> DataFrame:
            .agg(F.countDistinct("sheet").alias("_n_sheets"), F.min("row_no").alias("_hdr_row"),
                 F.min_by("cells", "row_no").alias("_hdr"))
            .filter(F.col("_n_sheets") == 1))
-    body = join_small(rows, hdr, "file_name").filter(F.col("row_no") > F.col("_hdr_row"))
+    body = rows.join(hdr, "file_name").filter(F.col("row_no") > F.col("_hdr_row"))
     out = [F.col("file_name").alias("company")]
     for c, h in LAYOUT_B_COLUMNS:
-        pos = F.array_position(F.transform("_hdr", lambda x: F.trim(x)), F.lit(h))
+        pos = F.array_position(F.transform("_hdr", lambda x: strip_text(x)), F.lit(h))
         v = F.when(pos > 0, F.try_element_at("cells", pos.cast("int")))
         out.append((v.cast(MONEY) if c.startswith(("fc_", "lc_")) else v).alias(c))
     if record_path:
-        out.append(F.col("file_name").alias("file_path"))
+        out.append(F.col("path" if "path" in rows.columns else "file_name").alias("file_path"))
     return body.select(*out).filter(F.col("acct_code").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.operators.joins import broadcast_if_small, collect_small_list, is_small, small_config
+from tallyspark.operators.joins import values_of
 from tallyspark.schemas import (AVERAGE_RATE_SHEETS, CLOSING_RATE_SHEETS, MONEY, RATE,
                                 SHEET_EXPENSE)
 
@@ -16,14 +16,12 @@ def job_grid(long: DataFrame, parts: DataFrame, keys=("company",), companies: Da
              sheets=None) -> DataFrame:
     """``(keys..., sheet)``: every company gets every selected sheet.
 
-    The sheet list is a bounded parameter (the rule sheets by default), so it
-    is exploded as a literal per company: no join without a key."""
+    The sheet list (the rule sheets by default) is exploded per company: no
+    join without a key."""
     keys = list(keys)
     comp = companies if companies is not None else long.select(*keys).distinct()
-    sheet_list = list(sheets) if sheets is not None else collect_small_list(parts, "sheet")
-    if not sheet_list:
-        return comp.withColumn("sheet", F.lit(None).cast("string")).limit(0)
-    return comp.select(*keys, F.explode(F.array(*[F.lit(s) for s in sheet_list])).alias("sheet"))
+    names = values_of(parts, "sheet") if sheets is None else F.array(*[F.lit(s) for s in sheets]).cast("array<string>")
+    return comp.select(*keys, names.alias("_sheets")).select(*keys, F.explode("_sheets").alias("sheet"))
 
 
 def join_rules_balances(long: DataFrame, parts: DataFrame, keys=("company",),
@@ -32,14 +30,11 @@ def join_rules_balances(long: DataFrame, parts: DataFrame, keys=("company",),
 
     Every rule part appears once per company, with ``amount`` null when no
     balance matches. The balance side is first narrowed to the rules'
-    (code, item) pairs by a broadcast semi join, so only matching rows reach
-    the shuffle of the outer join."""
+    (code, item) pairs by a semi join, so only matching rows reach the
+    shuffle of the outer join."""
     keys = list(keys)
-    parts = small_config(parts)
-    ok = is_small(parts)
-    small = broadcast_if_small(parts, small=ok)
-    grid = job_grid(long, parts, keys, companies, sheets).join(small, "sheet")
-    pairs = broadcast_if_small(parts.select("acct_code", "item").distinct(), small=ok)
+    grid = job_grid(long, parts, keys, companies, sheets).join(parts, "sheet")
+    pairs = parts.select("acct_code", "item").distinct()
     narrowed = (long.select(*keys, "acct_code", "item", "amount")
                 .join(pairs, ["acct_code", "item"], "left_semi"))
     return grid.join(narrowed, keys + ["acct_code", "item"], "left")
@@ -59,26 +54,22 @@ def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = No
     gives 0; times the sheet rate; rounded again (E2 + G1). ``rates`` is
     ``(sheet, rate)`` or, per entity, ``(company, sheet, rate)``.
 
-    Plan: broadcast rules onto the long balances (no shuffle of the big side),
-    partial-aggregate to one row per company-cell, then fill the cells that
+    Plan: rules joined to the long balances, partial-aggregated to one row per
+    company-cell, then fill the cells that
     matched nothing from the (company x sheet) grid."""
     keys = list(keys)
-    parts = small_config(parts)
-    ok = is_small(parts)
-    small = broadcast_if_small(parts, small=ok)
     matched = (long.select(*keys, "acct_code", "item", "amount")
-               .join(small, ["acct_code", "item"])
+               .join(parts, ["acct_code", "item"])
                .groupBy(*keys, "sheet", "cell")
                .agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
-    cells = broadcast_if_small(parts.select("sheet", "cell").distinct(), small=ok)
+    cells = parts.select("sheet", "cell").distinct()
     grid = job_grid(long, parts, keys, companies, sheets).join(cells, "sheet")
     out = grid.join(matched, keys + ["sheet", "cell"], "left")
     base = F.coalesce(F.round("_raw", 2), F.lit(0).cast(MONEY))
     if rates is not None:
         # rates by sheet, or by (company, sheet) when the table carries the keys
         on = [k for k in keys if k in rates.columns] + ["sheet"]
-        out = out.join(broadcast_if_small(rates.select(*on, F.col("rate").cast(RATE).alias("_rate"))),
-                       on, "left")
+        out = out.join(rates.select(*on, F.col("rate").cast(RATE).alias("_rate")), on, "left")
         rate = F.coalesce(F.col("_rate"), F.lit(1).cast(RATE))
     else:
         rate = F.lit(1).cast(RATE)

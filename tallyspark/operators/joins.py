@@ -1,59 +1,27 @@
-"""Join helpers with explicit size checks before broadcasting."""
+"""Helpers around joins. None of them runs a job or gives a broadcast hint: the
+planner measures the sides (AQE, by bytes) and picks the join at run time."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Config-sized tables (rules, rates, scope) above this many rows are not
-# broadcast by hand; the join falls back to the planner (AQE measures the
-# real size at run time and still broadcasts when it is small).
-MAX_BROADCAST_ROWS = 200_000
 
+def values_of(df: DataFrame, column: str) -> Column:
+    """The distinct values of a rule column (sheet names) as one array, to be
+    exploded per company: an uncorrelated subquery that runs inside the query."""
+    return df.agg(F.array_sort(F.collect_set(column)).alias("_values")).scalar()
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Row count, but never counts past ``limit + 1`` rows."""
-    return df.limit(limit + 1).count()
 
+def any_row(df: DataFrame) -> Column:
+    """Whether ``df`` has a row, decided inside the query."""
+    return df.limit(1).exists()
 
-def small_config(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a config-sized table (rules, rates, scope) once, so its
-    size check, its sheet list and its broadcast all read the same small
-    result instead of re-deriving it. Persisted with lineage kept: a lost
-    executor recomputes the partition. Returns the persisted DataFrame; the
-    size check happens in :func:`broadcast_if_small`. The cached copies are
-    config-sized; a long-lived session can release them with
-    ``spark.catalog.clearCache()`` between runs."""
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
-        return df
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return bounded_count(df, max_rows) <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
-    """Hint a broadcast only after checking the row count (or when ``small``
-    is already known, e.g. for a projection of a checked table); otherwise
-    leave the choice to Catalyst/AQE (sort-merge or shuffled hash join)."""
-    if small is None:
-        small = is_small(df, max_rows)
-    return F.broadcast(df) if small else df
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a per-key aggregate back onto its detail. No hint: the aggregate
-    side's size is only known at run time, so AQE decides between broadcast
-    and shuffle from shuffle statistics."""
-    return big.join(small, on, how)
-
-
-def collect_small_list(df: DataFrame, column: str, max_rows: int = 10_000) -> list:
-    """Distinct values of a config column (e.g. sheet names) with a hard
-    bound; raises rather than pulling an unbounded list to the driver."""
-    vals = df.select(column).distinct().limit(max_rows + 1).collect()
-    if len(vals) > max_rows:
-        raise ValueError(f"{column}: more than {max_rows} distinct values; pass them explicitly")
-    return sorted(r[0] for r in vals if r[0] is not None)
+def header_names(headers: DataFrame, column: str) -> list[str]:
+    """Header texts of a set of files in column order: by their first position,
+    then by text. Column names of a result must be known when it is built, so
+    this reads the headers; pass the names to avoid it."""
+    cells = headers.select(F.posexplode(column).alias("pos", "name")).where("name is not null")
+    rows = cells.groupBy("name").agg(F.min("pos").alias("pos")).orderBy("pos", "name").collect()
+    return [r["name"] for r in rows]

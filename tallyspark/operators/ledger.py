@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions.exprs import parse_trailing_minus
-from tallyspark.operators.joins import broadcast_if_small
+from tallyspark.functions.exprs import parse_trailing_minus, strip_text
 from tallyspark.schemas import (EXPENSE_AREAS, EXPENSE_FIXED_STARTS, FX_YES, MONEY, RATE,
                                 SHEET_EXPENSE)
 
@@ -18,6 +17,12 @@ def parse_ledger(ledger: DataFrame, text_col: str = "amount_text") -> DataFrame:
     return ledger.withColumn("amount", parse_trailing_minus(text_col))
 
 
+def ledger_rejects(ledger: DataFrame, text_col: str = "amount_text") -> DataFrame:
+    """Ledger lines whose amount text is no number; they count as null."""
+    bad = F.col(text_col).isNotNull() & (strip_text(text_col) != "") & parse_trailing_minus(text_col).isNull()
+    return ledger.filter(bad).withColumn("reason", F.lit("amount is no number"))
+
+
 def semi_categories(ledger: DataFrame, areas=EXPENSE_AREAS) -> DataFrame:
     """Keep lines of the listed function areas."""
     return ledger.filter(F.col("func_area").isin(list(areas)))
@@ -40,8 +45,7 @@ def expense_fx(summary: DataFrame, scope: DataFrame | None, average_rate,
     rate = F.lit(str(average_rate)).cast(RATE)
     if scope is None:
         return summary.withColumn("amount", F.col("amount") * rate)
-    flags = broadcast_if_small(scope.select(key, F.col("fx_flag").eqNullSafe(FX_YES).alias("_fx"))
-                               .groupBy(key).agg(F.max("_fx").alias("_fx")))
+    flags = scope.select(key, F.col("fx_flag").eqNullSafe(FX_YES).alias("_fx")).groupBy(key).agg(F.max("_fx").alias("_fx"))
     out = summary.join(flags, key, "left")
     return out.withColumn("amount", F.when(F.coalesce("_fx", F.lit(False)), F.col("amount") * rate)
                           .otherwise(F.col("amount") * F.lit(1).cast(RATE))).drop("_fx")
@@ -76,12 +80,11 @@ def place_fixed(summary: DataFrame, keys=("company",), starts=None,
     return _cells_from_lines(lines, keys, sheet)
 
 
-def slot_counts(template_rows: DataFrame, areas=EXPENSE_AREAS, max_row: int | None = 600,
+def slot_counts(template_rows: DataFrame, areas=EXPENSE_AREAS, max_row: int | None = None,
                 sheet: str = SHEET_EXPENSE) -> DataFrame:
     """Template slots per area: occurrences of the area label in column A of
-    the expense sheet, minus 2 (E7). ``max_row`` bounds the scanned range:
-    the source reads A1:A600 (A1:A500 in its other engine); ``None`` counts
-    the whole column."""
+    the expense sheet, minus 2 (E7), over the whole column; ``max_row`` limits
+    the scanned range (600 or 500 in the desktop flows)."""
     r = template_rows.filter(F.col("sheet") == sheet)
     if max_row is not None:
         r = r.filter(F.col("row_no") <= max_row)
@@ -99,7 +102,9 @@ def dynamic_plan(summary: DataFrame, slots: DataFrame, areas=EXPENSE_AREAS,
     counts = (summary.groupBy("company")
               .agg(*[F.count(F.when(F.col("func_area") == a, 1)).alias(f"lines_{i}")
                      for i, a in enumerate(areas)]))
-    j = counts.join(slots, "company", "inner")
+    # a company without lines keeps its sheet as it is; one without a template
+    # can't be placed (see placement_rejects)
+    j = slots.join(counts, "company", "left").na.fill(0, [f"lines_{i}" for i in range(len(areas))])
     s, a_, r = F.col("slots_0"), F.col("slots_1"), F.col("slots_2")
     add0 = F.greatest(F.col("lines_0") - s, F.lit(0))
     add1 = F.greatest(F.col("lines_1") - a_, F.lit(0))
@@ -135,10 +140,31 @@ def place_dynamic(summary: DataFrame, slots: DataFrame, legacy_offsets: bool = F
     return _cells_from_lines(lines, ["company"], sheet)
 
 
+def placement_rejects(summary: DataFrame, slots: DataFrame) -> DataFrame:
+    """Companies with lines but without a template sheet, and the number of
+    lines that so have no place."""
+    missing = summary.join(slots.select("company"), "company", "left_anti")
+    return missing.groupBy("company").agg(F.count(F.lit(1)).alias("lines"), F.lit("no template sheet").alias("reason"))
+
+
 # ---------------------------------------------------------------------------
 # Scope (entity list) helpers.
 # ---------------------------------------------------------------------------
 
+SCOPE_HEADERS = [("serial", "24年试算序号"), ("company", "公司名称"), ("report_name", "报表名称"),
+                 ("sap_code", "SAP代码"), ("fx_flag", "是否外币")]
+
+
+def read_scope(rows: DataFrame) -> DataFrame:
+    """Scope workbook (A13): each file's first sheet (``rows`` carry
+    ``sheet_idx``), header in its first row, columns by header text; ``seq``
+    is the row number (a later duplicate code wins)."""
+    from tallyspark.operators import papers as P
+    first = P.read_used_range(rows, auto=False)
+    t = P.read_sheet_table(first, None, names=[h for _, h in SCOPE_HEADERS])
+    return t.select(*[F.col(h).alias(c) for c, h in SCOPE_HEADERS], F.col("row_no").cast("bigint").alias("seq"))
+
+
 def lookup_report_name(scope: DataFrame, code_col: str = "sap_code",
                        order_col: str = "seq") -> DataFrame:
     """Company code -> report name; for a duplicated code the last row wins
@@ -172,10 +198,10 @@ def dynamic_layout(template_cells: DataFrame, plan: DataFrame, areas=EXPENSE_ARE
         *[F.max(F.when(F.col("func_area") == a, F.col("copy_row"))).alias(f"_c{i}") for i, a in enumerate(areas)],
         *[F.max(F.when(F.col("func_area") == a, F.col("rows_added"))).alias(f"_a{i}") for i, a in enumerate(areas)])
     cols = ["company", "row_no", "col_no", "value"]
-    cells = template_cells.select(*cols).join(p, "company")
+    cells = template_cells.select(*cols).join(p, "company", "left")
     for i in range(len(areas)):
         c, a = F.col(f"_c{i}"), F.coalesce(F.col(f"_a{i}"), F.lit(0))
-        moved = F.when(F.col("row_no") >= c, F.col("row_no") + a).otherwise(F.col("row_no"))
+        moved = F.when((a > 0) & (F.col("row_no") >= c), F.col("row_no") + a).otherwise(F.col("row_no"))
         # one pass per step: every cell keeps its (moved) row; the copied row,
         # now at c + a, also fills the inserted rows c .. c + a - 1
         rows = F.when((a > 0) & (moved == c + a), F.concat(F.array(moved), F.sequence(c, c + a - 1))) \

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions.exprs import as_text_label, cell_ref, not_contains
-from tallyspark.operators.joins import collect_small_list, join_small
+from tallyspark.functions.exprs import as_text_label, cell_ref, not_contains, strip_text
+from tallyspark.operators.joins import header_names
 
 
 def parse_ref(ref: str) -> tuple[int, int]:
@@ -39,10 +39,6 @@ def to_cells(rows: DataFrame, keep_nulls: bool = False) -> DataFrame:
     return c if keep_nulls else c.filter(F.col("value").isNotNull())
 
 
-def with_ref(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("cell", cell_ref("col_no", "row_no"))
-
-
 # ---------------------------------------------------------------------------
 # Reading ranges
 # ---------------------------------------------------------------------------
@@ -82,8 +78,9 @@ def read_ranges(rows: DataFrame, specs, names, header: int = 0, file_col: str =
     hdr = (cand.filter(F.col("row_no") == F.col("_hdr_row")).groupBy("file_name", "_tag")
            .agg(F.first("cells", ignorenulls=True).alias("_hdr")))
     if names is None:
-        names = collect_small_list(hdr.select(F.explode("_hdr").alias("h")), "h", 1000)
-    body = join_small(cand.filter(F.col("row_no") > F.col("_hdr_row")), hdr, ["file_name", "_tag"])
+        hdr = hdr.withColumn("_hdr", mangle_duplicates(name_blanks(F.col("_hdr"))))
+        names = header_names(hdr, "_hdr")
+    body = cand.filter(F.col("row_no") > F.col("_hdr_row")).join(hdr, ["file_name", "_tag"])
     cols = []
     for n in names:
         pos = F.array_position("_hdr", F.lit(n))
@@ -134,17 +131,17 @@ def auto_header(rows: DataFrame) -> DataFrame:
     window spans a whole sheet."""
     width = rows.groupBy("file_name", "sheet").agg(F.max(F.size("cells")).alias("_w"),
                                                    F.max("row_no").alias("_last"))
-    r = join_small(rows, width, ["file_name", "sheet"])
+    r = rows.join(width, ["file_name", "sheet"])
     nn = F.size(F.filter("cells", lambda v: v.isNotNull()))
     pick = (r.filter(F.col("row_no") < F.col("_last"))
             .groupBy("file_name", "sheet")
             .agg(F.min(F.struct((F.col("_w") - nn).alias("n"), F.col("row_no").alias("r"),
                                 F.col("cells").alias("c"))).alias("_m"))
             .select("file_name", "sheet", F.col("_m.r").alias("_hdr_row"), F.col("_m.c").alias("_hdr")))
-    body = join_small(rows, pick, ["file_name", "sheet"]).filter(F.col("row_no") > F.col("_hdr_row"))
+    body = rows.join(pick, ["file_name", "sheet"]).filter(F.col("row_no") > F.col("_hdr_row"))
     c = body.select("file_name", "sheet", "row_no", "_hdr", F.posexplode("cells").alias("col_no", "value"))
     return c.filter(F.col("value").isNotNull()).select(
-        "file_name", "sheet", "row_no", F.trim(F.get(F.col("_hdr"), F.col("col_no"))).alias("col_name"), "value")
+        "file_name", "sheet", "row_no", strip_text(F.get(F.col("_hdr"), F.col("col_no"))).alias("col_name"), "value")
 
 
 def filter_files(files: DataFrame, must: list | None = None, must_not: list | None = None,
@@ -242,7 +239,7 @@ def block_positions(block: DataFrame, order_cols=("file_name", "row_no"), by=())
     wo = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     wi = Window.partitionBy(*by, first).orderBy(second)
-    b = join_small(block, offsets, by + [first])
+    b = block.join(offsets, by + [first])
     return b.withColumn("pos", (F.col("_off") + F.row_number().over(wi) - 1).cast("long")).drop("_off")
 
 
@@ -270,6 +267,11 @@ def append_block(target: DataFrame, block_cells: DataFrame, anchor: str) -> Data
                     .alias("value"))
 
 
+def name_blanks(hdr):
+    """Header array with blank texts named by their position."""
+    return F.transform(hdr, lambda x, i: F.when(F.coalesce(strip_text(x), F.lit("")) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(x))
+
+
 def mangle_duplicates(hdr):
     """Header array with repeats renamed ``name.1``, ``name.2``, … in order,
     as a header-row reader does (Column expression)."""
@@ -282,15 +284,15 @@ def mangle_duplicates(hdr):
 def read_sheet_table(rows: DataFrame, sheet: str | None, names=None) -> DataFrame:
     """A whole sheet as a table whose header is its first used row, repeated
     header texts mangled (``期末余额``, ``期末余额.1``); ``names`` defaults to the
-    distinct header texts (bounded list). Per-file header from a small
+    distinct header texts in column order. Per-file header from a small
     aggregate joined back; file name kept as ``file_name``. ``sheet=None``
     takes the rows as given (e.g. each file's first sheet)."""
     s = rows if sheet is None else rows.filter(F.col("sheet") == sheet)
     hdr = (s.groupBy("file_name").agg(F.min("row_no").alias("_h"), F.min_by("cells", "row_no").alias("_raw"))
            .select("file_name", "_h", mangle_duplicates(F.col("_raw")).alias("_hdr")))
     if names is None:
-        names = collect_small_list(hdr.select(F.explode("_hdr").alias("h")), "h", 1000)
-    body = join_small(s, hdr, "file_name").filter(F.col("row_no") > F.col("_h"))
+        names = header_names(hdr, "_hdr")
+    body = s.join(hdr, "file_name").filter(F.col("row_no") > F.col("_h"))
     cols = []
     for n in names:
         pos = F.array_position("_hdr", F.lit(n))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import account_class
-from tallyspark.operators.joins import broadcast_if_small, small_config
 from tallyspark.schemas import CLOSING_ITEM, MONEY, SHEET_STATEMENT
 
 
@@ -14,7 +13,7 @@ def join_matched_only(long: DataFrame, parts: DataFrame, keys=("company",)) -> D
     """Left join then ``amount IS NOT NULL`` is an inner join (D3)."""
     keys = list(keys)
     return (long.select(*keys, "acct_code", "item", "amount")
-            .join(broadcast_if_small(small_config(parts)), ["acct_code", "item"], "inner")
+            .join(parts, ["acct_code", "item"], "inner")
             .filter(F.col("amount").isNotNull()))
 
 

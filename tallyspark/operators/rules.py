@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.exprs import op_to_sign
+from tallyspark.functions.exprs import op_to_sign, strip_text
 from tallyspark.schemas import OPENING_MARKER, SHEET_STATEMENT
 
 
@@ -57,11 +57,11 @@ def explode_pipe_rules(rules: DataFrame) -> DataFrame:
     p = p.filter(_valid(p))
     z = p.select("sheet", "_cell", F.posexplode(F.arrays_zip("_a", "_o", "_i")).alias("part_no", "z"))
     return z.select(
-        F.trim("sheet").alias("sheet"),
-        F.trim("_cell").alias("cell"),
-        F.trim(F.col("z._a")).alias("acct_code"),
+        strip_text("sheet").alias("sheet"),
+        strip_text("_cell").alias("cell"),
+        strip_text(F.col("z._a")).alias("acct_code"),
         F.col("z._o").alias("op"),
-        F.trim(F.col("z._i")).alias("item"),
+        strip_text(F.col("z._i")).alias("item"),
         F.col("part_no").cast("int").alias("part_no"))
 
 
@@ -96,7 +96,7 @@ def read_rules(rows: DataFrame, header_row: int = 2) -> DataFrame:
     column (A12). The header is in ``header_row``; the four required
     columns are found by header text on each sheet."""
     hdr = (rows.filter(F.col("row_no") == header_row)
-           .select("file_name", "sheet", F.transform("cells", lambda x: F.trim(x)).alias("_hdr")))
+           .select("file_name", "sheet", F.transform("cells", lambda x: strip_text(x)).alias("_hdr")))
     body = rows.filter(F.col("row_no") > header_row).join(hdr, ["file_name", "sheet"])
     out = [F.col("sheet")]
     for c, h in RULE_COLUMNS:

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.exprs import not_contains
-from tallyspark.operators.joins import broadcast_if_small, is_small, join_small, small_config
+from tallyspark.functions.exprs import not_contains, strip_text
 from tallyspark.schemas import (BALANCE_AMOUNT_TYPES, INCOME_AMOUNT_TYPES, MARK_CUR_ASSETS_TOTAL,
                                 MARK_CUR_LIAB_TOTAL, MARK_EQUITY_START, MARK_EQUITY_TOTAL,
                                 MARK_NONCUR_ASSETS_TOTAL, MARK_NONCUR_LIAB_START, MARK_NONCUR_LIAB_TOTAL,
@@ -48,10 +47,15 @@ def read_income(rows: DataFrame, rng=INCOME_RANGE) -> DataFrame:
     """``A4:E79`` of the income statement; ``line_idx`` is the zero-based
     position of the row inside the range's data (A5)."""
     sheet, first, _ = rng
-    r = read_range_rows(rows, *rng).select(
-        "file_name", "row_no", (F.col("row_no") - first - 1).alias("line_idx"),
-        _cell(0).alias("item"), _cell(1).alias("cur"), _cell(2).alias("ytd"),
-        _cell(3).alias("prior"), _cell(4).alias("prior_ytd"))
+    # amounts are named by the header row, in whatever order a file has them
+    hdr = rows.filter((F.col("sheet") == sheet) & (F.col("row_no") == first)).select(
+        "file_name", F.transform(F.slice("cells", 1, 5), lambda x: strip_text(x)).alias("_hdr"))
+    r = read_range_rows(rows, *rng).join(hdr, "file_name", "left")
+    amounts = []
+    for c, h in INCOME_AMOUNT_TYPES:
+        pos = F.array_position("_hdr", F.lit(h))
+        amounts.append(F.when(pos > 0, F.try_element_at("cells", pos.cast("int"))).alias(c))
+    r = r.select("file_name", "row_no", (F.col("row_no") - first - 1).alias("line_idx"), _cell(0).alias("item"), *amounts)
     return r.filter(F.col("item").isNotNull() & not_contains("item", MARK_PREPARER))
 
 
@@ -61,7 +65,7 @@ def stack_panels(panels: DataFrame) -> DataFrame:
     is exploded into its two panels."""
     def side(name, close, open_, tag):
         return F.struct(F.lit(tag).alias("panel"),
-                        F.trim(F.coalesce(F.col(name), F.lit(""))).alias("item"),
+                        strip_text(F.coalesce(F.col(name), F.lit(""))).alias("item"),
                         F.col(close).try_cast(MONEY).alias("close"),
                         F.col(open_).try_cast(MONEY).alias("open"))
     return panels.select("file_name", "row_no", F.inline(F.array(
@@ -99,7 +103,7 @@ def section_lines(stacked: DataFrame) -> DataFrame:
     """Cut ordered lines into sections, plus a second copy of every line whose
     name contains the total marker (F6). Output: ``file_name, row_no, panel,
     item, category, line_key, close, open``."""
-    j = join_small(stacked, marker_rows(stacked), "file_name")
+    j = stacked.join(marker_rows(stacked), "file_name")
     rn, a, l_ = F.col("row_no"), F.col("panel") == "assets", F.col("panel") == "liab"
     cat = (F.when(a & (rn < F.col("m_ca")), SECTION_CUR_ASSETS)
            .when(a & (rn > F.col("m_ca")) & (rn < F.col("m_nca")), SECTION_NONCUR_ASSETS)
@@ -126,7 +130,7 @@ def melt_balance_sheet(lines: DataFrame) -> DataFrame:
 def melt_income(income: DataFrame) -> DataFrame:
     """Four amount columns -> long, nulls kept; category 损益; key is the
     zero-based range position and the trimmed name (F4, C18)."""
-    i = income.select("file_name", "row_no", F.trim("item").alias("item"),
+    i = income.select("file_name", "row_no", strip_text("item").alias("item"),
                       F.lit(SECTION_INCOME).alias("category"),
                       *[F.col(c).try_cast(MONEY).alias(c) for c, _ in INCOME_AMOUNT_TYPES],
                       "line_idx")
@@ -155,18 +159,16 @@ def long_statements(rows: DataFrame) -> DataFrame:
 def statement_cells(long: DataFrame, parts: DataFrame, sheet: str = "原报表",
                     files: DataFrame | None = None) -> DataFrame:
     """Rules LEFT JOIN long statements on (line key, amount type), summed per
-    cell, null -> 0, no FX (E4). Same plan as the balance cells: broadcast
+    cell, null -> 0, no FX (E4). Same plan as the balance cells: join the
     rules, partial aggregate, fill unmatched cells per file."""
     from tallyspark.operators.cells import job_grid
-    p = small_config(parts.filter(F.col("sheet") == sheet))
-    ok = is_small(p)
-    small = broadcast_if_small(p, small=ok)
+    p = parts.filter(F.col("sheet") == sheet)
     matched = (long.select("file_name", F.col("line_key").alias("acct_code"),
                            F.col("amount_type").alias("item"), "amount")
-               .join(small, ["acct_code", "item"])
+               .join(p, ["acct_code", "item"])
                .groupBy("file_name", "sheet", "cell")
                .agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
-    cells = broadcast_if_small(p.select("sheet", "cell").distinct(), small=ok)
+    cells = p.select("sheet", "cell").distinct()
     files = files if files is not None else long.select("file_name").distinct()
     grid = job_grid(files, p, ["file_name"], files, [sheet]).join(cells, "sheet")
     out = grid.join(matched, ["file_name", "sheet", "cell"], "left")

@@ -47,7 +47,7 @@ def tb(spark: SparkSession, d: str) -> DataFrame:
            .otherwise("6"))
     base = (l.join(p, l.l_partkey == p.p_partkey)
             .join(s, l.l_suppkey == s.s_suppkey)
-            .join(F.broadcast(n), s.s_nationkey == n.n_nationkey)  # 25 rows, fixed size
+            .join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("n_name").alias("company"), cls.alias("cls"),
                     (1 + F.col("p_size") % 5).cast("string").alias("l1"),
                     (1 + F.col("p_partkey") % 4).cast("string").alias("l2"),
@@ -184,7 +184,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
             .when(F.col("p_type") == "SMALL", "研发费用").otherwise("生产成本"))
     return (l.join(p, l.l_partkey == p.p_partkey)
             .join(s, l.l_suppkey == s.s_suppkey)
-            .join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+            .join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("n_name").alias("company"),
                     F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("company_code"),
                     area.alias("func_area"), F.col("p_name").alias("gl_text"), text.alias("amount_text")))
@@ -198,14 +198,10 @@ EXTRA_SCOPE = [(99, "EXTRA", "EXTRA", "C9999", "否", 99),
 
 def scope(spark: SparkSession, d: str) -> DataFrame:
     """``scope(serial, company, report_name, sap_code, fx_flag, seq)``: one
-    row per entity that occurs in the group's data (a distinct over the
-    lineitem/supplier join, so it is read from the data, not a fixed list),
-    plus the literal extra rows."""
-    l = table(spark, d, "lineitem").select("l_suppkey")
+    row per nation that has a supplier, plus the literal extra rows."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    ent = (l.join(s, l.l_suppkey == s.s_suppkey).select("s_nationkey").distinct()
-           .join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")))
+    ent = s.select("s_nationkey").distinct().join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     base = ent.select(F.col("n_nationkey").cast("bigint").alias("serial"), F.col("n_name").alias("company"),
                       F.col("n_name").alias("report_name"),  # per-company files are named by it
                       F.concat(F.lit("C"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")).alias("sap_code"),
@@ -217,6 +213,29 @@ def scope(spark: SparkSession, d: str) -> DataFrame:
     return base.unionByName(extra)
 
 
+def scope_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The scope as sheet rows of a workbook: header in row 1, a row each at
+    ``seq + 2``."""
+    from tallyspark.operators.ledger import SCOPE_HEADERS
+    s = scope(spark, d)
+    cells = F.array(*[F.col(c).cast("string") for c, _ in SCOPE_HEADERS])
+    body = s.select((F.col("seq") + 2).cast("int").alias("row_no"), cells.alias("cells"))
+    head = spark.range(1).select(F.lit(1).alias("row_no"), F.array(*[F.lit(h) for _, h in SCOPE_HEADERS]).alias("cells"))
+    return head.unionByName(body).select(F.lit("scope").alias("file_name"), F.lit("Sheet1").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_no", "cells")
+
+
+def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger as sheet rows, one workbook a company, its columns in another
+    order than the reader's."""
+    from tallyspark.sources.files import LEDGER_HEADERS
+    l = ledger(spark, d)
+    order = list(reversed(LEDGER_HEADERS))
+    body = l.select(F.col("company").alias("file_name"), (F.pmod(F.xxhash64("gl_text", "amount_text"), F.lit(1_000_000)) + 2).cast("int").alias("row_no"),
+                    F.array(*[F.col(c) for c, _ in order]).alias("cells"))
+    head = l.select(F.col("company").alias("file_name")).distinct().select("file_name", F.lit(1).alias("row_no"), F.array(*[F.lit(h) for _, h in order]).alias("cells"))
+    return head.unionByName(body).select("file_name", F.lit("FBL3H费用").alias("sheet"), "row_no", "cells")
+
+
 def expense_template(spark: SparkSession, d: str) -> DataFrame:
     """Column A of each company's expense sheet as rows: one area label per
     customer row (so slot counts grow with the data)."""
@@ -224,7 +243,7 @@ def expense_template(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     k = F.col("c_custkey") % 4
     label = (F.when(k == 0, "销售费用").when(k == 1, "管理费用").when(k == 2, "研发费用"))
-    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return (c.join(n, c.c_nationkey == n.n_nationkey)
             .select(F.col("n_name").alias("file_name"), F.lit("8_费用").alias("sheet"),
                     (F.col("c_custkey") + 2).cast("int").alias("row_no"),
                     F.array(label).alias("cells")))
@@ -554,7 +573,7 @@ def paper_rows(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_name", "n_regionkey")
     w = Window.partitionBy("company", "func_area").orderBy("gl_text")  # bounded: one row per GL text
     lines = (summ.withColumn("rn", F.row_number().over(w))
-             .join(F.broadcast(n), F.col("company") == F.col("n_name"))
+             .join(n, F.col("company") == F.col("n_name"))
              .withColumn("file_name", paper_file("n_name", "n_regionkey")))
     amt = F.col("amount").cast("string")
     exp = lines.select(
@@ -607,7 +626,7 @@ def paper_updates(spark: SparkSession, d: str) -> DataFrame:
     from tallyspark.operators import ledger as L
     placed = L.place_fixed(L.expense_summary(L.parse_ledger(ledger(spark, d))))
     n = table(spark, d, "nation").select("n_name", "n_regionkey")
-    p = placed.join(F.broadcast(n), F.col("company") == F.col("n_name"))
+    p = placed.join(n, F.col("company") == F.col("n_name"))
     from tallyspark.functions.exprs import cell_ref_col, cell_ref_row
     base = p.select(paper_file("n_name", "n_regionkey").alias("file_name"), "sheet",
                     cell_ref_row("cell").alias("row_no"), cell_ref_col("cell").alias("col_no"),
@@ -646,7 +665,7 @@ def supplier_scope(spark: SparkSession, d: str) -> DataFrame:
     region (as in :func:`scope`)."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    return (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    return (s.join(n, s.s_nationkey == n.n_nationkey)
             .select(F.col("s_suppkey").cast("bigint").alias("serial"), F.col("s_name").alias("company"),
                     F.col("s_name").alias("report_name"),
                     F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("sap_code"),

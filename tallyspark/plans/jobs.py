@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import balances as B
 from tallyspark.operators import cells as C
 from tallyspark.operators import ledger as L
-from tallyspark.operators.joins import broadcast_if_small
+from tallyspark.operators.joins import any_row
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
 from tallyspark.schemas import FX_YES, RATE, SHEET_STATEMENT
@@ -39,16 +39,14 @@ def tb_to_cells(bal: DataFrame, rules: DataFrame, rates: DataFrame | None = None
         parts = RU.drop_opening_rules(parts)
     if sheets is not None:
         parts = RU.select_sheets(parts, sheets)
-    from tallyspark.operators.joins import collect_small_list, small_config
-    parts = small_config(parts)
-    rule_sheets = collect_small_list(parts, "sheet")  # bounded config list, fetched once
     companies = bal.select(*keys).distinct()
-    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys, companies=companies,
-                                              sheets=rule_sheets), keys)
-    # verification runs only for layout A and only when the statement sheet
-    # is among the (selected) rule sheets, as in the source
-    has_statement = SHEET_STATEMENT in rule_sheets
-    recon = R.reconcile(long, parts, keys, SHEET_STATEMENT) if layout == "A" and has_statement else None
+    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys, companies=companies), keys)
+    # verification runs only for layout A, and gives rows only when the statement
+    # sheet is among the (selected) rule sheets, as in the source
+    recon = None
+    if layout == "A" and (sheets is None or SHEET_STATEMENT in sheets):
+        has_statement = any_row(parts.filter(F.col("sheet") == SHEET_STATEMENT))
+        recon = R.reconcile(long, parts, keys, SHEET_STATEMENT).filter(has_statement)
     if log_path and recon is not None:
         from tallyspark.sinks.writers import write_recon_log
         write_recon_log(recon, log_path, by=keys[0])
@@ -63,7 +61,7 @@ def ledger_to_cells(ledger: DataFrame, scope: DataFrame | None, average_rate,
 
 
 def ledger_to_cells_dynamic(ledger: DataFrame, template_rows: DataFrame,
-                            legacy_offsets: bool = False, max_row: int | None = 600) -> DataFrame:
+                            legacy_offsets: bool = False, max_row: int | None = None) -> DataFrame:
     """Ledger -> summary -> cells with slot-driven starts (H6, second form)."""
     summary = L.expense_summary(L.parse_ledger(ledger))
     return L.place_dynamic(summary, L.slot_counts(template_rows, max_row=max_row), legacy_offsets)
@@ -72,9 +70,8 @@ def ledger_to_cells_dynamic(ledger: DataFrame, template_rows: DataFrame,
 def split_ledger(ledger: DataFrame, scope: DataFrame) -> DataFrame:
     """Scope LEFT JOIN ledger on company code, tagged with the report name
     that names each output part (B3). Codes without lines keep one row with
-    null ledger columns, so the empty outputs are visible. The ledger is
-    the big side; the deduplicated scope is broadcast after a size check."""
-    names = broadcast_if_small(L.lookup_report_name(scope).withColumnRenamed("sap_code", "company_code"))
+    null ledger columns, so the empty outputs are visible."""
+    names = L.lookup_report_name(scope).withColumnRenamed("sap_code", "company_code")
     lines = ledger.join(names, "company_code", "inner")
     empty = names.join(ledger.select("company_code").distinct(), "company_code", "left_anti")
     cols = [c for c in ledger.columns if c != "company_code"]
@@ -87,8 +84,7 @@ def batch_entities(ledger: DataFrame, scope: DataFrame, average_rate) -> DataFra
     join. Lines are summarised by company code *before* the join with the
     (small) scope, and each scope row names one paper (H8)."""
     summary = L.expense_summary(L.parse_ledger(ledger), keys=["company_code"])
-    papers = broadcast_if_small(scope.select(F.col("sap_code").alias("company_code"),
-                                             L.paper_name("serial", "company").alias("paper"), "fx_flag"))
+    papers = scope.select(F.col("sap_code").alias("company_code"), L.paper_name("serial", "company").alias("paper"), "fx_flag")
     j = summary.join(papers, "company_code")
     rate = F.lit(str(average_rate)).cast(RATE)
     j = j.withColumn("amount", F.when(F.col("fx_flag").eqNullSafe(FX_YES), F.col("amount") * rate)
@@ -113,8 +109,10 @@ def statements_to_cells(rows: DataFrame, rules: DataFrame, drop_opening: bool =
     long = ST.long_statements(rows)
     stacked = ST.stack_panels(ST.read_balance_panels(rows))
     files = rows.filter(F.col("sheet").isin(ST.BALANCE_RANGE[0], ST.INCOME_RANGE[0])).select("file_name").distinct()
-    return StatementResult(cells=ST.statement_cells(long, parts, files=files), long=long,
-                           problems=ST.missing_markers(stacked))
+    # a file whose sections can't be cut has no cells; it is listed in problems
+    problems = ST.missing_markers(stacked)
+    files = files.join(problems, "file_name", "left_anti")
+    return StatementResult(cells=ST.statement_cells(long, parts, files=files), long=long, problems=problems)
 
 
 def report_to_cells(group_balance: DataFrame, group_income: DataFrame, **kw) -> DataFrame:
@@ -126,9 +124,8 @@ def report_to_cells(group_balance: DataFrame, group_income: DataFrame, **kw) ->
 
 def pair_files(cells: DataFrame, relation: DataFrame) -> DataFrame:
     """Attach each company's cells to its paper through the relation table
-    (balance file <-> paper): the index-paired loop becomes a join (D6).
-    The relation is config-sized and broadcast after a size check."""
-    rel = broadcast_if_small(relation.select("company", L.paper_name("serial", "company").alias("paper")))
+    (balance file <-> paper): the index-paired loop becomes a join (D6)."""
+    rel = relation.select("company", L.paper_name("serial", "company").alias("paper"))
     return cells.join(rel, "company").select("paper", "company", "sheet", "cell", "amount")
 
 
@@ -183,8 +180,7 @@ def batch_tb_to_cells(bal: DataFrame, rules: DataFrame, scope: DataFrame, closin
     ``serial-company2024.xlsx``; foreign-currency rows get the closing /
     average rates, the others 1. Balances outside the scope are left out.
     Output ``(paper, company, sheet, cell, amount)``."""
-    sc = broadcast_if_small(scope.select(F.col("report_name").alias("company"),
-                                         L.paper_name("serial", "company").alias("paper"), "fx_flag"))
+    sc = scope.select(F.col("report_name").alias("company"), L.paper_name("serial", "company").alias("paper"), "fx_flag")
     in_scope = bal.join(sc.select("company").distinct(), "company", "left_semi")
     rates = entity_rates(sc, closing_rate, average_rate)
     cells = tb_to_cells(in_scope, rules, rates, layout=layout).cells
@@ -198,9 +194,8 @@ def batch_report_to_cells(group_balance: DataFrame, group_income: DataFrame, sco
     ``serial-company2024.xlsx``, and foreign-currency rows are placed on
     ``fx_sheet`` instead of the statement sheet."""
     cells = report_to_cells(group_balance, group_income)
-    sc = broadcast_if_small(scope.select(F.col("report_name").alias("company"),
-                                         L.paper_name("serial", "company").alias("paper"),
-                                         F.col("fx_flag").eqNullSafe(FX_YES).alias("_fx")))
+    sc = scope.select(F.col("report_name").alias("company"), L.paper_name("serial", "company").alias("paper"),
+                      F.col("fx_flag").eqNullSafe(FX_YES).alias("_fx"))
     j = cells.join(sc, "company")
     return j.select("paper", "company", F.when(F.col("_fx"), F.lit(fx_sheet)).otherwise(F.col("sheet")).alias("sheet"),
                     "cell", "amount")

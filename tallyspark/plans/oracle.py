@@ -381,7 +381,7 @@ scope AS (
   CASE WHEN n_regionkey = 1 THEN '是' WHEN n_regionkey = 2 THEN NULL ELSE '否' END AS fx_flag,
   CAST(n_nationkey AS BIGINT) AS seq
  FROM (SELECT DISTINCT n.n_nationkey, n.n_name, n.n_regionkey
-       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey) e
+       FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey) e
  UNION ALL SELECT * FROM (VALUES (CAST(99 AS BIGINT), 'EXTRA', 'EXTRA', 'C9999', '否', CAST(99 AS BIGINT)),
   (100, 'NATION_3', 'NATION_3-NEW', 'C0003', '否', 100)) v(serial, company, report_name, sap_code, fx_flag, seq))"""
 
@@ -470,7 +470,17 @@ ORACLE["place_dynamic"] = with_(TB, LEDGER, TEMPLATE)[:-1] + _DYN + """
 , summ_start AS (SELECT s.*, p.start_row FROM summary s JOIN plan p ON s.company = p.company AND s.func_area = p.func_area)
 """ + _placed("summ_start", "company", "start_row")
 
-ORACLE["read_scope"] = with_(SCOPE) + "SELECT * FROM scope"
+ORACLE["read_scope"] = with_(SCOPE) + "SELECT * REPLACE (seq + 2 AS seq) FROM scope"
+
+ORACLE["read_ledger"] = LED + "SELECT company AS file_name, company_code, func_area, gl_text, amount_text FROM ledger"
+
+ORACLE["ledger_rejects"] = LED + """
+SELECT company, func_area, gl_text, concat(amount_text, 'x') AS amount_text, 'amount is no number' AS reason
+FROM ledger WHERE func_area = '研发费用'"""
+
+ORACLE["placement_rejects"] = with_(TB, LEDGER, TEMPLATE) + """
+SELECT company, count(*) AS lines, 'no template sheet' AS reason FROM summary
+WHERE company NOT IN (SELECT company FROM slots WHERE CAST(substring(company, 8) AS INT) % 2 = 1) GROUP BY company"""
 
 ORACLE["lookup_report_name"] = with_(SCOPE) + """
 SELECT sap_code, report_name FROM (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions.exprs import account_class
+from tallyspark.functions.exprs import account_class, parse_thousands
 from tallyspark.operators import balances as B
 from tallyspark.operators import cells as C
 from tallyspark.operators import counterparty as CP
@@ -16,6 +16,7 @@ from tallyspark.operators import statements as ST
 from tallyspark.plans import fixtures as X
 from tallyspark.plans import jobs as J
 from tallyspark.plans.catalog import register
+from tallyspark.sources.files import read_ledger_rows
 
 
 def _parts(spark, d):
@@ -170,8 +171,7 @@ def _summary(spark, d):
 @register("parse_thousands")
 def q_parse_thousands(spark, d):
     lg = X.ledger(spark, d)
-    return lg.select("company", "amount_text",
-                     F.regexp_replace("amount_text", ",", "").try_cast("decimal(18,2)").alias("amount"))
+    return lg.select("company", "amount_text", parse_thousands("amount_text").alias("amount"))
 
 
 @register("parse_trailing_minus")
@@ -222,7 +222,26 @@ def q_ledger_to_cells(spark, d):
 
 @register("read_scope")
 def q_read_scope(spark, d):
-    return X.scope(spark, d)
+    return L.read_scope(X.scope_rows(spark, d)).withColumn("serial", F.col("serial").cast("bigint"))
+
+
+@register("read_ledger")
+def q_read_ledger(spark, d):
+    return read_ledger_rows(X.ledger_rows(spark, d)).drop("row_no")
+
+
+@register("ledger_rejects")
+def q_ledger_rejects(spark, d):
+    """Lines whose amount text is no number: here those of one area, an x added."""
+    lines = X.ledger(spark, d).withColumn("amount_text", F.concat("amount_text", F.when(F.col("func_area") == "研发费用", "x").otherwise("")))
+    return L.ledger_rejects(lines).select("company", "func_area", "gl_text", "amount_text", "reason")
+
+
+@register("placement_rejects")
+def q_placement_rejects(spark, d):
+    """Companies with lines but without a template: here those of even codes have none."""
+    slots = L.slot_counts(X.expense_template(spark, d).filter("cast(substring(file_name, 8) as int) % 2 = 1"))
+    return L.placement_rejects(_summary(spark, d), slots)
 
 
 @register("lookup_report_name")
@@ -514,7 +533,8 @@ def q_auto_header(spark, d):
 
 @register("read_used_range")
 def q_used_range(spark, d):
-    return P.used_range(X.rows_a(spark, d))
+    rows = X.rows_a(spark, d).withColumn("sheet_idx", F.lit(0))
+    return P.used_range(P.read_used_range(rows, auto=False))
 
 
 @register("scan_many")

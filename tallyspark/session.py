@@ -7,39 +7,46 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sizing for the test box; on a cluster these come from the submit config.
+# Session settings that hold wherever the submit configuration says nothing else.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Catalyst/AQE broadcast only below a measured size; beyond it the plan
-    # falls back to a shuffle join.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Only for a local session of our own: the test box.
+LOCAL_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.driver.memory": "16g",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "tallyspark", extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session with AQE and sane shuffle sizing."""
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app_name: str = "tallyspark",
+              extra: dict | None = None, input_bytes: int | None = None) -> SparkSession:
+    """Return (or create) a session. What the submit configuration sets is kept:
+    shuffle, memory and broadcast sizes come from there, from ``input_bytes``
+    (see :func:`cluster_conf`) or from an explicit argument, else from Spark."""
+    local = bool(master and master.startswith("local"))
+    conf = dict(LOCAL_CONF) if local else {}
+    if input_bytes is not None:
+        conf.update(cluster_conf(input_bytes))
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf.update(extra or {})
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", "16g")
-    conf.update(extra or {})
-    for k, v in conf.items():
+    for k, v in (conf if local else extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in {**DEFAULT_CONF, **conf}.items():
+        if k.startswith("spark.sql.") and not given.contains(k):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.sparkContext.master.startswith("local"):
-        ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -77,10 +84,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the loss
-    of an executor, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

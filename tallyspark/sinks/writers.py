@@ -17,15 +17,14 @@ def replace_table(df: DataFrame, target: str, fmt: str = "parquet") -> None:
 
 
 def write_per_company(df: DataFrame, path: str, by: str = "company", fmt: str = "parquet",
-                      mode: str = "overwrite", salt_buckets: int = 16) -> None:
-    """One output per company (B2, B3, B4): a partitioned write. Rows are
-    spread over (company, salt) with a salt taken from a hash of the row
-    itself, so a company holding a third of all rows is written by up to
-    ``salt_buckets`` tasks, not one; the hash is deterministic, so a retried
-    task writes the same rows."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt_buckets))
-    (df.repartition(F.col(by), salt).write.mode(mode).format(fmt).option("header", "true")
-     .partitionBy(by).save(path))
+                      mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> None:
+    """One output per company (B2, B3, B4): a partitioned write. The rebalance
+    hint groups a company's rows, and AQE splits a large company over as many
+    tasks as its size asks for. The folder is named ``<by>_part=...``; the
+    column itself stays in the rows, so that codes such as ``007`` keep their text."""
+    out = df.withColumn(f"{by}_part", F.col(by)).hint("rebalance", by)
+    (out.write.mode(mode).format(fmt).option("header", "true").option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy(f"{by}_part").save(path))
 
 
 def export_merged(df: DataFrame, path: str, file_col: str = "文件名", fmt: str = "parquet") -> None:
@@ -35,11 +34,8 @@ def export_merged(df: DataFrame, path: str, file_col: str = "文件名", fmt: st
         .option("header", "true").save(path)
 
 
-def log_path(paper_path_col: str = "paper_path", folder: str = "原文件合并日志_auto") -> F.Column:
-    """Sibling log folder of a paper path: last segment replaced."""
-    return F.regexp_replace(F.col(paper_path_col), r"[^/\\]+$", folder)
-
-
 def write_recon_log(recon: DataFrame, path: str, by: str = "company") -> None:
-    """Per-paper reconciliation log, appended per company."""
-    recon.write.mode("append").partitionBy(by).parquet(path)
+    """Per-paper reconciliation log (B6): the log of every company in ``recon``
+    is replaced, the others stay."""
+    (recon.withColumn(f"{by}_part", F.col(by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(f"{by}_part").parquet(path))

@@ -52,10 +52,8 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ledger_rows(rows: DataFrame) -> DataFrame:
     """Expense ledger from workbook sheet rows (header in the first row)."""
-    first = rows.groupBy("file_name").agg(F.min("row_no").alias("_h"))
-    r = rows.join(first, "file_name")
-    hdr = r.filter(F.col("row_no") == F.col("_h")).select("file_name", F.col("cells").alias("_hdr"))
-    body = r.filter(F.col("row_no") > F.col("_h")).join(hdr, "file_name")
+    hdr = rows.groupBy("file_name").agg(F.min("row_no").alias("_h"), F.min_by("cells", "row_no").alias("_hdr"))
+    body = rows.join(hdr, "file_name").filter(F.col("row_no") > F.col("_h"))
     out = []
     for c, h in LEDGER_HEADERS:
         pos = F.array_position("_hdr", F.lit(h))

@@ -9,25 +9,6 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-_HANDLES: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy handle on a parquet table. Handles are reused per session and
-    path, so the file listing and footer/schema read happen once instead of
-    once per use (no data is cached)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        session_key = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
-        session_key = id(spark)
-    key = (session_key, path)
-    df = _HANDLES.get(key)
-    if df is None:
-        df = _HANDLES[key] = spark.read.parquet(path)
-    return df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
-    for n in names or TABLES:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+    """Lazy handle on a parquet table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

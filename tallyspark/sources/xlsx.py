@@ -143,7 +143,7 @@ def _scan_batches(sheets, chunk_rows: int = OUT_CHUNK_ROWS):
                     if not rows:
                         rows = [(path, fname, None, None, None, None, "no wanted sheet")]
                 except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
-                    rows = [(path, fname, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                    rows = [(path, fname, None, None, None, None, f"{type(e).__name__}: {e}")]
                 for i in range(0, len(rows), chunk_rows):
                     yield pd.DataFrame(rows[i:i + chunk_rows], columns=_COLS)
     return fn
@@ -165,7 +165,7 @@ def scan_workbook_cells(spark: SparkSession, path: str, sheets=None, recursive:
                         glob: str = "*.{xlsx,xlsm}") -> DataFrame:
     """Sheet rows ``(file_name, sheet, row_no, cells)`` of every workbook (A3)."""
     return (read_workbooks(spark, path, recursive, glob, sheets)
-            .filter(F.col("error").isNull()).select("file_name", "sheet", "row_no", "cells"))
+            .filter(F.col("error").isNull()).transform(distinct_names).select("file_name", "sheet", "row_no", "cells"))
 
 
 def scan_rejects(spark: SparkSession, path: str, sheets=None, recursive: bool = True,
@@ -187,15 +187,27 @@ def ingest_workbooks(spark: SparkSession, folder: str, target: str, sheets=None,
      .write.mode("overwrite").partitionBy("sheet").parquet(target))
 
 
-def sheet_rows(spark: SparkSession, table_path: str, sheets=None, with_index: bool = False) -> DataFrame:
+def sheet_rows(spark: SparkSession, table_path: str, sheets=None, with_index: bool = False,
+               with_path: bool = False) -> DataFrame:
     """Sheet rows of an ingested table; a sheet filter prunes partitions.
-    ``with_index`` keeps each sheet's workbook position (``sheet_idx``)."""
-    df = spark.read.parquet(table_path).filter(F.col("error").isNull())
+    ``with_index`` keeps each sheet's workbook position (``sheet_idx``). The
+    schema is given, so that sheets named ``01`` or ``8`` stay text."""
+    df = distinct_names(spark.read.schema(SCAN_SCHEMA).parquet(table_path).filter(F.col("error").isNull()))
     if sheets is not None:
         df = df.filter(F.col("sheet").isin(list(sheets)))
-    cols = ["file_name", "sheet", "row_no", "cells"] + (["sheet_idx"] if with_index else [])
+    cols = ["file_name", "sheet", "row_no", "cells"] + (["sheet_idx"] if with_index else []) + (["path"] if with_path else [])
     return df.select(*cols)
 
 
+def distinct_names(rows: DataFrame) -> DataFrame:
+    """Files of one base name in several folders, told apart: ``file_name``
+    becomes the whole path without suffix. Every per-file step keys on it."""
+    files = rows.select("path", "file_name").distinct()
+    twice = files.groupBy("file_name").count().where("count > 1").select("file_name", F.lit(True).alias("_twice"))
+    out = rows.join(twice, "file_name", "left")
+    whole = F.regexp_replace("path", r"\.(xlsx|xlsm|xls)$", "")
+    return out.withColumn("file_name", F.when(F.col("_twice"), whole).otherwise(F.col("file_name"))).select(*rows.columns)
+
+
 def sheet_rejects(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.parquet(table_path).filter(F.col("error").isNotNull()).select("path", "file_name", "error")
+    return spark.read.schema(SCAN_SCHEMA).parquet(table_path).filter(F.col("error").isNotNull()).select("path", "file_name", "error")

@@ -79,14 +79,13 @@ def test_streaming_ingest(spark, scratch):
     assert got.filter(F.col("error").isNull()).count() == 2
 
 
-def test_recon_log_path_and_append(spark, scratch):
-    df = spark.createDataFrame([("A", "/x/papers/1.00 A公司2024.xlsx", "1001")], "company string, paper_path string, acct_code string")
-    got = df.select(W.log_path("paper_path").alias("p")).first().p
-    assert got == "/x/papers/原文件合并日志_auto"
+def test_recon_log_replaces_the_companies_it_holds(spark, scratch):
+    df = spark.createDataFrame([("007", "1001")], "company string, acct_code string")
     out = os.path.join(scratch, "log")
     W.write_recon_log(df, out)
+    W.write_recon_log(spark.createDataFrame([("B", "1002")], df.schema), out)
     W.write_recon_log(df, out)
-    assert spark.read.parquet(out).count() == 2
+    assert rows_of(spark.read.parquet(out), "company", "acct_code") == [("007", "1001"), ("B", "1002")]
 
 
 def test_ingest_jobs_write_tables(spark, scratch):
