@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from llm_fixtures import corpus, docs, no_docs  # noqa: F401  (fixtures)
 
 from tallyspark.llm import decontaminate, line_dedup, ngram_join
 from tallyspark.llm._graph import components

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from llm_fixtures import corpus, docs, no_docs  # noqa: F401  (fixtures)
 
 from tallyspark.llm import packing, token_files
 from tallyspark.llm._tokens import encoder, vocabulary
