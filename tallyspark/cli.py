@@ -5,13 +5,14 @@ workbooks at cluster scale.
     python -m tallyspark tb      --balances <rows_table> --rules <rows_table> --out <dir>
                                  [--layout A|B] [--closing-rate R --average-rate R]
                                  [--keep-opening] [--sheets 1 8 ...] [--log <dir>]
-                                 [--relation <rows_table>] [--scope <rows_table>]
-    python -m tallyspark statements   --reports <rows_table> --rules <rows_table> --out <dir>
+                                 [--relation <rows_table>] [--scope <rows_table>] [--papers <rows_table>]
+    python -m tallyspark statements   --reports <rows_table> --rules <rows_table> --out <dir> [--keep-opening]
+                                 [--sheets S ...] [--relation <rows_table>] [--papers <rows_table>]
     python -m tallyspark counterparty --papers <rows_table> --out <dir>
     python -m tallyspark expense      --papers <rows_table> --out <dir>
     python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir> [--header N]
     python -m tallyspark split-group  --group <rows_table> --scope <rows_table> --out <dir>
-    python -m tallyspark ledger       --ledger <rows_table> --scope <rows_table> --out <dir> [--average-rate R]
+    python -m tallyspark ledger       --ledger <rows_table or .csv> --scope <rows_table> --out <dir> [--average-rate R]
     python -m tallyspark tables       --kind balances|statements|group --rows <rows_table> --out <dir>
                                       [--exclude FRAGMENT ...]
 
@@ -74,6 +75,17 @@ def _relation(spark, path, sheet="匹配结果"):
                     F.col("试算底稿路径").alias("paper"))
 
 
+def _write_papers(spark, cells, papers, out) -> None:
+    """The papers' cells with the amounts set; a paper is found by its file name."""
+    from tallyspark.functions.exprs import base_name
+    from tallyspark.operators import papers as P
+    from tallyspark.plans.jobs import cells_to_papers
+    from tallyspark.sinks.writers import write_per_company
+    from tallyspark.sources.xlsx import sheet_rows
+    named = cells.withColumn("paper", F.regexp_replace(base_name("paper"), r"\.(xlsx|xlsm|xls)$", ""))
+    write_per_company(cells_to_papers(named, P.to_cells(sheet_rows(spark, papers))), f"{out}/papers", by="file_name")
+
+
 def run(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tallyspark")
     p.add_argument("--input-gb", type=float, help="size of the input, for shuffle sizing where the submit configuration sets none")
@@ -95,11 +107,16 @@ def run(argv=None) -> None:
     t.add_argument("--sheets", nargs="*")
     t.add_argument("--log")
     t.add_argument("--relation", help="pairs balance files with papers; cells keyed by paper")
+    t.add_argument("--papers", help="ingested papers (with --relation); their cells with the amounts set go to <out>/papers")
     t.add_argument("--scope", help="FX rates only for entities flagged foreign-currency")
     s = sub.add_parser("statements")
     s.add_argument("--reports", required=True)
     s.add_argument("--rules", required=True)
     s.add_argument("--out", required=True)
+    s.add_argument("--keep-opening", action="store_true")
+    s.add_argument("--sheets", nargs="*")
+    s.add_argument("--relation", help="pairs report files with papers; cells keyed by paper")
+    s.add_argument("--papers", help="ingested papers; their cells with the amounts set go to <out>/papers")
     c = sub.add_parser("counterparty")
     c.add_argument("--papers", required=True)
     c.add_argument("--out", required=True)
@@ -154,7 +171,11 @@ def run(argv=None) -> None:
         rel = None
         if args.relation:
             rel = _relation(spark, args.relation)
-            write_per_company(res.cells.join(rel, "company"), f"{args.out}/cells", by="paper")
+            paired = res.cells.join(rel, "company")
+            write_per_company(paired, f"{args.out}/cells", by="paper")
+            replace_table(res.cells.join(rel, "company", "left_anti"), f"{args.out}/cells_without_paper")
+            if args.papers:
+                _write_papers(spark, paired, args.papers, args.out)
         else:
             write_per_company(res.cells, f"{args.out}/cells")
         if args.log and res.recon is not None:
@@ -164,8 +185,19 @@ def run(argv=None) -> None:
         replace_table(res.rejects, f"{args.out}/rule_rejects")
     elif args.cmd == "statements":
         from tallyspark.plans.jobs import statements_to_cells
-        res = statements_to_cells(sheet_rows(spark, args.reports), _rules(spark, args.rules))
-        write_per_company(res.cells, f"{args.out}/cells", by="file_name")
+        rules = _rules(spark, args.rules)
+        if args.sheets is not None:
+            rules = rules.filter(F.col("sheet").isin(args.sheets))
+        res = statements_to_cells(sheet_rows(spark, args.reports), rules, drop_opening=not args.keep_opening)
+        if args.relation:
+            rel = _relation(spark, args.relation).withColumnRenamed("company", "file_name")
+            paired = res.cells.join(rel, "file_name")
+            write_per_company(paired, f"{args.out}/cells", by="paper")
+            replace_table(res.cells.join(rel, "file_name", "left_anti"), f"{args.out}/cells_without_paper")
+            if args.papers:
+                _write_papers(spark, paired, args.papers, args.out)
+        else:
+            write_per_company(res.cells, f"{args.out}/cells", by="file_name")
         replace_table(res.long, f"{args.out}/statements_long")
         replace_table(res.problems, f"{args.out}/problems")
     elif args.cmd == "counterparty":
@@ -219,6 +251,8 @@ def run(argv=None) -> None:
         else:
             grp = P.read_sheet_table(rows, "科目余额表").drop("file_name", "row_no")
             J.ingest_group(grp, target=f"{args.out}/group_balances")
+            for sheet, name in (("资产负债表", "group_balance_sheet"), ("利润表", "group_income")):
+                replace_table(P.read_sheet_table(rows, sheet).drop("file_name", "row_no"), f"{args.out}/{name}")
     elif args.cmd == "range":
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, [args.sheet]), must_not=["合并", "日志", "~$"])

@@ -564,6 +564,12 @@ def paper_file(name_col, region_col):
             .otherwise(F.concat(F.col(name_col), F.lit("公司2024"))))
 
 
+def paper_names(spark: SparkSession, d: str) -> DataFrame:
+    """``(company, paper)`` of every nation."""
+    n = table(spark, d, "nation").select("n_name", "n_regionkey")
+    return n.select(F.col("n_name").alias("company"), paper_file("n_name", "n_regionkey").alias("paper"))
+
+
 def paper_rows(spark: SparkSession, d: str) -> DataFrame:
     """Expense sheets ('8_费用' audited lines, '8' year-on-year lines) of each
     company's working paper, filled from the ledger summary."""

@@ -129,6 +129,17 @@ def pair_files(cells: DataFrame, relation: DataFrame) -> DataFrame:
     return cells.join(rel, "company").select("paper", "company", "sheet", "cell", "amount")
 
 
+def cells_to_papers(cells: DataFrame, papers: DataFrame) -> DataFrame:
+    """The write step of the composite jobs (B7): set the cells
+    ``(paper, sheet, cell, amount)`` in the papers' cells ``(file_name, sheet,
+    row_no, col_no, value)``; all other cells stay."""
+    from tallyspark.functions.exprs import cell_ref_col, cell_ref_row
+    from tallyspark.operators import papers as P
+    updates = cells.select(F.col("paper").alias("file_name"), "sheet", cell_ref_row("cell").alias("row_no"),
+                           cell_ref_col("cell").alias("col_no"), F.col("amount").cast("string").alias("value"), F.lit(1).alias("seq"))
+    return P.apply_cell_updates(papers, updates)
+
+
 def ingest_balances(rows: DataFrame, target: str | None = None) -> DataFrame:
     """Folder of layout-A balance exports (sheet rows) -> one table with the
     source file recorded; written as a replaced table when ``target`` is

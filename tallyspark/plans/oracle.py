@@ -907,6 +907,26 @@ SELECT coalesce(e.file_name, u.file_name) AS file_name, coalesce(e.sheet, u.shee
 FROM paper_cells e FULL OUTER JOIN latest u
  ON e.file_name = u.file_name AND e.sheet = u.sheet AND e.row_no = u.row_no AND e.col_no = u.col_no"""
 
+_WRITE = """
+, written AS (
+ SELECT paper AS file_name, sheet, CAST(regexp_extract(cell, '([0-9]+)$', 1) AS BIGINT) AS row_no,
+  CAST(ascii(cell) - 65 AS BIGINT) AS col_no, CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR) AS value FROM filled)
+SELECT coalesce(e.file_name, u.file_name) AS file_name, coalesce(e.sheet, u.sheet) AS sheet,
+ coalesce(e.row_no, u.row_no) AS row_no, coalesce(e.col_no, u.col_no) AS col_no,
+ CASE WHEN u.file_name IS NOT NULL THEN u.value ELSE e.value END AS value
+FROM paper_cells e FULL OUTER JOIN written u
+ ON e.file_name = u.file_name AND e.sheet = u.sheet AND e.row_no = u.row_no AND e.col_no = u.col_no"""
+
+ORACLE["tb_to_papers"] = PAP[:-1] + """
+, filled AS (SELECT c.sheet, c.cell, c.amount, CASE WHEN n.n_regionkey = 4 THEN concat(n.n_name, '公司小合并2024')
+   WHEN n.n_regionkey = 3 THEN concat(n.n_name, '公司日志') ELSE concat(n.n_name, '公司2024') END AS paper
+ FROM (""" + ORACLE["tb_to_cells"] + """) c JOIN nation n ON n.n_name = c.company)""" + _WRITE
+
+# Opening rules are dropped; a cell all of whose parts went is not written.
+ORACLE["statements_to_papers"] = PAP[:-1] + """
+, filled AS (SELECT sheet, cell, amount, concat(file_name, '公司2024') AS paper FROM (""" + _STMT_CELLS.replace(
+    "WHERE sheet = '原报表') p)", "WHERE sheet = '原报表' AND NOT coalesce(contains(item, '期初余额'), false)) p)") + "))" + _WRITE
+
 _BLOCK = """
 , rect AS (
  SELECT CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no

@@ -414,6 +414,22 @@ def q_statements_to_cells(spark, d):
     return J.statements_to_cells(_stmt_rows(spark, d), X.statement_rules(spark)).cells
 
 
+@register("tb_to_papers")
+def q_tb_to_papers(spark, d):
+    """The balances job down to the written cells of every paper."""
+    cells = J.tb_to_cells(X.bal_a(spark, d), X.rules(spark, d), X.rates(spark), layout="A").cells
+    names = X.paper_names(spark, d)
+    return J.cells_to_papers(cells.join(names, "company"), P.to_cells(X.paper_rows(spark, d)))
+
+
+@register("statements_to_papers")
+def q_statements_to_papers(spark, d):
+    """The statement job, opening rules dropped, down to the written cells."""
+    cells = J.statements_to_cells(_stmt_rows(spark, d), X.statement_rules(spark), drop_opening=True).cells
+    papers = cells.withColumn("paper", F.concat("file_name", F.lit("公司2024")))
+    return J.cells_to_papers(papers, P.to_cells(X.paper_rows(spark, d)))
+
+
 # --- working papers -------------------------------------------------------
 
 EXP_NAMES = ["科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]
