@@ -538,22 +538,18 @@ def group_balances_text(spark: SparkSession, d: str) -> DataFrame:
 
 EXPENSE_HEADER_ROWS = {"销售费用": 1, "管理费用": 67, "研发费用": 137}
 YOY_HEADER_ROWS = {"销售费用": 93, "管理费用": 126, "研发费用": 159}
-# Lines that fit a block before the next block's header; later lines go to
-# overflow rows below every read range (kept in the sheet, never dropped).
-EXPENSE_BLOCK_ROWS = {"销售费用": 65, "管理费用": 69, "研发费用": None}
-YOY_BLOCK_ROWS = {"销售费用": 32, "管理费用": 32, "研发费用": None}
-AREA_INDEX = {"销售费用": 0, "管理费用": 1, "研发费用": 2}
+# Lines of an area that a paper's read ranges hold; further lines go to further
+# papers of the company, so that every line is within a range.
+EXPENSE_LINES, YOY_LINES = 60, 30
 
 
-def _block_row(headers: dict, capacity: dict):
-    """Sheet row of line ``rn`` of an area: below the area's header while it
-    fits, else an overflow row (1000 + 10000 x area index + rn)."""
+def _block(headers: dict, lines: int):
+    """File and sheet row of line ``rn`` of an area: below the area's header in
+    the company's paper number ``(rn - 1) div lines``."""
     hdr = F.create_map(*[x for a, r in headers.items() for x in (F.lit(a), F.lit(r))])
-    cap = F.create_map(*[x for a, c in capacity.items() for x in (F.lit(a), F.lit(c if c else 10 ** 9))])
-    idx = F.create_map(*[x for a, i in AREA_INDEX.items() for x in (F.lit(a), F.lit(i))])
-    a = F.col("func_area")
-    return (F.when(F.col("rn") <= cap[a], hdr[a] + F.col("rn"))
-            .otherwise(F.lit(1000) + idx[a] * 10000 + F.col("rn"))).cast("int")
+    no = F.floor((F.col("rn") - 1) / lines)
+    file = F.when(no > 0, F.concat("file_name", F.lit("_"), no.cast("string"))).otherwise(F.col("file_name"))
+    return file.alias("file_name"), (hdr[F.col("func_area")] + 1 + (F.col("rn") - 1) % lines).cast("int").alias("row_no")
 
 
 def paper_file(name_col, region_col):
@@ -582,17 +578,19 @@ def paper_rows(spark: SparkSession, d: str) -> DataFrame:
              .join(n, F.col("company") == F.col("n_name"))
              .withColumn("file_name", paper_file("n_name", "n_regionkey")))
     amt = F.col("amount").cast("string")
+    exp_file, exp_row = _block(EXPENSE_HEADER_ROWS, EXPENSE_LINES)
+    yoy_file, yoy_row = _block(YOY_HEADER_ROWS, YOY_LINES)
     exp = lines.select(
-        "file_name", F.lit("8_费用").alias("sheet"), _block_row(EXPENSE_HEADER_ROWS, EXPENSE_BLOCK_ROWS).alias("row_no"),
+        exp_file, F.lit("8_费用").alias("sheet"), exp_row,
         F.array(F.col("func_area"), F.concat(F.lit("66"), F.lpad(F.col("rn").cast("string"), 2, "0")),
                 F.col("gl_text"), F.col("func_area"),
                 F.when(F.col("rn") % 7 == 0, F.lit(None)).otherwise(amt), F.lit(None).cast("string"),
                 F.lit("0.00")).alias("cells"))
     prior = F.round(F.col("amount") * F.lit("0.9").cast("decimal(10,4)"), 2).cast(MONEY).cast("string")
     yoy = lines.select(
-        "file_name", F.lit("8").alias("sheet"), _block_row(YOY_HEADER_ROWS, YOY_BLOCK_ROWS).alias("row_no"),
+        yoy_file, F.lit("8").alias("sheet"), yoy_row,
         F.array(F.col("gl_text"), amt, prior).alias("cells"))
-    files = lines.select("file_name").distinct()
+    files = lines.select(exp_file).union(lines.select(yoy_file)).distinct()
     exp_hdr = F.array(*[F.lit(x) for x in ["类别", "科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]])
     yoy_hdr = F.array(*[F.lit(x) for x in ["项目", "本期发生额", "上期发生额"]])
     heads = files.select("file_name", F.inline(F.array(

@@ -756,22 +756,19 @@ plines AS (
        ELSE concat(n.n_name, '公司2024') END AS file_name
  FROM summary s JOIN nation n ON s.company = n.n_name),
 exp_rows AS (
- SELECT file_name, CAST(CASE WHEN func_area = '销售费用' AND rn <= 65 THEN 1 + rn
-                             WHEN func_area = '管理费用' AND rn <= 69 THEN 67 + rn
-                             WHEN func_area = '研发费用' THEN 137 + rn
-                             ELSE 1000 + 10000 * (CASE func_area WHEN '销售费用' THEN 0 ELSE 1 END) + rn END AS BIGINT) AS row_no,
+ SELECT CASE WHEN rn > 60 THEN concat(file_name, '_', CAST((rn - 1) // 60 AS VARCHAR)) ELSE file_name END AS file_name,
+  CAST(CASE func_area WHEN '销售费用' THEN 2 WHEN '管理费用' THEN 68 ELSE 138 END + (rn - 1) % 60 AS BIGINT) AS row_no,
   func_area AS a, concat('66', lpad(CAST(rn AS VARCHAR), 2, '0')) AS b, gl_text AS c, func_area AS d,
   CASE WHEN rn % 7 = 0 THEN NULL ELSE CAST(amount AS VARCHAR) END AS e, CAST(NULL AS VARCHAR) AS f, '0.00' AS g
  FROM plines),
 yoy_rows AS (
- SELECT file_name, CAST(CASE WHEN func_area = '销售费用' AND rn <= 32 THEN 93 + rn
-                             WHEN func_area = '管理费用' AND rn <= 32 THEN 126 + rn
-                             WHEN func_area = '研发费用' THEN 159 + rn
-                             ELSE 1000 + 10000 * (CASE func_area WHEN '销售费用' THEN 0 ELSE 1 END) + rn END AS BIGINT) AS row_no,
+ SELECT CASE WHEN rn > 30 THEN concat(file_name, '_', CAST((rn - 1) // 30 AS VARCHAR)) ELSE file_name END AS file_name,
+  CAST(CASE func_area WHEN '销售费用' THEN 94 WHEN '管理费用' THEN 127 ELSE 160 END + (rn - 1) % 30 AS BIGINT) AS row_no,
   gl_text AS a, CAST(amount AS VARCHAR) AS b,
   CAST(CAST(round(amount * CAST(0.9 AS DECIMAL(10,4)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS c
  FROM plines),
 pfiles AS (SELECT DISTINCT file_name FROM plines),
+allfiles AS (SELECT file_name FROM exp_rows UNION SELECT file_name FROM yoy_rows),
 paper_cells AS (
  SELECT file_name, '8_费用' AS sheet, row_no, CAST(t.col_no AS BIGINT) AS col_no, t.value
  FROM exp_rows CROSS JOIN LATERAL (VALUES (0, a), (1, b), (2, c), (3, d), (4, e), (5, f), (6, g)) t(col_no, value)
@@ -782,15 +779,15 @@ paper_cells AS (
  WHERE t.value IS NOT NULL
  UNION ALL
  SELECT f.file_name, '8_费用', CAST(h.r AS BIGINT), CAST(t.col_no AS BIGINT), t.value
- FROM pfiles f CROSS JOIN (VALUES (1), (67), (137)) h(r)
+ FROM allfiles f CROSS JOIN (VALUES (1), (67), (137)) h(r)
  CROSS JOIN (VALUES (0, '类别'), (1, '科目编码'), (2, '底稿科目'), (3, '附注分类'), (4, '本期未审'), (5, '重分类调整'),
   (6, '审计调整')) t(col_no, value)
  UNION ALL
  SELECT f.file_name, '8', CAST(h.r AS BIGINT), CAST(t.col_no AS BIGINT), t.value
- FROM pfiles f CROSS JOIN (VALUES (93), (126), (159)) h(r)
+ FROM allfiles f CROSS JOIN (VALUES (93), (126), (159)) h(r)
  CROSS JOIN (VALUES (0, '项目'), (1, '本期发生额'), (2, '上期发生额')) t(col_no, value)),
 good_files AS (
- SELECT file_name FROM pfiles
+ SELECT file_name FROM allfiles
  WHERE contains(file_name, '公司') AND NOT contains(file_name, '日志') AND NOT contains(file_name, '~$')
    AND NOT contains(file_name, '小合并'))"""
 
