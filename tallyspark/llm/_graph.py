@@ -3,7 +3,9 @@
 Each round rewires every edge to the smallest neighbour of its ends (first for
 larger neighbours, then for smaller ones), until the edges are stars around the
 smallest node of each component. Rounds are written to the shared folder; only
-a count and a sum per round reach the driver."""
+a count and a sum per round reach the driver. The smallest neighbours are
+written too, so that both sides of their join are shuffled for it and a node with
+very many edges is split over tasks."""
 
 from __future__ import annotations
 
@@ -15,13 +17,13 @@ from ._shared import staged
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    low = staged(e.groupBy("u").agg(F.min("v").alias("m")), "lowest")
     rewired = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rewired.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 

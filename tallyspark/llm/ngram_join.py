@@ -147,7 +147,8 @@ def linked_texts(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     blocks = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select(
         "grp", F.greatest(F.ceil(F.col("c") / BLOCK_TEXTS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "grp").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = rows.join(placed.select(F.col("node").alias("row_id"), "grp", "b", "blocks"), "row_id")
+    # Sort-merge at every size: the candidates are few here, but nothing bounds them, so they are not broadcast.
+    wanted = rows.join(placed.select(F.col("node").alias("row_id"), "grp", "b", "blocks").hint("merge"), "row_id")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
