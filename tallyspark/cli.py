@@ -210,7 +210,7 @@ def run(argv=None) -> None:
         for spec in EXTRACTS:  # one output per table, named like the table
             export_merged(extract(rows, spec).drop("row_no"), f"{args.out}/{spec.name}")
     elif args.cmd == "expense":
-        from tallyspark.plans.queries import AUDIT_RANGES, EXP_NAMES, YOY_NAMES, YOY_RANGES
+        from tallyspark.schemas import AUDIT_RANGES, EXP_NAMES, YOY_NAMES, YOY_RANGES
         from tallyspark.operators import papers as P
         rows = P.filter_files(sheet_rows(spark, args.papers, ["8_费用", "8"]),
                               must=["公司"], must_not=["日志", "~$", "小合并"])

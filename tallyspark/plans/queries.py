@@ -16,6 +16,7 @@ from tallyspark.operators import statements as ST
 from tallyspark.plans import fixtures as X
 from tallyspark.plans import jobs as J
 from tallyspark.plans.catalog import register
+from tallyspark.schemas import AUDIT_RANGES, EXP_NAMES, YOY_NAMES, YOY_RANGES
 from tallyspark.sources.files import read_ledger_rows
 
 
@@ -432,11 +433,6 @@ def q_statements_to_papers(spark, d):
 
 # --- working papers -------------------------------------------------------
 
-EXP_NAMES = ["科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]
-YOY_NAMES = ["项目", "本期发生额", "上期发生额"]
-AUDIT_RANGES = [("审定表_销售费用", "B1", "G61"), ("审定表_管理费用", "B67", "G131"), ("审定表_研发费用", "B137", "G201")]
-YOY_RANGES = [("同期比较_销售费用", "A93", "C123"), ("同期比较_管理费用", "A126", "C156"),
-              ("同期比较_研发费用", "A159", "C189")]
 PAPER_RULE = dict(must=["公司"], must_not=["日志", "~$", "小合并"])
 EXTRACT_RULE = dict(must_not=["合并", "日志", "~$"])
 

@@ -58,7 +58,6 @@ LAYOUT_B_AMOUNTS = ["lc_opening", "lc_debit", "lc_credit", "lc_closing",
 HEADER_OF = dict(LAYOUT_A_COLUMNS + LAYOUT_B_COLUMNS)
 
 # Rule-table headers (header in row 2 of each rule sheet).
-RULE_HEADERS = [("cell", "单元格"), ("accts", "账户代码"), ("ops", "运算符"), ("items", "金额列")]
 
 SHEET_STATEMENT = "原报表"
 SHEET_EXPENSE = "8_费用"
@@ -125,14 +124,6 @@ ROWS_SCHEMA = T.StructType([
     T.StructField("cells", T.ArrayType(T.StringType())),
 ])
 
-CELLS_SCHEMA = T.StructType([
-    T.StructField("file_name", T.StringType()),
-    T.StructField("sheet", T.StringType()),
-    T.StructField("row_no", T.IntegerType()),
-    T.StructField("col_no", T.IntegerType()),
-    T.StructField("value", T.StringType()),
-])
-
 RULES_SCHEMA = T.StructType([
     T.StructField("sheet", T.StringType()),
     T.StructField("cell", T.StringType()),
@@ -141,11 +132,6 @@ RULES_SCHEMA = T.StructType([
     T.StructField("items", T.StringType()),
 ])
 
-RATES_SCHEMA = T.StructType([
-    T.StructField("sheet", T.StringType()),
-    T.StructField("rate", RATE),
-])
-
 # ---------------------------------------------------------------------------
 # Counterparty output headers, in source order (each output
 # starts with the file-name column).
@@ -184,3 +170,10 @@ EXPENSE_SHEET_TITLES = {
     "同期比较_管理费用": "管理费用本期与上年同期比较表",
     "同期比较_研发费用": "研发费用本期与上年同期比较表",
 }
+
+# Read ranges of the expense papers: (table, first cell, last cell), and their columns.
+AUDIT_RANGES = [("审定表_销售费用", "B1", "G61"), ("审定表_管理费用", "B67", "G131"), ("审定表_研发费用", "B137", "G201")]
+YOY_RANGES = [("同期比较_销售费用", "A93", "C123"), ("同期比较_管理费用", "A126", "C156"),
+              ("同期比较_研发费用", "A159", "C189")]
+EXP_NAMES = ["科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"]
+YOY_NAMES = ["项目", "本期发生额", "上期发生额"]
