@@ -9,7 +9,7 @@ workbooks at cluster scale.
     python -m tallyspark statements   --reports <rows_table> --rules <rows_table> --out <dir> [--keep-opening]
                                  [--sheets S ...] [--relation <rows_table>] [--papers <rows_table>]
     python -m tallyspark counterparty --papers <rows_table> --out <dir>
-    python -m tallyspark expense      --papers <rows_table> --out <dir>
+    python -m tallyspark expense      --papers <rows_table> --out <dir> [--template <rows_table>]
     python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir> [--header N]
     python -m tallyspark split-group  --group <rows_table> --scope <rows_table> --out <dir>
     python -m tallyspark ledger       --ledger <rows_table or .csv> --scope <rows_table> --out <dir> [--average-rate R]
@@ -125,6 +125,9 @@ def run(argv=None) -> None:
     e = sub.add_parser("expense")
     e.add_argument("--papers", required=True)
     e.add_argument("--out", required=True)
+    e.add_argument("--template", help="ingested template workbook; the tables pasted into copies of its sheets go to <out>/papers")
+    e.add_argument("--audit-sheet", default="审定表")
+    e.add_argument("--yoy-sheet", default="同期比较")
     r = sub.add_parser("range")
     r.add_argument("--papers", required=True)
     r.add_argument("--sheet", required=True)
@@ -210,18 +213,21 @@ def run(argv=None) -> None:
         for spec in EXTRACTS:  # one output per table, named like the table
             export_merged(extract(rows, spec).drop("row_no"), f"{args.out}/{spec.name}")
     elif args.cmd == "expense":
-        from tallyspark.schemas import AUDIT_RANGES, EXP_NAMES, YOY_NAMES, YOY_RANGES
         from tallyspark.operators import papers as P
+        from tallyspark.plans import jobs as J
+        from tallyspark.schemas import AUDIT_RANGES, EXP_NAMES, YOY_NAMES, YOY_RANGES
         rows = P.filter_files(sheet_rows(spark, args.papers, ["8_费用", "8"]),
                               must=["公司"], must_not=["日志", "~$", "小合并"])
-        specs = [(n, "8_费用", a, b) for n, a, b in AUDIT_RANGES] + [(n, "8", a, b) for n, a, b in YOY_RANGES]
-        both = P.read_ranges(rows, specs, EXP_NAMES + YOY_NAMES, file_col="公司")  # one pass, six ranges
-        audit_tags = [n for n, _, _ in AUDIT_RANGES]
-        audited = (both.filter(F.col("table").isin(audit_tags) & F.col("本期未审").isNotNull())
-                   .select("公司", "row_no", *EXP_NAMES, "table"))
-        yoy = both.filter(~F.col("table").isin(audit_tags)).select("公司", "row_no", *YOY_NAMES, "table")
-        replace_table(audited, f"{args.out}/audited")
-        replace_table(yoy, f"{args.out}/year_on_year")
+        both = J.read_expense_papers(rows)
+        is_audit = F.col("table").isin([n for n, _, _ in AUDIT_RANGES])
+        replace_table(both.filter(is_audit).select("公司", "row_no", *EXP_NAMES, "table"), f"{args.out}/audited")
+        replace_table(both.filter(~is_audit).select("公司", "row_no", *YOY_NAMES, "table"), f"{args.out}/year_on_year")
+        if args.template:
+            cells = P.to_cells(sheet_rows(spark, args.template, [args.audit_sheet, args.yoy_sheet]))
+            copies = F.create_map(F.lit(args.audit_sheet), F.array(*[F.lit(n) for n, _, _ in AUDIT_RANGES]),
+                                  F.lit(args.yoy_sheet), F.array(*[F.lit(n) for n, _, _ in YOY_RANGES]))
+            targets = cells.select(F.explode(copies[F.col("sheet")]).alias("sheet"), "row_no", "col_no", "value")
+            replace_table(J.expense_papers(rows, targets), f"{args.out}/papers")
     elif args.cmd == "split-group":
         from tallyspark.operators import group as G
         from tallyspark.operators import papers as P

@@ -243,17 +243,20 @@ def block_positions(block: DataFrame, order_cols=("file_name", "row_no"), by=())
     return b.withColumn("pos", (F.col("_off") + F.row_number().over(wi) - 1).cast("long")).drop("_off")
 
 
-def append_block(target: DataFrame, block_cells: DataFrame, anchor: str) -> DataFrame:
+def append_block(target: DataFrame, block_cells: DataFrame, anchor: str, sizes: DataFrame | None = None) -> DataFrame:
     """Insert ``n`` rows below the anchor row (cells at or below
     ``anchor_row + 1`` move down ``n``), then write the block from the
     anchor cell (G6), for every sheet at once.
 
     ``target(sheet, row_no, col_no, value)``: the sheets' cells;
     ``block_cells(sheet, pos, col_off, value)``: block row position and
-    column offset. ``n`` per sheet is an aggregate joined on the sheet name."""
+    column offset. ``n`` per sheet is an aggregate joined on the sheet name;
+    ``sizes(sheet, n)`` gives it where it is known from less than the cells."""
     ar, ac = parse_ref(anchor)
     start_row = ar + 1
-    n = block_cells.groupBy("sheet").agg((F.max("pos") + 1).alias("_n"))
+    if sizes is None:
+        sizes = block_cells.groupBy("sheet").agg((F.max("pos") + 1).alias("n"))
+    n = sizes.select("sheet", F.col("n").alias("_n"))
     t = target.join(n, "sheet", "left")
     moved = t.select("sheet", F.when(F.col("row_no") >= start_row, F.col("row_no") + F.coalesce("_n", F.lit(0)))
                      .otherwise(F.col("row_no")).cast("long").alias("row_no"),

@@ -13,7 +13,8 @@ from tallyspark.operators import ledger as L
 from tallyspark.operators.joins import any_row
 from tallyspark.operators import recon as R
 from tallyspark.operators import rules as RU
-from tallyspark.schemas import FX_YES, RATE, SHEET_STATEMENT
+from tallyspark.schemas import (AUDIT_RANGES, EXP_NAMES, EXPENSE_SHEET_TITLES, FX_YES, RATE, SHEET_STATEMENT,
+                                YOY_NAMES, YOY_RANGES)
 
 
 @dataclass
@@ -129,6 +130,37 @@ def pair_files(cells: DataFrame, relation: DataFrame) -> DataFrame:
     return cells.join(rel, "company").select("paper", "company", "sheet", "cell", "amount")
 
 
+def read_expense_papers(papers: DataFrame) -> DataFrame:
+    """The six ranges of the expense papers in one pass; audited lines without
+    an amount left out."""
+    from tallyspark.operators import papers as P
+    specs = [(n, "8_费用", a, b) for n, a, b in AUDIT_RANGES] + [(n, "8", a, b) for n, a, b in YOY_RANGES]
+    both = P.read_ranges(papers, specs, EXP_NAMES + YOY_NAMES, file_col="公司")
+    return both.filter(~F.col("table").isin([n for n, _, _ in AUDIT_RANGES]) | F.col("本期未审").isNotNull())
+
+
+def expense_papers(papers: DataFrame, targets: DataFrame) -> DataFrame:
+    """The three audited and the three year-on-year tables pasted at A9 of
+    titled copies of their template sheets, rows inserted (H4). ``targets``:
+    the copies' cells ``(sheet, row_no, col_no, value)``, named by table."""
+    from tallyspark.operators import papers as P
+    lines = read_expense_papers(papers)
+    titles = F.create_map(*[x for k, v in EXPENSE_SHEET_TITLES.items() for x in (F.lit(k), F.lit(v))])
+    targets = targets.withColumn("value", F.when((F.col("row_no") == 1) & (F.col("col_no") == 0), titles[F.col("sheet")])
+                                 .otherwise(F.col("value")))
+
+    def block(columns):
+        return F.array(*[F.struct(F.lit(i).alias("col_off"), F.col(c).alias("value")) for i, c in columns])
+
+    audited = block(enumerate(["公司"] + EXP_NAMES))
+    yoy = block([(0, "公司"), (1, "项目"), (2, "本期发生额"), (4, "上期发生额")])
+    pos = P.block_positions(lines, ("公司", "row_no"), by=["table"])
+    cells = pos.select(F.col("table").alias("sheet"), "pos",
+                       F.inline(F.when(F.col("table").isin([n for n, _, _ in AUDIT_RANGES]), audited).otherwise(yoy)))
+    sizes = lines.groupBy(F.col("table").alias("sheet")).agg(F.count(F.lit(1)).alias("n"))
+    return P.append_block(targets, cells, "A9", sizes)
+
+
 def cells_to_papers(cells: DataFrame, papers: DataFrame) -> DataFrame:
     """The write step of the composite jobs (B7): set the cells
     ``(paper, sheet, cell, amount)`` in the papers' cells ``(file_name, sheet,

@@ -506,36 +506,16 @@ def _yoy(spark, d):
     return P.read_ranges(_papers(spark, d), specs, YOY_NAMES, file_col="公司")
 
 
-def _yoy_block_cells(yoy):
-    """(公司, 项目, 本期发生额) pasted from A9 with rows inserted; 上期发生额 pasted
-    from E9 onto the same rows."""
-    pos = P.block_positions(yoy, ("公司", "row_no"), by=["table"])
-    cols = [(0, "公司"), (1, "项目"), (2, "本期发生额"), (4, "上期发生额")]
-    return pos.select(F.col("table").alias("sheet"), "pos",
-                      F.inline(F.array(*[F.struct(F.lit(i).alias("col_off"), F.col(c).alias("value"))
-                                         for i, c in cols])))
-
-
 @register("expense_papers")
 def q_expense_papers(spark, d):
     """The three audited tables and the three year-on-year tables pasted into
     titled copies of their template sheets (H4)."""
-    from tallyspark.schemas import EXPENSE_SHEET_TITLES
     audit_sheets = [name for name, _, _ in AUDIT_RANGES]
     yoy_sheets = [name for name, _, _ in YOY_RANGES]
     targets = _template_copies(spark, audit_sheets).unionByName(
         X.yoy_template(spark).select(F.explode(F.array(*[F.lit(s) for s in yoy_sheets])).alias("sheet"),
                                      "row_no", "col_no", "value"))
-    titles = F.create_map(*[x for k, v in EXPENSE_SHEET_TITLES.items() for x in (F.lit(k), F.lit(v))])
-    targets = targets.withColumn("value", F.when((F.col("row_no") == 1) & (F.col("col_no") == 0),
-                                                 titles[F.col("sheet")]).otherwise(F.col("value")))
-    # all six ranges in one pass over the paper rows, split by range afterwards
-    specs = [(n, "8_费用", a, b) for n, a, b in AUDIT_RANGES] + [(n, "8", a, b) for n, a, b in YOY_RANGES]
-    both = P.read_ranges(_papers(spark, d), specs, EXP_NAMES + YOY_NAMES, file_col="公司")
-    audited = both.filter(F.col("table").isin(audit_sheets) & F.col("本期未审").isNotNull())
-    yoy = both.filter(F.col("table").isin(yoy_sheets))
-    blocks = _block_cells(audited).unionByName(_yoy_block_cells(yoy))
-    return P.append_block(targets, blocks, "A9")
+    return J.expense_papers(_papers(spark, d), targets)
 
 
 @register("auto_header")
