@@ -165,3 +165,31 @@ def test_tables_command(spark, scratch):
     cli.run(["tables", "--kind", "balances", "--rows", rows, "--out", out, "--exclude", "财务分析报表"])
     got = [(r.company, float(r.closing)) for r in spark.read.parquet(out + "/balances").collect()]
     assert got == [("甲", 3.0)]
+
+
+def test_amounts_are_written_into_the_papers(spark, scratch):
+    """Relation, papers and template: the commands end in the papers' cells."""
+    dirs = {k: os.path.join(scratch, k) for k in ("bal", "cfg", "papers", "template", "out")}
+    for k in ("bal", "cfg", "papers", "template"):
+        os.makedirs(dirs[k])
+    write_xlsx(os.path.join(dirs["bal"], "甲公司.xlsx"), _balance([("1001", 100.5), ("100101", 60.25)]))
+    write_xlsx(os.path.join(dirs["bal"], "无底稿.xlsx"), _balance([("1001", 1), ("100101", 1)]))
+    write_xlsx(os.path.join(dirs["cfg"], "映射表.xlsx"), {
+        "1": {1: ["表"], 2: ["单元格", "账户代码", "运算符", "金额列"], 3: ["E5", "100101", "+", "期末余额_金额"]}})
+    write_xlsx(os.path.join(dirs["cfg"], "关系.xlsx"), {
+        "匹配结果": {1: ["科目余额表路径", "试算底稿路径"], 2: ["D:\\x\\甲公司.xlsx", "D:\\y\\1.00 甲公司2024.xlsx"]}})
+    fee = {1: [None, "科目编码", "底稿科目", "附注分类", "本期未审", "重分类调整", "审计调整"], 2: [None, "6601", "广告费", "销售费用", 12.5, None, 0]}
+    write_xlsx(os.path.join(dirs["papers"], "1.00 甲公司2024.xlsx"), {"1": {5: ["x", None, None, None, "old"], 6: ["kept"]}, "8_费用": fee})
+    write_xlsx(os.path.join(dirs["template"], "模板.xlsx"), {"审定表": {1: ["标题"], 10: ["样式"]}, "同期比较": {1: ["标题"]}})
+    rows = {}
+    for name, folder in (("br", dirs["bal"]), ("mr", os.path.join(dirs["cfg"], "映射表.xlsx")), ("rr", os.path.join(dirs["cfg"], "关系.xlsx")),
+                         ("pr", dirs["papers"]), ("tr", dirs["template"])):
+        rows[name] = os.path.join(scratch, name)
+        cli.run(["ingest", folder, rows[name]])
+    cli.run(["tb", "--balances", rows["br"], "--rules", rows["mr"], "--out", dirs["out"], "--relation", rows["rr"], "--papers", rows["pr"]])
+    got = {(r.sheet, r.row_no, r.col_no): r.value for r in spark.read.parquet(dirs["out"] + "/papers").filter("file_name = '1.00 甲公司2024'").collect()}
+    assert got[("1", 5, 4)] == "60.25" and got[("1", 5, 0)] == "x" and got[("1", 6, 0)] == "kept"
+    assert {r.company for r in spark.read.parquet(dirs["out"] + "/cells_without_paper").collect()} == {"无底稿"}
+    cli.run(["expense", "--papers", rows["pr"], "--out", dirs["out"] + "/ex", "--template", rows["tr"]])
+    pasted = {(r.row_no, r.col_no): r.value for r in spark.read.parquet(dirs["out"] + "/ex/papers").filter("sheet = '审定表_销售费用'").collect()}
+    assert pasted[(9, 2)] == "广告费" and pasted[(9, 4)] == "12.5" and pasted[(11, 0)] == "样式" and pasted[(1, 0)] == "销售费用审定表"
