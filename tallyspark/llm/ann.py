@@ -12,7 +12,7 @@ becomes (x, sqrt(M^2 - |x|^2)) and a query (q, 0), so that a smaller distance is
 larger product. Blocks are ranges of norms, so one long vector changes M only
 in its own block.
 
-Bounded sample: ``sample`` vectors (chosen by hash of the id, 2,048 by default)
+Bounded sample: ``sample`` vectors (chosen by hash of the id, 8,192 by default)
 give each query a lower bound of its k-th best product, and with it the widest
 window it needs; its k best in the sample stay among the found. Every row is in
 a block, and every query visits every block.
@@ -30,17 +30,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import staged
 
 PROJECTIONS = 48
-SAMPLE = 2048
+SAMPLE = 8192
 BLOCK_ROWS = 8192
 QUERY_ROWS = 4096
 WIDEST = 1.5  # the widest half-window, in units of the target distance
-MISS = 2.6  # standard deviations below the expected collisions that still count
+STEPS = (0.85, 1.0)  # the rounds, as shares of the widest window
+MISS = 1.2  # standard deviations below the expected collisions that still count
 
 
 def _projections(dim: int, m: int, seed: int = 42) -> np.ndarray:
@@ -74,47 +75,54 @@ class Block:
         self.directions = _projections(self.vectors.shape[1], m, seed)
         wide = np.concatenate([self.vectors, np.sqrt(np.maximum(self.most - squares, 0))[:, None]], axis=1)
         p = (wide @ self.directions).T
-        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
+        self.order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, self.order, axis=1)
-        self.expected = math.erf(WIDEST / math.sqrt(2))
-        self.threshold = max(1, math.floor(m * self.expected - MISS * math.sqrt(m * self.expected * (1 - self.expected))))
-
-    def search(self, query_id: int, q: np.ndarray, at: np.ndarray, lower: float, k: int):
-        """Positions and products of the k best found. ``at``: the query's
-        projections. ``lower``: a product that k others are known to reach."""
-        norm2 = float(q @ q)
-        found_ids = np.empty(0, np.int64)
-        found_scores = np.empty(0)
-        distance = math.sqrt(max(self.most + norm2 - 2 * lower, 0)) if math.isfinite(lower) else math.inf
-        whole = float(max(self.sorted[:, -1].max() - at.min(), at.max() - self.sorted[:, 0].min())) + 1.0
-        widest = min(WIDEST * distance * (1 + 1e-9) + 1e-12, whole)
-        counts = np.zeros(len(self.ids), np.int32)
-        verified = np.zeros(len(self.ids), bool)
-        lo_old = hi_old = None
-        for step in (0.4, 0.7, 1.0):
-            half = widest * step
-            lo = [int(s.searchsorted(x - half, "left")) for s, x in zip(self.sorted, at)]
-            hi = [int(s.searchsorted(x + half, "right")) for s, x in zip(self.sorted, at)]
-            if lo_old is None:
-                new = [o[a:b] for o, a, b in zip(self.order, lo, hi)]
-            else:
-                new = [o[a:b] for o, a, b in zip(self.order, lo, lo_old)] + [o[a:b] for o, a, b in zip(self.order, hi_old, hi)]
-            lo_old, hi_old = lo, hi
-            counts += np.bincount(np.concatenate(new), minlength=len(counts)).astype(np.int32)
-            hits = np.flatnonzero((counts >= self.threshold) & ~verified)
-            if len(hits):
+        self.m, share = m, math.erf(WIDEST / math.sqrt(2))
+        self.threshold = max(1, math.floor(m * share - MISS * math.sqrt(m * share * (1 - share))))
+
+    def windows(self, at: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place of each query's window on each sorted array [array, query]."""
+        lo = np.stack([s.searchsorted(x - half, "left") for s, x in zip(self.sorted, at.T)])
+        hi = np.stack([s.searchsorted(x + half, "right") for s, x in zip(self.sorted, at.T)])
+        return lo, hi
+
+    def collisions(self, lo: list[int], hi: list[int]) -> np.ndarray:
+        """In how many windows each vector lies: counted inside them or, where
+        they span more than half of the arrays, by what they leave out."""
+        n = len(self.ids)
+        if 2 * (sum(hi) - sum(lo)) <= n * self.m:
+            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi)]), minlength=n)
+        out = [o[:a] for o, a in zip(self.order, lo)] + [o[b:] for o, b in zip(self.order, hi)]
+        return self.m - np.bincount(np.concatenate(out), minlength=n)
+
+    def search(self, query_ids: list[int], queries: np.ndarray, lower: np.ndarray, k: int):
+        """For each query the ids and products of the k best found. ``lower``: a
+        product that k others are known to reach."""
+        norm2 = np.einsum("ij,ij->i", queries, queries)
+        at = queries @ self.directions[:-1]
+        distance = np.sqrt(np.maximum(self.most + norm2 - 2 * lower, 0))  # infinite without a bound
+        whole = np.maximum(self.sorted[:, -1].max() - at.min(axis=1), at.max(axis=1) - self.sorted[:, 0].min()) + 1.0
+        widest = np.minimum(WIDEST * distance * (1 + 1e-9) + 1e-12, whole)
+        rounds = [(widest * step, *self.windows(at, widest * step)) for step in STEPS]
+        out = []
+        for i, query_id in enumerate(query_ids):
+            q, low = queries[i], lower[i]
+            verified = np.zeros(len(self.ids), bool)
+            found, scores = np.empty(0, np.int64), np.empty(0)
+            for half, lo, hi in rounds:
+                hits = np.flatnonzero((self.collisions(lo[:, i].tolist(), hi[:, i].tolist()) >= self.threshold) & ~verified)
                 verified[hits] = True
-                hits = hits[self.ids[hits] != query_id]
-                scores = products(self.vectors[hits], q)
-                keep = scores >= lower
-                found_ids = np.concatenate([found_ids, self.ids[hits][keep]])
-                found_scores = np.concatenate([found_scores, scores[keep]])
-            if len(found_scores) >= k:
-                kth = np.partition(found_scores, len(found_scores) - k)[len(found_scores) - k]
-                if WIDEST * math.sqrt(max(self.most + norm2 - 2 * kth, 0)) <= half:
-                    break
-        best = _best(found_ids, found_scores, k)
-        return found_ids[best], found_scores[best]
+                near = hits[self.vectors[hits] @ q >= low - abs(low) * 1e-9 - 1e-12] if math.isfinite(low) else hits
+                near = near[self.ids[near] != query_id]
+                found = np.concatenate([found, near])
+                scores = np.concatenate([scores, products(self.vectors[near], q)])
+                if len(scores) >= k:
+                    kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    if WIDEST * math.sqrt(max(self.most + norm2[i] - 2 * kth, 0)) <= half[i]:
+                        break
+            best = _best(self.ids[found], scores, k)
+            out.append((self.ids[found[best]], scores[best]))
+        return out
 
 
 def _stack(column) -> np.ndarray:
@@ -144,7 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = PROJEC
     n = int(sizes["count"])
     blocks, q_blocks = -(-n // block_rows), max(1, -(-queries.count() // query_rows))
 
-    # The sample is at most `sample` vectors (16 KB at 1,024 wide each), sent to every task.
+    # The sample is at most `sample` vectors (64 MB at 1,024 wide), sent to every task.
     some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).limit(sample).select("vec_id", "v").toPandas()
     shared = spark.sparkContext.broadcast((some["vec_id"].to_numpy(np.int64), _stack(some["v"])))
 
@@ -154,14 +162,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = PROJEC
             if not len(pdf):
                 continue
             lows, near_ids, near_scores = [], [], []
-            for query_id, v in zip(pdf["vec_id"].tolist(), _stack(pdf["v"])):
-                others = ids != query_id
-                scores = products(sampled[others], v)
-                best = _best(ids[others], scores, k)
-                # rounded down a little: a bound, not a score
-                lows.append(scores[best[-1]] - abs(scores[best[-1]]) * 1e-9 - 1e-12 if len(best) == k else -np.inf)
-                near_ids.append(ids[others][best])
-                near_scores.append(scores[best])
+            mine = _stack(pdf["v"])
+            for lo in range(0, len(pdf), 256):
+                rough = mine[lo:lo + 256] @ sampled.T
+                for query_id, v, r in zip(pdf["vec_id"].tolist()[lo:lo + 256], mine[lo:lo + 256], rough):
+                    r[ids == query_id] = -np.inf
+                    # those that may be among the k best, by the product's rounding error, are scored exactly
+                    floor = np.partition(r, -k)[-k] if len(r) >= k else -np.inf
+                    near = np.flatnonzero((r >= floor - abs(floor) * 1e-9 - 1e-12) & (ids != query_id)) if math.isfinite(floor) else np.flatnonzero(ids != query_id)
+                    scores = products(sampled[near], v)
+                    best = _best(ids[near], scores, k)
+                    # rounded down a little: a bound, not a score
+                    lows.append(scores[best[-1]] - abs(scores[best[-1]]) * 1e-9 - 1e-12 if len(best) == k else -np.inf)
+                    near_ids.append(ids[near][best])
+                    near_scores.append(scores[best])
             yield pdf.assign(low=lows, near_ids=near_ids, near_scores=near_scores)
 
     q = queries.select("vec_id", "v").mapInPandas(bound, "vec_id long, v array<double>, low double, near_ids array<long>, near_scores array<double>")
@@ -178,12 +192,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = PROJEC
         out = []
         if len(left) and len(right):
             block = Block(left["vec_id"].to_numpy(np.int64), _stack(left["v"]), m)
-            qv = _stack(right["v"])
-            at = qv @ block.directions[:-1]
-            for i, (query_id, low) in enumerate(zip(right["vec_id"].tolist(), right["low"].tolist())):
-                ids, scores = block.search(query_id, qv[i], at[i], low, k)
-                if len(ids):
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
+            ids = right["vec_id"].tolist()
+            for query_id, (near, scores) in zip(ids, block.search(ids, _stack(right["v"]), right["low"].to_numpy(), k)):
+                if len(near):
+                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": near, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     # Each block of vectors meets each block of queries once.
@@ -192,14 +204,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = PROJEC
     found = (left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb"))
              .applyInPandas(run, "query_id long, vec_id long, score double"))
 
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("vec_id")
-        ids, scores = pdf["vec_id"].to_numpy(np.int64), pdf["score"].to_numpy()
-        best = _best(ids, scores, k)
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "rank": np.arange(1, len(best) + 1, dtype=np.int32),
-                             "vec_id": ids[best], "score": scores[best]})
-
-    return found.unionByName(known).groupBy("query_id").applyInPandas(top, "query_id long, rank int, vec_id long, score double")
+    best = found.unionByName(known).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _to_all_blocks(q: DataFrame, block_nos: DataFrame) -> DataFrame:
