@@ -152,20 +152,32 @@ def segments(turns: DataFrame) -> DataFrame:
         from pyspark import TaskContext
         part, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+        ready: list[tuple] = []
+        waiting = 0
+
         def segment():
-            return pd.DataFrame([(None if held[0][0] else held[0][1], part, chunk, [h[2] for h in held], [h[3] for h in held],
-                                  [observe(h[4]) for h in held], [h[4] for h in held])],
-                                columns=["conv_id", "part", "chunk", "turns", "roles", "obs", "texts"]).astype({"conv_id": "Int64"})
+            ready.append((None if held[0][0] else held[0][1], part, chunk, [h[2] for h in held], [h[3] for h in held],
+                          [observe(h[4]) for h in held], [h[4] for h in held]))
+
+        def frame():
+            out = pd.DataFrame(ready, columns=["conv_id", "part", "chunk", "turns", "roles", "obs", "texts"]).astype({"conv_id": "Int64"})
+            ready.clear()
+            return out
 
         for b in batches:
             for null, conv, no_turn, turn, role, text in zip(b["no_conv"], b["conv_id"], b["no_turn"], b["turn"], b["role"], b["text"]):
                 if held and (held[0][:2] != (null, conv) or len(held) >= SEGMENT or size > SEGMENT_CHARS):
-                    yield segment()
-                    chunk, held, size = chunk + 1, [], 0
+                    segment()
+                    chunk, held, size, waiting = chunk + 1, [], 0, waiting + size
+                    if waiting > SEGMENT_CHARS or len(ready) >= 2000:
+                        yield frame()
+                        waiting = 0
                 held.append((null, conv, None if no_turn else turn, role, text))
                 size += len(text or "")
         if held:
-            yield segment()
+            segment()
+        if ready:
+            yield frame()
 
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv_id"), F.col("turn").isNull().alias("no_turn"),
@@ -212,8 +224,11 @@ def segment_ends(segs: DataFrame, model: Model) -> DataFrame:
 
     w = Window.partitionBy("conv_id").orderBy("part", "chunk")
     level = segs.select("conv_id", "part", "chunk", "obs").mapInPandas(matrices, "conv_id long, part int, chunk int, m array<double>")
-    level = staged(level.withColumn("pos", F.row_number().over(w).cast("long") - 1), "segment-scores")
-    levels = [level]
+    level = level.withColumn("pos", F.row_number().over(w).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    level = staged(level, "segment-scores")
+    # a conversation of one segment needs no combining
+    alone = level.where("n = 1").select("part", "chunk", F.lit(start).alias("entry"), F.lit(-1).alias("last"))
+    levels = [level.where("n > 1")]
     shape = (n + 1, n)
 
     def up(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +253,8 @@ def segment_ends(segs: DataFrame, model: Model) -> DataFrame:
         joined = grouped.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (grouped["grp"] == parents["grp"])).select("conv_id", "pos", "m", grouped["grp"], "entry", "last")
         ends = joined.groupBy("conv_id", "grp").applyInPandas(down, "conv_id long, pos long, entry int, last int")
     ends = ends.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), "entry", "last")
-    return levels[0].join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p"))).select("part", "chunk", "entry", "last")
+    together = levels[0].join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
+    return together.select("part", "chunk", "entry", "last").unionByName(alone)
 
 
 def recover_roles(turns: DataFrame, model: Model | None = None) -> DataFrame:
@@ -250,11 +266,14 @@ def recover_roles(turns: DataFrame, model: Model | None = None) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for conv, turns_, obs, texts, entry, last in zip(b["conv_id"].astype("Int64"), b["turns"], b["obs"], b["texts"], b["entry"], b["last"]):
-                roles = [model.roles[s] for s in model.decode(obs, int(entry), int(last))]
-                yield pd.DataFrame({"conv_id": pd.array([conv] * len(roles), dtype="Int64"),
-                                    "turn": pd.array([None if t is None or t != t else int(t) for t in turns_], dtype="Int64"), "role_pred": roles,
-                                    "rendered": [render(r, t) for r, t in zip(roles, texts)]})
+                for s, turn, text in zip(model.decode(obs, int(entry), int(last)), turns_, texts):
+                    rows.append((conv, None if turn is None or turn != turn else int(turn), model.roles[s], render(model.roles[s], text)))
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=["conv_id", "turn", "role_pred", "rendered"]).astype({"conv_id": "Int64", "turn": "Int64"})
+                    rows = []
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "role_pred", "rendered"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
     out = segs.join(ends, ["part", "chunk"]).select("conv_id", "turns", "obs", "texts", "entry", "last")
     out = out.mapInPandas(decode, "conv_id long, turn long, role_pred string, rendered string")
