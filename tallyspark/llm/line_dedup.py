@@ -35,7 +35,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shared_folder, staged
+from ._shared import shared_folder, shuffles_dropped, staged
 
 NUM, DEN = 4, 5
 LEAST = 5
@@ -63,15 +63,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"))
 
 
-def _rarity(docs: DataFrame, least: int) -> Column:
-    """Array of small numbers: the logarithm of each hash bucket's word count."""
-    words = _tokens(_lines(docs), least).select(F.explode("t").alias("w"))
-    counts = words.groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).count()
-    scale = F.least(F.lit(127), F.floor(4 * F.log2(F.col("count") + 1))).cast("int")
-    got = [0] * BUCKETS
+def _rarity(docs: DataFrame) -> Column:
+    """One byte a hash bucket, the logarithm of its word count, as a binary
+    literal: a task gets it as it is, where an array would be taken apart."""
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    scale = F.least(F.lit(94), F.floor(3 * F.log2(F.col("count") + 1))).cast("int")
+    got = bytearray(b" " * BUCKETS)
     for r in counts.select("b", scale.alias("c")).collect():  # at most BUCKETS rows, whatever the input
-        got[r["b"]] = r["c"]
-    return F.split(F.lit(",".join(map(str, got))), ",").cast("array<tinyint>")
+        got[r["b"]] = 32 + r["c"]
+    return F.lit(got)
 
 
 def _filters(a: str, b: str) -> str:
@@ -109,41 +110,46 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     keyed = _keyed(docs)
     # 1. equal sets
-    hashed = _tokens(_lines(keyed), least).select(*_KEY, "no", F.xxhash64("t").alias("k"), F.hash("t").alias("k2"))
+    hashed = _signed(_tokens(_lines(keyed), least)).select(*_KEY, "no", "n", "sig", F.xxhash64("t").alias("k"), F.hash("t").alias("k2"),
+                                                           F.array(F.array_min("t"), F.bitwise_not(F.array_max("t"))).alias("ends"))
     lines = staged(hashed, "lines")
     place = F.struct(*_KEY, "no")
     firsts = lines.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").select("k", "k2", "first")
     firsts = staged(firsts, "repeated-lines")
-    again = _by_document(lines.join(firsts, ["k", "k2"]).where(place != F.col("first")), "again")
+    repeated = lines.select(*_KEY, "no", "k", "k2").join(firsts, ["k", "k2"]).where(place != F.col("first"))
+    again = staged(_by_document(repeated, "again"), "repeats")
     # the bucketed table: did, h, text, doc, again
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"line_dedup_{uuid.uuid4().hex[:12]}"
-    (keyed.join(again, _KEY, "left").repartition(n, *_KEY).write.option("compression", "zstd")
-     .bucketBy(n, *_KEY).format("parquet").option("path", shared_folder(spark, "line-dedup")).saveAsTable(name))
+    with shuffles_dropped(spark):
+        (keyed.join(again, _KEY, "left").repartition(n, *_KEY).write.option("compression", "zstd")
+         .bucketBy(n, *_KEY).format("parquet").option("path", shared_folder(spark, "line-dedup")).saveAsTable(name))
     table = spark.table(name)
     # 2. near copies of the first line that shares the smallest or largest word hash
-    left = _lines(table, "again").where("again is null or not array_contains(again, no)")
-    ends = _signed(_tokens(left, least)).select(*_KEY, "no", "n", "sig", F.explode(F.array(F.array_min("t"), F.bitwise_not(F.array_max("t")))).alias("end"))
-    ends = staged(ends, "line-ends")
+    left = lines.join(firsts, ["k", "k2"], "left").where(F.col("first").isNull() | (place == F.col("first")))
+    ends = staged(left.select(*_KEY, "no", "n", "sig", F.explode("ends").alias("end")), "line-ends")
     heads = ends.groupBy("end").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_KEY, "no", "n", "sig")).alias("e")).where("c > 1").select("end", "e")
     heads = staged(heads, "line-heads").select("end", F.struct("e.did", "e.h", "e.no").alias("e"), F.struct("e.n", "e.sig").alias("f"))
     near = ends.alias("a").join(heads, "end").where(F.struct("did", "h", "no") > F.col("e"))
     near = near.where(F.expr(_filters("a", "f")[0])).select(*_KEY, "no", "e")
     found = staged(_verified(near, table), "near-first")
-    # 3. the join on rare words
-    rarity = _rarity(keyed, least)
+    # 3. the join on rare words: each word as its rarity and, for the rest of the 63 bits, its hash
+    rarity = _rarity(keyed)
     rest = table.select(*_KEY, "text", "again").join(_by_document(found, "gone"), _KEY, "left")
-    rest = _signed(_tokens(_lines(rest, "again", "gone").where("again is null or not array_contains(again, no)"), least))
-    rest = rest.withColumn("open", F.expr("cast(gone is null or not array_contains(gone, no) as int)"))
-    ranked = F.sort_array(F.transform("t", lambda w: F.shiftleft(rarity[F.pmod(w, F.lit(BUCKETS)).cast("int")].cast("long"), 55).bitwiseOR(
-        w.bitwiseAND(F.lit((1 << 55) - 1)))))
-    prefix = F.slice(ranked, 1, F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
+    rest = _lines(rest, "again", "gone").where("again is null or not array_contains(again, no)")
+    common = lambda w: F.ascii(F.substring(rarity, (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
+    word = lambda w: F.shiftleft(common(w).cast("long"), 55).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 55) - 1)))
+    ranked = F.array_distinct(F.transform(F.split(F.lower("line"), " "), word))
+    ranked = F.sort_array(F.array_remove(ranked, word(F.lit(""))))
+    rest = rest.withColumn("t", ranked).withColumn("n", F.size("t")).where(F.col("n") >= least)
+    rest = _signed(rest).withColumn("open", F.expr("cast(gone is null or not array_contains(gone, no) as int)"))
+    prefix = F.slice("t", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
     posts = rest.select(*_KEY, "no", F.col("n").cast("int").alias("n"), "sig", "open", F.posexplode(prefix).alias("pos", "w"))
     a, b = posts.alias("a"), posts.alias("b")
     both, alpha = _filters("a", "b")
-    # `open` stands in a condition on both sides, so that one exchange serves both.
-    condition = (f"a.w = b.w and (b.did, b.h, b.no) < (a.did, a.h, a.no) and b.n * {NUM} <= a.n * {DEN} * a.open and {both} "
-                 f"and least(a.n - a.pos, b.n - b.pos) >= {alpha}")
+    # `open` stands in conditions on both sides, so that one exchange serves both.
+    condition = (f"a.w = b.w and (b.did, b.h, b.no) < (a.did, a.h, a.no) and b.n * {NUM} <= a.n * {DEN} * a.open and b.open >= a.open - 1 "
+                 f"and {both} and least(a.n - a.pos, b.n - b.pos) >= {alpha}")
     pairs = a.join(b, F.expr(condition)).select("a.did", "a.h", "a.no", F.struct("b.did", "b.h", "b.no").alias("e"))
     far = _verified(pairs, table)
     gone = staged(_by_document(found.union(far), "gone"), "near-lines")
