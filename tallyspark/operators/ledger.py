@@ -106,9 +106,10 @@ def dynamic_plan(summary: DataFrame, slots: DataFrame, areas=EXPENSE_AREAS,
     # can't be placed (see placement_rejects)
     j = slots.join(counts, "company", "left").na.fill(0, [f"lines_{i}" for i in range(len(areas))])
     s, a_, r = F.col("slots_0"), F.col("slots_1"), F.col("slots_2")
-    add0 = F.greatest(F.col("lines_0") - s, F.lit(0))
-    add1 = F.greatest(F.col("lines_1") - a_, F.lit(0))
-    add2 = F.greatest(F.col("lines_2") - r, F.lit(0))
+    some = F.col("lines_0") + F.col("lines_1") + F.col("lines_2") > 0
+    add0 = F.when(some, F.greatest(F.col("lines_0") - s, F.lit(0))).otherwise(F.lit(0))
+    add1 = F.when(some, F.greatest(F.col("lines_1") - a_, F.lit(0))).otherwise(F.lit(0))
+    add2 = F.when(some, F.greatest(F.col("lines_2") - r, F.lit(0))).otherwise(F.lit(0))
     start0 = F.lit(2)
     start1 = 2 + s + 6 + add0
     copy0 = s

@@ -450,9 +450,11 @@ _DYN = """
   count(CASE WHEN func_area='管理费用' THEN 1 END) AS n1, count(CASE WHEN func_area='研发费用' THEN 1 END) AS n2
  FROM summary GROUP BY company)
 , p AS (
- SELECT c.company, s.slots_0 AS s0, s.slots_1 AS s1, s.slots_2 AS s2, c.n0, c.n1, c.n2,
-  greatest(c.n0 - s.slots_0, 0) AS a0, greatest(c.n1 - s.slots_1, 0) AS a1, greatest(c.n2 - s.slots_2, 0) AS a2
- FROM counts c JOIN slots s ON c.company = s.company)
+ SELECT s.company, s.slots_0 AS s0, s.slots_1 AS s1, s.slots_2 AS s2, coalesce(c.n0, 0) AS n0, coalesce(c.n1, 0) AS n1, coalesce(c.n2, 0) AS n2,
+  CASE WHEN c.company IS NULL THEN 0 ELSE greatest(c.n0 - s.slots_0, 0) END AS a0,
+  CASE WHEN c.company IS NULL THEN 0 ELSE greatest(c.n1 - s.slots_1, 0) END AS a1,
+  CASE WHEN c.company IS NULL THEN 0 ELSE greatest(c.n2 - s.slots_2, 0) END AS a2
+ FROM slots s LEFT JOIN counts c ON c.company = s.company)
 , plan AS (
  SELECT company, '销售费用' AS func_area, s0 AS slots, n0 AS lines, a0 AS rows_added, 2 AS start_row, s0 AS copy_row FROM p
  UNION ALL
