@@ -88,16 +88,15 @@ def _union(parent: list[int], i: int) -> int:
     return i
 
 
-def compare(nodes: list[int], sets: list[np.ndarray], first: int, threshold: float) -> list[tuple[int, int, int]]:
+def compare(nodes: list[int], sets: list[np.ndarray], first: int, same: bool, threshold: float) -> list[tuple[int, int, int]]:
     """(node, links, smallest node joined) of two blocks: the first ``first``
-    texts against the others or, if these are all, against each other."""
+    texts against the others or, if both blocks are the ``same``, against each other."""
     n = len(nodes)
     sizes = np.asarray([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     mark = np.zeros(int(ids.max()) + 1, np.int64)
     links, parent = np.zeros(n, np.int64), list(range(n))
-    same = first == n
     for i in range(first):
         lo = i + 1 if same else first
         if lo >= n:
@@ -165,8 +164,9 @@ def linked_texts(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(second=pdf["b"] != pdf["b1"]).sort_values(["second", "row_id"], kind="stable")
+        # The second block may hold no text at all, so that rows don't tell whether a block meets itself.
         found = compare(pdf["row_id"].tolist(), [np.frombuffer(x, np.uint64) for x in pdf["sh"]],
-                        int((~pdf["second"]).sum()), threshold)
+                        int((~pdf["second"]).sum()), bool(pdf["b1"].iloc[0] == pdf["b2"].iloc[0]), threshold)
         return pd.DataFrame(found, columns=["node", "links", "root"])
 
     found = staged(paired.groupBy("grp", "b1", "b2").applyInPandas(verify, "node long, links long, root long"), "links")

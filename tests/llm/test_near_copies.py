@@ -99,6 +99,18 @@ def test_block_pairs_find_the_links_of_one_large_group(spark, monkeypatch):
         assert (got[d]["text_id"], got[d]["class_id"], got[d]["n_links"]) == want[tuple(words_of(t))]
 
 
+def test_empty_blocks_count_no_link_twice(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 30)  # more blocks than texts
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        rows += [(10 * g + k, " ".join([*base[:k], f"new{k}", *base[k + 1:]])) for k in range(6)]
+    want = brute_join(rows)
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert (got[d]["text_id"], got[d]["class_id"], got[d]["n_links"]) == want[tuple(words_of(t))]
+
+
 def test_one_document_of_each_class_stays(spark, docs, corpus):
     kept = ngram_join.keep_one_of_each(spark, docs, "")
     assert kept.columns == docs.columns
