@@ -55,13 +55,20 @@ def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, largest product first, ties to the smaller id."""
-    if len(ids) > 4 * k:  # all that tie with the k-th stay in
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= floor)
-    else:
-        near = np.arange(len(ids))
-    return near[np.lexsort((ids[near], -scores[near]))][:k]
+    """Positions of the k best ids, each by its best row, largest product first,
+    ties to the smaller id."""
+    take = k
+    while True:
+        if len(ids) > 4 * take:  # all that tie with the last stay in
+            floor = np.partition(scores, len(scores) - take)[len(scores) - take]
+            near = np.flatnonzero(scores >= floor)
+        else:
+            near = np.arange(len(ids))
+        near = near[np.lexsort((ids[near], -scores[near]))]
+        first = np.sort(np.unique(ids[near], return_index=True)[1])
+        if len(first) >= k or len(near) == len(ids):
+            return near[first[:k]]
+        take *= 4  # ids repeat among the best rows: look at more of them
 
 
 class Block:
@@ -96,8 +103,8 @@ class Block:
         return self.m - np.bincount(np.concatenate(out), minlength=n)
 
     def search(self, query_ids: list[int], queries: np.ndarray, lower: np.ndarray, k: int):
-        """For each query the ids and products of the k best found. ``lower``: a
-        product that k others are known to reach."""
+        """For each query the ids and products of the k best ids found. ``lower``: a
+        product that k other ids are known to reach."""
         norm2 = np.einsum("ij,ij->i", queries, queries)
         at = queries @ self.directions[:-1]
         distance = np.sqrt(np.maximum(self.most + norm2 - 2 * lower, 0))  # infinite without a bound
@@ -116,11 +123,9 @@ class Block:
                 near = near[self.ids[near] != query_id]
                 found = np.concatenate([found, near])
                 scores = np.concatenate([scores, products(self.vectors[near], q)])
-                if len(scores) >= k:
-                    kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    if WIDEST * math.sqrt(max(self.most + norm2[i] - 2 * kth, 0)) <= half[i]:
-                        break
-            best = _best(self.ids[found], scores, k)
+                best = _best(self.ids[found], scores, k)
+                if len(best) == k and WIDEST * math.sqrt(max(self.most + norm2[i] - 2 * scores[best[-1]], 0)) <= half[i]:
+                    break
             out.append((self.ids[found[best]], scores[best]))
         return out
 
@@ -148,8 +153,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = PROJEC
     if sizes is None:
         return empty
     dim = int(sizes["d"])
-    vectors, queries = vectors.where(F.size("v") == dim), queries.where(F.size("v") == dim)
-    n = int(sizes["count"])
+    # Equal rows of one id are one row; what an id repeats with other vectors is counted once by _best.
+    vectors, queries = (x.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"]) for x in (vectors, queries))
+    vectors = staged(vectors, "ann-vectors")
+    n = vectors.count()
     blocks, q_blocks = -(-n // block_rows), max(1, -(-queries.count() // query_rows))
 
     # The sample is at most `sample` vectors (64 MB at 1,024 wide), sent to every task.
@@ -168,10 +175,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, m: int = PROJEC
                 for query_id, v, r in zip(pdf["vec_id"].tolist()[lo:lo + 256], mine[lo:lo + 256], rough):
                     r[ids == query_id] = -np.inf
                     # those that may be among the k best, by the product's rounding error, are scored exactly
-                    floor = np.partition(r, -k)[-k] if len(r) >= k else -np.inf
-                    near = np.flatnonzero((r >= floor - abs(floor) * 1e-9 - 1e-12) & (ids != query_id)) if math.isfinite(floor) else np.flatnonzero(ids != query_id)
-                    scores = products(sampled[near], v)
-                    best = _best(ids[near], scores, k)
+                    take, floor, best = k, np.inf, ()
+                    while len(best) < k and floor > -np.inf:  # more rows where ids repeat
+                        floor = np.partition(r, -take)[-take] if len(r) >= take else -np.inf
+                        near = np.flatnonzero((r >= floor - abs(floor) * 1e-9 - 1e-12) & (ids != query_id)) if math.isfinite(floor) else np.flatnonzero(ids != query_id)
+                        scores = products(sampled[near], v)
+                        best = _best(ids[near], scores, k)
+                        take *= 4
                     # rounded down a little: a bound, not a score
                     lows.append(scores[best[-1]] - abs(scores[best[-1]]) * 1e-9 - 1e-12 if len(best) == k else -np.inf)
                     near_ids.append(ids[near][best])

@@ -164,6 +164,29 @@ def test_nearest_vectors_recall(spark, spread):
     assert hits >= 0.95 * 10 * len(want)
 
 
+@pytest.mark.parametrize("sample", [8192, 150])
+def test_repeated_ids_take_one_place(spark, sample):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(150, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, x) for i, x in enumerate(v)] * 2  # every row twice
+    rows += [(7, 3 * v[0] + 0.01 * rng.normal(size=8)) for _ in range(60)]  # one id in many near rows
+    df = ann.usable(spark.createDataFrame([(i, [float(a) for a in x]) for i, x in rows], "vec_id long, embedding array<double>"))
+    got = ann.nearest(df, df.where("vec_id % 10 = 0"), k=20, sample=sample).toPandas()
+    hits = 0
+    for q in range(0, 150, 10):
+        score = {}
+        for i, x in rows:
+            if i != q:
+                score[i] = max(score.get(i, -np.inf), float((x * v[q]).sum()))
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        g = got[got.query_id == q].sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 21)) and g["vec_id"].is_unique
+        assert all(abs(s - score[i]) < 1e-9 for i, s in zip(g["vec_id"], g["score"]))
+        hits += len(set(want) & set(g["vec_id"]))
+    assert hits >= 0.95 * 20 * 15
+
+
 def test_few_and_no_vectors(spark):
     df = ann.usable(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>"))
     got = sorted(tuple(r) for r in ann.nearest(df, df.where("vec_id = 0")).collect())
