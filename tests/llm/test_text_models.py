@@ -48,6 +48,22 @@ def test_phrases_are_greedy_longest_matches():
         assert got[i].tolist() == [brute_phrases(t, s) for s in samples]
 
 
+def test_every_letter_of_every_script_counts():
+    rng = np.random.default_rng(9)
+    han, hangul, greek = ([chr(c) for c in range(*r)] for r in ((0x4E00, 0x4F90), (0xAC00, 0xAD2C), (0x3B1, 0x3C2)))
+    make = lambda letters, n: "".join(rng.choice(letters, n))
+    samples = {"el": make(greek, 1000), "ko": make(hangul, 3000), "xx": make(list("abcde "), 3000), "zh": make(han, 3000)}
+    model = language.Parser(samples)
+    unseen = "\u0436\u05d0"
+    texts = [samples["zh"][100:140], make(han, 700) + unseen, make(hangul, 50) + "ab" + make(greek, 9), unseen + "a" + unseen + "ab", make(list("abcde "), 600)]
+    got, chars = model.phrases(texts)
+    assert chars.tolist() == [len(t) for t in texts]
+    for i, t in enumerate(texts):
+        assert got[i].tolist() == [brute_phrases(t, samples[k]) for k in model.names]
+    lang, score = model.predict([samples["zh"][5:60], make(hangul, 40), make(greek, 40).upper(), "abc de", unseen, "12"])
+    assert lang == ["zh", "ko", "el", "xx", "und", "und"] and score[:4].min() > 0.5 and score[4:].tolist() == [0, 0]
+
+
 LANGS = {"en": "the and of with that this from have which would there their ".split(), "xx": "zor kla mek vot ulu zna pri dok".split()}
 
 
