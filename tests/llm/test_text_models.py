@@ -228,6 +228,18 @@ def test_markup(html, want):
     assert html_text.main_text(html_text.lines_of(html)) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<body><form id=aspnetForm><div>Long body of the page</div><p>and more</p></form></body>", "Long body of the page and more"),
+    ("<form><article><p>text of it</p><form class=x>mail</form></article></form>", "text of it"), ("<article><p>text of it</p><form>mail</form></article>", "text of it"),
+    ("<article><div class='overflow-hidden'><p>a</p></div><div class='row no-sidebar'>b</div><div class='article-header'><h1>c</h1></div></article>", "a b c"),
+    ("<body class='comments-open search'><article class='post comments-open'><p>a</p><div class='cookie-notice'>b</div><div class=site_footer>c</div></article>", "a"),
+    ("<body class=comments><p>a</p><div class=comment-list><p>b</p></div></body>", "a"), ("<div id=discussion><main class=comments><p>a</p></main>b</div>", "a"),
+    ("<article class=comment><p>a</p></article>", "a"), ("<article><p>a</p></article><article class=comment><p>b</p></article>", "a"),
+])
+def test_noise_is_no_article(html, want):
+    assert html_text.main_text(html_text.lines_of(html)) == want
+
+
 def brute_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
