@@ -10,7 +10,8 @@ each count); Viterbi finds the most likely roles; a block is rendered as
 
 Roles are learnt from conversations whose crc32(conv_id as text) modulo 5 isn't 0,
 and never are an input of a prediction. All labelled blocks are counted; only the
-counts (roles x features x values) reach the driver.
+counts (roles x features x values) reach the driver. The MOST_ROLES (16) most
+frequent roles are states (ties by name); a rarer role is never predicted.
 
 Conversations are sorted over ranges of (conv_id, turn), so one of any length
 spreads over tasks, and cut into segments of at most ``SEGMENT`` blocks. A segment
