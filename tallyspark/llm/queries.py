@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, html_text, language, line_dedup, ngram_join, packing, quality, token_files
+from . import (ann, chat, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, phrases, quality,
+               token_files, vector_codes)
 from .oracle import ORACLE  # noqa: F401
 
 QUERIES = {
@@ -16,4 +17,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_nearest_vectors": ann.op9_nearest_vectors,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }

@@ -13,14 +13,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_equals_its_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLE[key])
     names = [c[0] for c in want.description]
