@@ -35,10 +35,10 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,12 +49,14 @@ from ._words import mix
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 PAD = b"A"  # no word: texts are in lower case
 LONGEST, LEAST, TOP = 3, 10, 2000
-TASK_WINDOWS = 4_000_000
+TASK_WINDOWS = 2_000_000
 SLAB_BYTES = 1_000_000
 BUCKET_WORDS = 1_500_000
 SHARES = 256
 _TO_LINES = bytes(10 if b in SEPARATORS else b for b in range(256))
-PACKED = "lang string, bucket long, keys binary, counts binary"
+# Windows of one bucket in columns: the j-th words of all, and how often each window occurred.
+PACKED = "lang string, bucket long, words array<binary>, counts binary"
+_PACKED = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
 
 
 class _Numbers(dict):
@@ -77,20 +79,46 @@ def _slabs(data: bytes):
     yield data[lo:]
 
 
-def _packed(lang: str, bucket: np.ndarray, keys: list[bytes], counts: np.ndarray):
-    """Rows of PACKED from keys and counts ordered by bucket."""
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-        yield (lang, int(bucket[lo]), zlib.compress(b"\n".join(keys[lo:hi]), 1), zlib.compress(counts[lo:hi].astype("<i8").tobytes(), 1))
+def _pack(data) -> bytes:
+    data = pa.py_buffer(data)
+    return data.size.to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _pack_words(words: pa.Array) -> bytes:
+    """Words, which hold no line end, one a line."""
+    lines = pc.binary_join_element_wise(words, pa.scalar(b"", words.type), pa.scalar(b"\n", words.type))
+    _, offsets, data = lines.buffers()
+    ends = np.frombuffer(offsets, np.int64)[lines.offset:lines.offset + len(lines) + 1]
+    return _pack(data.slice(ends[0], ends[-1] - ends[0])) if len(lines) else _pack(b"")
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["lang", "bucket", "keys", "counts"])
+def _unpack_words(data: bytes) -> pa.Array:
+    """The lines, each with its line end: equal ones stay equal."""
+    lines = _unpack(data)
+    ends = np.flatnonzero(np.frombuffer(lines, np.uint8) == 10) + 1
+    offsets = np.concatenate([np.zeros(1, np.int64), ends])
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(lines)])
 
 
-def _hash(prefix: np.ndarray, words: np.ndarray) -> np.ndarray:
+def _batch(lang: str, bucket: np.ndarray, words: list[pa.Array], counts: np.ndarray):
+    """Windows in the order of their buckets as rows of PACKED, bucket by bucket."""
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+        row = [_pack_words(w.slice(lo, hi - lo)) for w in words]
+        yield pa.RecordBatch.from_pylist([{"lang": lang, "bucket": int(bucket[lo]), "words": row, "counts": _pack(counts[lo:hi].astype("<i8"))}], _PACKED)
+
+
+def _bucket(lang: str, words: list[np.ndarray], buckets: int) -> np.ndarray:
+    """The bucket of each window, from its words' hashes."""
+    h = np.full(len(words[0]), zlib.crc32(lang.encode("utf-8", "surrogatepass")), np.uint64)
     with np.errstate(over="ignore"):
-        return mix(prefix * np.uint64(31) + words)
+        for w in words:
+            h = mix(h * np.uint64(31) + w)
+    return (h % np.uint64(buckets)).astype(np.int64)
 
 
 def _word_hashes(words) -> np.ndarray:
@@ -127,6 +155,7 @@ class _Counter:
         are kept: their windows aren't full yet."""
         names, m, carry = list(self.numbers), self.longest, []
         hashes = _word_hashes(names)
+        words = pa.array(names, pa.large_binary())
         for lang, stream in self.streams.items():
             ids = np.frombuffer(stream, np.uint32).astype(np.uint64)
             if lang == open_lang:
@@ -139,19 +168,16 @@ class _Counter:
             for col in lead[1:]:
                 key = key * base + col
             key, counts = np.unique(key[lead[0] != 0], return_counts=True)
+            if not len(key):
+                continue
             cols = []
             for _ in range(m):
                 cols.append((key % base).astype(np.int64))
                 key = key // base
             cols.reverse()
-            h = np.full(len(counts), zlib.crc32(lang.encode("utf-8", "surrogatepass")), np.uint64)
-            for col in cols:
-                h = _hash(h, hashes[col])
-            bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+            bucket = _bucket(lang, [hashes[c] for c in cols], self.buckets)
             order = np.argsort(bucket, kind="stable")
-            keys = list(map(b" ".join, zip(*[map(names.__getitem__, col[order].tolist()) for col in cols])))
-            if keys:
-                yield _frame(list(_packed(lang, bucket[order], keys, counts[order])))
+            yield from _batch(lang, bucket[order], [words.take(pa.array(c[order])) for c in cols], counts[order])
         self.clear()
         if carry:
             self.streams[open_lang] = array("I", map(self.numbers.__getitem__, carry))
@@ -159,59 +185,75 @@ class _Counter:
 
 
 def windows(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
-    """Counts of all padded windows as PACKED: key j of a row stands count j times."""
-    def run(frames):
+    """Counts of all padded windows as PACKED."""
+    def run(batches):
         counter = _Counter(longest, buckets)
-        for pdf in frames:
-            for lang, text in zip(pdf["lang"], pdf["text"]):
-                yield from counter.add(lang, text)
+        for batch in batches:
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+                yield from counter.add(lang, text.as_py())
         yield from counter.flush()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return texts.where("text <> ''").mapInPandas(run, PACKED)
-
-
-def settle(packed: DataFrame, size: int, longest: int, least: int, buckets: int) -> DataFrame:
-    """Windows of ``size`` words by bucket: rows (lang, w, f) of the frequent ones (w without pads), and
-    the others under their prefixes as PACKED (as rows, once these are single words).
-    A count of 0 marks a prefix that is frequent by a window that stays."""
-    schema = f"w string, f long, {PACKED}"
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lang, got, marked = key[0], defaultdict(int), set()
-        for keys, counts in zip(pdf["keys"], pdf["counts"]):
-            for k, c in zip(zlib.decompress(keys).split(b"\n"), np.frombuffer(zlib.decompress(counts), "<i8").tolist()):
-                got[k] += c
-                if not c:
-                    marked.add(k)
-        rows, prefixes, frequent = [], defaultdict(int), set()
-        for k, c in got.items():
-            head = k.rpartition(b" ")[0]
-            if c >= least or k in marked:
-                frequent.add(head)
-                if c:
-                    rows.append((k, c))
-            else:
-                prefixes[head] += c
+    return texts.where("text <> ''").mapInArrow(run, PACKED)
+
+
+def _merged(codes: np.ndarray, counts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal columns of ``codes`` (numbers below ``base``) as one: the columns, the sums
+    and the least of their counts."""
+    if not len(counts):
+        return codes, counts, counts
+    if base ** len(codes) < 1 << 63:
+        key = codes[0]
+        for c in codes[1:]:
+            key = key * base + c
+        order = np.argsort(key, kind="stable")
+    else:
+        order = np.lexsort(codes[::-1])
+    codes = codes[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(0)]))
+    return codes[:, first], np.add.reduceat(counts[order], first), np.minimum.reduceat(counts[order], first)
+
+
+def settle(packed: DataFrame, size: int, least: int, buckets: int) -> DataFrame:
+    """Windows of ``size`` words by bucket: rows (lang, w, f) of the frequent ones (w: the
+    words, without pads), and the others under their prefixes as PACKED (as rows, once
+    these are single words). A count of 0 marks a prefix that is frequent by a window
+    that stays."""
+    cols = [f"w{j}" for j in range(size)]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lang, packs = key[0].as_py(), table["words"].to_pylist()
+        counts = np.concatenate([np.frombuffer(_unpack(c), "<i8") for c in table["counts"].to_pylist()])
+        coded = pa.chunked_array([_unpack_words(row[j]) for j in range(size) for row in packs]).dictionary_encode()
+        words = pc.replace_substring(coded.chunk(0).dictionary, "\n", "")
+        codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks]).astype(np.int64).reshape(size, -1)
+        codes, counts, least_count = _merged(codes, counts, len(words))
+        often = (counts >= least) | (least_count == 0)  # or marked
+        stays = often & (counts > 0)
+        pad = pc.index(words, pa.scalar(PAD, words.type)).as_py()
+        names = words.to_pylist() if stays.any() else []
+        rows = [b" ".join(names[i] for i in ws if i != pad).decode("utf-8", "replace") for ws in codes[:, stays].T.tolist()]
+        out = [pa.table({"w": pa.array(rows, pa.string()), "f": pa.array(counts[stays], pa.int64())})]
+        rare, sums, _ = _merged(codes[:-1, ~often], counts[~often], len(words))
         if size == 2:  # single words need no further bucket
-            rows += prefixes.items()
-            prefixes, frequent = {}, ()
-        words = [b" ".join(x for x in k.split(b" ") if x != PAD).decode("utf-8", "replace") for k, _ in rows]
-        out = pd.DataFrame({"w": pd.Series(words, dtype=object), "f": pd.Series([c for _, c in rows], dtype="Int64"), "lang": lang})
-        if prefixes or frequent:
-            names = list(prefixes) + list(frequent)
-            counts = np.fromiter([*prefixes.values()] + [0] * len(frequent), np.int64, len(names))
-            h = np.full(len(names), zlib.crc32(lang.encode("utf-8", "surrogatepass")), np.uint64)
-            for col in zip(*[k.split(b" ") for k in names]):
-                h = _hash(h, _word_hashes(col))
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((np.arange(len(names)), bucket))
-            more = _frame(list(_packed(lang, bucket[order], [names[i] for i in order.tolist()], counts[order])))
-            out = pd.concat([out, more], ignore_index=True)
-        out = out.reindex(columns=["w", "f", "lang", "bucket", "keys", "counts"]).astype({"f": "Int64", "bucket": "Int64"})
-        return out.astype({c: object for c in ("w", "keys", "counts")}).where(out.notna(), None)
-
-    return packed.groupBy("lang", "bucket").applyInPandas(run, schema)
+            out.append(pa.table({"w": words.take(pa.array(rare[0])).cast(pa.large_string()).cast(pa.string()), "f": pa.array(sums, pa.int64())}))
+        else:
+            heads, _, _ = _merged(codes[:-1, often], counts[often], len(words))
+            codes, sums = np.concatenate([rare, heads], 1), np.concatenate([sums, np.zeros(heads.shape[1], np.int64)])
+            if len(sums):
+                hashes = _word_hashes(words.to_pylist())
+                bucket = _bucket(lang, [hashes[c] for c in codes], buckets)
+                order = np.argsort(bucket, kind="stable")
+                more = pa.Table.from_batches(list(_batch(lang, bucket[order], [words.take(pa.array(c[order])) for c in codes], sums[order])))
+                out.append(more.select(["bucket", "words", "counts"]))
+        done = pa.concat_tables(out, promote_options="default")
+        done = done.append_column("lang", pa.array([lang] * len(done), pa.string()))
+        for name in ("bucket", "words", "counts"):
+            if name not in done.column_names:
+                done = done.append_column(name, pa.nulls(len(done), _PACKED.field(name).type))
+        return done.select(["w", "f", "lang", "bucket", "words", "counts"])
+
+    return packed.groupBy("lang", "bucket").applyInArrow(run, f"w string, f long, {PACKED}")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -223,9 +265,9 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     buckets = 1 + total // (6 * BUCKET_WORDS)
     packed, rows = windows(docs, longest, buckets), []
     for size in range(longest, 1, -1):
-        done = staged(settle(packed, size, longest, least, buckets), f"phrases-{size}")
+        done = staged(settle(packed, size, least, buckets), f"phrases-{size}")
         rows.append(done.where("w is not null").select("lang", "w", "f"))
-        packed = done.where("keys is not null").select("lang", "bucket", "keys", "counts")
+        packed = done.where("words is not null").select("lang", "bucket", "words", "counts")
     left = rows[0]
     for more in rows[1:]:
         left = left.union(more)

@@ -73,15 +73,15 @@ def test_tables_without_phrases(spark, rows):
 @pytest.mark.parametrize("longest, most", [(2, 300), (3, 300), (3, 40), (4, 1000)])
 def test_windows_survive_cuts_anywhere(talks, monkeypatch, longest, most):
     """Slabs, full counters and full word tables in the middle of a text lose no window."""
-    import zlib
     monkeypatch.setattr(phrases, "SLAB_BYTES", 97)
     monkeypatch.setattr(phrases, "TASK_WINDOWS", most)
     counter, got = phrases._Counter(longest, 5), Counter()
     frames = [f for la, t in talks[:60] for f in counter.add(la or "und", t or "")] + list(counter.flush())
     for f in frames:
-        for r in f.itertuples():
-            for k, c in zip(zlib.decompress(r.keys).split(b"\n"), np.frombuffer(zlib.decompress(r.counts), "<i8").tolist()):
-                got[r.lang, k] += c
+        for r in f.to_pylist():
+            words = zip(*[phrases._unpack(w).split(b"\n")[:-1] for w in r["words"]])
+            for k, c in zip(words, np.frombuffer(phrases._unpack(r["counts"]), "<i8").tolist()):
+                got[r["lang"], b" ".join(k)] += c
     want = Counter()
     for la, t in talks[:60]:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").encode().lower().decode()):
