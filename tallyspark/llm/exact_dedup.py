@@ -58,9 +58,12 @@ class DigestIndex:
         """Appends the first document of each digest that the index lacks. ``batch``
         is of :func:`digests`, written before. Returns the batch's name."""
         name = uuid.uuid4().hex
-        first = batch.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("f"))
-        new = first.join(self.rows().hint("merge"), "digest", "left_anti")
-        new = new.select("digest", F.col("f.doc_id").alias("keep_id"), F.col("f.row").alias("keep_row"), F.lit(name).alias("batch"))
+        order = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids last
+        first = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.min_by("row", order).alias("keep_row"), F.count(F.lit(1)).alias("n"))
+        # Asking for n keeps the join above the aggregate: below it, every copy would be shuffled.
+        index = self.rows().hint("merge").alias("i")
+        new = first.alias("f").join(index, (F.col("f.digest") == F.col("i.digest")) & (F.col("f.n") > 0), "left_anti")
+        new = new.drop("n").withColumn("batch", F.lit(name))
         with shuffles_dropped(self.spark):
             (new.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
              .option("path", self.path).saveAsTable(self.name))
