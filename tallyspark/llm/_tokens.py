@@ -13,6 +13,9 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from ._shared import text_slabs
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 # Characters on which the library's Unicode tables and Python's agree and NFC
@@ -26,8 +29,11 @@ _PATTERNS = {
 # The byte-level form: a printable byte is its own character, the n-th other byte is chr(256 + n).
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_FORM = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS, CACHE_PIECES = 400_000, 800_000
+SLAB_CHARS = 4_000_000
 _APART = ("\t", "\r", "  ", "\n\n", " \n", "\n ")  # white space that isn't one space or line end alone
+_WORD = re.compile(f"[{_LETTERS}]+")
+_SPACE = chr(_BYTE_FORM[32])
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -36,12 +42,12 @@ class _Chunks(dict):
     unsigned 32-bit bytes; a missing one is encoded and kept. A full dictionary
     becomes the old generation, from which what is used again moves over."""
 
-    def __init__(self, encode, before: str = ""):
+    def __init__(self, encode, before: str = "", most: int = CACHE_CHUNKS):
         super().__init__()
-        self.encode, self.before, self.old = encode, before, {}
+        self.encode, self.before, self.most, self.old = encode, before, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         out = self.old.get(chunk)
@@ -55,11 +61,13 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         pattern = _PATTERNS.get(path.rsplit("/", 1)[-1])
         self.split = re.compile(pattern[0]).findall if pattern else None
         self.lower = bool(pattern and pattern[1])
         self.words = _Chunks(self.merge)
         self.first, self.spaced = _Chunks(self.plain), _Chunks(self.plain, " ")
+        self.pieces = _Chunks(self.piece, b"", CACHE_PIECES)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,7 +78,19 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def merge(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_FORM))]).tobytes()
+        return self.merged(word.encode().decode("latin-1").translate(_BYTE_FORM))
+
+    def merged(self, shown: str) -> bytes:
+        """Ids of a word in the byte-level form."""
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        """:meth:`plain` of a piece: most are one word, which needs no splitting."""
+        text = piece.decode()
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha() and _WORD.fullmatch(word):
+            return self.merged(_SPACE + word if word is not text else word) if word.isascii() else self.merge(text)
+        return self.plain(text)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one whole text (null: empty) as little-endian unsigned 32-bit bytes."""
@@ -88,6 +108,40 @@ class Encoder:
             lines.append(self.first[head] + b"".join(map(self.spaced.__getitem__, rest.split(" "))) if _ else self.first[head])
         return self.first["\n"].join(lines)
 
+    def _in_pieces(self, text: str) -> bool:
+        """Whether the text is one of words with a space before and lone line ends."""
+        return self.split is not None and not self.lower and "<|" not in text and not any(x in text for x in _APART) and _PLAIN.fullmatch(text) is not None
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """:meth:`encode` of each text. Texts of plain words are cut together, as bytes:
+        a piece begins at a space, at a line end and after it. Different pieces are
+        encoded once, and the ids of all are gathered by their pieces' numbers."""
+        out: list = [None] * len(texts)
+        cut = [i for i, t in enumerate(texts) if t and self._in_pieces(t)]
+        for i in set(range(len(texts))).difference(cut):
+            out[i] = self.encode(texts[i])
+        for lo, hi in text_slabs([texts[i] for i in cut], SLAB_CHARS):
+            parts = [texts[i].encode() for i in cut[lo:hi]]
+            data = b"".join(parts)
+            raw = np.frombuffer(data, np.uint8)
+            begins = (raw == 32) | (raw == 10)
+            begins[1:] |= raw[:-1] == 10
+            at = np.cumsum([0] + [len(p) for p in parts])
+            begins[at[:-1]] = True
+            offsets = np.append(np.flatnonzero(begins), len(raw))
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+            codes = pieces.indices.to_numpy()
+            known = list(map(self.pieces.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            first, ids = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+            n = size[codes]
+            ends = np.cumsum(n)
+            ids = ids[np.arange(int(ends[-1])) + np.repeat(first[codes] - (ends - n), n)]
+            place = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(offsets, at)]
+            for i, a, b in zip(cut[lo:hi], place[:-1].tolist(), place[1:].tolist()):
+                out[i] = ids[a:b].tobytes()
+        return out
+
 
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary."""

@@ -26,6 +26,25 @@ def test_cached_words_equal_the_library(path, corpus):
             assert e.encode(t) == e.whole(t), t
 
 
+def test_many_texts_at_once_equal_each_alone(monkeypatch):
+    import random
+
+    import tallyspark.llm._tokens as T
+    rng = random.Random(2)
+    parts = ["word", "Naïve", "it's", "12,5", "x", " ", "\n", "\n\n", "  ", "\t", "a.b", "--", "<|endoftext|>", "你好", "don't", "–", "\r\n"]
+    texts = [None, "", " ", "\n", "one", " one", "one ", "one\n", "\none", "a b\nc d", "a \nb", "\n\n", "'s 's"]
+    texts += ["".join(rng.choice(parts[:12]) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(100)]
+    texts += [" ".join(rng.choice(parts[:5]) for _ in range(n)) for n in (1, 2, 3, 500)] * 2
+    for size in (4_000_000, 50):
+        monkeypatch.setattr(T, "SLAB_CHARS", size)
+        for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+            e = encoder(vocabulary(name))
+            assert e.encode_many(texts) == [e.encode(t) for t in texts]
+            assert e.encode_many([]) == [] and e.encode_many([None, ""]) == [b"", b""]
+    assert all(e.encode(t) == e.whole(t) for t in texts if t)
+
+
 @pytest.mark.parametrize("ids", [[], [5], [0, 2**32 - 1], list(range(3000)), [7] * 1024, [1, 2, 3] * 700 + [4_000_000_000] * 5])
 def test_blocks_round_trip(ids):
     a = np.asarray(ids, dtype="<u4")
