@@ -19,8 +19,9 @@ among all, so that no language is the cheaper for what it lacks. Only what is no
 A language's DENSE most frequent letters have a column each in its table, its other
 letters are looked up among the sorted transitions: the same answers in less memory.
 
-Rows: a null text, or one without a letter that some sample holds, is ``und`` with
-score 0; so is every text if there is no labelled text. Ties go to the first language by name.
+Rows: a null text, or one without a letter, is ``und`` with score 0; so is every text if
+there is no labelled text. Ties go to the first language by name: so does a text all of
+whose letters no sample holds, with the score 1 / number of languages.
 lang, source and doc_id are never inputs of a prediction; repeated rows are each
 predicted; other columns are ignored; an empty table gives no rows.
 """
@@ -186,7 +187,7 @@ class Parser:
 
     def _phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``phrases``, the letters that a language lacks [text, language], and whether
-        a text has a letter that some sample holds."""
+        a text has a letter."""
         table = self._table()
         total, lacks = np.zeros((2, len(texts), len(self.names)))
         chars = np.zeros(len(texts))
@@ -197,7 +198,7 @@ class Parser:
             symbols = [s[s != self.other] for s in symbols]
             lens = np.asarray([len(s) for s in symbols])
             chars[lo:hi] = lens
-            known[lo:hi] = [bool(((s != self.unknown) & (s != space)).any()) for s in symbols]
+            known[lo:hi] = [bool((s != space).any()) for s in symbols]
             flat = np.concatenate([*symbols, np.zeros(PIECE, np.int32)])
             to = np.cumsum(lens)
             starts = np.concatenate([[0], to[:-1]]) if len(lens) else np.zeros(0, int)
