@@ -13,6 +13,10 @@ workbooks at cluster scale.
     python -m tallyspark range        --papers <rows_table> --sheet S --start B1 --end G61 --out <dir> [--header N]
     python -m tallyspark split-group  --group <rows_table> --scope <rows_table> --out <dir>
     python -m tallyspark ledger       --ledger <rows_table or .csv> --scope <rows_table> --out <dir> [--average-rate R]
+                                      [--template <rows_table> [--legacy-offsets]]
+    python -m tallyspark group-cells  --group <rows_table> --scope <rows_table> --out <dir>
+    python -m tallyspark overlay      --papers <rows_table> --template <rows_table> --template-file F --sheet S
+                                      --ranges B2:D58 ... --out <dir>
     python -m tallyspark tables       --kind balances|statements|group --rows <rows_table> --out <dir>
                                       [--exclude FRAGMENT ...]
 
@@ -145,6 +149,19 @@ def run(argv=None) -> None:
     lg.add_argument("--scope", required=True)
     lg.add_argument("--out", required=True)
     lg.add_argument("--average-rate", type=float, default=1.0)
+    lg.add_argument("--template", help="ingested expense sheets, one file a company: lines go where their slots are (dynamic placement)")
+    lg.add_argument("--legacy-offsets", action="store_true")
+    gc = sub.add_parser("group-cells")
+    gc.add_argument("--group", required=True)
+    gc.add_argument("--scope", required=True)
+    gc.add_argument("--out", required=True)
+    ov = sub.add_parser("overlay")
+    ov.add_argument("--papers", required=True)
+    ov.add_argument("--template", required=True)
+    ov.add_argument("--template-file", required=True, help="name of the template workbook, without suffix")
+    ov.add_argument("--sheet", required=True)
+    ov.add_argument("--ranges", nargs="+", required=True, help="label blocks, as B2:D58")
+    ov.add_argument("--out", required=True)
     tb_ = sub.add_parser("tables")
     tb_.add_argument("--kind", choices=["balances", "statements", "group"], required=True)
     tb_.add_argument("--rows", required=True)
@@ -162,7 +179,7 @@ def run(argv=None) -> None:
         from tallyspark.operators import balances as B
         from tallyspark.plans.jobs import tb_to_cells
         rows = sheet_rows(spark, args.balances)
-        bal = B.read_balance_a(rows) if args.layout == "A" else B.prefix_rollup(B.read_balance_b(rows), args.prefix)
+        bal = B.read_balance_a(rows) if args.layout == "A" else B.read_balance_b(rows)
         rates = _rates(spark, args.closing_rate, args.average_rate)
         if args.scope:
             from tallyspark.plans.jobs import entity_rates
@@ -170,7 +187,8 @@ def run(argv=None) -> None:
             sc = _scope(spark, args.scope).select(F.col("report_name").alias("company"), "fx_flag")
             rates = entity_rates(sc, args.closing_rate or 1, args.average_rate or 1)
         res = tb_to_cells(bal, _rules(spark, args.rules), rates,
-                          layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening)
+                          layout=args.layout, sheets=args.sheets, drop_opening=not args.keep_opening,
+                          rollup=args.prefix if args.layout == "B" else None)
         rel = None
         if args.relation:
             rel = _relation(spark, args.relation)
@@ -184,7 +202,8 @@ def run(argv=None) -> None:
         if args.log and res.recon is not None:
             from tallyspark.sinks.writers import write_recon_log
             # the log carries the paper it belongs to when the relation is known
-            write_recon_log(res.recon.join(rel, "company", "left") if rel is not None else res.recon, args.log)
+            write_recon_log(res.recon.join(rel, "company", "left") if rel is not None else res.recon, args.log,
+                            companies=bal.select("company"))
         replace_table(res.rejects, f"{args.out}/rule_rejects")
     elif args.cmd == "statements":
         from tallyspark.plans.jobs import statements_to_cells
@@ -243,9 +262,29 @@ def run(argv=None) -> None:
         grp = P.read_sheet_table(rows, "科目余额表").drop("file_name", "row_no")
         write_per_company(G.split_balances(grp), f"{args.out}/balances")
     elif args.cmd == "ledger":
-        from tallyspark.plans.jobs import batch_entities
-        cells = batch_entities(_ledger(spark, args.ledger, args.sheet), _scope(spark, args.scope), args.average_rate)
-        write_per_company(cells, f"{args.out}/cells", by="paper")
+        from tallyspark.operators import ledger as L
+        from tallyspark.plans.jobs import batch_entities, ledger_to_cells_dynamic
+        led, scope = _ledger(spark, args.ledger, args.sheet), _scope(spark, args.scope)
+        if args.template:
+            # a line's company is the report name of its code
+            names = L.lookup_report_name(scope).select(F.col("sap_code").alias("company_code"), F.col("report_name").alias("company"))
+            slots = sheet_rows(spark, args.template, ["8_费用"])
+            cells = ledger_to_cells_dynamic(led.drop("company").join(names, "company_code"), slots, args.legacy_offsets)
+            write_per_company(cells, f"{args.out}/cells")
+        else:
+            write_per_company(batch_entities(led, scope, args.average_rate), f"{args.out}/cells", by="paper")
+    elif args.cmd == "group-cells":
+        from tallyspark.operators import papers as P
+        from tallyspark.plans.jobs import batch_report_to_cells
+        rows = sheet_rows(spark, args.group)
+        bal, inc = (P.read_sheet_table(rows, sheet).drop("file_name", "row_no") for sheet in ("资产负债表", "利润表"))
+        write_per_company(batch_report_to_cells(bal, inc, _scope(spark, args.scope)), f"{args.out}/cells", by="paper")
+    elif args.cmd == "overlay":
+        from tallyspark.operators import papers as P
+        rows = sheet_rows(spark, args.papers)
+        ranges = [tuple(r.split(":")) for r in args.ranges]
+        out = P.overlay_block(P.to_cells(rows), sheet_rows(spark, args.template), args.template_file, args.sheet, ranges, rows)
+        write_per_company(out, f"{args.out}/papers", by="file_name")
     elif args.cmd == "tables":
         from tallyspark.operators import papers as P
         from tallyspark.plans import jobs as J

@@ -3,7 +3,7 @@ roll-up, unpivot to the long ``(item, amount)`` form."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import strip_text
@@ -30,18 +30,30 @@ def unpivot_amounts(wide: DataFrame, amount_cols, keep_cols, labels: dict | None
     return long.select(*keep_cols, "item", "amount")
 
 
-def unpivot_a(bal_a: DataFrame, keys=("company",)) -> DataFrame:
+def unpivot_a(bal_a: DataFrame, keys=("company",), drop_nulls: bool = True) -> DataFrame:
     """Layout A: 10 amount columns -> long, nulls dropped (F1)."""
     keep = list(keys) + ["acct_code", "acct_name", "open_dir", "close_dir"]
-    return unpivot_amounts(bal_a, LAYOUT_A_AMOUNTS, keep, HEADER_OF, drop_nulls=True)
+    return unpivot_amounts(bal_a, LAYOUT_A_AMOUNTS, keep, HEADER_OF, drop_nulls)
 
 
-def unpivot_b(bal_b: DataFrame, keys=("company",)) -> DataFrame:
+def unpivot_b(bal_b: DataFrame, keys=("company",), drop_nulls: bool = True) -> DataFrame:
     """Layout B: 8 amount columns -> long, nulls dropped (F2). Layout B has
     no direction columns; they are null so both layouts share one shape."""
     keep = list(keys) + ["acct_code", "acct_name", "currency", "local_currency"]
-    long = unpivot_amounts(bal_b, LAYOUT_B_AMOUNTS, keep, HEADER_OF, drop_nulls=True)
-    return long
+    return unpivot_amounts(bal_b, LAYOUT_B_AMOUNTS, keep, HEADER_OF, drop_nulls)
+
+
+def rolled_rows(bal_b: DataFrame, n: int = 6, skip_existing: bool = False) -> DataFrame:
+    """Detail rows, and each once more under its code of ``n`` characters: the rows of
+    :func:`prefix_rollup` before they are summed. For flows that sum by account
+    anyway: one scan, and no shuffle of their own."""
+    part = lambda code, name, has: F.struct(code.alias("acct_code"), name.alias("acct_name"), has.alias("_has"))
+    both = F.array(part(F.col("acct_code"), F.col("acct_name"), F.lit(True)),
+                   part(F.substring("acct_code", 1, n), F.split_part(F.col("acct_name"), F.lit("-"), F.lit(1)),
+                        F.length("acct_code") > n if skip_existing else F.lit(True)))
+    rest = [c for c in bal_b.columns if c not in ("acct_code", "acct_name")]
+    out = bal_b.select(*rest, F.inline(both)).filter("_has")
+    return out.select(*bal_b.columns)
 
 
 def prefix_rollup(bal_b: DataFrame, n: int = 6, keys=("company",),
@@ -76,7 +88,22 @@ def single_sheet_files(rows: DataFrame) -> DataFrame:
             .withColumn("ok", F.col("n_sheets") == 1))
 
 
-def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
+def check_single_sheet(bounds: DataFrame, observation: Observation | None = None, failing: bool = False) -> DataFrame:
+    """Files with one non-empty sheet, from per-file aggregates with ``_n_sheets`` (A10).
+    What is left out is measured while the same pass runs: ``observation`` receives
+    files, sheets and violations. With ``failing`` the job stops at the first file of
+    several sheets, as the source does."""
+    if observation is not None:
+        bounds = bounds.observe(observation, F.count(F.lit(1)).alias("files"), F.sum("_n_sheets").alias("sheets"),
+                                F.count_if(F.col("_n_sheets") > 1).alias("violations"))
+    if failing:
+        told = F.raise_error(F.concat(F.lit("more than one non-empty sheet: "), F.col("file_name")))
+        return bounds.filter(F.when(F.col("_n_sheets") > 1, told.cast("boolean")).otherwise(F.lit(True)))
+    return bounds.filter(F.col("_n_sheets") == 1)
+
+
+def read_balance_a(rows: DataFrame, record_path: bool = False, observation: Observation | None = None,
+                   failing: bool = False) -> DataFrame:
     """Layout A: drop the 4 banner rows and the last row of each file, name the
     14 positional columns, amounts to DECIMAL(18,2) (A8). Files with more
     than one non-empty sheet are left out (see :func:`single_sheet_files`).
@@ -85,11 +112,10 @@ def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
     is the greatest row number. One per-file aggregate (sheet count, last row;
     partial aggregation, no window over a whole file) is joined back: two passes
     over the rows. With ``record_path``, ``file_path`` is the file's path where the
-    rows carry one."""
+    rows carry one. ``observation`` and ``failing``: see :func:`check_single_sheet`."""
     bounds = (rows.groupBy("file_name")
-              .agg(F.countDistinct("sheet").alias("_n_sheets"), F.max("row_no").alias("_last"))
-              .filter(F.col("_n_sheets") == 1))
-    body = rows.join(bounds, "file_name")
+              .agg(F.countDistinct("sheet").alias("_n_sheets"), F.max("row_no").alias("_last")))
+    body = rows.join(check_single_sheet(bounds, observation, failing), "file_name")
     body = body.filter((F.col("row_no") > LAYOUT_A_BANNER_ROWS)
                        & (F.col("row_no") < F.col("_last")))
     out = [F.col("file_name").alias("company")]
@@ -101,16 +127,16 @@ def read_balance_a(rows: DataFrame, record_path: bool = False) -> DataFrame:
     return body.select(*out)
 
 
-def read_balance_b(rows: DataFrame, record_path: bool = False) -> DataFrame:
+def read_balance_b(rows: DataFrame, record_path: bool = False, observation: Observation | None = None,
+                   failing: bool = False) -> DataFrame:
     """Layout B: header in the first row, keep rows with a code, numeric cast
     (A9). Columns are located by header text, so their order may vary. The
     header array comes out of the same per-file aggregate as the sheet count
     (``min_by``), so the rows are read twice, not four times."""
     hdr = (rows.groupBy("file_name")
            .agg(F.countDistinct("sheet").alias("_n_sheets"), F.min("row_no").alias("_hdr_row"),
-                F.min_by("cells", "row_no").alias("_hdr"))
-           .filter(F.col("_n_sheets") == 1))
-    body = rows.join(hdr, "file_name").filter(F.col("row_no") > F.col("_hdr_row"))
+                F.min_by("cells", "row_no").alias("_hdr")))
+    body = rows.join(check_single_sheet(hdr, observation, failing), "file_name").filter(F.col("row_no") > F.col("_hdr_row"))
     out = [F.col("file_name").alias("company")]
     for c, h in LAYOUT_B_COLUMNS:
         pos = F.array_position(F.transform("_hdr", lambda x: strip_text(x)), F.lit(h))

@@ -54,17 +54,19 @@ def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = No
     gives 0; times the sheet rate; rounded again (E2 + G1). ``rates`` is
     ``(sheet, rate)`` or, per entity, ``(company, sheet, rate)``.
 
-    Plan: rules joined to the long balances, partial-aggregated to one row per
-    company-cell, then fill the cells that
-    matched nothing from the (company x sheet) grid."""
+    ``companies`` names those that get every rule cell; without it they are the
+    companies of ``long`` (see :func:`_cells_of_companies`)."""
     keys = list(keys)
-    matched = (long.select(*keys, "acct_code", "item", "amount")
-               .join(parts, ["acct_code", "item"])
-               .groupBy(*keys, "sheet", "cell")
-               .agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
-    cells = parts.select("sheet", "cell").distinct()
-    grid = job_grid(long, parts, keys, companies, sheets).join(cells, "sheet")
-    out = grid.join(matched, keys + ["sheet", "cell"], "left")
+    if companies is None:
+        out = _cells_of_companies(long, parts if sheets is None else parts.filter(F.col("sheet").isin(list(sheets))), keys)
+    else:
+        matched = (long.select(*keys, "acct_code", "item", "amount")
+                   .join(parts, ["acct_code", "item"])
+                   .groupBy(*keys, "sheet", "cell")
+                   .agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
+        cells = parts.select("sheet", "cell").distinct()
+        grid = job_grid(long, parts, keys, companies, sheets).join(cells, "sheet")
+        out = grid.join(matched, keys + ["sheet", "cell"], "left")
     base = F.coalesce(F.round("_raw", 2), F.lit(0).cast(MONEY))
     if rates is not None:
         # rates by sheet, or by (company, sheet) when the table carries the keys
@@ -77,6 +79,25 @@ def cell_amounts(long: DataFrame, parts: DataFrame, rates: DataFrame | None = No
                       F.round(base * rate, 2).cast(MONEY).alias("amount"))
 
 
+def _cells_of_companies(long: DataFrame, parts: DataFrame, keys: list) -> DataFrame:
+    """``(keys..., sheet, cell, _raw)``: the sum of each rule cell of each company of
+    ``long``, null where nothing matches, in one pass over the balances.
+
+    Rows without a rule stay, under no cell: they collapse to one row a company in the
+    partial aggregate, which so brings the companies along. The sums of a company
+    (bounded by the rule table) then meet on its key, the cells that matched nothing
+    are added to them from an array of all rule cells, and what follows by company and
+    sheet needs no other shuffle."""
+    sums = (long.select(*keys, "acct_code", "item", "amount").join(parts, ["acct_code", "item"], "left")
+            .groupBy(*keys, "sheet", "cell").agg(F.sum(F.col("amount") * F.col("sign")).alias("_raw")))
+    raw = sums.schema["_raw"].dataType
+    cells = parts.select("sheet", "cell").distinct().select(F.struct("sheet", "cell", F.lit(None).cast(raw).alias("_raw")).alias("c"))
+    every = cells.agg(F.collect_list("c").alias("_cells")).scalar()
+    by_company = sums.groupBy(*keys).agg(F.collect_list(F.struct("sheet", "cell", "_raw")).alias("_sums"))
+    both = by_company.select(*keys, F.inline(F.concat("_sums", every))).filter(F.col("sheet").isNotNull())
+    return both.groupBy(*keys, "sheet", "cell").agg(F.max("_raw").alias("_raw"))
+
+
 def conditional_zero(cells: DataFrame, keys=("company",), sheet: str = SHEET_EXPENSE) -> DataFrame:
     """On the expense sheet: if the sum of E31..E49 is not 0 then E30 := 0,
     else if the sum of E142..E147 is not 0 then E141 := 0 (E6).

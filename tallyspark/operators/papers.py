@@ -15,10 +15,12 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallyspark.functions.exprs import as_text_label, cell_ref, not_contains, strip_text
+from tallyspark.functions.exprs import as_text_label, not_contains, strip_text
 from tallyspark.operators.joins import header_names
+from tallyspark.session import written
 
 
 def parse_ref(ref: str) -> tuple[int, int]:
@@ -115,8 +117,8 @@ def read_used_range(rows: DataFrame, sheet: str | None = None, auto: bool = True
     else:
         if "sheet_idx" not in rows.columns:
             raise ValueError("first-sheet selection needs sheet_idx from the workbook scan")
-        first = rows.groupBy("file_name").agg(F.min("sheet_idx").alias("sheet_idx"))
-        picked = rows.join(first, ["file_name", "sheet_idx"], "left_semi")
+        first = rows.groupBy("file_name").agg(F.min("sheet_idx").alias("_first"))
+        picked = rows.join(first, "file_name").where(F.col("sheet_idx") == F.col("_first"))
     picked = picked.select("file_name", "sheet", "row_no", "cells")
     return auto_header(picked) if auto else picked
 
@@ -126,18 +128,18 @@ def auto_header(rows: DataFrame) -> DataFrame:
     not eligible; body = rows after it, as long ``(file_name, sheet, row_no,
     col_name, value)`` with trimmed header texts (A6).
 
-    Per-sheet aggregates pick the header (``min`` of ``struct(nulls, row_no,
-    cells)`` carries the header array along) and are joined back, so no
-    window spans a whole sheet."""
-    width = rows.groupBy("file_name", "sheet").agg(F.max(F.size("cells")).alias("_w"),
-                                                   F.max("row_no").alias("_last"))
-    r = rows.join(width, ["file_name", "sheet"])
-    nn = F.size(F.filter("cells", lambda v: v.isNotNull()))
-    pick = (r.filter(F.col("row_no") < F.col("_last"))
-            .groupBy("file_name", "sheet")
-            .agg(F.min(F.struct((F.col("_w") - nn).alias("n"), F.col("row_no").alias("r"),
-                                F.col("cells").alias("c"))).alias("_m"))
-            .select("file_name", "sheet", F.col("_m.r").alias("_hdr_row"), F.col("_m.c").alias("_hdr")))
+    One pass picks the header of every sheet: the rows of one sheet with equally many
+    values are one group, whose first row stands for it (a sheet has at most one group
+    a column). The groups know the sheet's last row; the fullest group that begins
+    before it holds the header: a row with the fewest empty cells is one with the most
+    values. Joined back, so no window spans a whole sheet."""
+    filled = F.size(F.filter("cells", lambda v: v.isNotNull()))
+    groups = rows.groupBy("file_name", "sheet", filled.alias("_filled")).agg(
+        F.min(F.struct(F.col("row_no").alias("r"), F.col("cells").alias("c"))).alias("_first"), F.max("row_no").alias("_last"))
+    ranked = F.struct((-F.col("_filled")).alias("n"), F.col("_first.r").alias("r"), F.col("_first.c").alias("c"))
+    pick = groups.groupBy("file_name", "sheet").agg(F.max("_last").alias("_last"), F.array_sort(F.collect_list(ranked)).alias("_g"))
+    pick = pick.withColumn("_m", F.get(F.filter("_g", lambda g: g["r"] < F.col("_last")), F.lit(0)))
+    pick = pick.where("_m is not null").select("file_name", "sheet", F.col("_m.r").alias("_hdr_row"), F.col("_m.c").alias("_hdr"))
     body = rows.join(pick, ["file_name", "sheet"]).filter(F.col("row_no") > F.col("_hdr_row"))
     c = body.select("file_name", "sheet", "row_no", "_hdr", F.posexplode("cells").alias("col_no", "value"))
     return c.filter(F.col("value").isNotNull()).select(
@@ -200,49 +202,74 @@ def template_block(template_rows: DataFrame, template_file: str, sheet: str, ran
     return blocks.select(F.lit(sheet).alias("sheet"), "row_no", "col_no", as_text_label("value").alias("value"))
 
 
-MAX_BLOCK_CELLS = 100_000
-
-
 def overlay_block(existing: DataFrame, template_rows: DataFrame, template_file: str, sheet: str,
                   ranges, papers: DataFrame) -> DataFrame:
     """Copy label blocks of one template paper into every listed paper; text
     gets a leading "'"; nulls stay null and still overwrite (B8).
 
-    The block's size is fixed by its ranges (checked against
-    ``MAX_BLOCK_CELLS``), so it is fetched once and exploded per paper as a
-    literal: a narrow step, no join without a key."""
-    area = 0
-    for start, end in ranges:
-        (r1, c1), (r2, c2) = parse_ref(start), parse_ref(end)
-        area += (r2 - r1 + 1) * (c2 - c1 + 1)
-    if area > MAX_BLOCK_CELLS:
-        raise ValueError(f"template block of {area} cells exceeds {MAX_BLOCK_CELLS}")
-    block = template_block(template_rows, template_file, sheet, ranges).collect()
-    lits = F.array(*[F.struct(F.lit(r.row_no).cast("int").alias("row_no"), F.lit(r.col_no).cast("int").alias("col_no"),
-                              F.lit(r.value).cast("string").alias("value")) for r in block])
-    upd = (papers.select("file_name").distinct()
-           .select("file_name", F.lit(sheet).alias("sheet"), F.inline(lits))
-           .withColumn("seq", F.lit(1)))
+    The block is one array, bounded by its ranges: an uncorrelated subquery that runs
+    inside the query, exploded per paper. So no join without a key, and no job while
+    the query is built."""
+    block = template_block(template_rows, template_file, sheet, ranges)
+    cells = block.agg(F.collect_list(F.struct("row_no", "col_no", "value")).alias("_cells")).scalar()
+    upd = (papers.select("file_name").distinct().withColumn("_cells", cells)
+           .select("file_name", F.lit(sheet).alias("sheet"), F.inline("_cells")).withColumn("seq", F.lit(1)))
     return apply_cell_updates(existing, upd)
 
 
+def update_papers(spark, path: str, updates: DataFrame, by: str = "file_name") -> None:
+    """The cell updates (see :func:`apply_cell_updates`) applied to written papers, one
+    folder a paper under ``path`` (B7): only the folders of papers with updates are
+    read, and only they are replaced (dynamic partition overwrite); a paper that isn't
+    there yet gets a folder. The new cells are written aside first, so that a paper is
+    never read and replaced by one job."""
+    part = f"{by}_part"
+    schema = T.StructType.fromDDL(f"{by} string, sheet string, row_no int, col_no int, value string, {part} string")
+    updates = written(updates, "cell-updates")
+    touched = updates.select(F.col(by).alias(part)).distinct()
+    held = spark.read.schema(schema).parquet(path).join(touched, part, "left_semi")  # pruned by the touched papers at run time
+    new = written(apply_cell_updates(held, updates), "updated-papers")
+    (new.withColumn(part, F.col(by)).hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part).parquet(path))
+
+
 def block_positions(block: DataFrame, order_cols=("file_name", "row_no"), by=()) -> DataFrame:
-    """Global 0-based position of each block row in ``order_cols`` order
-    (within each ``by`` group) without a window over the whole block:
-    per-file counts -> offsets (a running sum over one row per file; a block
-    pasted into one sheet is bounded by the sheet's row limit, so the file
-    count is too) -> join back -> rank inside the file (bounded by the range
-    height)."""
+    """Global 0-based position of each block row in ``order_cols`` order (within each
+    ``by`` group): a two-level prefix sum over the files' row counts
+    (:func:`file_offsets`), joined back, plus a rank inside the file (bounded by the
+    range height)."""
     by = list(by)
     first, second = order_cols
     counts = block.groupBy(*by, first).agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
     wi = Window.partitionBy(*by, first).orderBy(second)
-    b = block.join(offsets, by + [first])
+    b = block.join(file_offsets(counts, first, by), by + [first])
     return b.withColumn("pos", (F.col("_off") + F.row_number().over(wi) - 1).cast("long")).drop("_off")
 
 
+FILES_A_RANGE = 10_000
+
+
+def file_offsets(counts: DataFrame, first: str, by=(), n: str = "_n") -> DataFrame:
+    """``counts`` (by, first, n) with ``_off``, the sum of ``n`` of all files before, in
+    order of ``first`` within ``by``. The files are cut into ranges of about
+    FILES_A_RANGE; a window sums within a range, another over one total a range, and
+    the offsets of the ranges are joined back. The ranges are written before both sums
+    read them, as a range partitioning may be cut differently each time it is run."""
+    by = list(by)
+    counts = written(counts, "file-counts")
+    ranges = 1 + counts.count() // FILES_A_RANGE
+    if ranges > 1:
+        cut = counts.repartitionByRange(ranges, *by, first).withColumn("_range", F.spark_partition_id())
+        counts = written(cut, "file-ranges")
+    else:
+        counts = counts.withColumn("_range", F.lit(0))
+    before = lambda *part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    inner = counts.withColumn("_in", F.coalesce(F.sum(n).over(before(*by, "_range").orderBy(first)), F.lit(0)))
+    totals = counts.groupBy(*by, "_range").agg(F.sum(n).alias("_total"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before(*by).orderBy("_range")), F.lit(0))).drop("_total")
+    return inner.join(totals, by + ["_range"]).select(*by, first, (F.col("_in") + F.col("_before")).alias("_off"))
+
+
 def append_block(target: DataFrame, block_cells: DataFrame, anchor: str, sizes: DataFrame | None = None) -> DataFrame:
     """Insert ``n`` rows below the anchor row (cells at or below
     ``anchor_row + 1`` move down ``n``), then write the block from the

@@ -214,14 +214,16 @@ def scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scope_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The scope as sheet rows of a workbook: header in row 1, a row each at
-    ``seq + 2``."""
+    """The scope as sheet rows of workbooks, one for each FX flag: header in row 1, a
+    row each at ``seq + 2`` of the first sheet, and a second sheet of notes."""
     from tallyspark.operators.ledger import SCOPE_HEADERS
-    s = scope(spark, d)
+    s = scope(spark, d).withColumn("file_name", F.concat(F.lit("scope_"), F.coalesce("fx_flag", F.lit("无"))))
     cells = F.array(*[F.col(c).cast("string") for c, _ in SCOPE_HEADERS])
-    body = s.select((F.col("seq") + 2).cast("int").alias("row_no"), cells.alias("cells"))
-    head = spark.range(1).select(F.lit(1).alias("row_no"), F.array(*[F.lit(h) for _, h in SCOPE_HEADERS]).alias("cells"))
-    return head.unionByName(body).select(F.lit("scope").alias("file_name"), F.lit("Sheet1").alias("sheet"), F.lit(0).alias("sheet_idx"), "row_no", "cells")
+    body = s.select("file_name", F.lit("Sheet1").alias("sheet"), F.lit(1).alias("sheet_idx"), (F.col("seq") + 2).cast("int").alias("row_no"), cells.alias("cells"))
+    head = F.array(*[F.lit(h) for _, h in SCOPE_HEADERS])
+    sheets = F.array(F.struct(F.lit("Sheet1").alias("sheet"), F.lit(1).alias("sheet_idx"), F.lit(1).alias("row_no"), head.alias("cells")),
+                     F.struct(F.lit("备注").alias("sheet"), F.lit(2).alias("sheet_idx"), F.lit(1).alias("row_no"), head.alias("cells")))
+    return s.select("file_name").distinct().select("file_name", F.inline(sheets)).unionByName(body)
 
 
 def ledger_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -26,31 +26,33 @@ class TbResult:
 
 def tb_to_cells(bal: DataFrame, rules: DataFrame, rates: DataFrame | None = None,
                 layout: str = "A", sheets=None, drop_opening: bool = True,
-                keys=("company",), log_path: str | None = None) -> TbResult:
+                keys=("company",), log_path: str | None = None, rollup: int | None = None) -> TbResult:
     """Balances + rules + rates -> cell amounts and reconciliation (H1).
 
-    ``layout`` "A" takes the 14-column export, "B" the 12-column one (already
-    rolled up with :func:`prefix_rollup` if wanted). Every company of the
-    balance table gets every rule cell. With ``log_path`` the reconciliation
+    ``layout`` "A" takes the 14-column export, "B" the 12-column one; with ``rollup``
+    its codes also count under their first ``rollup`` characters (E1). Every company
+    of the balance table gets every rule cell. With ``log_path`` the reconciliation
     rows are appended there per company (B6)."""
     keys = list(keys)
-    long = B.unpivot_a(bal, keys) if layout == "A" else B.unpivot_b(bal, keys)
+    if rollup is not None:
+        bal = B.rolled_rows(bal, rollup)
+    unpivot = B.unpivot_a if layout == "A" else B.unpivot_b
     parts = RU.clean_rules(rules)
     if drop_opening:
         parts = RU.drop_opening_rules(parts)
     if sheets is not None:
         parts = RU.select_sheets(parts, sheets)
-    companies = bal.select(*keys).distinct()
-    cells = C.conditional_zero(C.cell_amounts(long, parts, rates, keys, companies=companies), keys)
+    # nulls stay: a company without any amount is a company
+    cells = C.conditional_zero(C.cell_amounts(unpivot(bal, keys, drop_nulls=False), parts, rates, keys), keys)
     # verification runs only for layout A, and gives rows only when the statement
     # sheet is among the (selected) rule sheets, as in the source
     recon = None
     if layout == "A" and (sheets is None or SHEET_STATEMENT in sheets):
         has_statement = any_row(parts.filter(F.col("sheet") == SHEET_STATEMENT))
-        recon = R.reconcile(long, parts, keys, SHEET_STATEMENT).filter(has_statement)
+        recon = R.reconcile(unpivot(bal, keys), parts, keys, SHEET_STATEMENT).filter(has_statement)
     if log_path and recon is not None:
         from tallyspark.sinks.writers import write_recon_log
-        write_recon_log(recon, log_path, by=keys[0])
+        write_recon_log(recon, log_path, by=keys[0], companies=bal.select(keys[0]))
     return TbResult(cells=cells, recon=recon, rejects=RU.rule_rejects(rules))
 
 
@@ -142,9 +144,11 @@ def read_expense_papers(papers: DataFrame) -> DataFrame:
 def expense_papers(papers: DataFrame, targets: DataFrame) -> DataFrame:
     """The three audited and the three year-on-year tables pasted at A9 of
     titled copies of their template sheets, rows inserted (H4). ``targets``:
-    the copies' cells ``(sheet, row_no, col_no, value)``, named by table."""
+    the copies' cells ``(sheet, row_no, col_no, value)``, named by table. The lines are
+    written once: their counts, positions and cells are read from there."""
     from tallyspark.operators import papers as P
-    lines = read_expense_papers(papers)
+    from tallyspark.session import written
+    lines = written(read_expense_papers(papers), "expense-lines")
     titles = F.create_map(*[x for k, v in EXPENSE_SHEET_TITLES.items() for x in (F.lit(k), F.lit(v))])
     targets = targets.withColumn("value", F.when((F.col("row_no") == 1) & (F.col("col_no") == 0), titles[F.col("sheet")])
                                  .otherwise(F.col("value")))

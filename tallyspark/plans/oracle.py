@@ -939,13 +939,17 @@ _BLOCK = """
 
 ORACLE["as_text_label"] = PAP[:-1] + _BLOCK + "SELECT '8_费用' AS sheet, row_no, col_no, value FROM block"
 
-ORACLE["overlay_block"] = PAP[:-1] + _BLOCK + """
-, upd AS (SELECT g.file_name, '8_费用' AS sheet, b.row_no, b.col_no, b.value FROM good_files g CROSS JOIN block b)
-SELECT coalesce(e.file_name, u.file_name) AS file_name, coalesce(e.sheet, u.sheet) AS sheet,
- coalesce(e.row_no, u.row_no) AS row_no, coalesce(e.col_no, u.col_no) AS col_no,
- CASE WHEN u.file_name IS NOT NULL THEN u.value ELSE e.value END AS value
-FROM paper_cells e FULL OUTER JOIN upd u
- ON e.file_name = u.file_name AND e.sheet = u.sheet AND e.row_no = u.row_no AND e.col_no = u.col_no"""
+# The papers' cells once, and the block per paper; cells outside the block stay, those inside are the block's.
+ORACLE["overlay_block"] = (PAP[:-1].replace("paper_cells AS (", "paper_cells AS MATERIALIZED (", 1).replace("plines AS (", "plines AS MATERIALIZED (", 1)
+                           + _BLOCK.replace("block AS (", "block AS MATERIALIZED (", 1) + """
+, spots AS (SELECT row_no, col_no FROM block)
+SELECT e.file_name, e.sheet, e.row_no, e.col_no, e.value FROM paper_cells e
+LEFT JOIN spots p ON p.row_no = e.row_no AND p.col_no = e.col_no
+LEFT JOIN good_files g ON g.file_name = e.file_name
+WHERE e.sheet <> '8_费用' OR p.row_no IS NULL OR g.file_name IS NULL
+UNION ALL
+SELECT g.file_name, '8_费用', b.row_no, b.col_no, b.value
+FROM (SELECT DISTINCT file_name, '8_费用' AS sheet FROM good_files) g JOIN (SELECT *, '8_费用' AS sheet FROM block) b ON b.sheet = g.sheet""")
 
 # Layout-A export rows read back generically.
 ROWS_A_CELLS = """
@@ -1130,3 +1134,5 @@ ORACLE["batch_report_to_cells"] = STMT[:-1] + _GROUP + _PLACE + """
  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey)
 SELECT sc.paper, p.company, CASE WHEN sc.fx THEN '原报表USD' ELSE p.sheet END AS sheet, p.cell, CAST(p.amount AS DOUBLE) AS amount
 FROM placed_stmt p JOIN sc ON p.company = sc.company"""
+
+from tallyspark.plans import written_oracle  # noqa: E402,F401  (adds its keys)

@@ -138,8 +138,7 @@ def q_unpivot_b(spark, d):
 
 @register("tb_to_cells_b")
 def q_tb_to_cells_b(spark, d):
-    bal = B.prefix_rollup(X.bal_b(spark, d), n=4)
-    return J.tb_to_cells(bal, X.rules_b(spark, d), X.rates(spark), layout="B").cells
+    return J.tb_to_cells(X.bal_b(spark, d), X.rules_b(spark, d), X.rates(spark), layout="B", rollup=4).cells
 
 
 @register("assert_single_sheet")
@@ -696,3 +695,6 @@ def q_batch_report_to_cells(spark, d):
     # the group statements are per supplier; entities are named after them in this scope
     sc = X.supplier_scope(spark, d)
     return J.batch_report_to_cells(bal, inc, sc)
+
+
+from tallyspark.plans import written  # noqa: E402,F401  (registers its keys)

@@ -39,15 +39,30 @@ LEDGER_HEADERS = [("company_code", "公司代码"), ("func_area", "功能范围
                   ("gl_text", "总账科目：短文本"), ("amount_text", "凭证货币价值")]
 
 
+def _ledger_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The CSV lines as text columns by header, ``_bad`` (a line that doesn't fit the
+    header) and the file. Quoted fields may hold commas, quotes and line ends."""
+    read = spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true").option("escape", '"')
+    names = read.csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*names, "_bad"])
+    df = read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+    return df.select("*", F.col("_metadata.file_path").alias("file_path")), names
+
+
 def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     """Expense ledger CSV with a header row, every column as text.
     Missing optional columns come back null; amounts stay text for the
-    trailing-minus parser."""
-    df = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
-    out = []
-    for c, h in LEDGER_HEADERS:
-        out.append((F.col(f"`{h}`") if h in df.columns else F.lit(None).cast("string")).alias(c))
-    return df.select(*out, F.col("_metadata.file_path").alias("file_path"))
+    trailing-minus parser. Lines with more or fewer fields than the header are
+    left to :func:`ledger_csv_rejects`."""
+    df, names = _ledger_csv(spark, path)
+    out = [(F.col(f"`{h}`") if h in names else F.lit(None).cast("string")).alias(c) for c, h in LEDGER_HEADERS]
+    return df.where("_bad is null").select(*out, "file_path")
+
+
+def ledger_csv_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, first_field, line) of the lines that don't fit the header."""
+    df, names = _ledger_csv(spark, path)
+    return df.where("_bad is not null").select("file_path", F.col(f"`{names[0]}`").alias("first_field"), F.col("_bad").alias("line"))
 
 
 def read_ledger_rows(rows: DataFrame) -> DataFrame:

@@ -1,22 +1,34 @@
 """Workbook scan: many .xlsx files -> sheet rows, in parallel on the cluster.
 
-``binaryFile`` lists and reads the files (one task per file), and a
-``mapInPandas`` step unzips each workbook with the standard library and
-streams its sheet XML. Cached values are read, not formulas. Unreadable
-files and missing sheets give no rows, as in the source, but are reported
-in :func:`scan_rejects`.
+``spark.read.format("workbook")`` is a Python data source: a partition is one sheet
+of one workbook where sheets are named, else one workbook, and a sheet's XML isn't
+parsed beyond the last wanted row. Workbooks are unzipped with the standard library;
+cached values are read, not formulas. Unreadable files and missing sheets give no rows,
+as in the source, but an ``error`` row, see :func:`scan_rejects`.
+
+``format("workbook_once")`` is the same source with filters on ``sheet`` and ``row_no``
+pushed into it. Spark 4.1 keeps the filters of a load's last plan with the load, not
+with the plan: two differently filtered frames of one load in one query would both read
+what the later one asked for. So this form is for a load that a query reads once.
 """
 
 from __future__ import annotations
 
 import io
+import json
+import os
 import posixpath
 import zipfile
+from collections import Counter
+from dataclasses import dataclass
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition,
+                                    LessThan, LessThanOrEqual)
 
 SCAN_SCHEMA = ("path string, file_name string, sheet string, sheet_idx int, row_no int, cells array<string>, "
                "error string")
@@ -24,8 +36,8 @@ SCAN_SCHEMA = ("path string, file_name string, sheet string, sheet_idx int, row_
 _NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+def _tag(name: str) -> str:
+    return name.rsplit("}", 1)[-1]
 
 
 def _col_index(ref: str) -> int:
@@ -86,11 +98,12 @@ def _cell_value(c, shared: list[str]):
     return v.text  # numbers, formula strings ('str') and error codes ('e') as text
 
 
-def parse_workbook(content: bytes, sheets=None):
+def parse_workbook(content: bytes, sheets=None, first_row: int = 1, last_row: int | None = None):
     """Yield ``(sheet, sheet_idx, row_no, cells)`` for the wanted sheets (all
-    if None); ``sheet_idx`` is the sheet's position in the workbook.
+    if None) and rows; ``sheet_idx`` is the sheet's position in the workbook.
     Row and column numbers come from the cell references, not from
-    counting, so empty cells and rows are simply absent."""
+    counting, so empty cells and rows are simply absent. A sheet lists its rows
+    in ascending order, so parsing ends with the last wanted one."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = _shared_strings(z)
         targets = _sheet_targets(z)
@@ -99,20 +112,23 @@ def parse_workbook(content: bytes, sheets=None):
                 continue
             with z.open(part) as fh:
                 for _, el in ET.iterparse(fh, events=("end",)):
-                    if _local(el.tag) != "row":
+                    if _tag(el.tag) != "row":
                         continue
-                    vals = {}
-                    for c in el.iterfind("{*}c"):
-                        ref = c.get("r")
-                        if ref is None:
-                            continue
-                        v = _cell_value(c, shared)
-                        if v is not None:
-                            vals[_col_index(ref)] = v
-                    if vals:
-                        rn = int(el.get("r")) if el.get("r") else _row_of(next(iter(el.iterfind("{*}c"))).get("r"))
-                        width = max(vals) + 1
-                        yield name, idx, rn, [vals.get(i) for i in range(width)]
+                    cells = el.findall("{*}c")
+                    ref = next((c.get("r") for c in cells if c.get("r")), None)
+                    rn = int(el.get("r")) if el.get("r") else _row_of(ref) if ref else None
+                    if rn is not None and last_row is not None and rn > last_row:
+                        break
+                    if rn is not None and rn >= first_row:
+                        vals = {}
+                        for c in cells:
+                            if c.get("r") is None:
+                                continue
+                            v = _cell_value(c, shared)
+                            if v is not None:
+                                vals[_col_index(c.get("r"))] = v
+                        if vals:
+                            yield name, idx, rn, [vals.get(i) for i in range(max(vals) + 1)]
                     el.clear()
 
 
@@ -149,65 +165,240 @@ def _scan_batches(sheets, chunk_rows: int = OUT_CHUNK_ROWS):
     return fn
 
 
-def read_workbooks(spark: SparkSession, path: str, recursive: bool = True,
-                   glob: str = "*.{xlsx,xlsm}", sheets=None) -> DataFrame:
-    """Raw scan with an ``error`` column (one row per failed file). Flat mode
-    reads only the folder itself, through a glob."""
-    r = spark.read.format("binaryFile")
-    if recursive or path.lower().endswith((".xlsx", ".xlsm")):
-        src = r.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+# ---------------------------------------------------------------------------
+# The data source
+# ---------------------------------------------------------------------------
+
+@dataclass
+class SheetUnit(InputPartition):
+    """What one task reads: one sheet of a workbook, or all of its ``sheets``."""
+
+    uri: str
+    sheet: str | None
+    sheets: tuple | None
+    reports: bool  # this task reports the workbook's error
+
+
+def _local(uri: str) -> str | None:
+    """The path of a local file or folder, None for any other file system."""
+    if uri.startswith("file:"):
+        return "/" + uri[len("file:"):].lstrip("/")
+    return None if "://" in uri else uri
+
+
+def _workbook_uris(root: str, recursive: bool, suffixes=(".xlsx", ".xlsm")) -> list[str]:
+    """The workbooks of a folder (or the one file), by listing alone."""
+    local = _local(root)
+    if local is not None:
+        found = [local] if os.path.isfile(local) else [os.path.join(d, f) for d, _, fs in os.walk(local) for f in fs
+                                                       if recursive or os.path.samefile(d, local)]
+        before = "file:"
     else:
-        src = r.load(path.rstrip("/") + "/" + glob)
-    return src.select("path", "content").mapInPandas(_scan_batches(sheets), SCAN_SCHEMA)
+        from pyarrow import fs
+        system, path = fs.FileSystem.from_uri(root)
+        info = system.get_file_info(path.rstrip("/"))
+        infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=recursive))
+        found, before = [i.path for i in infos if i.type == fs.FileType.File], root[:root.rindex(path)] if path in root else root.split("://")[0] + "://"
+    return sorted(before + p for p in found if p.endswith(suffixes) and not posixpath.basename(p).startswith((".", "_")))
+
+
+def _open(uri: str):
+    """A file of the shared storage, opened for reading bytes."""
+    local = _local(uri)
+    if local is not None:
+        from urllib.parse import unquote
+        return open(local if os.path.exists(local) else unquote(local), "rb")
+    from pyarrow import fs
+    system, path = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(path)
+
+
+class WorkbookSource(DataSource):
+    """``format("workbook")``. Options: ``path``, ``sheets`` (JSON list, default all),
+    ``first_row`` and ``last_row`` (default all), ``recursive`` (default true)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def schema(self) -> str:
+        return SCAN_SCHEMA
+
+    def reader(self, schema) -> WorkbookReader:
+        return WorkbookReader(self.options)
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = options["path"]
+        self.recursive = options.get("recursive", "true").lower() == "true"
+        sheets = options.get("sheets")
+        self.sheets = None if sheets is None else tuple(json.loads(sheets))
+        self.first_row = int(options.get("first_row", 1))
+        self.last_row = int(options["last_row"]) if "last_row" in options else None
+        self.pushed: tuple | None = None  # sheets of a filter
+        self.filtered = False
+
+    def partitions(self):
+        names = self.sheets
+        if self.pushed is not None:
+            names = tuple(n for n in dict.fromkeys(self.pushed) if self.sheets is None or n in self.sheets)
+        uris = _workbook_uris(self.root, self.recursive)
+        if names is None:
+            return [SheetUnit(u, None, None, True) for u in uris]
+        return [SheetUnit(u, n, names, i == 0) for u in uris for i, n in enumerate(names)]
+
+    def read(self, unit: SheetUnit | None):
+        """Arrow batches; a sheet's rows leave only once it has parsed to its end."""
+        import pyarrow as pa
+        if unit is None:  # no partition at all
+            return
+        schema = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()),
+                            ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+        name, done, rows = _file_name(unit.uri), [], []
+
+        def batch():
+            columns = list(zip(*rows)) or [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+        tells = unit.reports and not self.filtered
+        try:
+            with _open(unit.uri) as fh:
+                content = fh.read()
+            wanted = None if unit.sheet is None else [unit.sheet]
+            for sheet, idx, rn, cells in parse_workbook(content, wanted, self.first_row, self.last_row):
+                rows.append((unit.uri, name, sheet, idx, rn, cells, None))
+                if len(rows) >= OUT_CHUNK_ROWS:
+                    done.append(batch())
+                    rows.clear()
+            if tells and not done and not rows:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    found = set(_sheet_targets(z))
+                if unit.sheets is None or not found & set(unit.sheets):
+                    rows.append((unit.uri, name, None, None, None, None, "no wanted sheet"))
+            done.append(batch())
+        except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
+            rows = [(unit.uri, name, None, None, None, None, f"{type(e).__name__}: {e}")]
+            done = [batch()] if tells else []
+        yield from done
+
+
+class FilteredWorkbookSource(WorkbookSource):
+    """``format("workbook_once")``: filters are pushed (see the module's note)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook_once"
+
+    def reader(self, schema) -> FilteredWorkbookReader:
+        return FilteredWorkbookReader(self.options)
+
+
+class FilteredWorkbookReader(WorkbookReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("sheet",) and isinstance(f, (EqualTo, In)):
+                names = (f.value,) if isinstance(f, EqualTo) else tuple(f.value)
+                self.pushed = tuple(n for n in names if n is not None and (self.pushed is None or n in self.pushed))
+            elif column == ("row_no",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.first_row = max(self.first_row, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    top = f.value - isinstance(f, LessThan)
+                    self.last_row = top if self.last_row is None else min(self.last_row, top)
+            else:
+                yield f
+                continue
+            self.filtered = True  # never true of an error row, which has neither sheet nor row
+
+
+def read_workbooks(spark: SparkSession, path: str, recursive: bool = True, sheets=None, first_row: int = 1,
+                   last_row: int | None = None, once: bool = False) -> DataFrame:
+    """Raw scan with an ``error`` column (one row per failed file). Flat mode
+    reads only the folder itself. ``once``: the frame is read once in a query, so its
+    filters are pushed."""
+    source = FilteredWorkbookSource if once else WorkbookSource
+    if once:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source)
+    r = spark.read.format(source.name()).option("recursive", str(recursive).lower()).option("first_row", first_row)
+    if sheets is not None:
+        r = r.option("sheets", json.dumps(list(sheets)))
+    return (r if last_row is None else r.option("last_row", last_row)).load(path)
+
+
+def scan_workbook_cells(spark: SparkSession, path: str, sheets=None, recursive: bool = True, first_row: int = 1,
+                        last_row: int | None = None, once: bool = False) -> DataFrame:
+    """Sheet rows ``(file_name, sheet, row_no, cells)`` of every workbook (A3), see
+    :func:`read_workbooks`. Files of one base name in several folders get their whole
+    path as name."""
+    rows = read_workbooks(spark, path, recursive, sheets, first_row, last_row, once).filter(F.col("error").isNull())
+    twice = _names_used_twice(_workbook_uris(path, recursive))
+    name = F.when(F.col("file_name").isin(twice), _whole_name("path")).otherwise(F.col("file_name")) if twice else F.col("file_name")
+    return rows.select(name.alias("file_name"), "sheet", "row_no", "cells")
 
 
-def scan_workbook_cells(spark: SparkSession, path: str, sheets=None, recursive: bool = True,
-                        glob: str = "*.{xlsx,xlsm}") -> DataFrame:
-    """Sheet rows ``(file_name, sheet, row_no, cells)`` of every workbook (A3)."""
-    return (read_workbooks(spark, path, recursive, glob, sheets)
-            .filter(F.col("error").isNull()).transform(distinct_names).select("file_name", "sheet", "row_no", "cells"))
+def scan_rejects(spark: SparkSession, path: str, sheets=None, recursive: bool = True) -> DataFrame:
+    return read_workbooks(spark, path, recursive, sheets).filter(F.col("error").isNotNull()).select("path", "file_name", "error")
 
 
-def scan_rejects(spark: SparkSession, path: str, sheets=None, recursive: bool = True,
-                 glob: str = "*.{xlsx,xlsm}") -> DataFrame:
-    return (read_workbooks(spark, path, recursive, glob, sheets)
-            .filter(F.col("error").isNotNull()).select("path", "file_name", "error"))
+def _names_used_twice(uris: list[str]) -> list[str]:
+    return sorted(n for n, c in Counter(map(_file_name, uris)).items() if c > 1)
 
 
-def ingest_workbooks(spark: SparkSession, folder: str, target: str, sheets=None,
-                     recursive: bool = True, glob: str = "*.{xlsx,xlsm}") -> None:
+def _whole_name(path):
+    return F.regexp_replace(path, r"\.(xlsx|xlsm|xls)$", "")
+
+
+def ingest_workbooks(spark: SparkSession, folder: str, target: str, sheets=None, recursive: bool = True) -> None:
     """Parse every workbook of a folder once into a Parquet sheet-rows table
-    partitioned by sheet; failed files are kept as rows with ``error`` set.
+    partitioned by sheet; failed files are kept as rows with ``error`` set. Beside it
+    stands ``<target>_files``, one row a workbook: its path, its name (the whole path
+    where two folders hold one base name) and its error. A workbook with an error
+    anywhere gives no rows.
 
     Flows read this table (:func:`sheet_rows`) instead of the live scan: a
     flow touches its input several times (per-file aggregates joined back),
     and re-reading Parquet is cheap and prunable, while re-running the
     Python parse is not."""
-    (read_workbooks(spark, folder, recursive, glob, sheets)
-     .write.mode("overwrite").partitionBy("sheet").parquet(target))
+    read_workbooks(spark, folder, recursive, sheets).write.mode("overwrite").partitionBy("sheet").parquet(target)
+    rows = spark.read.schema(SCAN_SCHEMA).parquet(target)
+    _file_names(rows).write.mode("overwrite").parquet(_files_of(target))
+
+
+def _files_of(table_path: str) -> str:
+    return table_path.rstrip("/") + "_files"
+
+
+def _file_names(rows: DataFrame) -> DataFrame:
+    """(path, file_name, error), one row a workbook; names told apart."""
+    files = rows.groupBy("path", "file_name").agg(F.max("error").alias("error"))
+    twice = files.groupBy("file_name").count().where("count > 1").select("file_name", F.lit(True).alias("_twice"))
+    out = files.join(twice, "file_name", "left")
+    return out.select("path", F.when(F.col("_twice"), _whole_name("path")).otherwise(F.col("file_name")).alias("file_name"), "error")
+
+
+def _files(spark: SparkSession, table_path: str) -> DataFrame:
+    try:
+        return spark.read.schema("path string, file_name string, error string").parquet(_files_of(table_path))
+    except AnalysisException:  # a table that a stream still appends to
+        return _file_names(spark.read.schema(SCAN_SCHEMA).parquet(table_path))
 
 
 def sheet_rows(spark: SparkSession, table_path: str, sheets=None, with_index: bool = False,
                with_path: bool = False) -> DataFrame:
     """Sheet rows of an ingested table; a sheet filter prunes partitions.
     ``with_index`` keeps each sheet's workbook position (``sheet_idx``). The
-    schema is given, so that sheets named ``01`` or ``8`` stay text."""
-    df = distinct_names(spark.read.schema(SCAN_SCHEMA).parquet(table_path).filter(F.col("error").isNull()))
+    schema is given, so that sheets named ``01`` or ``8`` stay text. Names and
+    failed files come from the table of files, one row each."""
+    df = spark.read.schema(SCAN_SCHEMA).parquet(table_path).filter(F.col("error").isNull())
     if sheets is not None:
         df = df.filter(F.col("sheet").isin(list(sheets)))
+    files = _files(spark, table_path).where("error is null").select("path", "file_name")
     cols = ["file_name", "sheet", "row_no", "cells"] + (["sheet_idx"] if with_index else []) + (["path"] if with_path else [])
-    return df.select(*cols)
-
-
-def distinct_names(rows: DataFrame) -> DataFrame:
-    """Files of one base name in several folders, told apart: ``file_name``
-    becomes the whole path without suffix. Every per-file step keys on it."""
-    files = rows.select("path", "file_name").distinct()
-    twice = files.groupBy("file_name").count().where("count > 1").select("file_name", F.lit(True).alias("_twice"))
-    out = rows.join(twice, "file_name", "left")
-    whole = F.regexp_replace("path", r"\.(xlsx|xlsm|xls)$", "")
-    return out.withColumn("file_name", F.when(F.col("_twice"), whole).otherwise(F.col("file_name"))).select(*rows.columns)
+    return df.drop("file_name").join(files, "path").select(*cols)
 
 
 def sheet_rejects(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.schema(SCAN_SCHEMA).parquet(table_path).filter(F.col("error").isNotNull()).select("path", "file_name", "error")
+    return spark.read.schema(SCAN_SCHEMA).parquet(table_path).filter(F.col("error").isNotNull()).select("path", "file_name", "error").distinct()

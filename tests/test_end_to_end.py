@@ -193,3 +193,50 @@ def test_amounts_are_written_into_the_papers(spark, scratch):
     cli.run(["expense", "--papers", rows["pr"], "--out", dirs["out"] + "/ex", "--template", rows["tr"]])
     pasted = {(r.row_no, r.col_no): r.value for r in spark.read.parquet(dirs["out"] + "/ex/papers").filter("sheet = '审定表_销售费用'").collect()}
     assert pasted[(9, 2)] == "广告费" and pasted[(9, 4)] == "12.5" and pasted[(11, 0)] == "样式" and pasted[(1, 0)] == "销售费用审定表"
+
+
+def _ingested(scratch, name, books):
+    folder, table = os.path.join(scratch, name), os.path.join(scratch, name + "_rows")
+    os.makedirs(folder)
+    for file, sheets in books.items():
+        write_xlsx(os.path.join(folder, file + ".xlsx"), sheets)
+    cli.run(["ingest", folder, table])
+    return table
+
+
+SCOPE = {1: ["24年试算序号", "公司名称", "报表名称", "SAP代码", "是否外币"], 2: [1, "甲", "甲报表", "C1", "是"], 3: [2, "乙", "乙报表", "C2", None]}
+
+
+def test_dynamic_ledger_placement(spark, scratch):
+    ledger = {1: ["公司代码", "功能范围：文本", "总账科目：短文本", "凭证货币价值"], 2: ["C1", "销售费用", "广告费", "1,000.50"],
+              3: ["C1", "销售费用", "差旅费", "7.00"], 4: ["C2", "管理费用", "办公费", "20.00"]}
+    labels = ["销售费用"] * 3 + ["管理费用"] * 4 + ["研发费用"] * 3
+    slots = {"8_费用": {r: [a] for r, a in enumerate(labels, 1)}}
+    lr = _ingested(scratch, "ledger", {"台账": {"FBL3H费用": ledger}})
+    sr = _ingested(scratch, "scope", {"范围": {"范围": SCOPE}})
+    tr = _ingested(scratch, "templates", {"甲报表": slots, "乙报表": slots})
+    out = os.path.join(scratch, "out")
+    cli.run(["ledger", "--ledger", lr, "--scope", sr, "--template", tr, "--out", out])
+    got = {(r.company, r.cell): r for r in spark.read.parquet(out + "/cells").collect()}
+    # 甲: one slot and two lines, so one row is added; both start at row 2, by text
+    assert [got["甲报表", c].text for c in ("C2", "C3")] == ["差旅费", "广告费"] or [got["甲报表", c].text for c in ("C2", "C3")] == ["广告费", "差旅费"]
+    assert float(got["乙报表", "E9"].amount) == 20.0  # 2 + 1 slot + 6
+
+
+def test_group_cells_and_overlay(spark, scratch):
+    bs = {1: ["公司名称", "项目", "行次", "期末余额", "年初余额", "项目", "行次", "期末余额", "年初余额"],
+          2: ["甲报表", "货币资金", 1, 10.5, 9, "短期借款", 1, 3, 2], 3: ["乙报表", "货币资金", 1, 5, 4, "短期借款", 1, 1, 1]}
+    inc = {1: ["公司名称", "项目", "行次", "本期发生额", "本年累计发生额", "上年同期累计发生额"], 2: ["甲报表", "营业收入", 1, 8, 9, 7]}
+    gr = _ingested(scratch, "group", {"报表": {"资产负债表": bs, "利润表": inc}})
+    sr = _ingested(scratch, "scope", {"范围": {"范围": SCOPE}})
+    out = os.path.join(scratch, "out")
+    cli.run(["group-cells", "--group", gr, "--scope", sr, "--out", out])
+    got = {(r.paper, r.sheet, r.cell): float(r.amount) for r in spark.read.parquet(out + "/cells").collect()}
+    assert got["1-甲2024.xlsx", "原报表USD", "N8"] == 10.5 and got["2-乙2024.xlsx", "原报表", "N8"] == 5.0
+
+    papers = _ingested(scratch, "papers", {"p1": {"8": {1: ["x", "old"], 2: ["y", "gone"]}}, "p2": {"8": {9: ["z"]}}})
+    template = _ingested(scratch, "template", {"t": {"8": {1: [None, "标签"], 2: ["no"]}}})
+    cli.run(["overlay", "--papers", papers, "--template", template, "--template-file", "t", "--sheet", "8", "--ranges", "B1:B2", "--out", out])
+    cells = {(r.file_name, r.row_no, r.col_no): r.value for r in spark.read.parquet(out + "/papers").collect()}
+    assert cells == {("p1", 1, 0): "x", ("p1", 1, 1): "'标签", ("p1", 2, 0): "y", ("p1", 2, 1): None,
+                     ("p2", 1, 1): "'标签", ("p2", 2, 1): None, ("p2", 9, 0): "z"}
