@@ -47,13 +47,18 @@ def rolled_rows(bal_b: DataFrame, n: int = 6, skip_existing: bool = False) -> Da
     """Detail rows, and each once more under its code of ``n`` characters: the rows of
     :func:`prefix_rollup` before they are summed. For flows that sum by account
     anyway: one scan, and no shuffle of their own."""
-    part = lambda code, name, has: F.struct(code.alias("acct_code"), name.alias("acct_name"), has.alias("_has"))
-    both = F.array(part(F.col("acct_code"), F.col("acct_name"), F.lit(True)),
-                   part(F.substring("acct_code", 1, n), F.split_part(F.col("acct_name"), F.lit("-"), F.lit(1)),
-                        F.length("acct_code") > n if skip_existing else F.lit(True)))
+    return _both_grains(bal_b, n, skip_existing).drop("_total")
+
+
+def _both_grains(bal_b: DataFrame, n: int, skip_existing: bool) -> DataFrame:
+    """Each row at its own grain and (``_total``) at that of its prefix."""
+    grain = lambda code, name, total: F.struct(code.alias("acct_code"), name.alias("acct_name"), F.lit(total).alias("_total"))
+    both = F.array(grain(F.col("acct_code"), F.col("acct_name"), False),
+                   grain(F.substring("acct_code", 1, n), F.split_part(F.col("acct_name"), F.lit("-"), F.lit(1)), True))
+    if skip_existing:
+        both = F.slice(both, F.lit(1), F.when(F.length("acct_code") > n, 2).otherwise(1))
     rest = [c for c in bal_b.columns if c not in ("acct_code", "acct_name")]
-    out = bal_b.select(*rest, F.inline(both)).filter("_has")
-    return out.select(*bal_b.columns)
+    return bal_b.select(*rest, F.inline(both)).select(*bal_b.columns, "_total")
 
 
 def prefix_rollup(bal_b: DataFrame, n: int = 6, keys=("company",),
@@ -63,17 +68,13 @@ def prefix_rollup(bal_b: DataFrame, n: int = 6, keys=("company",),
     whether a code is already ``n`` long, so such a code counts twice; pass
     ``skip_existing=True`` to total only longer codes."""
     keys = list(keys)
-    src = bal_b
-    if skip_existing:
-        src = src.filter(F.length("acct_code") > n)
     amounts = [c for c, _ in LAYOUT_B_COLUMNS if c.startswith(("fc_", "lc_"))]
-    totals = (src.groupBy(*keys,
-                          F.substring("acct_code", 1, n).alias("acct_code"),
-                          F.split_part(F.col("acct_name"), F.lit("-"), F.lit(1)).alias("acct_name"),
-                          "currency", "local_currency")
-              .agg(*[F.sum(c).cast(MONEY).alias(c) for c in amounts]))
     cols = keys + [c for c, _ in LAYOUT_B_COLUMNS]
-    return bal_b.select(*cols).unionByName(totals.select(*cols))
+    rows = _both_grains(bal_b.select(*cols).withColumn("_row", F.monotonically_increasing_id()), n, skip_existing)
+    # one scan: a detail row is a group of its own by its row, a total by its prefix
+    row = F.when(~F.col("_total"), F.col("_row")).alias("_row")
+    sums = rows.groupBy(*[c for c in cols if c not in amounts], row).agg(*[F.sum(c).cast(MONEY).alias(c) for c in amounts])
+    return sums.select(*cols)
 
 
 # ---------------------------------------------------------------------------
