@@ -17,19 +17,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Shuffle files of what is written meanwhile go once it is written: its
-    result is in files, and nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def with_conf(spark: SparkSession, settings: dict[str, str]):
+    """Session settings that hold meanwhile."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go once it is written: its
+    result is in files, and nothing reads them again."""
+    return with_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +48,47 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one operator's run in one folder below ``spark.checkpoint.dir``. Each
+    goes when no step reads it any more, all when the run ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables = spark, shared_folder(spark, name), {}
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*list(self.tables))
+        self._delete(self.root)
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :func:`staged`."""
+        with shuffles_dropped(self.spark):
+            df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def bucketed(self, df: DataFrame, name: str, n: int, keys: list[str], options: dict[str, str] | None = None) -> DataFrame:
+        """``df``, dealt by ``keys`` over n partitions, as a table of n buckets."""
+        table = f"{name}_{uuid.uuid4().hex[:12]}"
+        self.tables[name] = table
+        with shuffles_dropped(self.spark):
+            (df.write.options(**{"compression": "zstd", **(options or {})}).bucketBy(n, *keys).format("parquet")
+             .option("path", f"{self.root}/{name}").saveAsTable(table))
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the evaluation fold: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))

@@ -1,59 +1,58 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame functions only.
 
-A line is a set of lower-case words (what stands between spaces). A line goes if an
+A line is a set of lower-case words (what stands between white space). A line goes if an
 earlier one, in the same document or in one with a smaller doc_id, has a Jaccard
-similarity of at least NUM / DEN (0.8) with it. Lines of fewer than ``least`` distinct
-words (5) neither go nor make others go.
+similarity of at least NUM / DEN (0.8) with it; a line without words neither goes nor
+makes others go. Sets are held, compared and verified as 64-bit hashes of their words.
+
+Each line's set is computed once, into a table bucketed by document, so that no later
+step splits a text or moves the sets: what is decided comes back to them as a bit a
+line, by document. Documents are numbered in their order, so a line is one number.
 
 1. Lines with equal sets: only the first occurrence stays. What the join then
    sees are different sets, however many copies a line has.
-2. Near copies of one line: lines that share their smallest (or largest) word hash
-   are compared with the first of them only, one row a line. What is found here
+2. Words are ordered by rarity. The prefix of each line gives postings (a pair at the
+   threshold shares a word there), bucketed by word. Of the first lines of its words,
+   each line is compared with the one whose signature differs least. What is found here
    needs no other partner, so a group of near copies takes as many rows as members.
-3. All others: words ordered by rarity, postings for the prefix of each line (a
-   pair at the threshold shares a word there), joined on the word under the length
-   filter, the positional filter (what can still be common after this word) and a
-   64-bit parity signature of the set, whose differing bits can't outnumber the
-   differing words. Pairs that pass are verified on their words.
+3. The lines left meet all earlier lines of their words. Pairs of 2 and 3 pass the
+   length filter, the positional filter (what can still be common after this word) and a
+   parity signature of the set of 64 to 256 bits, by its size, whose differing bits
+   can't outnumber the differing words; then they are verified on their sets.
 
 Rarity is the count of the word's hash bucket over all lines, on a logarithmic
 scale: one small number for each of BUCKETS buckets, whatever the corpus, goes to
 every task. The order among words decides how many pairs are compared, not which
-are found.
+are found. Tables go as soon as no step reads them; none is left after a run but the
+result.
 
-The texts are shuffled once, into a table bucketed by document, from which every
-later step reads. Rows: null or empty texts stay as they are; a null doc_id comes first;
+Rows: null or empty texts stay as they are; a null doc_id comes first;
 rows that repeat doc_id and text are one document (both keep the same lines);
 equal doc_ids are ordered by a hash of the text; other columns are kept; an
-empty table gives no rows.
+empty table gives no rows. The numbers of documents and of the longest document's lines
+must fit 63 bits together.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shared_folder, shuffles_dropped, staged
+from ._shared import Workspace, staged, with_conf
 
 NUM, DEN = 4, 5
-LEAST = 5
 BUCKETS = 1 << 18
+HOT_SHARE = 1000
+SLICES, MOST_SENT = 4, 1_000_000
 _NO_ID = -(1 << 63)
 _KEY = ["did", "h"]
-_WORDS = "array_remove(split(lower(line), ' '), '')"
-_TOKENS = "sort_array(array_distinct(array_remove(transform(split(lower(line), ' '), w -> xxhash64(w)), xxhash64(''))))"
-
-
-def _lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """(did, h, *keep, no, line) of every line."""
-    return docs.select(*_KEY, *keep, F.posexplode(F.split("text", "\n")).alias("no", "line"))
-
-
-def _tokens(lines: DataFrame, least: int) -> DataFrame:
-    """Lines long enough, with their word hashes t (sorted) and number n."""
-    return lines.withColumn("t", F.expr(_TOKENS)).withColumn("n", F.size("t")).where(F.col("n") >= least)
+# White space but the space and the line end; each becomes a space.
+_SPACES = r"[\x{09}\x{0B}-\x{0D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SET = "sort_array(array_distinct(array_remove(transform(split(line, ' '), w -> xxhash64(w)), xxhash64(''))))"
+_CONF = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",  # tables of equal buckets are written from each other as they are
+         "spark.sql.maxPlanStringLength": "20000"}  # the rarity of all buckets is a literal
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -63,11 +62,85 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"))
 
 
-def _rarity(docs: DataFrame) -> Column:
+def _spaced(text: Column) -> Column:
+    """``text`` with a space for each other white space; few texts have any, and one of
+    ASCII alone is known by four searches."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    few = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    has = F.when(ascii_, few).otherwise(text.rlike(_SPACES))
+    return F.when(has, F.regexp_replace(text, _SPACES, " ")).otherwise(text)
+
+
+def _numbered(work: Workspace, keys: DataFrame) -> DataFrame:
+    """(did, h, dn): the documents' numbers, in their order."""
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.distinct().repartitionByRange(parts, *_KEY).sortWithinPartitions(*_KEY)
+    keys = work.staged(keys.withColumn("id", F.monotonically_increasing_id()), "keys")  # partition << 33 | row
+    row = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    bits = (keys.agg(F.max(row).alias("m")).first()["m"] or 0).bit_length()
+    return keys.select(*_KEY, F.shiftleft(F.shiftright("id", 33), bits).bitwiseOR(row).alias("dn"))
+
+
+def _bits(lines: DataFrame, name: str) -> DataFrame:
+    """(did, h, name): the lines (did, h, no) of each document as an array of bits."""
+    words = lines.groupBy(*_KEY, F.shiftright("no", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, no & 63))").alias("b"))
+    maps = words.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("at", "b"))).alias("m"), F.max("at").alias("last"))
+    return maps.select(*_KEY, F.expr("transform(sequence(0, last), i -> coalesce(m[i], 0L))").alias(name))
+
+
+def _has(name: str, no: str = "no") -> Column:
+    """Whether a document's bits hold line ``no``."""
+    return F.expr(f"coalesce((shiftright(get({name}, shiftright({no}, 6)), {no} & 63) & 1) = 1, false)")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``groups`` on ``key``. Groups of more than one of HOT_SHARE
+    rows, of which there are fewer than HOT_SHARE, are broadcast, so that their rows
+    stay where they are; ``groups`` has each group's size as ``c``."""
+    total = groups.agg(F.sum("c").alias("n")).first()["n"] or 0
+    hot = F.col("c") * HOT_SHARE > total
+    often = rows.join(F.broadcast(groups.where(hot)), key, "left")
+    rare = often.where("c is null").select(*rows.columns).join(groups.where(~hot), key)
+    return often.where("c is not null").unionByName(rare).drop("c")
+
+
+def _alpha(a: str, b: str) -> str:
+    """The least overlap of two lines at the threshold."""
+    return f"(({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN})"
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """``sets`` with the signature s0 .. s3: bit w mod 64 m of a set's m longs is the
+    parity of its words there; m is 1 up to 64 words, 2 up to 128, then 4. The longs
+    not used are 0, so that folding a longer signature gives the shorter one."""
+    long = "aggregate({0}, 0L, (s, w) -> s ^ shiftleft(1L, cast(w & 63 as int)))"
+    part = lambda m, j: long.format(f"filter(t, w -> (shiftright(w, 6) & {m - 1}) = {j})")
+    sig = [f"case when n <= 64 then {long.format('t')} when n <= 128 then {part(2, 0)} else {part(4, 0)} end",
+           f"case when n <= 64 then 0L when n <= 128 then {part(2, 1)} else {part(4, 1)} end",
+           *[f"case when n <= 128 then 0L else {part(4, j)} end" for j in (2, 3)]]
+    return sets.select("*", *[F.expr(x).alias(f"s{j}") for j, x in enumerate(sig)])
+
+
+_SIGNED = ["n", "s0", "s1", "s2", "s3"]
+
+
+def _differ(a: str, b: str) -> str:
+    """The differing bits of two signatures, folded to the shorter one."""
+    bits = lambda *js: "bit_count(" + " ^ ".join(f"{x}.s{j}" for x in (a, b) for j in js) + ")"
+    return (f"case when least({a}.n, {b}.n) > 128 then {bits(0)} + {bits(1)} + {bits(2)} + {bits(3)} "
+            f"when least({a}.n, {b}.n) > 64 then {bits(0, 2)} + {bits(1, 3)} else {bits(0, 1, 2, 3)} end")
+
+
+def _filters(a: str, b: str) -> str:
+    """Length, position and signature filter of two postings of one word."""
+    return (f"{b}.n * {NUM} <= {a}.n * {DEN} and {a}.n * {NUM} <= {b}.n * {DEN} and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {_alpha(a, b)} "
+            f"and {_differ(a, b)} <= {a}.n + {b}.n - 2 * {_alpha(a, b)}")
+
+
+def _rarity(sets: DataFrame) -> Column:
     """One byte a hash bucket, the logarithm of its word count, as a binary
     literal: a task gets it as it is, where an array would be taken apart."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
+    counts = sets.select(F.explode("t").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).count()
     scale = F.least(F.lit(94), F.floor(3 * F.log2(F.col("count") + 1))).cast("int")
     got = bytearray(b" " * BUCKETS)
     for r in counts.select("b", scale.alias("c")).collect():  # at most BUCKETS rows, whatever the input
@@ -75,91 +148,111 @@ def _rarity(docs: DataFrame) -> Column:
     return F.lit(got)
 
 
-def _filters(a: str, b: str) -> str:
-    """Length filter and signature filter of two lines; alpha is the least overlap."""
-    alpha = f"(({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN})"
-    return (f"{b}.n * {NUM} <= {a}.n * {DEN} and {a}.n * {NUM} <= {b}.n * {DEN} "
-            f"and bit_count({a}.sig ^ {b}.sig) <= {a}.n + {b}.n - 2 * {alpha}"), alpha
+class _Lines:
+    """The table of sets, and what the steps ask of it."""
 
+    def __init__(self, work: Workspace, docs: DataFrame):
+        self.work, n = work, int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n, texts = n, _keyed(docs).select(*_KEY, "text")
+        self.order = work.staged(_numbered(work, texts.select(*_KEY)), "order")
+        work.drop("keys")
+        line = _spaced(F.lower("text"))
+        lines = texts.where("text is not null").repartition(n, *_KEY).join(self.order, _KEY)
+        lines = lines.select(*_KEY, "dn", F.posexplode(F.split(line, "\n")).alias("no", "line"))
+        sets = lines.withColumn("t", F.expr(_SET)).where("size(t) > 0").drop("line")
+        sets = sets.withColumn("n", F.size("t")).withColumn("k", F.xxhash64("t")).withColumn("k2", F.hash("t"))
+        sets = _signed(sets)
+        # a column chunk holds each word hash once, and small numbers for where it stands
+        self.sets = work.bucketed(sets, "sets", n, _KEY, {"parquet.dictionary.page.size": str(16 << 20)})
+        most = self.sets.agg(F.max("no").alias("no"), F.max("dn").alias("dn")).first()
+        self.shift = (most["no"] or 0).bit_length()
+        if (most["dn"] or 0).bit_length() + self.shift > 63:
+            raise ValueError("the numbers of documents and lines don't fit 63 bits")
+        self.sets = self.sets.withColumn("ln", F.shiftleft("dn", self.shift).bitwiseOR(F.col("no").cast("long")))
 
-def _signed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("sig", F.expr("aggregate(t, 0L, (s, w) -> s ^ shiftleft(1L, cast(w & 63 as int)))"))
+    def places(self, numbers: DataFrame) -> DataFrame:
+        """(did, h, no) of line numbers ``ln``."""
+        numbers = numbers.select(F.shiftright("ln", self.shift).alias("dn"), F.col("ln").bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int").alias("no"))
+        return numbers.join(self.order, "dn").select(*_KEY, "no")
 
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(ln) of the written pairs (ln, e) whose sets reach the threshold. The sets of
+        all lines in question are taken from their buckets once."""
+        wanted = pairs.select("ln").union(pairs.select("e")).distinct()
+        wanted = self.work.staged(_bits(self.places(wanted), "wanted"), f"{name}-wanted")
+        sets = self.sets.select(*_KEY, "no", "ln", "t").join(wanted, _KEY).where(_has("wanted")).select("ln", "t")
+        sets = self.work.staged(sets, f"{name}-sets")
+        both = pairs.join(sets, "ln").join(sets.select(F.col("ln").alias("e"), F.col("t").alias("u")), "e")
+        both = both.withColumn("common", F.expr("size(array_intersect(t, u))"))
+        found = both.where(f"common * {DEN} >= (size(t) + size(u) - common) * {NUM}").select("ln").distinct()
+        found = self.work.staged(found, f"{name}-found")
+        self.work.drop(f"{name}-wanted", f"{name}-sets")
+        return found
 
-def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The later lines (did, h, no) of pairs whose words reach the threshold.
-    ``pairs``: did, h, no and e, the earlier line's struct of these."""
-    pairs = staged(pairs.distinct(), "line-pairs")
-    ids = pairs.select(*_KEY, "no").union(pairs.select("e.did", "e.h", "e.no")).distinct()
-    wanted = ids.groupBy(*_KEY).agg(F.collect_set("no").alias("nos"))  # lines of one document
-    texts = table.select(*_KEY, "text").join(wanted, _KEY)
-    texts = texts.select(*_KEY, "nos", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("array_contains(nos, no)")
-    texts = staged(texts.select(*_KEY, "no", F.expr(f"array_distinct({_WORDS})").alias("ws")).dropDuplicates([*_KEY, "no"]), "line-words")
-    first = texts.select(F.struct(*_KEY, "no").alias("e"), F.col("ws").alias("es"))
-    both = pairs.join(texts, [*_KEY, "no"]).join(first, "e").withColumn("common", F.expr("size(array_intersect(ws, es))"))
-    return both.where(f"common * {DEN} >= (size(ws) + size(es) - common) * {NUM}").select(*_KEY, "no").distinct()
+    def repeats(self) -> DataFrame:
+        """(did, h, no) of the lines whose set an earlier line has."""
+        sets = self.sets.select(*_KEY, "no", "ln", F.struct("k", "k2").alias("set"))
+        groups = self.sets.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"), F.min("ln").alias("first")).where("c > 1")
+        groups = self.work.staged(groups.select(F.struct("k", "k2").alias("set"), "c", "first"), "equal-sets")
+        return _grouped(sets, groups, "set").where("ln <> first").select(*_KEY, "no")
 
+    def postings(self, again: DataFrame) -> DataFrame:
+        """(w, ln, n, s0 .. s3, pos) of the prefix of each line that repeats no other, bucketed by w."""
+        rarity = _rarity(self.sets)
+        common = lambda w: F.ascii(F.substring(rarity, (F.pmod(w, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
+        word = lambda w: F.shiftleft(common(w).cast("long"), 55).bitwiseOR(w.bitwiseAND(F.lit((1 << 55) - 1)))
+        sets = self.sets.join(again, _KEY, "left").where(~_has("again")).select("ln", *_SIGNED, F.sort_array(F.transform("t", word)).alias("t"))
+        prefix = F.slice("t", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
+        posts = sets.select("ln", *_SIGNED, F.posexplode(prefix).alias("pos", "w")).repartition(self.n, "w")
+        return self.work.bucketed(posts, "posts", self.n, ["w"])
 
-def _by_document(lines: DataFrame, name: str) -> DataFrame:
-    return lines.groupBy(*_KEY).agg(F.collect_set("no").alias(name))
+    def first_pairs(self, posts: DataFrame) -> DataFrame:
+        """Pairs (ln, e): of the first lines of a line's words the likeliest one."""
+        heads = posts.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min("ln").alias("ln"), *[F.min_by(x, "ln").alias(x) for x in (*_SIGNED, "pos")])
+        pairs = posts.alias("a").join(heads.where("c > 1").alias("b").hint("merge"), F.expr(f"a.w = b.w and b.ln < a.ln and {_filters('a', 'b')}"))
+        return pairs.select("a.ln", F.col("b.ln").alias("e"), F.expr(_differ("a", "b")).alias("d")).groupBy("ln").agg(F.min_by("e", "d").alias("e"))
 
+    def other_pairs(self, posts: DataFrame, near: DataFrame) -> list[DataFrame]:
+        """Pairs (ln, e) of a line that isn't of ``near`` and any earlier line of one of
+        its words. While ``near`` has at most MOST_SENT lines, they are broadcast and the
+        postings stay in their buckets; beyond that the postings are shuffled, in SLICES
+        passes over the words, so that the files of one pass at a time are held."""
+        few, out = near.count() <= MOST_SENT, []
+        near, slices = (F.broadcast(near), 1) if few else (near, SLICES)
+        for i in range(slices):
+            mine = posts.where(F.pmod("w", F.lit(slices)) == i)
+            open_ = mine.join(near, "ln", "left_anti")
+            pairs = open_.alias("a").join(mine.alias("b").hint("merge"), F.expr(f"a.w = b.w and b.ln < a.ln and {_filters('a', 'b')}"))
+            out.append(self.work.staged(pairs.select("a.ln", F.col("b.ln").alias("e")).distinct(), f"far-{i}"))
+        return out
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, others) as struct ``doc`` (the other columns), the
     text left, n_lines and n_removed."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs)
-    # 1. equal sets
-    hashed = _signed(_tokens(_lines(keyed), least)).select(*_KEY, "no", "n", "sig", F.xxhash64("t").alias("k"), F.hash("t").alias("k2"),
-                                                           F.array(F.array_min("t"), F.bitwise_not(F.array_max("t"))).alias("ends"))
-    lines = staged(hashed, "lines")
-    place = F.struct(*_KEY, "no")
-    firsts = lines.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).where("c > 1").select("k", "k2", "first")
-    firsts = staged(firsts, "repeated-lines")
-    repeated = lines.select(*_KEY, "no", "k", "k2").join(firsts, ["k", "k2"]).where(place != F.col("first"))
-    again = staged(_by_document(repeated, "again"), "repeats")
-    # the bucketed table: did, h, text, doc, again
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"line_dedup_{uuid.uuid4().hex[:12]}"
-    with shuffles_dropped(spark):
-        (keyed.join(again, _KEY, "left").repartition(n, *_KEY).write.option("compression", "zstd")
-         .bucketBy(n, *_KEY).format("parquet").option("path", shared_folder(spark, "line-dedup")).saveAsTable(name))
-    table = spark.table(name)
-    # 2. near copies of the first line that shares the smallest or largest word hash
-    left = lines.join(firsts, ["k", "k2"], "left").where(F.col("first").isNull() | (place == F.col("first")))
-    ends = staged(left.select(*_KEY, "no", "n", "sig", F.explode("ends").alias("end")), "line-ends")
-    heads = ends.groupBy("end").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_KEY, "no", "n", "sig")).alias("e")).where("c > 1").select("end", "e")
-    heads = staged(heads, "line-heads").select("end", F.struct("e.did", "e.h", "e.no").alias("e"), F.struct("e.n", "e.sig").alias("f"))
-    near = ends.alias("a").join(heads, "end").where(F.struct("did", "h", "no") > F.col("e"))
-    near = near.where(F.expr(_filters("a", "f")[0])).select(*_KEY, "no", "e")
-    found = staged(_verified(near, table), "near-first")
-    # 3. the join on rare words: each word as its rarity and, for the rest of the 63 bits, its hash
-    rarity = _rarity(keyed)
-    rest = table.select(*_KEY, "text", "again").join(_by_document(found, "gone"), _KEY, "left")
-    rest = _lines(rest, "again", "gone").where("again is null or not array_contains(again, no)")
-    common = lambda w: F.ascii(F.substring(rarity, (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
-    word = lambda w: F.shiftleft(common(w).cast("long"), 55).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 55) - 1)))
-    ranked = F.array_distinct(F.transform(F.split(F.lower("line"), " "), word))
-    ranked = F.sort_array(F.array_remove(ranked, word(F.lit(""))))
-    rest = rest.withColumn("t", ranked).withColumn("n", F.size("t")).where(F.col("n") >= least)
-    rest = _signed(rest).withColumn("open", F.expr("cast(gone is null or not array_contains(gone, no) as int)"))
-    prefix = F.slice("t", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
-    posts = rest.select(*_KEY, "no", F.col("n").cast("int").alias("n"), "sig", "open", F.posexplode(prefix).alias("pos", "w"))
-    a, b = posts.alias("a"), posts.alias("b")
-    both, alpha = _filters("a", "b")
-    # `open` stands in conditions on both sides, so that one exchange serves both.
-    condition = (f"a.w = b.w and (b.did, b.h, b.no) < (a.did, a.h, a.no) and b.n * {NUM} <= a.n * {DEN} * a.open and b.open >= a.open - 1 "
-                 f"and {both} and least(a.n - a.pos, b.n - b.pos) >= {alpha}")
-    pairs = a.join(b, F.expr(condition)).select("a.did", "a.h", "a.no", F.struct("b.did", "b.h", "b.no").alias("e"))
-    far = _verified(pairs, table)
-    gone = staged(_by_document(found.union(far), "gone"), "near-lines")
-    # what is left of each document
-    out = table.join(gone, _KEY, "left")
-    drop = F.concat(F.coalesce("again", F.array().cast("array<int>")), F.coalesce("gone", F.array().cast("array<int>")))
-    out = out.withColumn("ls", F.split("text", "\n")).withColumn("drop", drop)
-    kept = F.filter("ls", lambda x, i: ~F.array_contains(F.col("drop"), i))
-    return out.select("doc", F.when(F.size("drop") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-                      F.when(F.col("text").isNull(), 0).otherwise(F.size("ls")).alias("n_lines"), F.size("drop").alias("n_removed"))
+    with Workspace(docs.sparkSession, "line-dedup") as work, with_conf(docs.sparkSession, _CONF):
+        lines = _Lines(work, docs)
+        again = work.staged(_bits(lines.repeats(), "again"), "again")
+        work.drop("equal-sets")
+        posts = lines.postings(again)
+        near = lines.verified(work.staged(lines.first_pairs(posts), "near"), "near")
+        slices = lines.other_pairs(posts, near)
+        work.drop("posts")
+        far = slices[0] if len(slices) == 1 else work.staged(reduce(DataFrame.union, slices).distinct(), "far")
+        far = lines.verified(far, "far")
+        work.drop("sets")
+        gone = work.staged(_bits(lines.places(near.union(far)), "gone"), "gone")
+        out = _keyed(docs).join(again, _KEY, "left").join(gone, _KEY, "left").withColumn("ls", F.split("text", "\n"))
+        kept = F.expr(f"filter(ls, (x, no) -> not ({_SQL_HAS.format('again')}) and not ({_SQL_HAS.format('gone')}))")
+        touched = F.col("again").isNotNull() | F.col("gone").isNotNull()
+        out = out.withColumn("kept", F.when(touched, kept).otherwise(F.col("ls")))
+        result = out.select("doc", F.when(touched, F.array_join("kept", "\n")).otherwise(F.col("text")).alias("text"),
+                            F.when(F.col("text").isNull(), 0).otherwise(F.size("ls")).alias("n_lines"),
+                            F.when(F.col("text").isNull(), 0).otherwise(F.size("ls") - F.size("kept")).alias("n_removed"))
+        return staged(result, "lines-left")
+
+
+_SQL_HAS = "coalesce((shiftright(get({0}, shiftright(no, 6)), no & 63) & 1) = 1, false)"
 
 
 def op10_line_dedup(spark, sf_dir) -> DataFrame:
@@ -169,9 +262,9 @@ def op10_line_dedup(spark, sf_dir) -> DataFrame:
 
 def without_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without lines that repeat an earlier one; a
-    document of which nothing is left goes; n_chars follows the text."""
+    document that has lost all its words goes; n_chars follows the text."""
     out = dedup_lines(docs)
-    out = out.where("n_removed = 0 or trim(text) <> ''")
+    out = out.where((F.col("n_removed") == 0) | (F.regexp_replace("text", _SPACES[:-1] + r"\n ]", "") != ""))
     columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
                else F.col(f"doc.`{c}`") for c in docs.columns]
     return out.select(*columns)

@@ -34,10 +34,11 @@ SELECT doc_id, text_id, class_id, coalesce(n_links, 0) AS n_links
 FROM t JOIN c ON c.node = text_id LEFT JOIN k ON k.u = text_id
 """
 
-OP10 = """
-WITH l AS (SELECT doc_id, no, line, list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> '')) AS ws
+OP10 = r"""
+WITH l AS (SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(lower(line),
+                  '[\x{09}\x{0B}-\x{0D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'), lambda w: w <> '')) AS ws
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)),
-k AS MATERIALIZED (SELECT doc_id, no, len(ws) AS n, list_sort(ws) AS ws FROM l WHERE len(ws) >= 5),
+k AS MATERIALIZED (SELECT doc_id, no, len(ws) AS n, list_sort(ws) AS ws FROM l WHERE len(ws) > 0),
 f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS id
                    FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY doc_id, no) AS nth FROM k) WHERE nth = 1),
 u AS (SELECT id, n, unnest(ws) AS w FROM f),
@@ -47,7 +48,7 @@ x AS MATERIALIZED (SELECT id, n, w FROM r WHERE rn <= n - (4 * n + 4) // 5 + 1),
 p AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM x a JOIN x b ON a.w = b.w AND b.id < a.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
 g AS (SELECT DISTINCT later FROM (SELECT later, len(list_intersect(a.ws, b.ws)) AS c, a.n + b.n AS n FROM p JOIN f a ON a.id = later JOIN f b ON b.id = earlier)
       WHERE c * 5 >= (n - c) * 4),
-stays AS (SELECT doc_id, no FROM l WHERE len(ws) < 5 UNION ALL SELECT doc_id, no FROM f WHERE id NOT IN (SELECT later FROM g)),
+stays AS (SELECT doc_id, no FROM l WHERE len(ws) = 0 UNION ALL SELECT doc_id, no FROM f WHERE id NOT IN (SELECT later FROM g)),
 t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, count(*) AS n FROM l JOIN stays USING (doc_id, no) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
        coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines, coalesce(len(string_split(d.text, chr(10))) - coalesce(t.n, 0), 0) AS n_removed

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 from collections import defaultdict
 
@@ -172,7 +173,10 @@ def test_contaminated_documents_go(spark, docs, items, tmp_path):
     assert 500 not in ids and 3 not in ids and 405 not in ids and {1, 2, 400, 401} <= ids
 
 
-def brute_lines(rows, least=5):
+SPACES = re.compile("[\t\x0b-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def brute_lines(rows):
     """doc -> (text left, lines, removed) in the order of (doc_id, place)."""
     seen, out = [], {}
     known = set()
@@ -182,8 +186,8 @@ def brute_lines(rows, least=5):
             continue
         kept = []
         for line in t.split("\n"):
-            s = frozenset(w for w in line.lower().split(" ") if w)
-            if len(s) >= least:
+            s = frozenset(w for w in SPACES.split(line.lower()) if w)
+            if s:
                 hit = s in known or any(len(s & x) * 5 >= len(s | x) * 4 for x in seen)
                 if s not in known:
                     known.add(s)
@@ -214,6 +218,42 @@ def test_line_dedup_without_first_line_pass(spark):
     assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == {d: (want[(d, t)][0], want[(d, t)][2]) for d, t in rows}
 
 
+def test_short_lines_and_every_white_space(spark):
+    rows = [(1, "x y z\n\nYes.\n \t\n"), (2, "Yes.\nz\u00a0Y\tx\r\nno"), (3, "a\tb\tc\td\te\tf"), (4, "f e d c\u3000b a\n"), (5, "a b c d\na b c d e"),
+            (6, "ΟΔΟΣ é\nΟΔΟΣ é"), (7, "你好 世界\n你好  世界\n你好世界"), (8, "\n\n"), (8, "other"), (None, "no"), (9, "")]
+    want = brute_lines(rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "text", "n_removed").collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in got) == sorted((str(d), want[(d, t)][0], want[(d, t)][2]) for d, t in rows)
+    assert {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] not in (8, None)} == {1: 0, 2: 3, 3: 0, 4: 1, 5: 1, 6: 1, 7: 1, 9: 0}
+
+
+def test_many_similar_lines_in_many_documents(spark):
+    """Groups of near copies that don't begin or end alike, over several buckets and documents of many lines."""
+    rng = random.Random(9)
+    stems = [[f"s{k}w{i}" for i in range(rng.randrange(3, 40))] for k in range(25)]
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 90)):
+            w = list(rng.choice(stems))
+            for _ in range(rng.randrange(0, 1 + len(w) // 6)):
+                w[rng.randrange(len(w))] = f"o{rng.randrange(3000)}"
+            rng.shuffle(w)
+            lines.append(" ".join(w))
+        rows.append((d, "\n".join(lines)))
+    want = brute_lines(rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).select("doc.doc_id", "text", "n_removed").collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == {d: (want[(d, t)][0], want[(d, t)][2]) for d, t in rows}
+
+
+def test_a_run_leaves_no_table(spark, docs):
+    import os
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    line_dedup.dedup_lines(docs.limit(20))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("texts_", "sets_"))]
+    assert not [f for f in os.listdir(root) if f.startswith("line-dedup")]
+
+
 def test_line_stage_keeps_columns_and_counts(spark, docs):
     kept = line_dedup.without_repeated_lines(spark, docs, "")
     assert kept.columns == docs.columns

@@ -26,10 +26,10 @@ def folder(spark, tmp_path_factory):
     kinds["line"] = [add(text(30) + "\n" + line) for _ in range(4)]
     base = text(120).split()
     near = []
-    for k in range(4):  # near copies whose lines differ too much for the line stage
-        w = [f"{x}\n" if i % 4 == 3 else x for i, x in enumerate(base)]
-        w[10 * k + 5] = f"other{k}\n"
-        near.append(add(" ".join(w).replace("\n ", "\n")))
+    for k, width in enumerate((6, 9, 14, 23)):  # near copies cut into lines of which no two are similar
+        w = list(base)
+        w[10 * k + 5] = f"other{k}"
+        near.append(add("\n".join(" ".join(w[i:i + width]) for i in range(0, len(w), width))))
     kinds["near"] = near
     item = text(40)
     kinds["leak"] = [add(text(20) + " " + item + " " + text(20)) for _ in range(3)]
@@ -71,3 +71,28 @@ def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, d)
     assert got.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert set(kinds["clean"]) <= {r["doc_id"] for r in got.collect()}
+
+
+def test_every_kind_of_row_runs_through(spark, folder, tmp_path):
+    """Null and empty texts, repeated rows, null ids and a clashing column go through every stage; no clean document is lost."""
+    d, kinds = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    more = spark.createDataFrame([(9000, None, None, None, None, None), (9001, "", "en", "s", 0, "x"), (9002, "\n \n", "en", "s", 3, "x"), (None, "A lone line of a document without an id here.", "en", "s", 1, "x")],
+                                 docs.schema)
+    mixed = docs.union(more).union(docs.where("doc_id < 5")).withColumn("h", docs.doc_id).repartition(4)
+    mixed.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert set(kinds["clean"]) <= {r["doc_id"] for r in got}
+    held = Counter()
+    for r in got:
+        held[r["doc_id"]] += r["length"]
+    assert not any(held[r["doc_id"]] % r["doc_tokens"] for r in got)
+
+
+def test_empty_tables_give_no_rows(spark, folder, tmp_path):
+    d, _ = folder
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
