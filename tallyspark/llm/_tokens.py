@@ -29,7 +29,7 @@ _PATTERNS = {
 # The byte-level form: a printable byte is its own character, the n-th other byte is chr(256 + n).
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_FORM = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-CACHE_CHUNKS, CACHE_PIECES = 400_000, 800_000
+CACHE_CHUNKS, CACHE_PIECES = 400_000, 400_000
 SLAB_CHARS = 4_000_000
 _APART = ("\t", "\r", "  ", "\n\n", " \n", "\n ")  # white space that isn't one space or line end alone
 _WORD = re.compile(f"[{_LETTERS}]+")
