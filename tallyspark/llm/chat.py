@@ -186,6 +186,18 @@ def segments(turns: DataFrame) -> DataFrame:
     return staged(rows.mapInPandas(cut, _SEGMENTS), "segments")
 
 
+def _placed(segs: DataFrame) -> DataFrame:
+    """``segs`` with ``pos``, a segment's place in its conversation, and ``n``, the number
+    of these. A part holds a conversation's segments one after the other, so counts by
+    part, one row each, give the place; no task sees all segments of a conversation."""
+    parts = segs.groupBy("conv_id", "part").agg(F.min("chunk").alias("c0"), F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("conv_id")
+    parts = parts.withColumn("off", F.sum("k").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.sum("k").over(w))
+    parts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "c0", F.coalesce("off", F.lit(0)).alias("off"), "n")
+    placed = segs.join(parts, (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")))
+    return placed.select(*segs.columns, (F.col("off") + F.col("chunk") - F.col("c0")).alias("pos"), "n")
+
+
 def train(segs: DataFrame) -> Model:
     fold = F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 5 != 0, F.lit(True))
 
@@ -202,11 +214,12 @@ def train(segs: DataFrame) -> Model:
 
     counts = segs.where(fold).select("roles", "obs").mapInPandas(count, "k string, a string, b string, c string, n long")
     # what meets between two segments of a conversation, and its first block: one row a segment
-    w = Window.partitionBy("conv_id").orderBy("part", "chunk")
     ends = segs.where(fold).select("conv_id", "part", "chunk", F.element_at("roles", 1).alias("first"), F.element_at("roles", -1).alias("last"))
-    ends = ends.withColumn("no", F.row_number().over(w)).withColumn("before", F.lag("last").over(w))
-    met = ends.select(F.when(F.col("no") == 1, "i").otherwise("t").alias("k"), F.when(F.col("no") == 1, F.col("first")).otherwise(F.col("before")).alias("a"),
-                      F.when(F.col("no") == 1, "").otherwise(F.col("first")).alias("b"), F.lit("").alias("c")).where("a is not null and b is not null")
+    ends = _placed(ends)
+    before = ends.select(F.col("conv_id").alias("c"), (F.col("pos") + 1).alias("q"), F.col("last").alias("before"))
+    ends = ends.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("q")), "left")
+    met = ends.select(F.when(F.col("pos") == 0, "i").otherwise("t").alias("k"), F.when(F.col("pos") == 0, F.col("first")).otherwise(F.col("before")).alias("a"),
+                      F.when(F.col("pos") == 0, "").otherwise(F.col("first")).alias("b"), F.lit("").alias("c")).where("a is not null and b is not null")
     met = met.groupBy("k", "a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
     total: Counter = Counter()
     for r in counts.unionByName(met).groupBy("k", "a", "b", "c").agg(F.sum("n").alias("n")).collect():  # roles x features x values
@@ -223,9 +236,9 @@ def segment_ends(segs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b[["conv_id", "part", "chunk"]].assign(m=[model.matrix(o).ravel().tolist() for o in b["obs"]]).astype({"conv_id": "Int64"})
 
-    w = Window.partitionBy("conv_id").orderBy("part", "chunk")
     level = segs.select("conv_id", "part", "chunk", "obs").mapInPandas(matrices, "conv_id long, part int, chunk int, m array<double>")
-    level = level.withColumn("pos", F.row_number().over(w).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    places = _placed(segs.select("conv_id", "part", "chunk")).select(F.col("part").alias("p"), F.col("chunk").alias("h"), "pos", "n")
+    level = level.join(places, (F.col("part") == F.col("p")) & (F.col("chunk") == F.col("h"))).drop("p", "h")
     level = staged(level, "segment-scores")
     # a conversation of one segment needs no combining
     alone = level.where("n = 1").select("part", "chunk", F.lit(start).alias("entry"), F.lit(-1).alias("last"))

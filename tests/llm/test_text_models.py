@@ -322,3 +322,26 @@ def test_segments_give_the_whole_path(spark, monkeypatch):
     obs = [chat.observe(r[3]) for r in rows]
     assert abs(path_score(model, obs, path) - path_score(model, obs, whole)) < 1e-6
     assert abs(path_score(model, obs[:9], model.decode(obs[:9], len(model.roles), -1)) - brute_viterbi(model, obs[:9])) < 1e-9
+
+
+def test_counts_do_not_depend_on_segments(spark, monkeypatch):
+    long = [(7000, t, ["user", "assistant"][t % 2], "User: x?" if t % 2 == 0 else "yes " * (t % 9), "z") for t in range(200)]
+    df = spark.createDataFrame(conversations() + long + [(None, t, "user", "User: a", "z") for t in range(30)],
+                               "conv_id long, turn long, role string, text string, x string").repartition(3)
+    whole = chat.train(chat.segments(df))
+    monkeypatch.setattr(chat, "SEGMENT", 3)
+    segs = chat.segments(df)
+    cut = chat.train(segs)
+    obs = [chat.observe(t) for t in ("User: x?", "yes yes", "", "System: be brief")]
+    assert whole.roles == cut.roles and np.allclose(whole.step, cut.step) and np.allclose(whole.scores(obs), cut.scores(obs))
+    placed = chat._placed(segs).toPandas()
+    for _, g in placed.groupby(placed["conv_id"].fillna(-1)):
+        assert g.sort_values(["part", "chunk"])["pos"].tolist() == list(range(len(g))) and (g["n"] == len(g)).all()
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 10_000, "<div><b>" * 10_000 + "</i>y</p>" * 10_000, "<article>" + "<ul><li>x" * 5_000, "<p>a<span>" * 10_000])
+def test_deep_pages_take_time_in_proportion(page):
+    import time
+    start = time.process_time()
+    lines = html_text.lines_of(page)
+    assert time.process_time() - start < 1 and lines
