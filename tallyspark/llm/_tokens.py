@@ -78,7 +78,7 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def merge(self, word: str) -> bytes:
-        return self.merged(word.encode().decode("latin-1").translate(_BYTE_FORM))
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_FORM))]).tobytes()
 
     def merged(self, shown: str) -> bytes:
         """Ids of a word in the byte-level form."""
