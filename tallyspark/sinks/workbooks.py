@@ -1,6 +1,6 @@
 """Sheet rows -> .xlsx files, the input form of every desktop flow. A minimal
-standard-library writer (values only), one workbook a task group: a workbook is
-bounded by the format itself (1,048,576 rows a sheet)."""
+standard-library writer (values only); a workbook is written by one task, as its rows
+come, and is bounded by the format itself (1,048,576 rows a sheet)."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ import io
 import os
 import uuid
 import zipfile
+from contextlib import contextmanager
+from functools import lru_cache
+from itertools import groupby
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,69 +31,137 @@ def column_name(i: int) -> str:
     return name
 
 
-def _sheet_xml(rows) -> str:
-    """``rows``: (row_no, cells) in ascending order; every value is inline text."""
-    out = [f'<worksheet xmlns="{_MAIN}"><sheetData>']
-    for row_no, cells in rows:
-        out.append(f'<row r="{row_no}">')
-        out += [f'<c r="{column_name(i)}{row_no}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
-                for i, v in enumerate(cells) if v is not None]
-        out.append("</row>")
-    out.append("</sheetData></worksheet>")
-    return "".join(out)
+@lru_cache(maxsize=1 << 14)
+def _cell_start(i: int) -> str:
+    return f'<c r="{column_name(i)}'
 
 
-def workbook_bytes(sheets: dict) -> bytes:
-    """``sheets``: name -> [(row_no, cells)], in workbook order."""
-    out = io.BytesIO()
-    n = range(1, len(sheets) + 1)
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+def _row_xml(row_no, cells) -> str:
+    """``cells``: escaped texts; every value is inline text."""
+    inner = "".join(f'{_cell_start(i)}{row_no}" t="inlineStr"><is><t xml:space="preserve">{v}</t></is></c>' for i, v in enumerate(cells) if v is not None)
+    return f'<row r="{row_no}">{inner}</row>'
+
+
+class _Book:
+    """A workbook written to an open stream as its rows come: each sheet's in ascending
+    order, sheet after sheet in workbook order."""
+
+    def __init__(self, out, name: str = ""):
+        self.z, self.name = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED), name
+        self.sheets, self.part, self.n_rows, self.n_sheet = [], None, 0, 0
+
+    def add(self, sheet: str, rows: list) -> None:
+        """Some rows (row_no, escaped cells) of a sheet."""
+        if self.part is None or self.sheets[-1] != sheet:
+            self._end_sheet()
+            self.sheets.append(sheet)
+            self.part = self.z.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w", force_zip64=True)
+            self.part.write(f'<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+            self.n_sheet = 0
+        self.n_sheet += len(rows)
+        if self.n_sheet > MAX_ROWS:
+            raise ValueError(f"{self.name}: a sheet holds more than {MAX_ROWS} rows")
+        self.n_rows += len(rows)
+        self.part.write("".join(_row_xml(r, cells) for r, cells in rows).encode())
+
+    def _end_sheet(self) -> None:
+        if self.part is not None:
+            self.part.write(b"</sheetData></worksheet>")
+            self.part.close()
+
+    def close(self) -> None:
+        self._end_sheet()
+        n, z = range(1, len(self.sheets) + 1), self.z
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{_KIND}.worksheet+xml"/>' for k in n)
         z.writestr("[Content_Types].xml", f'<Types xmlns="{_PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.'
                    f'relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_KIND}.sheet.main+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_DOC}/officeDocument" '
                    'Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name="{escape(name, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(n, sheets))
+        names = "".join(f'<sheet name="{escape(name, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(n, self.sheets))
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>{names}</sheets></workbook>')
         links = "".join(f'<Relationship Id="rId{k}" Type="{_DOC}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n)
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PKG}/relationships">{links}</Relationships>')
-        for k, rows in zip(n, sheets.values()):
-            z.writestr(f"xl/worksheets/sheet{k}.xml", _sheet_xml(rows))
+        z.close()
+
+
+def workbook_bytes(sheets: dict) -> bytes:
+    """``sheets``: name -> [(row_no, cells)], in workbook order."""
+    out = io.BytesIO()
+    book = _Book(out)
+    for sheet, rows in sheets.items():
+        book.add(sheet, [(r, [None if v is None else escape(v) for v in cells]) for r, cells in rows])
+    book.close()
     return out.getvalue()
 
 
-def _put(folder: str, name: str, content: bytes) -> str:
-    """A file written under a name that scans skip, and renamed."""
+@contextmanager
+def _drafted(folder: str, name: str):
+    """(stream, path) of a file written under a name that scans skip, and renamed once
+    it is whole; of one that isn't nothing is left."""
     from tallyspark.sources.xlsx import _local
     local = _local(folder)
     if local is not None:
         os.makedirs(local, exist_ok=True)
         draft = f"{local}/_{name}.{uuid.uuid4().hex}"
-        with open(draft, "wb") as fh:
-            fh.write(content)
-        os.replace(draft, f"{local}/{name}")
-        return f"file:{local}/{name}"
+        try:
+            with open(draft, "wb") as fh:
+                yield fh, f"file:{local}/{name}"
+            os.replace(draft, f"{local}/{name}")
+        except BaseException:
+            if os.path.exists(draft):
+                os.remove(draft)
+            raise
+        return
     from pyarrow import fs
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     draft = f"{path}/_{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(draft) as fh:
+    try:
+        with system.open_output_stream(draft) as fh:
+            yield fh, f"{folder}/{name}"
+        system.move(draft, f"{path}/{name}")
+    except BaseException:
+        if system.get_file_info(draft).type != fs.FileType.NotFound:
+            system.delete_file(draft)
+        raise
+
+
+def _put(folder: str, name: str, content: bytes) -> str:
+    with _drafted(folder, name) as (fh, path):
         fh.write(content)
-    system.move(draft, f"{path}/{name}")
-    return f"{folder}/{name}"
+    return path
+
+
+def _runs(batches):
+    """(file_name, sheet, [(row_no, escaped cells)]): the rows of one sheet that stand
+    together in an Arrow batch."""
+    import pyarrow.compute as pc
+    for batch in batches:
+        cells = batch.column("cells")
+        values = cells.flatten()
+        for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            values = pc.replace_substring(values, raw, shown)
+        values, ends = values.to_pylist(), pc.cumulative_sum(pc.list_value_length(cells)).to_pylist()
+        rows = zip(batch.column("file_name").to_pylist(), batch.column("sheet").to_pylist(), batch.column("row_no").to_pylist(), [0, *ends], ends)
+        for (name, sheet), run in groupby(rows, key=lambda r: r[:2]):
+            yield name, sheet, [(row_no, values[lo:hi]) for _, _, row_no, lo, hi in run]
 
 
 def write_workbooks(rows: DataFrame, folder: str) -> DataFrame:
     """Writes ``rows(file_name, sheet, row_no, cells)`` as ``<folder>/<file_name>.xlsx``
     and gives (path, n_rows) of what is written. A workbook appears whole or not at
-    all, and one that is written again (a lost executor) is the same."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sheets: dict = {}
-        for sheet, row_no, cells in pdf.sort_values(["sheet", "row_no"], kind="stable")[["sheet", "row_no", "cells"]].itertuples(index=False):
-            sheets.setdefault(sheet, []).append((row_no, cells))
-        if max(map(len, sheets.values())) > MAX_ROWS:
-            raise ValueError(f"{key[0]}: a sheet holds more than {MAX_ROWS} rows")
-        return pd.DataFrame({"path": [_put(folder.rstrip("/"), f"{key[0]}.xlsx", workbook_bytes(sheets))], "n_rows": [len(pdf)]})
+    all, and one that is written again (a lost executor) is the same. Its rows come
+    sorted and are written as they come, so a task holds one batch of them."""
+    def run(batches):
+        import pyarrow as pa
+        for name, parts in groupby(_runs(batches), key=lambda r: r[0]):
+            with _drafted(folder.rstrip("/"), f"{name}.xlsx") as (fh, path):
+                book = _Book(fh, name)
+                for _, sheet, some in parts:
+                    book.add(sheet, some)
+                book.close()
+            yield pa.RecordBatch.from_pydict({"path": [path], "n_rows": [book.n_rows]})
 
     used = rows.where(F.exists("cells", lambda v: v.isNotNull()))  # a row without values isn't stored
-    return used.select("file_name", "sheet", "row_no", "cells").groupBy("file_name").applyInPandas(run, "path string, n_rows long")
+    order = ["file_name", "sheet", "row_no", "cells"]
+    return used.select(*order).repartition("file_name").sortWithinPartitions(*order).mapInArrow(run, "path string, n_rows long")

@@ -18,6 +18,7 @@ import io
 import json
 import os
 import posixpath
+import tempfile
 import zipfile
 from collections import Counter
 from dataclasses import dataclass
@@ -98,13 +99,13 @@ def _cell_value(c, shared: list[str]):
     return v.text  # numbers, formula strings ('str') and error codes ('e') as text
 
 
-def parse_workbook(content: bytes, sheets=None, first_row: int = 1, last_row: int | None = None):
+def parse_workbook(content, sheets=None, first_row: int = 1, last_row: int | None = None):
     """Yield ``(sheet, sheet_idx, row_no, cells)`` for the wanted sheets (all
-    if None) and rows; ``sheet_idx`` is the sheet's position in the workbook.
+    if None) and rows of a workbook (its bytes or an open file); ``sheet_idx`` is the sheet's position in the workbook.
     Row and column numbers come from the cell references, not from
     counting, so empty cells and rows are simply absent. A sheet lists its rows
     in ascending order, so parsing ends with the last wanted one."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         shared = _shared_strings(z)
         targets = _sheet_targets(z)
         for idx, (name, part) in enumerate(targets.items()):
@@ -141,6 +142,7 @@ def _file_name(path: str, suffixes=(".xlsx", ".xlsm", ".xls")) -> str:
 
 
 OUT_CHUNK_ROWS = 20_000
+SPOOL_BYTES, READ_BYTES = 32 << 20, 1 << 20
 _COLS = ["path", "file_name", "sheet", "sheet_idx", "row_no", "cells", "error"]
 
 
@@ -249,38 +251,44 @@ class WorkbookReader(DataSourceReader):
         return [SheetUnit(u, n, names, i == 0) for u in uris for i, n in enumerate(names)]
 
     def read(self, unit: SheetUnit | None):
-        """Arrow batches; a sheet's rows leave only once it has parsed to its end."""
+        """Arrow batches; a sheet's rows leave only once it has parsed to its end, and
+        wait for that in a file if they are many."""
         import pyarrow as pa
         if unit is None:  # no partition at all
             return
         schema = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()),
                             ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
-        name, done, rows = _file_name(unit.uri), [], []
+        name, n_done, rows = _file_name(unit.uri), 0, []
 
         def batch():
             columns = list(zip(*rows)) or [()] * len(schema)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
         tells = unit.reports and not self.filtered
-        try:
-            with _open(unit.uri) as fh:
-                content = fh.read()
-            wanted = None if unit.sheet is None else [unit.sheet]
-            for sheet, idx, rn, cells in parse_workbook(content, wanted, self.first_row, self.last_row):
-                rows.append((unit.uri, name, sheet, idx, rn, cells, None))
-                if len(rows) >= OUT_CHUNK_ROWS:
-                    done.append(batch())
-                    rows.clear()
-            if tells and not done and not rows:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    found = set(_sheet_targets(z))
-                if unit.sheets is None or not found & set(unit.sheets):
-                    rows.append((unit.uri, name, None, None, None, None, "no wanted sheet"))
-            done.append(batch())
-        except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
-            rows = [(unit.uri, name, None, None, None, None, f"{type(e).__name__}: {e}")]
-            done = [batch()] if tells else []
-        yield from done
+        with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as spool:
+            try:
+                with pa.ipc.new_stream(spool, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as done, _open(unit.uri) as fh:
+                    content = io.BufferedReader(fh, READ_BYTES)
+                    wanted = None if unit.sheet is None else [unit.sheet]
+                    for sheet, idx, rn, cells in parse_workbook(content, wanted, self.first_row, self.last_row):
+                        rows.append((unit.uri, name, sheet, idx, rn, cells, None))
+                        if len(rows) >= OUT_CHUNK_ROWS:
+                            done.write_batch(batch())
+                            rows.clear()
+                            n_done += 1
+                    if tells and not n_done and not rows:
+                        with zipfile.ZipFile(content) as z:
+                            found = set(_sheet_targets(z))
+                        if unit.sheets is None or not found & set(unit.sheets):
+                            rows.append((unit.uri, name, None, None, None, None, "no wanted sheet"))
+                    done.write_batch(batch())
+            except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
+                rows = [(unit.uri, name, None, None, None, None, f"{type(e).__name__}: {e}")]
+                if tells:
+                    yield batch()
+                return
+            spool.seek(0)
+            yield from pa.ipc.open_stream(spool)
 
 
 class FilteredWorkbookSource(WorkbookSource):

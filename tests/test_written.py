@@ -99,6 +99,46 @@ def test_one_base_name_in_two_folders(spark, scratch):
     assert len(names) == 2 and all(n.endswith("/a") for n in names)
 
 
+def test_a_workbook_leaves_the_task_as_its_rows_come(spark, scratch, monkeypatch):
+    import pyarrow as pa
+
+    import tallyspark.sinks.workbooks as W
+    got = {}
+
+    def batches():
+        for b in range(20):
+            got[b] = sum(os.path.getsize(os.path.join(scratch, f)) for f in os.listdir(scratch)) if os.path.isdir(scratch) else 0
+            yield pa.RecordBatch.from_pydict({"file_name": ["f"] * 1000, "sheet": ["s"] * 1000, "row_no": list(range(b * 1000, b * 1000 + 1000)),
+                                              "cells": [[os.urandom(50).hex()] for _ in range(1000)]})
+
+    run = {}
+    df = spark.createDataFrame([("f", "s", 1, ["x"])], "file_name string, sheet string, row_no int, cells array<string>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, fn, schema: run.setdefault("fn", fn))
+    write_workbooks(df, scratch)
+    out, = run["fn"](batches())
+    assert out.to_pydict() == {"path": [f"file:{scratch}/f.xlsx"], "n_rows": [20_000]}
+    assert got[15] > 10 * 50 * 1000  # most of the earlier batches are in the file already
+    monkeypatch.setattr(W, "MAX_ROWS", 15_000)
+    with pytest.raises(ValueError):
+        list(run["fn"](batches()))
+    assert os.listdir(scratch) == ["f.xlsx"]  # no draft is left
+
+
+def test_a_sheet_in_parsing_is_not_held_in_memory(scratch, monkeypatch):
+    import pyarrow as pa
+    os.makedirs(scratch, exist_ok=True)
+    path = os.path.join(scratch, "big.xlsx")
+    with open(path, "wb") as fh:
+        fh.write(workbook_bytes({"s": [(i, [f"{i:0200d}"]) for i in range(1, 20_001)]}))
+    monkeypatch.setattr(XS, "OUT_CHUNK_ROWS", 1000)
+    monkeypatch.setattr(XS, "SPOOL_BYTES", 1000, raising=False)
+    before = pa.total_allocated_bytes()
+    read = XS.WorkbookReader({"path": path}).read(XS.SheetUnit(f"file:{path}", None, None, True))
+    first = next(read)
+    assert pa.total_allocated_bytes() - before < 2_000_000  # of 4,000,000 and more
+    assert first.num_rows + sum(b.num_rows for b in read) == 20_000
+
+
 # --- replaced tables ---------------------------------------------------------
 
 def failing(spark):
