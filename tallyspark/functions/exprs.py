@@ -51,10 +51,15 @@ def parse_trailing_minus(c) -> Column:
     """'1,234.50-' -> -1234.50; any '-' anywhere makes it negative; null if it
     is no number (see :func:`tallyspark.operators.ledger.ledger_rejects`)."""
     s = col(c).cast("string")
-    mag = F.regexp_replace(F.regexp_replace(s, ",", ""), "-", "").try_cast(MONEY)
+    mag = magnitude(c)
     return F.when(s.contains("-"), -mag).otherwise(mag)
 
 
+def magnitude(c) -> Column:
+    """:func:`parse_trailing_minus` without the sign."""
+    return F.translate(col(c).cast("string"), ",-", "").try_cast(MONEY)
+
+
 def account_class(code) -> Column:
     first = F.substring(col(code), 1, 1)
     e = None

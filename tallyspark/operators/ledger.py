@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions.exprs import parse_trailing_minus, strip_text
+from tallyspark.functions.exprs import magnitude, parse_trailing_minus, strip_text
 from tallyspark.schemas import (EXPENSE_AREAS, EXPENSE_FIXED_STARTS, FX_YES, MONEY, RATE,
                                 SHEET_EXPENSE)
 
@@ -18,8 +18,9 @@ def parse_ledger(ledger: DataFrame, text_col: str = "amount_text") -> DataFrame:
 
 
 def ledger_rejects(ledger: DataFrame, text_col: str = "amount_text") -> DataFrame:
-    """Ledger lines whose amount text is no number; they count as null."""
-    bad = F.col(text_col).isNotNull() & (strip_text(text_col) != "") & parse_trailing_minus(text_col).isNull()
+    """Ledger lines whose amount text is no number; they count as null. The number is
+    tried first: few lines have none, and only these are searched for white space."""
+    bad = magnitude(text_col).isNull() & (strip_text(text_col) != "")
     return ledger.filter(bad).withColumn("reason", F.lit("amount is no number"))
 
 

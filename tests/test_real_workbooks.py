@@ -107,6 +107,15 @@ def test_a_bad_amount_is_rejected_not_fatal(spark):
     assert rows_of(L.expense_summary(L.parse_ledger(df)), "amount") == [(Decimal("-1.00"),)]
 
 
+def test_rejects_try_the_number_once(spark):
+    texts = [None, "", " ", "\u3000\n", "1,234.50-", "-1", "--2", ",", "-", "1 2", "12x", " 7 ", "1e3", "9" * 17]
+    df = spark.createDataFrame([(t,) for t in texts], "amount_text string")
+    assert {r.amount_text for r in L.ledger_rejects(df).collect()} == {",", "-", "1 2", "12x", "9" * 17}
+    assert [r[0] for r in L.parse_ledger(df).select(F.col("amount").cast("string")).collect()][4:7] == ["-1234.50", "-1.00", "-2.00"]
+    plan = L.ledger_rejects(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_dynamic_placement_loses_no_company(spark):
     rows = [(c, "8_费用", r, [a]) for c in ("both", "sheet only") for r, a in enumerate(["销售费用"] * 3 + ["管理费用"] * 3 + ["研发费用"] * 3, 1)]
     template = spark.createDataFrame(rows, ROWS)
