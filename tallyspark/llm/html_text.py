@@ -14,8 +14,11 @@ as a whole, or if each of its words is such a meaning or a container ('ad-box',
 'overflow-hidden' or 'no-sidebar'). html, body, main and article are never noise,
 and what is around an article is none for it; a form that holds more than half of
 the page's other text is the page, not a form in it; an article marked as a comment
-is one if the page has another article. Lines of an explicit article element stay: if a page has one with text, its lines are the result, else
-the lines that differencing leaves, without those that only hold links.
+is one if the page has another article. If a page has explicit article elements with
+text, the result is the lines of those that differencing leaves a line of: one that is
+wholly in the template, such as a teaser that its siblings show too, goes if another
+has a line of the page's own, and an article quoting its sibling stays whole. Else the
+result is the lines that differencing leaves, without those that only hold links.
 
 The result joins the kept lines by a space; white space in a line is one space,
 character references are decoded. Pairing is a sort by (host, path) over ranges,
@@ -104,12 +107,13 @@ class _Place(NamedTuple):
     header: bool = False    # in a header element
     heading: bool = False   # in a heading within the innermost header
     form: int = 0           # the outermost form within the innermost article
+    no: int = 0             # the innermost article's number
 
     def within(self, name: str, what: str) -> _Place:
         """The place within one more element."""
         place = self._replace(comments=False) if name == "main" and self.comments else self
-        if what in ("article", "reply"):
-            return place._replace(article=True, reply=place.reply or what == "reply", noise=False, form=0)
+        if what.startswith(("article", "reply")):
+            return place._replace(article=True, reply=place.reply or what.startswith("reply"), noise=False, form=0, no=int(what.lstrip("aceilprty")))
         if what.startswith("form"):
             return place._replace(form=place.form or int(what[4:]))
         if what == "heading":
@@ -125,16 +129,17 @@ class _Place(NamedTuple):
         return self.hard or self.noise or self.comments or self.header and not (self.article and self.heading)
 
 
-def lines_of(page: str | None) -> list[tuple[str, str]]:
-    """(text, kind) of each block in page order; kind: 'article' within an
-    article or main element, 'link' only links outside of one, 'other'. Lines of
-    elements that hold no article are not returned."""
+def lines_of(page: str | None) -> list[tuple[str, str, int]]:
+    """(text, kind, article) of each block in page order; kind: 'article' within an
+    article or main element, 'link' only links outside of one, 'other'; article: the
+    number of the innermost such element (0: none). Lines of elements that hold no
+    article are not returned."""
     if not page:
         return []
-    out: list[tuple[str, str, int, bool]] = []  # text, kind, the form it goes with (0: none), whether in an article marked as a comment
+    out: list[tuple[str, str, int, bool, int]] = []  # text, kind, the form it goes with (0: none), whether in an article marked as a comment, article
     stack: list[tuple[str, _Place]] = []
     open_: Counter = Counter()  # elements on the stack by name
-    n_forms = 0
+    n_forms = n_articles = 0
     buffer: list[str] = []
     in_link: list[bool] = []
 
@@ -147,7 +152,7 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
         text = " ".join("".join(buffer).split())
         place = stack[-1][1] if stack else _Place()
         if text and not place.dead():
-            out.append((text, "article" if place.article else "link" if all(in_link) else "other", place.form, place.reply))
+            out.append((text, "article" if place.article else "link" if all(in_link) else "other", place.form, place.reply, place.no))
         buffer.clear()
         in_link.clear()
 
@@ -204,7 +209,8 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
         noise, comments = _hints(attributes)
         what = ""
         if name in ("article", "main"):
-            what = "reply" if comments and name == "article" else "article"
+            n_articles += 1
+            what = f"reply{n_articles}" if comments and name == "article" else f"article{n_articles}"
         elif comments and name not in _NEVER_NOISE:
             what = "comments"
         elif name in _NO_ARTICLE:
@@ -222,17 +228,17 @@ def lines_of(page: str | None) -> list[tuple[str, str]]:
             stack.append((name, (stack[-1][1] if stack else _Place()).within(name, what)))
             open_[name] += 1
     flush()
-    if any(kind == "article" and not reply for _, kind, _, reply in out):
+    if any(kind == "article" and not reply for _, kind, _, reply, _ in out):
         out = [x for x in out if not x[3]]
     held = Counter()
-    for t, kind, form, _ in out:
+    for t, kind, form, _, _ in out:
         held[form] += len(t) * (kind != "link")
-    return [(t, kind) for t, kind, form, _ in out if not form or 2 * held[form] > held.total()]
+    return [(t, kind, no) for t, kind, form, _, no in out if not form or 2 * held[form] > held.total()]
 
 
-def line_hashes(lines: list[tuple[str, str]]) -> list[int]:
+def line_hashes(lines: list[tuple[str, str, int]]) -> list[int]:
     import xxhash
-    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in lines]
+    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _, _ in lines]
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -268,7 +274,7 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return shared
 
 
-def main_text(lines: list[tuple[str, str]], siblings: list[list[int]] = ()) -> str:
+def main_text(lines: list[tuple[str, str, int]], siblings: list[list[int]] = ()) -> str:
     """The text of a page's lines; ``siblings``: line hashes of its nearest pages, nearest first."""
     own = line_hashes(lines)
     template: set[int] = set()
@@ -277,9 +283,11 @@ def main_text(lines: list[tuple[str, str]], siblings: list[list[int]] = ()) -> s
         if len(shared) < len(own):
             template = shared
             break
-    if any(kind == "article" for _, kind in lines):
-        return " ".join(t for t, kind in lines if kind == "article")
-    return " ".join(t for i, (t, kind) in enumerate(lines) if kind == "other" and i not in template)
+    if any(kind == "article" for _, kind, _ in lines):
+        # an article that its sibling shows too, line by line, is template (a teaser, a notice) if another is the page's own
+        mine = {no for i, (_, kind, no) in enumerate(lines) if kind == "article" and i not in template}
+        return " ".join(t for t, kind, no in lines if kind == "article" and (no in mine or not mine))
+    return " ".join(t for i, (t, kind, _) in enumerate(lines) if kind == "other" and i not in template)
 
 
 def _shared_prefix(a: str, b: str) -> int:

@@ -339,6 +339,18 @@ def test_counts_do_not_depend_on_segments(spark, monkeypatch):
         assert g.sort_values(["part", "chunk"])["pos"].tolist() == list(range(len(g))) and (g["n"] == len(g)).all()
 
 
+def test_an_article_that_siblings_show_too_is_template(spark):
+    teaser = "<article><h2>Read this too</h2><p>It is on every page</p></article>"
+    page = "<body><article><h1>Head %d</h1><p>Body of %d</p><p>A quoted line</p></article>" + teaser + "</body>"
+    rows = [(i, f"https://t.example/a/{i:03d}", page % (i, i)) for i in range(12)] + [(50, "https://alone.example/", page % (50, 50))]
+    rows += [(60 + i, f"https://c.example/{i}", teaser) for i in range(3)]
+    text = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(12):
+        assert text[i] == f"Head {i} Body of {i} A quoted line"
+    assert text[50] == "Head 50 Body of 50 A quoted line Read this too It is on every page"  # nothing to tell by
+    assert text[60] == text[61] == text[62] == "Read this too It is on every page"
+
+
 @pytest.mark.parametrize("page", ["<div>x" * 10_000, "<div><b>" * 10_000 + "</i>y</p>" * 10_000, "<article>" + "<ul><li>x" * 5_000, "<p>a<span>" * 10_000])
 def test_deep_pages_take_time_in_proportion(page):
     import time
