@@ -87,6 +87,9 @@ class Encoder:
     def piece(self, piece: bytes) -> bytes:
         """:meth:`plain` of a piece: most are one word, which needs no splitting."""
         text = piece.decode()
+        if self.lower:  # a word and the white space after it
+            word = text.rstrip()
+            return self.merge(word) if _WORD.fullmatch(word) else self.plain(text)
         word = text[1:] if text[0] == " " else text
         if word.isalpha() and _WORD.fullmatch(word):
             return self.merged(_SPACE + word if word is not text else word) if word.isascii() else self.merge(text)
@@ -109,23 +112,31 @@ class Encoder:
         return self.first["\n"].join(lines)
 
     def _in_pieces(self, text: str) -> bool:
-        """Whether the text is one of words with a space before and lone line ends."""
-        return self.split is not None and not self.lower and "<|" not in text and not any(x in text for x in _APART) and _PLAIN.fullmatch(text) is not None
+        """Whether the text is one of words with a space before and lone line ends; where
+        white space is dropped, it may be any."""
+        if self.split is None or "<|" in text or not self.lower and any(x in text for x in _APART):
+            return False
+        return _PLAIN.fullmatch(text) is not None
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """:meth:`encode` of each text. Texts of plain words are cut together, as bytes:
-        a piece begins at a space, at a line end and after it. Different pieces are
-        encoded once, and the ids of all are gathered by their pieces' numbers."""
+        a piece begins at a space, at a line end and after it, or where white space is
+        dropped after any. Different pieces are encoded once, and the ids of all are gathered by their pieces' numbers."""
         out: list = [None] * len(texts)
         cut = [i for i, t in enumerate(texts) if t and self._in_pieces(t)]
         for i in set(range(len(texts))).difference(cut):
             out[i] = self.encode(texts[i])
         for lo, hi in text_slabs([texts[i] for i in cut], SLAB_CHARS):
-            parts = [texts[i].encode() for i in cut[lo:hi]]
+            parts = [(texts[i].lower() if self.lower else texts[i]).encode() for i in cut[lo:hi]]
             data = b"".join(parts)
             raw = np.frombuffer(data, np.uint8)
-            begins = (raw == 32) | (raw == 10)
-            begins[1:] |= raw[:-1] == 10
+            if self.lower:
+                space = (raw == 32) | (raw == 10) | (raw == 13) | (raw == 9)
+                begins = ~space
+                begins[1:] &= space[:-1]
+            else:
+                begins = (raw == 32) | (raw == 10)
+                begins[1:] |= raw[:-1] == 10
             at = np.cumsum([0] + [len(p) for p in parts])
             begins[at[:-1]] = True
             offsets = np.append(np.flatnonzero(begins), len(raw))

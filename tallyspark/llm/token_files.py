@@ -208,12 +208,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, per
             out.append((context.partitionId(), len(out), f"{folder}/{writer.path.rsplit('/', 1)[-1]}", n_docs, n_ids))
 
         for batch in batches:
-            for doc_id, null, text in zip(batch["doc_id"], batch["no_id"], batch["text"]):
+            for doc_id, null, ids in zip(batch["doc_id"], batch["no_id"], enc.encode_many(batch["text"].tolist())):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{len(out):04d}.pfr"
                     writer = _FileWriter(fs, f"{base}/{name}", percentile)
-                writer.add(None if null else doc_id, np.frombuffer(enc.encode(text) + end, "<u4"))
+                writer.add(None if null else doc_id, np.frombuffer(ids + end, "<u4"))
                 if writer.n_ids >= file_ids:
                     finish()
                     writer = None

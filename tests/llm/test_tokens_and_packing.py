@@ -45,6 +45,14 @@ def test_many_texts_at_once_equal_each_alone(monkeypatch):
     assert all(e.encode(t) == e.whole(t) for t in texts if t)
 
 
+def test_words_of_a_vocabulary_without_white_space_are_cut_together():
+    from tallyspark.llm._tokens import Encoder
+    e = Encoder(WORD)
+    texts = ["One two\tTHREE\r\n\nfour  it's 3.14 ", " ", "\n\t", "ÀB c–d e\n", "word", None, "", "tail  word"] * 3
+    assert e.encode_many(texts) == [e.whole(t) if t else b"" for t in texts]
+    assert e.pieces and not e.first  # different pieces are kept once, no text is taken word by word
+
+
 @pytest.mark.parametrize("ids", [[], [5], [0, 2**32 - 1], list(range(3000)), [7] * 1024, [1, 2, 3] * 700 + [4_000_000_000] * 5])
 def test_blocks_round_trip(ids):
     a = np.asarray(ids, dtype="<u4")
