@@ -30,10 +30,18 @@ _PATTERNS = {
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_FORM = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 CACHE_CHUNKS, CACHE_PIECES = 400_000, 400_000
+CACHE_WORDS = 200_000  # pieces of the byte vocabulary are its words: fewer differ
 SLAB_CHARS = 4_000_000
 _APART = ("\t", "\r", "  ", "\n\n", " \n", "\n ")  # white space that isn't one space or line end alone
 _WORD = re.compile(f"[{_LETTERS}]+")
 _SPACE = chr(_BYTE_FORM[32])
+# Class of each byte in the byte vocabulary's pattern: 1 letters, 2 digits, 3 marks; 0 what
+# may end no word here: white space, the apostrophe and bytes of longer characters.
+_BYTE_CLASS = np.zeros(256, np.uint8)
+_BYTE_CLASS[0x21:0x7F] = 3
+_BYTE_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_BYTE_CLASS[0x30:0x3A] = 2
+_BYTE_CLASS[0x27] = 0
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -67,7 +75,7 @@ class Encoder:
         self.lower = bool(pattern and pattern[1])
         self.words = _Chunks(self.merge)
         self.first, self.spaced = _Chunks(self.plain), _Chunks(self.plain, " ")
-        self.pieces = _Chunks(self.piece, b"", CACHE_PIECES)
+        self.pieces = _Chunks(self.piece, b"", CACHE_PIECES if self.lower else CACHE_WORDS)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -120,13 +128,14 @@ class Encoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """:meth:`encode` of each text. Texts of plain words are cut together, as bytes:
-        a piece begins at a space, at a line end and after it, or where white space is
-        dropped after any. Different pieces are encoded once, and the ids of all are gathered by their pieces' numbers."""
+        a piece begins at a space, at a line end and after it and where letters, digits and
+        marks meet, or where white space is dropped after any. Different pieces are encoded once, and the ids of all are gathered by their pieces' numbers."""
         out: list = [None] * len(texts)
         cut = [i for i, t in enumerate(texts) if t and self._in_pieces(t)]
         for i in set(range(len(texts))).difference(cut):
             out[i] = self.encode(texts[i])
-        for lo, hi in text_slabs([texts[i] for i in cut], SLAB_CHARS):
+        slab = SLAB_CHARS if self.lower else SLAB_CHARS // 4  # beside the ids of a whole group to be packed
+        for lo, hi in text_slabs([texts[i] for i in cut], slab):
             parts = [(texts[i].lower() if self.lower else texts[i]).encode() for i in cut[lo:hi]]
             data = b"".join(parts)
             raw = np.frombuffer(data, np.uint8)
@@ -137,6 +146,8 @@ class Encoder:
             else:
                 begins = (raw == 32) | (raw == 10)
                 begins[1:] |= raw[:-1] == 10
+                kind = _BYTE_CLASS[raw]  # a word of the pattern ends where the class changes
+                begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != 0) & (kind[:-1] != 0)
             at = np.cumsum([0] + [len(p) for p in parts])
             begins[at[:-1]] = True
             offsets = np.append(np.flatnonzero(begins), len(raw))

@@ -53,6 +53,21 @@ def test_words_of_a_vocabulary_without_white_space_are_cut_together():
     assert e.pieces and not e.first  # different pieces are kept once, no text is taken word by word
 
 
+def test_pieces_of_the_byte_vocabulary_end_where_its_words_do():
+    """Words beside many marks and numbers are kept once each, not once for each combination."""
+    import random
+
+    from tallyspark.llm._tokens import Encoder
+    e, rng = Encoder(BYTE), random.Random(4)
+    words = ["alpha", "Beta", "gamma's", "x", "né", "it", "'s", "'sam", "we're", "d'"]
+    marks = ["", ",", ".", "!?", "--", "(", ")", "1", "23", "'", ",'", "',", "é", "–", "÷", "×", "’"]
+    texts = ["".join(rng.choice([" ", "\n", ""]) + rng.choice(marks) + rng.choice(words) + rng.choice(marks) for _ in range(30)) for _ in range(400)]
+    assert e.encode_many(texts) == [e.whole(t) if t else b"" for t in texts]
+    e = Encoder(BYTE)
+    e.encode_many([f" alpha{i}, beta.{i}! ({i})" for i in range(300)])
+    assert len(e.pieces) < 300 + 20
+
+
 @pytest.mark.parametrize("ids", [[], [5], [0, 2**32 - 1], list(range(3000)), [7] * 1024, [1, 2, 3] * 700 + [4_000_000_000] * 5])
 def test_blocks_round_trip(ids):
     a = np.asarray(ids, dtype="<u4")
