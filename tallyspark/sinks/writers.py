@@ -122,27 +122,113 @@ def write_per_company(df: DataFrame, path: str, by: str = "company", fmt: str =
      .partitionBy(f"{by}_part").save(path))
 
 
+MAX_RECORDS_PER_FILE = 5_000_000
+_NO_PART = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = {c: f"%{c:02X}" for c in (*range(1, 32), *map(ord, "\"#%'*/:=?\\{[]^"), 127)}  # as Spark names the folders of its own partitions
+
+
 def write_parts(df: DataFrame, path: str, by: str = "company", expected: DataFrame | None = None) -> DataFrame:
     """:func:`write_per_company` with a manifest: (part, n_rows, n_files) of every part
-    that was written, counted from the files themselves (B2-B4). ``expected`` names
-    parts (column ``by``) that must be listed though they have no rows (B3). The
-    manifest is written to ``<path>_manifest`` once the parts are whole."""
+    that was written (B2-B4). ``expected`` names parts (column ``by``) that must be
+    listed though they have no rows (B3). The manifest is written to
+    ``<path>_manifest`` once the parts are whole. On a local or mounted file system the
+    tasks write the files (:func:`_write_files`) and count their rows meanwhile."""
+    from tallyspark.sources.xlsx import _local
     spark = df.sparkSession
-    write_per_company(df, path, by)
-    found = _parts(spark, path, by, df.schema).groupBy(F.col(f"{by}_part").alias("part")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_metadata.file_path").alias("n_files"))
+    if _local(path) is None:
+        write_per_company(df, path, by)
+        found = _parts(spark, path, by, df.schema).groupBy(F.col(f"{by}_part").alias("part")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_metadata.file_path").alias("n_files"))
+        return _write_manifest(found, path, by, expected)
+    path = path.rstrip("/")
+    new, listed = (f"{path}__{what}_{uuid.uuid4().hex[:12]}" for what in ("new", "files"))
+    fs, hadoop = _file_system(spark, path)
+    try:
+        _write_files(df, new, by).write.parquet(listed)
+        fs.mkdirs(hadoop(new))
+        if fs.exists(hadoop(path)):
+            fs.delete(hadoop(path), True)
+        if not fs.rename(hadoop(new), hadoop(path)):
+            raise OSError(f"{path} could not be written")
+        files = spark.read.schema("part string, n_rows long").parquet(listed)
+        found = files.groupBy("part").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_files"))
+        return _write_manifest(found, path, by, expected)
+    finally:
+        fs.delete(hadoop(new), True)
+        fs.delete(hadoop(listed), True)
+
+
+def _write_manifest(found: DataFrame, path: str, by: str, expected: DataFrame | None) -> DataFrame:
     if expected is not None:
         names = expected.select(F.col(by).alias("part")).where("part is not null").distinct()
         found = found.join(names, "part", "full_outer").select(
             "part", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
     found.write.mode("overwrite").parquet(path.rstrip("/") + "_manifest")
-    return read_manifest(spark, path)
+    return read_manifest(found.sparkSession, path)
+
+
+def _write_files(df: DataFrame, folder: str, by: str) -> DataFrame:
+    """Writes ``df`` as ``<folder>/<by>_part=<name>/part-<task>-<number>.parquet`` and gives
+    (part, n_rows) of each file. A large company is split over tasks as in
+    :func:`write_per_company`; a task holds one Arrow batch and one open file. A file
+    appears whole, and under the same name if a lost task runs again."""
+    most = MAX_RECORDS_PER_FILE
+
+    def run(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        from tallyspark.sinks.workbooks import _drafted
+        task = TaskContext.get().partitionId()
+
+        def slices():
+            for batch in batches:
+                names, rows, lo = batch.column("_part").to_pylist(), batch.drop_columns(["_part"]), 0
+                for name, same in groupby(names):
+                    n = sum(1 for _ in same)
+                    for at in range(lo, lo + n, most):
+                        yield name, rows.slice(at, min(most, lo + n - at))
+                    lo += n
+
+        number, size = 0, 0
+
+        def file_of(piece):  # a company's rows, and within them those of one file
+            nonlocal number, size, last
+            name, rows = piece
+            if name != last or size + len(rows) > most:
+                number, size, last = number + 1, 0, name
+            size += len(rows)
+            return number
+
+        last = object()
+        for no, pieces in groupby(slices(), key=file_of):
+            name, rows = next(pieces)
+            where = f"{folder}/{by}_part={name.translate(_ESCAPED) if name else _NO_PART}"
+            with _drafted(where, f"part-{task:05d}-{no}.parquet") as (fh, _), pq.ParquetWriter(fh, rows.schema) as out:
+                out.write_batch(rows)
+                n = len(rows)
+                for _, rows in pieces:
+                    out.write_batch(rows)
+                    n += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([None if name in ("", _NO_PART) else name], pa.string()), pa.array([n], pa.int64())], ["part", "n_rows"])
+
+    rows = df.withColumn("_part", F.col(by).cast("string")).hint("rebalance", by).sortWithinPartitions("_part")
+    return rows.mapInArrow(run, "part string, n_rows long")
 
 
 def _parts(spark: SparkSession, path: str, by: str, schema) -> DataFrame:
     """All parts; part names stay text (``007``, ``8``)."""
     from pyspark.sql.types import StringType, StructType
-    return spark.read.schema(StructType(schema.fields).add(f"{by}_part", StringType())).parquet(path)
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"  # else a task for each folder that is listed
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.schema(StructType(schema.fields).add(f"{by}_part", StringType())).parquet(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import contextlib
 import io
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import Observation
@@ -193,6 +194,36 @@ def test_parts_and_their_manifest(spark, scratch):
     assert W.read_parts(spark, f"{scratch}/parts", df.schema, parts=["empty"]).count() == 0
 
 
+def test_parts_take_no_task_for_each_folder(spark, scratch):
+    df = spark.range(3000).select(F.concat(F.lit("C"), F.col("id") % 300).alias("company"), "id")
+    sc = spark.sparkContext
+    sc.setJobGroup(scratch, "parts")
+    try:
+        manifest = W.write_parts(df, f"{scratch}/parts")
+        back = W.read_parts(spark, f"{scratch}/parts", df.schema)
+    finally:
+        sc.setJobGroup("", "")
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(scratch)]
+    assert sum(sc.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds) < 300
+    assert {(r.n_rows, r.n_files) for r in manifest.collect()} == {(10, 1)} and manifest.count() == 300
+    assert rows_of(back, "id") == [(i,) for i in range(3000)]
+
+
+def test_parts_of_any_name_and_size(spark, scratch, monkeypatch):
+    monkeypatch.setattr(W, "MAX_RECORDS_PER_FILE", 7)
+    names = ["a/b", "x=1", "50% #?", "甲:乙", "", None, "__HIVE_DEFAULT_PARTITION__", "007", "{[^]}'\"\\*"]
+    rows = [(n, i) for i in range(60) for n in names]
+    df = spark.createDataFrame(rows, "company string, v int")
+    for _ in range(2):  # the second write replaces the first
+        manifest = W.write_parts(df, f"{scratch}/parts")
+    read = W.read_parts(spark, f"{scratch}/parts", df.schema)
+    assert Counter(map(tuple, read.select("company", "v").collect())) == Counter(rows)
+    assert {r.part: r.n_rows for r in manifest.groupBy("part").agg(F.sum("n_rows").alias("n_rows")).collect()} == {
+        n: 180 if n is None else 60 for n in names if n and n != "__HIVE_DEFAULT_PARTITION__"} | {None: 180}
+    assert all(r.n_files >= 9 for r in manifest.collect())
+    assert W.read_parts(spark, f"{scratch}/parts", df.schema, parts=["a/b"]).count() == 60
+
+
 def test_log_of_the_last_run_of_each_company(spark, scratch):
     log = lambda rows: spark.createDataFrame(rows, "company string, acct_code string")
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "company string")
