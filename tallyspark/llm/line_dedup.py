@@ -44,11 +44,13 @@ from ._shared import Workspace, staged, with_conf
 
 NUM, DEN = 4, 5
 BUCKETS = 1 << 18
+KEY_BITS = 31
 HOT_SHARE = 1000
 SLICES, MOST_SENT = 4, 1_000_000
 _NO_ID = -(1 << 63)
 _KEY = ["did", "h"]
 # White space but the space and the line end; each becomes a space.
+_ASCII_SPACES, _OTHER_SPACES = "\t\x0b\x0c\r", "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACES = r"[\x{09}\x{0B}-\x{0D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _SET = "sort_array(array_distinct(array_remove(transform(split(line, ' '), w -> xxhash64(w)), xxhash64(''))))"
 _CONF = {"spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",  # tables of equal buckets are written from each other as they are
@@ -63,12 +65,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _spaced(text: Column) -> Column:
-    """``text`` with a space for each other white space; few texts have any, and one of
-    ASCII alone is known by four searches."""
+    """``text`` with a space for each other white space; few texts have any, which byte
+    searches tell much sooner than a regular expression: four of them, if all is ASCII."""
+    has = lambda spaces: reduce(Column.__or__, [text.contains(c) for c in spaces])
     ascii_ = F.octet_length(text) == F.char_length(text)
-    few = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
-    has = F.when(ascii_, few).otherwise(text.rlike(_SPACES))
-    return F.when(has, F.regexp_replace(text, _SPACES, " ")).otherwise(text)
+    return F.when(has(_ASCII_SPACES) | (~ascii_ & has(_OTHER_SPACES)), F.regexp_replace(text, _SPACES, " ")).otherwise(text)
 
 
 def _numbered(work: Workspace, keys: DataFrame) -> DataFrame:
@@ -137,15 +138,15 @@ def _filters(a: str, b: str) -> str:
             f"and {_differ(a, b)} <= {a}.n + {b}.n - 2 * {_alpha(a, b)}")
 
 
-def _rarity(sets: DataFrame) -> Column:
-    """One byte a hash bucket, the logarithm of its word count, as a binary
-    literal: a task gets it as it is, where an array would be taken apart."""
-    counts = sets.select(F.explode("t").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).cast("int").alias("b")).count()
+def _rarity(work: Workspace, sets: DataFrame) -> Column:
+    """The logarithm of each hash bucket's word count, an array as a literal."""
+    counts = sets.select(F.explode("t").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     scale = F.least(F.lit(94), F.floor(3 * F.log2(F.col("count") + 1))).cast("int")
-    got = bytearray(b" " * BUCKETS)
-    for r in counts.select("b", scale.alias("c")).collect():  # at most BUCKETS rows, whatever the input
-        got[r["b"]] = 32 + r["c"]
-    return F.lit(got)
+    got = [0] * BUCKETS
+    for r in work.staged(counts.select("b", scale.alias("c")), "counts").collect():  # at most BUCKETS rows, whatever the input
+        got[r["b"]] = r["c"]
+    work.drop("counts")
+    return F.split(F.lit(",".join(map(str, got))), ",").cast("array<tinyint>")
 
 
 class _Lines:
@@ -156,16 +157,18 @@ class _Lines:
         self.n, texts = n, _keyed(docs).select(*_KEY, "text")
         self.order = work.staged(_numbered(work, texts.select(*_KEY)), "order")
         work.drop("keys")
-        line = _spaced(F.lower("text"))
-        lines = texts.where("text is not null").repartition(n, *_KEY).join(self.order, _KEY)
-        lines = lines.select(*_KEY, "dn", F.posexplode(F.split(line, "\n")).alias("no", "line"))
-        sets = lines.withColumn("t", F.expr(_SET)).where("size(t) > 0").drop("line")
+        # lowered and spaced as columns of their own before the shuffle: a generator would do it anew wherever it is named
+        texts = texts.where("text is not null").withColumn("low", F.lower("text")).select(*_KEY, _spaced(F.col("low")).alias("low"))
+        lines = texts.repartition(n, *_KEY).join(self.order, _KEY)
+        lines = lines.select(*_KEY, "dn", F.posexplode(F.split("low", "\n")).alias("no", "line"))
+        # not "size(t) > 0", which the optimizer moves below the set and so computes it twice
+        sets = lines.where("trim(line) <> ''").withColumn("t", F.expr(_SET)).drop("line")
         sets = sets.withColumn("n", F.size("t")).withColumn("k", F.xxhash64("t")).withColumn("k2", F.hash("t"))
         sets = _signed(sets)
         # a column chunk holds each word hash once, and small numbers for where it stands
         self.sets = work.bucketed(sets, "sets", n, _KEY, {"parquet.dictionary.page.size": str(16 << 20)})
-        most = self.sets.agg(F.max("no").alias("no"), F.max("dn").alias("dn")).first()
-        self.shift = (most["no"] or 0).bit_length()
+        most = self.sets.agg(F.max("no").alias("no"), F.max("dn").alias("dn"), F.max("n").alias("n")).first()
+        self.shift, self.n_bits = (most["no"] or 0).bit_length(), (most["n"] or 0).bit_length()
         if (most["dn"] or 0).bit_length() + self.shift > 63:
             raise ValueError("the numbers of documents and lines don't fit 63 bits")
         self.sets = self.sets.withColumn("ln", F.shiftleft("dn", self.shift).bitwiseOR(F.col("no").cast("long")))
@@ -197,14 +200,22 @@ class _Lines:
         return _grouped(sets, groups, "set").where("ln <> first").select(*_KEY, "no")
 
     def postings(self, again: DataFrame) -> DataFrame:
-        """(w, ln, n, s0 .. s3, pos) of the prefix of each line that repeats no other, bucketed by w."""
-        rarity = _rarity(self.sets)
-        common = lambda w: F.ascii(F.substring(rarity, (F.pmod(w, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string"))
+        """(w, ln, n, s0 .. s3, pos) of the prefix of each line that repeats no other, bucketed
+        by w, which is KEY_BITS of the word's hash: words that share them cost comparisons
+        that the filters or the sets end. Shuffled and written as narrow as it goes: n and pos
+        in one number, and what is mostly 0 side by side, so that it compresses."""
+        rarity = _rarity(self.work, self.sets)
+        common = lambda w: F.get(rarity, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         word = lambda w: F.shiftleft(common(w).cast("long"), 55).bitwiseOR(w.bitwiseAND(F.lit((1 << 55) - 1)))
         sets = self.sets.join(again, _KEY, "left").where(~_has("again")).select("ln", *_SIGNED, F.sort_array(F.transform("t", word)).alias("t"))
         prefix = F.slice("t", F.lit(1), F.expr(f"n - (({NUM} * n + {DEN - 1}) div {DEN}) + 1").cast("int"))
-        posts = sets.select("ln", *_SIGNED, F.posexplode(prefix).alias("pos", "w")).repartition(self.n, "w")
-        return self.work.bucketed(posts, "posts", self.n, ["w"])
+        posts = sets.select("ln", *_SIGNED, F.posexplode(prefix).alias("pos", "w"))
+        key = F.col("w").bitwiseAND(F.lit((1 << KEY_BITS) - 1)).cast("int").alias("w")
+        place = F.shiftleft(F.col("n").cast("long"), self.n_bits).bitwiseOR(F.col("pos").cast("long")).alias("place")
+        posts = posts.select(key, "ln", "s0", place, "s1", "s2", "s3").repartition(self.n, "w")
+        posts = self.work.bucketed(posts, "posts", self.n, ["w"])
+        pos = F.col("place").bitwiseAND(F.lit((1 << self.n_bits) - 1)).cast("int").alias("pos")
+        return posts.select("w", "ln", F.shiftright("place", self.n_bits).cast("int").alias("n"), *_SIGNED[1:], pos)
 
     def first_pairs(self, posts: DataFrame) -> DataFrame:
         """Pairs (ln, e): of the first lines of a line's words the likeliest one."""

@@ -254,6 +254,32 @@ def test_a_run_leaves_no_table(spark, docs):
     assert not [f for f in os.listdir(root) if f.startswith("line-dedup")]
 
 
+def test_line_sets_are_computed_once_and_postings_narrow(spark, docs, monkeypatch):
+    """The plan lowers a text once, not in the generator, and makes each set once; a posting is a 4-byte key and its
+    place one number."""
+    plans, fields, bucketed = {}, {}, line_dedup.Workspace.bucketed
+
+    def seen(self, df, name, *more):
+        plans[name], fields[name] = df._jdf.queryExecution().optimizedPlan().toString(), dict(df.dtypes)
+        return bucketed(self, df, name, *more)
+
+    monkeypatch.setattr(line_dedup.Workspace, "bucketed", seen)
+    line_dedup.dedup_lines(docs.limit(20))
+    generators = [x for x in plans["sets"].splitlines() if "Generate" in x]
+    assert generators and not [x for x in generators if "lower(" in x]
+    assert plans["sets"].count("array_distinct(") == 1
+    assert fields["posts"] == {"w": "int", "ln": "bigint", "place": "bigint", "s0": "bigint", "s1": "bigint", "s2": "bigint", "s3": "bigint"}
+
+
+def test_words_that_share_a_posting_key(spark, docs, corpus, monkeypatch):
+    """With a key of three bits nearly every word shares it with others, also in one line: no pair more or less."""
+    monkeypatch.setattr(line_dedup, "KEY_BITS", 3)
+    out = line_dedup.dedup_lines(docs).select("doc.doc_id", "doc.node", "text", "n_lines", "n_removed").collect()
+    want = brute_lines(corpus)
+    expected = [(d, *want[(d, t)]) for d, t in corpus]
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out), key=str) == sorted(expected, key=str)
+
+
 def test_line_stage_keeps_columns_and_counts(spark, docs):
     kept = line_dedup.without_repeated_lines(spark, docs, "")
     assert kept.columns == docs.columns
