@@ -68,13 +68,14 @@ class Workspace:
             df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def bucketed(self, df: DataFrame, name: str, n: int, keys: list[str], options: dict[str, str] | None = None) -> DataFrame:
-        """``df``, dealt by ``keys`` over n partitions, as a table of n buckets."""
+    def bucketed(self, df: DataFrame, name: str, n: int, keys: list[str], options: dict[str, str] | None = None,
+                 order: list[str] | None = None) -> DataFrame:
+        """``df``, dealt by ``keys`` over n partitions, as a table of n buckets, each sorted by ``order``."""
         table = f"{name}_{uuid.uuid4().hex[:12]}"
         self.tables[name] = table
+        out = df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": "1", **(options or {})}).bucketBy(n, *keys)
         with shuffles_dropped(self.spark):
-            (df.write.options(**{"compression": "zstd", **(options or {})}).bucketBy(n, *keys).format("parquet")
-             .option("path", f"{self.root}/{name}").saveAsTable(table))
+            (out.sortBy(*order) if order else out).format("parquet").option("path", f"{self.root}/{name}").saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:

@@ -271,6 +271,40 @@ def test_line_sets_are_computed_once_and_postings_narrow(spark, docs, monkeypatc
     assert fields["posts"] == {"w": "int", "ln": "bigint", "place": "bigint", "s0": "bigint", "s1": "bigint", "s2": "bigint", "s3": "bigint"}
 
 
+def test_postings_are_sorted_once_and_met(spark, docs, monkeypatch):
+    """Buckets of postings are written in the order of word and line and read in it: neither pass over them sorts, nor do
+    the joins of texts or sets with the bits of their documents. A word of one prefix alone is not written."""
+    plans, alone, staged, bucketed = {}, [], line_dedup.Workspace.staged, line_dedup.Workspace.bucketed
+
+    def step(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(self, df, name)
+
+    def table(self, df, name, *more):
+        plans[name], out = df._jdf.queryExecution().executedPlan().toString(), bucketed(self, df, name, *more)
+        if name == "posts":
+            alone.append((out.count(), out.groupBy("w").count().where("count = 1").count()))
+        return out
+
+    monkeypatch.setattr(line_dedup.Workspace, "staged", step)
+    monkeypatch.setattr(line_dedup.Workspace, "bucketed", table)
+    line_dedup.dedup_lines(docs)
+    far = [k for k in plans if k.startswith("far-") and k[4:].isdigit()]
+    assert far and not [k for k in ("near", "sets", *far) if "Sort " in plans[k]]
+    assert plans["posts"].count("Sort ") == 1
+    (posts, single), = alone
+    assert posts > 0 and single == 0
+
+
+def test_spaces_of_every_length_in_bytes(spark):
+    rows, spaces = [(0, "a b c d é")], "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    rows += [(k, f"D{c}c b a É") for k, c in enumerate(spaces, 1)] + [(50 + k, f"d{c}c b a é") for k, c in enumerate("\u200b\u2019\u00a1\u1681\u3001")]
+    want = brute_lines(rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", "n_removed").collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {d: want[(d, t)][2] for d, t in rows}
+    assert sum(r["n_removed"] for r in got) == len(spaces)
+
+
 def test_words_that_share_a_posting_key(spark, docs, corpus, monkeypatch):
     """With a key of three bits nearly every word shares it with others, also in one line: no pair more or less."""
     monkeypatch.setattr(line_dedup, "KEY_BITS", 3)
