@@ -373,31 +373,52 @@ CP_LAYOUTS = {
 CP_SKIP = {"CF2": 3, "应付账款": 4, "预付账款": 4, "其他非流动资产": 4, "应收账款": 3, "预收账款": 3}
 
 
+_CP_BANNER = {0: "K0", 1: "banner", 5: "CNY", 6: "100.00", 7: "100.00", 11: "banner", 12: "其他", 13: "1", 16: "5",
+              30: "banner", 31: "其他", 32: "1", 35: "5"}
+
+
+def _cp_cells(sheet: str):
+    width, place = CP_LAYOUTS[sheet]
+    return _placed_array(width, {i: F.col(c) for i, c in place.items()} | ({width - 1: F.lit("x")} if width != 46 else {}))
+
+
+def _cp_banner(sheet: str):
+    width = CP_LAYOUTS[sheet][0]
+    return _placed_array(width, {i: F.lit(v) for i, v in _CP_BANNER.items() if i < width})
+
+
 def counterparty_rows(spark: SparkSession, d: str) -> DataFrame:
     """Six counterparty sheets per paper (one paper per nation), with banner
     rows on top that would pass every filter if they were not skipped."""
     base = _cp_base(spark, d)
     parts = []
-    for sheet, (width, place) in CP_LAYOUTS.items():
-        arr = _placed_array(width, {i: F.col(c) for i, c in place.items()} | {width - 1: F.lit("x")}
-                            if width != 46 else {i: F.col(c) for i, c in place.items()})
-        parts.append(base.select("file_name", F.lit(sheet).alias("sheet"), "row_no", arr.alias("cells")))
-        banner_cells = _placed_array(width, {i: F.lit(v) for i, v in
-                                             {0: "K0", 1: "banner", 5: "CNY", 6: "100.00", 7: "100.00",
-                                              11: "banner", 12: "其他", 13: "1", 16: "5",
-                                              30: "banner", 31: "其他", 32: "1", 35: "5"}.items()
-                                             if i < width})
+    for sheet in CP_LAYOUTS:
+        parts.append(base.select("file_name", F.lit(sheet).alias("sheet"), "row_no", _cp_cells(sheet).alias("cells")))
         files = base.select("file_name").distinct()
         parts.append(files.select("file_name", F.lit(sheet).alias("sheet"),
                                   F.explode(F.array(*[F.lit(i) for i in range(1, CP_SKIP[sheet] + 1)]))
                                   .alias("row_no"),
-                                  banner_cells.alias("cells")))
+                                  _cp_banner(sheet).alias("cells")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def counterparty_papers(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of :func:`counterparty_rows` where all six sheets are wanted: orders and
+    customers are joined once for them, not once a sheet."""
+    base = _cp_base(spark, d)
+
+    def all_sheets(df, rows):
+        return df.select("file_name", F.inline(F.array(*[F.struct(F.lit(sheet).alias("sheet"), row_no.alias("row_no"), cells.alias("cells"))
+                                                         for sheet, row_no, cells in rows])))
+
+    banner = [(sheet, F.lit(i), _cp_banner(sheet)) for sheet in CP_LAYOUTS for i in range(1, CP_SKIP[sheet] + 1)]
+    return all_sheets(base, [(sheet, F.col("row_no"), _cp_cells(sheet)) for sheet in CP_LAYOUTS]).unionByName(
+        all_sheets(base.select("file_name").distinct(), banner))
+
+
 # ---------------------------------------------------------------------------
 # Financial statements per supplier (one statement file per supplier), amounts
 # from the supplier's lineitem totals; line wording is a fixed template.

@@ -31,28 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition,
                                     LessThan, LessThanOrEqual)
 
+from tallyspark.sources.sheet_xml import sheet_rows_of
+
 SCAN_SCHEMA = ("path string, file_name string, sheet string, sheet_idx int, row_no int, cells array<string>, "
                "error string")
 
 _NS_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _tag(name: str) -> str:
-    return name.rsplit("}", 1)[-1]
-
-
-def _col_index(ref: str) -> int:
-    n = 0
-    for ch in ref:
-        if ch.isalpha():
-            n = n * 26 + (ord(ch.upper()) - 64)
-        else:
-            break
-    return n - 1
-
-
-def _row_of(ref: str) -> int:
-    return int("".join(ch for ch in ref if ch.isdigit()))
+NS_LONG = "urn:tallyspark:long-sheets"  # of the marks of a sheet that goes on in further ones
+_CONTINUES, _ROWS_BEFORE = f"{{{NS_LONG}}}continues", f"{{{NS_LONG}}}rowsBefore"
 
 
 def _shared_strings(z: zipfile.ZipFile) -> list[str]:
@@ -67,8 +53,10 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
     return out
 
 
-def _sheet_targets(z: zipfile.ZipFile) -> dict[str, str]:
-    """Sheet name -> part path, resolved through workbook.xml and its rels."""
+def _sheet_targets(z: zipfile.ZipFile) -> dict[str, list[tuple[str, int]]]:
+    """Sheet name -> its parts' paths, resolved through workbook.xml and its rels, each
+    with what is added to its row numbers: a sheet that goes on in further ones (see
+    ``sinks.workbooks``) has several."""
     wb = ET.fromstring(z.read("xl/workbook.xml"))
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
     by_id = {}
@@ -76,61 +64,45 @@ def _sheet_targets(z: zipfile.ZipFile) -> dict[str, str]:
         tgt = r.get("Target", "")
         tgt = tgt.lstrip("/") if tgt.startswith("/") else posixpath.normpath(posixpath.join("xl", tgt))
         by_id[r.get("Id")] = tgt
-    out = {}
+    out, further = {}, []
     for s in wb.iterfind(".//{*}sheets/{*}sheet"):
         rid = s.get(_NS_REL)
         if rid in by_id:
-            out[s.get("name")] = by_id[rid]
+            if s.get(_CONTINUES) is None:
+                out[s.get("name")] = [(by_id[rid], int(s.get(_ROWS_BEFORE, 0)))]
+            else:
+                further.append((s.get(_CONTINUES), by_id[rid], int(s.get(_ROWS_BEFORE, 0))))
+    for name, part, before in further:
+        out[name].append((part, before))
     return out
 
 
-def _cell_value(c, shared: list[str]):
-    t = c.get("t", "n")
-    if t == "inlineStr":
-        is_ = c.find("{*}is")
-        return None if is_ is None else "".join(x.text or "" for x in is_.iterfind(".//{*}t"))
-    v = c.find("{*}v")
-    if v is None or v.text is None:
-        return None
-    if t == "s":
-        return shared[int(v.text)]
-    if t == "b":
-        return "TRUE" if v.text == "1" else "FALSE"
-    return v.text  # numbers, formula strings ('str') and error codes ('e') as text
-
-
-def parse_workbook(content, sheets=None, first_row: int = 1, last_row: int | None = None):
-    """Yield ``(sheet, sheet_idx, row_no, cells)`` for the wanted sheets (all
-    if None) and rows of a workbook (its bytes or an open file); ``sheet_idx`` is the sheet's position in the workbook.
+def parse_batches(content, sheets=None, first_row: int = 1, last_row: int | None = None, batch_rows: int | None = None):
+    """Yield ``(sheet, sheet_idx, row_nos, cells)`` for the wanted sheets (all
+    if None) and rows of a workbook (its bytes or an open file), some rows at a time:
+    their numbers (NumPy) and cells (Arrow); ``sheet_idx`` is the sheet's position in the workbook.
     Row and column numbers come from the cell references, not from
     counting, so empty cells and rows are simply absent. A sheet lists its rows
     in ascending order, so parsing ends with the last wanted one."""
     with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         shared = _shared_strings(z)
         targets = _sheet_targets(z)
-        for idx, (name, part) in enumerate(targets.items()):
+        for idx, (name, parts) in enumerate(targets.items()):
             if sheets is not None and name not in sheets:
                 continue
-            with z.open(part) as fh:
-                for _, el in ET.iterparse(fh, events=("end",)):
-                    if _tag(el.tag) != "row":
-                        continue
-                    cells = el.findall("{*}c")
-                    ref = next((c.get("r") for c in cells if c.get("r")), None)
-                    rn = int(el.get("r")) if el.get("r") else _row_of(ref) if ref else None
-                    if rn is not None and last_row is not None and rn > last_row:
-                        break
-                    if rn is not None and rn >= first_row:
-                        vals = {}
-                        for c in cells:
-                            if c.get("r") is None:
-                                continue
-                            v = _cell_value(c, shared)
-                            if v is not None:
-                                vals[_col_index(c.get("r"))] = v
-                        if vals:
-                            yield name, idx, rn, [vals.get(i) for i in range(max(vals) + 1)]
-                    el.clear()
+            for part, before in parts:
+                if before and last_row is not None and last_row <= before:
+                    break
+                last = None if last_row is None else last_row - before
+                for row_nos, cells in sheet_rows_of(lambda: z.open(part), shared, first_row - before, last, batch_rows or OUT_CHUNK_ROWS):  # noqa: B023
+                    yield name, idx, row_nos + before, cells
+
+
+def parse_workbook(content, sheets=None, first_row: int = 1, last_row: int | None = None):
+    """The rows of :func:`parse_batches` one by one, ``(sheet, sheet_idx, row_no, cells)``."""
+    for name, idx, row_nos, cells in parse_batches(content, sheets, first_row, last_row):
+        for rn, row in zip(row_nos.tolist(), cells.to_pylist()):
+            yield name, idx, rn, row
 
 
 def _file_name(path: str, suffixes=(".xlsx", ".xlsm", ".xls")) -> str:
@@ -258,37 +230,38 @@ class WorkbookReader(DataSourceReader):
             return
         schema = pa.schema([("path", pa.string()), ("file_name", pa.string()), ("sheet", pa.string()), ("sheet_idx", pa.int32()),
                             ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
-        name, n_done, rows = _file_name(unit.uri), 0, []
+        kept = pa.schema([schema.field("row_no"), schema.field("cells")])
+        name, sheets_of = _file_name(unit.uri), []  # the sheet of each batch that waits
 
-        def batch():
-            columns = list(zip(*rows)) or [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+        def error(text):
+            return pa.RecordBatch.from_pylist([{"path": unit.uri, "file_name": name, "error": text}], schema=schema)
 
         tells = unit.reports and not self.filtered
         with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as spool:
             try:
-                with pa.ipc.new_stream(spool, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as done, _open(unit.uri) as fh:
+                with pa.ipc.new_stream(spool, kept, options=pa.ipc.IpcWriteOptions(compression="zstd")) as done, _open(unit.uri) as fh:
                     content = io.BufferedReader(fh, READ_BYTES)
                     wanted = None if unit.sheet is None else [unit.sheet]
-                    for sheet, idx, rn, cells in parse_workbook(content, wanted, self.first_row, self.last_row):
-                        rows.append((unit.uri, name, sheet, idx, rn, cells, None))
-                        if len(rows) >= OUT_CHUNK_ROWS:
-                            done.write_batch(batch())
-                            rows.clear()
-                            n_done += 1
-                    if tells and not n_done and not rows:
+                    for sheet, idx, row_nos, cells in parse_batches(content, wanted, self.first_row, self.last_row):
+                        batch = pa.RecordBatch.from_arrays([pa.array(row_nos).cast(pa.int32()), cells], schema=kept)
+                        for i in range(0, len(batch), OUT_CHUNK_ROWS):
+                            done.write_batch(batch.slice(i, OUT_CHUNK_ROWS))
+                            sheets_of.append((sheet, idx))
+                    if tells and not sheets_of:
                         with zipfile.ZipFile(content) as z:
                             found = set(_sheet_targets(z))
                         if unit.sheets is None or not found & set(unit.sheets):
-                            rows.append((unit.uri, name, None, None, None, None, "no wanted sheet"))
-                    done.write_batch(batch())
+                            yield error("no wanted sheet")
+                            return
             except Exception as e:  # noqa: BLE001 - unreadable file: report, do not fail the job
-                rows = [(unit.uri, name, None, None, None, None, f"{type(e).__name__}: {e}")]
                 if tells:
-                    yield batch()
+                    yield error(f"{type(e).__name__}: {e}")
                 return
             spool.seek(0)
-            yield from pa.ipc.open_stream(spool)
+            for (sheet, idx), batch in zip(sheets_of, pa.ipc.open_stream(spool)):
+                n = len(batch)
+                same = [pa.repeat(pa.scalar(v, t), n) for v, t in ((unit.uri, pa.string()), (name, pa.string()), (sheet, pa.string()), (idx, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, *batch.columns, pa.nulls(n, pa.string())], schema=schema)
 
 
 class FilteredWorkbookSource(WorkbookSource):
