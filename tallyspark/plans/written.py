@@ -33,7 +33,7 @@ def q_scan_workbook_cells(spark, d):
     """The counterparty papers as .xlsx files, and the cells of two of their six sheets
     below the banner; sheets and rows are pushed into the scan (A3)."""
     folder = shared_folder(spark, "workbooks")
-    write_workbooks(X.counterparty_papers(spark, d), folder).write.format("noop").mode("overwrite").save()
+    write_workbooks(X.counterparty_papers(spark, d), folder, goes_on=True).write.format("noop").mode("overwrite").save()
     rows = scan_workbook_cells(spark, folder, once=True).where(F.col("sheet").isin(SCAN_SHEETS) & (F.col("row_no") >= SCAN_FIRST_ROW))
     return P.to_cells(rows)
 
@@ -43,7 +43,7 @@ def q_scan_workbook_counts(spark, d):
     """Rows and rejects of every file and sheet of a folder that also holds a workbook
     without sheets and a file that isn't one (A3)."""
     folder = shared_folder(spark, "workbooks")
-    write_workbooks(X.counterparty_papers(spark, d), folder).write.format("noop").mode("overwrite").save()
+    write_workbooks(X.counterparty_papers(spark, d), folder, goes_on=True).write.format("noop").mode("overwrite").save()
     nations = X.table(spark, d, "nation").select(F.concat(F.lit("坏"), F.col("n_name")).alias("file_name"))
     _write_texts(nations.select("file_name", F.lit("not a workbook").alias("text")), folder, ".xlsx")
     rows = read_workbooks(spark, folder)

@@ -1,6 +1,7 @@
 """Sheet rows -> .xlsx files, the input form of every desktop flow. A minimal
 standard-library writer (values only); a workbook is written by one task, as its rows
-come, and is bounded by the format itself (1,048,576 rows a sheet)."""
+come. A sheet is bounded by the format itself (1,048,576 rows); what doesn't fit is an
+error or, where asked for, goes on in further sheets of the workbook."""
 
 from __future__ import annotations
 
@@ -24,8 +25,6 @@ _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PKG = "http://schemas.openxmlformats.org/package/2006"
 _KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-
-
 _MARKS = "http://schemas.openxmlformats.org/markup-compatibility/2006"
 _TEXT = ['" t="inlineStr"><is><t>', '" t="inlineStr"><is><t xml:space="preserve">']
 PIECE_BYTES = 256 << 20

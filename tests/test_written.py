@@ -332,3 +332,62 @@ def test_only_papers_with_updates_are_rewritten(spark, scratch):
     got = {(r.file_name, r.row_no, r.col_no): r.value for r in spark.read.parquet(path).collect()}
     assert got["p2", 2, 0] == "new" and got["p2", 3, 0] is None and got["p2", 1, 0] == "b" and got["p9", 1, 1] == "x" and got["p1", 1, 0] == "p11"
     assert len(got) == 10
+
+
+# --- sheets longer than the format's ------------------------------------------
+
+LONG = "甲" * 30 + "z"
+
+
+def long_book(spark, monkeypatch, folder, rows, limit, **how):
+    """The path of the one workbook of ``rows`` (sheet, row_no, cells), a sheet of which holds ``limit`` rows."""
+    import pyarrow as pa
+
+    import tallyspark.sinks.workbooks as W
+    run = {}
+    df = spark.createDataFrame([("f", "s", 1, ["x"])], "file_name string, sheet string, row_no int, cells array<string>")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, fn, schema: run.setdefault("fn", fn))
+        m.setattr(W, "MAX_ROWS", limit)
+        write_workbooks(df, folder, **how)
+        list(run["fn"](pa.RecordBatch.from_pydict({"file_name": ["f"] * len(some), "sheet": [r[0] for r in some], "row_no": [r[1] for r in some],
+                                                   "cells": [r[2] for r in some]}) for some in (rows[i:i + 37] for i in range(0, len(rows), 37))))
+    return f"{folder}/f.xlsx"
+
+
+def test_a_sheet_beyond_the_limit_goes_on_in_further_sheets(spark, scratch, monkeypatch):
+    import re
+    import zipfile
+    rows = ([(LONG, i, [str(i), None, "x"]) for i in range(1, 250)] + [(LONG, 249, [f"twice {k:03d}"]) for k in range(130)] + [("Z", 2_000_000_000, ["far"])]
+            + [("a~2", i, [f"own {i}"]) for i in (1, 2)] + [("a", i, [f"a{i}"]) for i in (50, 150, 1_000)])
+    with pytest.raises(ValueError):
+        long_book(spark, monkeypatch, f"{scratch}/not", rows, 100)
+    path = long_book(spark, monkeypatch, scratch, rows, 100, goes_on=True)
+    idx = {LONG: 0, "Z": 1, "a~2": 2, "a": 3}
+    back = lambda sheets=None, first=1, last=None: [*XS.parse_workbook(open(path, "rb").read(), sheets, first, last)]
+    assert back() == [(s, idx[s], r, c) for s, r, c in rows]
+    assert [r[2] for r in back([LONG], 95, 205)] == [*range(95, 206)] and [r[2] for r in back(["a"], 51)] == [150, 1_000] and back(["a"], 1, 49) == []
+    reader = XS.WorkbookReader({"path": scratch, "sheets": '["a", "Z"]'})
+    assert sorted(r for unit in reader.partitions() if "not" not in unit.uri for b in reader.read(unit) for r in b.column("row_no").to_pylist()) == [50, 150, 1_000, 2_000_000_000]
+    with zipfile.ZipFile(path) as z:
+        names = re.findall(r'<sheet name="([^"]*)"', z.read("xl/workbook.xml").decode())
+        parts = [[int(r) for r in re.findall(rb'<row r="(\d+)"', z.read(n))] for n in z.namelist() if n.startswith("xl/worksheets/")]
+    assert len(names) == len(set(names)) == len(parts) == 9 and max(map(len, names)) <= 31
+    assert max(max(p) for p in parts) <= 100 and max(map(len, parts)) <= 100
+
+
+def test_the_scans_papers_hold_no_row_beyond_the_format(spark, scratch):
+    import glob
+    import re
+    import zipfile
+
+    from tallyspark.plans.written import q_scan_workbook_cells
+    n = spark.range(1, 4_000_000, 1_000_000)
+    n.selectExpr("id AS o_orderkey", "id % 2 AS o_custkey", "CAST(1 AS DOUBLE) AS o_totalprice", "'O' AS o_orderstatus", "'p' AS o_orderpriority").write.parquet(f"{scratch}/orders.parquet")
+    spark.range(2).selectExpr("id AS c_custkey", "'c' AS c_name", "7L AS c_nationkey", "CAST(1 AS DOUBLE) AS c_acctbal").write.parquet(f"{scratch}/customer.parquet")
+    before = set(glob.glob(spark.conf.get("spark.checkpoint.dir").replace("file:", "") + "/workbooks-*"))
+    got = q_scan_workbook_cells(spark, scratch)
+    assert {r.row_no for r in got.where("row_no > 4").collect()} == {1 + k * 1_000_000 + 10 for k in range(4)}
+    folder, = set(glob.glob(spark.conf.get("spark.checkpoint.dir").replace("file:", "") + "/workbooks-*")) - before
+    with zipfile.ZipFile(f"{folder}/7.xlsx") as z:
+        assert max(int(r) for name in z.namelist() if "worksheets" in name for r in re.findall(rb'<row r="(\d+)"', z.read(name))) <= 1_048_576
