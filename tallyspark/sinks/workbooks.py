@@ -27,7 +27,7 @@ _PKG = "http://schemas.openxmlformats.org/package/2006"
 _KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _MARKS = "http://schemas.openxmlformats.org/markup-compatibility/2006"
 _TEXT = ['" t="inlineStr"><is><t>', '" t="inlineStr"><is><t xml:space="preserve">']
-PIECE_BYTES = 256 << 20
+PIECE_BYTES = 8 << 20
 LEVEL = 5  # of deflate: as small as zlib's usual 6 for such XML, in two thirds of its time
 
 

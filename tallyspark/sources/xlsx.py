@@ -114,7 +114,7 @@ def _file_name(path: str, suffixes=(".xlsx", ".xlsm", ".xls")) -> str:
 
 
 OUT_CHUNK_ROWS = 20_000
-SPOOL_BYTES, READ_BYTES = 32 << 20, 1 << 20
+SPOOL_BYTES, READ_BYTES = 8 << 20, 1 << 20
 _COLS = ["path", "file_name", "sheet", "sheet_idx", "row_no", "cells", "error"]
 
 
